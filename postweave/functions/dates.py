@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .binding import let
 from .labels import label
 
 _MINUTE_MICROS = 60 * 1_000_000
@@ -37,20 +38,20 @@ def parse_relative(text: Column, now: datetime | Column) -> Column:
     """'Posted 3 Days Ago', 'hace 2 días', 'il y a 5 jours', 'heute' to a timestamp; null if nothing relative."""
     now = at(now)
     flag = "(?iuU)"
-    out = F.when(text.rlike(flag + V.RELATIVE_TODAY), now)
-    out = out.when(text.rlike(flag + V.RELATIVE_YESTERDAY), minus_minutes(now, F.lit(1440)))
+    # Minutes back: one value to compute, one subtraction at the end.
+    back = F.when(text.rlike(flag + V.RELATIVE_TODAY), F.lit(0).cast("bigint"))
+    back = back.when(text.rlike(flag + V.RELATIVE_YESTERDAY), F.lit(1440).cast("bigint"))
     units = F.create_map(*[F.lit(x) for pair in V.UNIT_MINUTES.items() for x in pair])
     for pattern in V.RELATIVE_AGO:
-        amount = F.regexp_extract(text, "(?iu)" + pattern, 1).try_cast("int")
+        amount = F.regexp_extract(text, "(?iu)" + pattern, 1).try_cast("bigint")
         unit = F.lower(F.regexp_extract(text, "(?iu)" + pattern, 2))
-        out = out.when(amount.isNotNull(), minus_minutes(now, amount.cast("bigint") * units[unit]))
-    return out
+        back = back.when(text.rlike("(?iu)" + pattern), amount * F.try_element_at(units, unit))
+    return minus_minutes(now, back)
 
 
-def _result(ts: Column, precision: Column | str) -> Column:
+def _pair(ts: Column, precision: Column | str) -> Column:
     precision = F.lit(precision) if isinstance(precision, str) else precision
-    return F.struct(ts.cast("timestamp").alias("ts"),
-                    F.when(ts.isNull(), F.lit("unknown")).otherwise(precision).alias("precision"))
+    return F.struct(ts.cast("timestamp").alias("ts"), precision.alias("precision"))
 
 
 def from_epoch(number: Column) -> Column:
@@ -60,32 +61,41 @@ def from_epoch(number: Column) -> Column:
     return F.when(seconds > 0, F.timestamp_micros(F.floor(seconds * 1_000_000).cast("bigint")))
 
 
-def parse_date(text: Column, now: datetime | Column) -> Column:
-    """Struct (ts, precision) of a date written in any of the supported ways."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    nothing = _result(F.lit(None).cast("timestamp"), "unknown")
-    relative = parse_relative(t, now)
+def _calendar(t: Column) -> Column:
+    """Dates that are not relative, as (ts, precision); the shape of the text picks the one parser to run."""
     a, b, y = (F.regexp_extract(t, NUMERIC, i).try_cast("int") for i in (1, 2, 3))
     year = F.when(y < 100, y + 2000).otherwise(y)
     month_first = (a <= 12) & (b > 12)
     day, month = F.when(month_first, b).otherwise(a), F.when(month_first, a).otherwise(b)
     numeric = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date").cast("timestamp")
-    iso = F.regexp_replace(F.regexp_replace(t, r"([+-]\d{2}):?(\d{2})$", "$1:$2"), r"(T|\d) (?=[+-])", "$1")
+    offset = F.regexp_replace(F.regexp_replace(t, r"([+-]\d{2}):?(\d{2})$", "$1:$2"), r"(T|\d) (?=[+-])", "$1")
     iso_ts = F.when(F.length(t) <= 10, t.try_cast("timestamp")).otherwise(
-        F.replace(iso, F.lit(","), F.lit(".")).try_cast("timestamp"))
+        F.replace(offset, F.lit(","), F.lit(".")).try_cast("timestamp"))
     bare = F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3,9}, (?=\d)", ""), r" (GMT|UTC|Z)$", " +0000")
-    out = (
-        F.when(t == "", nothing)
-        .when(t.rlike(r"^\d{9,18}$"), _result(from_epoch(t.try_cast("bigint")), "datetime"))
-        .when(relative.isNotNull(), _result(relative, "relative"))
-        .when(t.rlike(NUMERIC), _result(numeric, "date"))
-        .when(t.rlike(r"^\d{8}$"), _result(F.try_to_timestamp(t, F.lit("yyyyMMdd")), "date"))
-        .when(t.rlike(ISO), _result(iso_ts, F.when(F.length(t) <= 10, F.lit("date")).otherwise(F.lit("datetime")))))
+    out = (F.when(t.rlike(NUMERIC), _pair(numeric, "date"))
+           .when(t.rlike(r"^\d{8}$"), _pair(F.try_to_timestamp(t, F.lit("yyyyMMdd")), "date"))
+           .when(t.rlike(ISO), _pair(iso_ts, F.when(F.length(t) <= 10, F.lit("date")).otherwise(F.lit("datetime")))))
     for shape, pattern, precision in FREE_TEXT:
         # The shape guards the parser: it never sees a text it would have to reject.
         guarded = F.when(bare.rlike(shape), bare)
-        out = out.when(bare.rlike(shape), _result(F.try_to_timestamp(guarded, F.lit(pattern)), precision))
-    return out.otherwise(nothing)
+        out = out.when(bare.rlike(shape), _pair(F.try_to_timestamp(guarded, F.lit(pattern)), precision))
+    return out.otherwise(_pair(F.lit(None).cast("timestamp"), "unknown"))
+
+
+def parse_date(text: Column, now: datetime | Column) -> Column:
+    """Struct (ts, precision) of a date written in any of the supported ways.
+
+    The text and the relative reading are bound once: a Column used many times is evaluated many times.
+    """
+    def read(t: Column) -> Column:
+        return (F.when(t == "", _pair(F.lit(None).cast("timestamp"), "unknown"))
+                .when(t.rlike(r"^\d{9,18}$"), _pair(from_epoch(t.try_cast("bigint")), "datetime"))
+                .otherwise(let(parse_relative(t, now), lambda rel: F.when(rel.isNotNull(), _pair(rel, "relative"))
+                               .otherwise(_calendar(t)))))
+
+    read_once = let(F.trim(F.coalesce(text, F.lit(""))), read)
+    return let(read_once, lambda p: F.struct(p["ts"].alias("ts"), F.when(p["ts"].isNull(), F.lit("unknown"))
+                                             .otherwise(p["precision"]).alias("precision")))
 
 
 def iso(ts: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .binding import let
 
 GENERIC = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 SCHEME, HOST, PATH, QUERY, FRAGMENT = 1, 2, 3, 4, 5
@@ -17,11 +16,6 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), GENERIC, group)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once, so that an expression used several times is not repeated in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), c)
 
@@ -84,7 +78,7 @@ def unwrap_redirect(url: Column) -> Column:
             p["k"].alias("k"), F.element_at(F.filter(pairs, lambda o: o["k"] == p["k"]), -1)["v"].alias("v")))
         target = F.get(F.filter(settled, lambda p: F.lower(p["k"]).isin(V.REDIRECT_PARAMS)
                                 & _unquote(p["v"]).rlike("^https?://")), F.lit(0))["v"]
-        return _let(target, lambda t: F.when(t.isNull() | (t == ""), current)
+        return let(target, lambda t: F.when(t.isNull() | (t == ""), current)
                     .when(F.upper(t).contains("%2F"), _unquote(t)).otherwise(t))
 
     levels = F.sequence(F.lit(1), F.lit(V.REDIRECT_DEPTH))

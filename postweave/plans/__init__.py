@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar"]
+MODULES = ["scalar", "filters"]
 
 
 def load_all() -> None:
