@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import normalize_text
+from ..session import small_table
 from .keywords import find_keyword, normalize_word, word_grams
 
 LONGEST_ALIAS = 4
@@ -54,14 +55,14 @@ def build_gazetteer(countries: DataFrame, cities: DataFrame) -> DataFrame:
 
 def country_names(spark: SparkSession) -> DataFrame:
     """Country names in other languages as rows (iso2, names), to be added to the countries of a gazetteer."""
-    return spark.createDataFrame(list(V.COUNTRY_NAMES.items()), "iso2 string, names array<string>")
+    return small_table(spark, "iso2 string, names array<string>", list(V.COUNTRY_NAMES.items()))
 
 
 def city_aliases(places: Sequence[Place], cities: DataFrame, geo: DataFrame) -> DataFrame:
     """(ord, alias) of every configured city: its own name, its configured aliases and its gazetteer names."""
     spark = geo.sparkSession
     own = [(i, normalize_word(a), p.country) for i, p in enumerate(places) if p.city for a in (p.city, *p.aliases)]
-    wanted = spark.createDataFrame(own or [(-1, "", None)], "ord int, wanted string, country string")
+    wanted = small_table(spark, "ord int, wanted string, country string", own)
     every = F.array_union(F.array("name"), F.coalesce("names", F.array().cast("array<string>")))
     # A city is identified by its country and name; every one of its names is a row.
     names = cities.select("name", "iso2", F.explode(every).alias("raw")).withColumn("alias", normalize_text(F.col("raw")))
@@ -103,7 +104,7 @@ def read_locations(texts: DataFrame, geo: DataFrame, places: Sequence[Place] = (
     spark = geo.sparkSession
     if aliases is None:
         own = [(i, normalize_word(a)) for i, p in enumerate(places) if p.city for a in (p.city, *p.aliases)]
-        aliases = spark.createDataFrame(own or [(-1, "")], "ord int, alias string")
+        aliases = small_table(spark, "ord int, alias string", own)
     tagged = (
         geo.filter("kind = 'country'").select(F.concat(F.lit("w:"), "alias").alias("token"), F.lit("named").alias("what"), F.col("iso2").alias("value"))
         .unionByName(geo.filter("kind IN ('iso2', 'iso3')").select(

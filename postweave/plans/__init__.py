@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar", "filters"]
+MODULES = ["scalar", "filters", "merging"]
 
 
 def load_all() -> None:

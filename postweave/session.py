@@ -48,3 +48,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_sql_literal(v) for v in value) + ")"
+    if isinstance(value, (bool, int, float)):
+        return repr(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def small_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A configuration table as a local relation.  Its size is known, so Spark itself decides to broadcast it."""
+    fields = [tuple(f.strip().split(" ", 1)) for f in schema.split(", ")]
+    names = ", ".join(n for n, _ in fields)
+    casts = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in fields)
+    values = rows or [tuple(None for _ in fields)]
+    body = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in values)
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({names})" + ("" if rows else " WHERE false"))
