@@ -28,6 +28,10 @@ def rank_order(score: str, *ties: str) -> Column:
     return F.struct((-F.coalesce(F.col(score), F.lit(0))).alias("neg"), *[F.col(c) for c in ties])
 
 
+def _token_at(ids: str, position: int) -> Column:
+    return F.get(F.filter(ids, lambda x: x.startswith(str(position))), F.lit(0))
+
+
 def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column, eligible: Column | None = None,
                        ) -> tuple[DataFrame, DataFrame]:
     """Keep, in rank order, every eligible row none of whose tokens belongs to an already kept row.
@@ -55,12 +59,13 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
         leaders = still.select(F.explode("_ids").alias("_t"), row.alias("_row")).groupBy("_t").agg(F.min("_row").alias("_row"))
         kept = leaders.groupBy("_row").agg(F.count("*").alias("_n")).filter(F.col("_n") == F.size("_row._ids"))
         owners = cut_lineage(kept.select(F.explode("_row._ids").alias("_t"), F.col("_row._best").alias("_owner")))
+        if owners.isEmpty():
+            raise RuntimeError("no row is best in all its tokens: the rank is not a total order")
         rounds.append(owners)
         taken = owners.select("_t")
         for i in range(len(tokens)):
             # Tokens carry their position, so each of them is found by one equi-join.
-            one = F.get(F.filter("_ids", lambda x, i=i: x.startswith(f"{i}")), F.lit(0))
-            still = still.withColumn("_one", one).join(taken, F.col("_one") == F.col("_t"), "left_anti").drop("_one")
+            still = still.withColumn("_one", _token_at("_ids", i)).join(taken, F.col("_one") == F.col("_t"), "left_anti").drop("_one")
         still = cut_lineage(still)
     empty = df.sparkSession.createDataFrame([], still.select(F.explode("_ids").alias("_t"), F.col("_best").alias("_owner")).schema)
     owners = reduce(DataFrame.unionByName, rounds, empty)
