@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar", "filters", "merging"]
+MODULES = ["scalar", "filters", "merging", "reports"]
 
 
 def load_all() -> None:
