@@ -33,7 +33,7 @@ def as_list(value: Column, kind: str = "variant") -> Column:
     """An array stays, null becomes empty, a scalar becomes one element."""
     items = F.try_variant_get(value, "$", "array<variant>")
     empty = F.array().cast("array<variant>")
-    out = F.when(F.coalesce(F.is_variant_null(value), F.lit(True)), empty).otherwise(F.coalesce(items, F.array(value)))
+    out = F.when(value.isNull() | F.is_variant_null(value), empty).otherwise(F.coalesce(items, F.array(value)))
     return out if kind == "variant" else F.transform(out, lambda v: F.try_variant_get(v, "$", kind))
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar", "filters", "merging", "reports"]
+MODULES = ["scalar", "filters", "merging", "reports", "sources_json"]
 
 
 def load_all() -> None:

@@ -366,14 +366,14 @@ def h7(t: Tables) -> DataFrame:
 @query("d9_latest_slot", """
 WITH e AS (SELECT event_id, ts, timezone('Europe/Berlin', timezone('UTC', ts)) AS l FROM events),
 c AS (SELECT event_id, ts, l, CAST(l AS DATE) - CAST(unnest(range(0, 9)) AS INT) AS d FROM e), s AS (SELECT event_id, ts, l, d, d + to_hours(CAST(unnest([9, 18]) AS BIGINT)) AS slot FROM c),
-m AS (SELECT event_id, ts, max(slot) AS every, max(slot) FILTER (WHERE isodow(d) IN (1, 3, 7)) AS some FROM s WHERE slot <= l GROUP BY 1, 2),
-u AS (SELECT event_id, ts, timezone('UTC', timezone('Europe/Berlin', every)) AS every, timezone('UTC', timezone('Europe/Berlin', some)) AS some FROM m)
-SELECT event_id, every, some, CASE WHEN ts - some <= INTERVAL 12 HOUR THEN some END AS in_grace FROM u""")
+m AS (SELECT event_id, ts, max(slot) AS every, max(slot) FILTER (WHERE isodow(d) IN (1, 3, 7)) AS chosen FROM s WHERE slot <= l GROUP BY 1, 2),
+u AS (SELECT event_id, ts, timezone('UTC', timezone('Europe/Berlin', every)) AS every, timezone('UTC', timezone('Europe/Berlin', chosen)) AS chosen FROM m)
+SELECT event_id, every, chosen, CASE WHEN ts - chosen <= INTERVAL 12 HOUR THEN chosen END AS in_grace FROM u""")
 def d9(t: Tables) -> DataFrame:
     every = SL.latest_slot(F.col("ts"), "Europe/Berlin", ["09:00", "18:00"])
     some = SL.latest_slot(F.col("ts"), "Europe/Berlin", ["09:00", "18:00"], [0, 2, 6])
-    e = t.ev.select("event_id", "ts", every.alias("every"), some.alias("some"))
-    return e.select("event_id", "every", "some", SL.slot_in_grace(F.col("ts"), F.col("some")).alias("in_grace"))
+    e = t.ev.select("event_id", "ts", every.alias("every"), some.alias("chosen"))
+    return e.select("event_id", "every", "chosen", SL.slot_in_grace(F.col("ts"), F.col("chosen")).alias("in_grace"))
 
 
 @query("h8_throttle", """
@@ -467,12 +467,12 @@ def feed(t: Tables) -> DataFrame:
     return FD.feed_items(seen(t), statuses, NOW, {"BUILDING": "Building", "MACHINERY": "Machines"})
 
 
-FEED = f"""{KEYED}, n0 AS (SELECT *, CASE WHEN n % 4 = 1 THEN seen_at + INTERVAL 1 DAY ELSE seen_at END AS at FROM k WHERE n % 3 <> 0 AND n % 4 IN (0, 1)),
+FEED = f"""{KEYED}, n0 AS (SELECT *, CASE WHEN n % 4 = 1 THEN seen_at + INTERVAL 1 DAY ELSE seen_at END AS pub FROM k WHERE n % 3 <> 0 AND n % 4 IN (0, 1)),
 items AS (SELECT *, CASE family WHEN 'BUILDING' THEN 'Building' WHEN 'MACHINERY' THEN 'Machines' END AS fam, CASE n % 5 WHEN 0 THEN 'applied' WHEN 1 THEN 'discarded' END AS st,
- CASE n % 5 WHEN 0 THEN '✅ Applied' WHEN 1 THEN '❌ Discarded' END AS stl FROM n0 WHERE at >= {NOW_SQL} - INTERVAL 30 DAY ORDER BY at DESC, key LIMIT 300)"""
+ CASE n % 5 WHEN 0 THEN '✅ Applied' WHEN 1 THEN '❌ Discarded' END AS stl FROM n0 WHERE pub >= {NOW_SQL} - INTERVAL 30 DAY ORDER BY pub DESC, key LIMIT 300)"""
 
 
-@query("i2_feed_items", f"""WITH {FEED} SELECT key AS id, company || ' — ' || upper(title) AS title, loc AS location, at AS notified_at,
+@query("i2_feed_items", f"""WITH {FEED} SELECT key AS id, company || ' — ' || upper(title) AS title, loc AS location, pub AS notified_at,
  CASE WHEN n % 4 = 1 THEN grp || ',favorites' ELSE grp END AS groups, fam AS family, st AS tracker_status, stl AS tracker_label FROM items""")
 def i2(t: Tables) -> DataFrame:
     return feed(t).select("id", "title", "location", "notified_at", F.array_join("groups", ",").alias("groups"), "family", "tracker_status", "tracker_label")
@@ -488,7 +488,7 @@ ISO = "%Y-%m-%dT%H:%M:%S+00:00"
 
 @query("i2_json_feed", f"""WITH {FEED} SELECT key AS id, '{{' || {q('id', 'key')} || ',' || {q('url', 'url')} || ',' || {q('title', "company || ' — ' || upper(title)")} || ','
  || {q('content_text', "loc || ' · Also on: board'")} || ',' || {q('summary', 'loc')} || ',' || {q('date_published', f"strftime(coalesce(posted_at, seen_at - INTERVAL 5 DAY), '{ISO}')")} || ','
- || {q('date_modified', f"strftime(at, '{ISO}')")} || ',"authors":[{{' || {q('name', 'company')} || '}}],"tags":[' || {TAGS} || CASE WHEN fam IS NULL THEN '' ELSE ',"' || fam || '"' END
+ || {q('date_modified', f"strftime(pub, '{ISO}')")} || ',"authors":[{{' || {q('name', 'company')} || '}}],"tags":[' || {TAGS} || CASE WHEN fam IS NULL THEN '' ELSE ',"' || fam || '"' END
  || CASE WHEN stl IS NULL THEN '' ELSE ',"' || stl || '"' END || '],"_private":{{' || {q('company', 'company')} || ',' || {q('job_title', 'upper(title)')} || ',' || {q('location', 'loc')}
  || ',"score":' || score || ',"groups":[' || {TAGS} || '],"also_on":["board"]' || CASE WHEN fam IS NULL THEN '' ELSE ',"family":"' || fam || '"' END
  || CASE WHEN st IS NULL THEN '' ELSE ',"tracker_status":"' || st || '"' END || '}}}}' AS item FROM items""")
@@ -497,7 +497,7 @@ def i2_json(t: Tables) -> DataFrame:
 
 
 @query("i3_rss_feed", f"""WITH {FEED} SELECT key AS id, '<item><title>' || company || ' — ' || upper(title) || '</title><link>' || url || '</link><guid isPermaLink="false">' || key || '</guid><pubDate>'
- || strftime(at, '%a, %d %b %Y %H:%M:%S +0000') || '</pubDate><description>' || loc || ' · Also on: board</description><category>' || grp || '</category>'
+ || strftime(pub, '%a, %d %b %Y %H:%M:%S +0000') || '</pubDate><description>' || loc || ' · Also on: board</description><category>' || grp || '</category>'
  || CASE WHEN n % 4 = 1 THEN '<category>favorites</category>' ELSE '' END || CASE WHEN fam IS NULL THEN '' ELSE '<category>' || fam || '</category>' END
  || CASE WHEN stl IS NULL THEN '' ELSE '<category>' || stl || '</category>' END || '</item>' AS item FROM items""")
 def i3(t: Tables) -> DataFrame:
@@ -505,8 +505,8 @@ def i3(t: Tables) -> DataFrame:
 
 
 @query("i4_summary", f"""WITH {FEED}, g AS (SELECT 'group' AS what, grp AS label FROM items UNION ALL SELECT 'group', 'favorites' FROM items WHERE n % 4 = 1
- UNION ALL SELECT 'family', coalesce(fam, 'Other roles') FROM items UNION ALL SELECT 'window', '24h' FROM items WHERE at >= {NOW_SQL} - INTERVAL 1 DAY
- UNION ALL SELECT 'window', '7d' FROM items WHERE at >= {NOW_SQL} - INTERVAL 7 DAY UNION ALL SELECT 'window', '30d' FROM items) SELECT what, label, count(*)::BIGINT AS n FROM g GROUP BY 1, 2""")
+ UNION ALL SELECT 'family', coalesce(fam, 'Other roles') FROM items UNION ALL SELECT 'window', '24h' FROM items WHERE pub >= {NOW_SQL} - INTERVAL 1 DAY
+ UNION ALL SELECT 'window', '7d' FROM items WHERE pub >= {NOW_SQL} - INTERVAL 7 DAY UNION ALL SELECT 'window', '30d' FROM items) SELECT what, label, count(*)::BIGINT AS n FROM g GROUP BY 1, 2""")
 def i4(t: Tables) -> DataFrame:
     """Counts of the feed by group, family and window."""
     age = F.datediff(dates.at(NOW), F.col("notified_at"))
