@@ -14,6 +14,7 @@ from ..operators import feeds as FD
 from ..operators import health as H
 from ..operators import packing as PK
 from ..operators import routing as R
+from ..operators import scoring as SC
 from ..operators import segments as SG
 from ..operators import slots as SL
 from ..operators import state as S
@@ -631,6 +632,28 @@ def h11(t: Tables) -> DataFrame:
     return t.ev.join(done, "user_id").filter((F.col("event_id") > F.col("done")) | (F.col("user_id") % 9 == 0)).select("event_id")
 
 
+@query("h13_score_batches", """WITH d AS (SELECT d.doc_id, d.n_chars, CASE WHEN quality = 1 THEN 'good' END AS kw, CASE WHEN d.doc_id % 4 <> 0 THEN length(substr(text, 1, 1800)) % 101 END AS score FROM documents d LEFT JOIN labels USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS key, score::BIGINT AS score, CASE WHEN score IS NULL AND kw IS NULL THEN 'ai_unavailable' WHEN score < 40 THEN 'ai_score' END AS decision FROM d""")
+def h13(t: Tables) -> DataFrame:
+    """A deterministic scorer: the length of what it is shown; it gives no answer for every fourth document."""
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.lit("").alias("title"), F.col("text").alias("description"))
+
+    def scorer(batch: list[dict]) -> dict[int, dict]:
+        return {i: {"score": len(d["description"]) % 101} for i, d in enumerate(batch) if int(d["key"]) % 4}
+
+    answers = SC.score_batches(docs, scorer)
+    known = t.labels.select(F.col("doc_id").cast("string").alias("key"), F.when(F.col("quality") == 1, F.lit("good")).alias("kw_family"))
+    out = SC.apply_scores(docs.select("key").join(known, "key", "left"), answers, 40)
+    return out.select("key", F.col("score").cast("bigint").alias("score"), "decision")
+
+
+@query("a14_sink_lines", f"""WITH {V} SELECT posting, '{{"posting":"' || posting || '","title":"' || title || '","score":' || score || '}}' AS json, posting || ',' || title || ',' || score AS csv FROM v""")
+def a14(t: Tables) -> DataFrame:
+    """The lines the JSON and CSV sinks write."""
+    row = F.struct("posting", "title", "score")
+    return t.v.select("posting", F.to_json(row).alias("json"), F.to_csv(row).alias("csv"))
+
+
 def report_lines(t: Tables) -> DataFrame:
     """Lines of the weekly report as (section, line_ord, line); every part is a small aggregate of its own."""
     from .. import fixed_values as FV
