@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,27 +10,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.binding import let
 from ..functions.dates import local
 from .waterfall import in_quiet_hours
 
 
+def _minutes(hhmm: str) -> int:
+    hours, minutes = hhmm.split(":")
+    return int(hours) * 60 + int(minutes)
+
+
 def latest_slot(ts: Column, tz: str, times: Sequence[str], weekdays: Sequence[int] | None = None) -> Column:
     """Latest scheduled local time not after ``ts``, as UTC; ``weekdays``: 0 = Monday.
 
-    An as-of join against a calendar without the join: the candidates of the last days are an array per row.
+    An as-of join against a calendar without the join: the candidates of the last days are a small array of integers
+    (seconds of the local clock) per row.
     """
-    now_local = local(ts, tz)
+    offsets = F.array(*[F.lit(_minutes(t) * 60) for t in times])
     back = F.sequence(F.lit(0), F.lit(8 if weekdays is not None else 1))
 
-    def of_day(days: Column) -> Column:
-        day = F.date_sub(F.to_date(now_local), days)
-        slots = F.array(*[F.to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(f" {t}")), "yyyy-MM-dd HH:mm") for t in times])
-        if weekdays is None:
-            return slots
-        return F.when(F.weekday(day).isin(list(weekdays)), slots).otherwise(F.array().cast("array<timestamp>"))
+    def best(wall: Column) -> Column:
+        today = F.floor(wall / 86400)
+        days = F.transform(back, lambda d: today - d)
+        if weekdays is not None:
+            days = F.filter(days, lambda d: F.pmod(d + 3, F.lit(7)).isin(list(weekdays)))  # day 0 was a Thursday
+        slots = F.flatten(F.transform(days, lambda d: F.transform(offsets, lambda o: d * 86400 + o)))
+        return F.array_max(F.filter(slots, lambda s: s <= wall))
 
-    candidates = F.flatten(F.transform(back, lambda d: of_day(d)))
-    return F.to_utc_timestamp(F.array_max(F.filter(candidates, lambda s: s <= now_local)), tz)
+    return F.to_utc_timestamp(F.timestamp_seconds(let(F.unix_seconds(local(ts, tz)), best)), tz)
 
 
 def slot_in_grace(ts: Column, slot: Column, grace_hours: float = V.GRACE_HOURS) -> Column:
@@ -49,18 +56,20 @@ def slot_runs(wakes: DataFrame, key: str, ts: str, tz: str, times: Sequence[str]
     slots = wakes.select(key, F.col(ts), slot.alias("slot")).filter("slot IS NOT NULL").groupBy(key, "slot").agg(F.min(ts).alias("run_at"))
     if every_days <= 1:
         return slots
-    slots = slots.withColumn("_day", F.datediff(F.to_date(local(F.col("slot"), tz)), F.lit("1970-01-01").cast("date")))
+    day = F.datediff(F.to_date(local(F.col("slot"), tz)), F.lit("1970-01-01").cast("date"))
+    # A key has at most a few slots per calendar day, so its slots fit in one array.
+    ordered = slots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "run_at", day.alias("day")))).alias("_s"))
+    return ordered.select(key, F.inline(_spaced("_s", every_days, lambda x: x["day"]))).select(key, "slot", "run_at")
+
+
+def _spaced(items: str, wait: int, at: Callable[[Column], Column]) -> Column:
+    """Elements of a sorted array that are at least ``wait`` after the last one taken: a fold in the JVM."""
+    first = F.slice(F.col(items), 1, 1)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
-        last, keep = None, []
-        for day in pdf["_day"]:
-            run = last is None or day - last >= every_days
-            keep.append(run)
-            last = day if run else last
-        return pdf[keep]
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(at(x) - at(F.element_at(acc, -1)) >= wait, F.concat(acc, F.array(x))).otherwise(acc)
 
-    return slots.groupBy(key).applyInPandas(walk, slots.schema).drop("_day")
+    return F.aggregate(F.slice(F.col(items), F.lit(2), F.size(items)), first, step)
 
 
 def _next_allowed(ts: np.ndarray, wait: int) -> np.ndarray:
@@ -68,12 +77,13 @@ def _next_allowed(ts: np.ndarray, wait: int) -> np.ndarray:
 
 
 def throttle(events: DataFrame, key: str, ts: str, interval_minutes: int, tz: str = "UTC", quiet: str | None = None,
-             segment_intervals: int = 12) -> DataFrame:
+             segment_intervals: int = 12, small_key: int = 2000) -> DataFrame:
     """Events that may run: at least ``interval - 2`` minutes after the last one that ran, never in quiet hours.
 
-    The choice is sequential per key, but a key is cut into segments of time.  In a segment the last event of the
-    chain that starts at any event is found independently.  Only the possible entries (events in the first interval of
-    a segment and the first one after it) go through one walk per key; then every segment marks its own chain.
+    The choice is sequential per key.  Keys with few instants are folded as one array each, inside the JVM.  Larger
+    keys are cut into segments of time: in a segment the last event of the chain that starts at any event is found
+    independently; only the possible entries (events in the first interval of a segment and the first one after it) go
+    through one walk per key; then every segment marks its own chain.
     """
     wait = (interval_minutes - V.INTERVAL_TOLERANCE_MINUTES) * 60_000_000
     width = max(wait, 60_000_000) * segment_intervals
@@ -81,6 +91,10 @@ def throttle(events: DataFrame, key: str, ts: str, interval_minutes: int, tz: st
     allowed = allowed.withColumn("_us", F.unix_micros(ts)).withColumn("_seg", F.floor(F.col("_us") / width).cast("bigint"))
     instants = allowed.select(key, "_seg", "_us").distinct()
     kind = dict(instants.dtypes)[key]
+    sized = instants.join(instants.groupBy(key).agg(F.count("*").alias("_n")), key)
+    arrays = sized.filter(F.col("_n") <= small_key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_us", "_seg"))).alias("_a"))
+    few = arrays.select(key, F.inline(_spaced("_a", wait, lambda x: x["_us"]))).select(key, "_seg", "_us")
+    large = sized.filter(F.col("_n") > small_key).drop("_n")
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         us = np.sort(pdf["_us"].to_numpy())
@@ -111,8 +125,8 @@ def throttle(events: DataFrame, key: str, ts: str, interval_minutes: int, tz: st
             i = nxt[i]
         return pd.DataFrame({key: pdf[key].iloc[0], "_seg": pdf["_seg"].iloc[0], "_us": np.array(keep, dtype="int64")})
 
-    doors = instants.groupBy(key, "_seg").applyInPandas(entries, f"{key} {kind}, _seg bigint, _in bigint, _out bigint")
+    doors = large.groupBy(key, "_seg").applyInPandas(entries, f"{key} {kind}, _seg bigint, _in bigint, _out bigint")
     starts = doors.groupBy(key).applyInPandas(carry, f"{key} {kind}, _seg bigint, _from bigint")
-    chosen = instants.join(starts, [key, "_seg"]).groupBy(key, "_seg").applyInPandas(mark, f"{key} {kind}, _seg bigint, _us bigint")
-    return allowed.join(chosen, [key, "_seg", "_us"], "left_semi").drop("_seg", "_us")
+    chosen = large.join(starts, [key, "_seg"]).groupBy(key, "_seg").applyInPandas(mark, f"{key} {kind}, _seg bigint, _us bigint")
+    return allowed.join(few.unionByName(chosen), [key, "_seg", "_us"], "left_semi").drop("_seg", "_us")
 

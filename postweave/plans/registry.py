@@ -8,9 +8,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_TEXTS = ("documents", "pages", "conversations")  # much work per row
+
 NOW = datetime(2001, 8, 2)  # clock of the posting view: the last order date
 EVENTS_NOW = datetime(2024, 1, 31)  # clock of the event table
 
@@ -50,11 +54,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df) if name in _TEXTS else df
 
     @cached_property
     def v(self) -> DataFrame:
-        return self.spark.sql(POSTINGS_SQL, orders=self.orders, customer=self.customer, nation=self.nation,
+        return self.spark.sql(POSTINGS_SQL, orders=spread(self.orders), customer=self.customer, nation=self.nation,
                               region=self.region, part=self.part)
 
     @cached_property

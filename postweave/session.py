@@ -44,6 +44,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input has fewer splits than cores (one small file); otherwise the plan is unchanged.
+
+    At scale a scan has far more splits than cores, so no shuffle is added.  Counting splits only plans the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     checkpoint_dir(df.sparkSession)

@@ -65,8 +65,8 @@ def test_throttle_equals_the_walk(spark):
     start = datetime(2026, 1, 1)
     rows = [(k, start + timedelta(seconds=rnd.randrange(86400 * 2))) for k in ("a", "a", "a", "b") for _ in range(400)]
     df = spark.createDataFrame(rows, "key string, ts timestamp")
-    for segment in (1, 3, 12):
-        got = sorted((r["key"], r["ts"]) for r in SL.throttle(df, "key", "ts", 10, segment_intervals=segment).distinct().collect())
+    for segment, small in ((1, 0), (3, 0), (12, 0), (12, 500), (12, 5000)):
+        got = sorted((r["key"], r["ts"]) for r in SL.throttle(df, "key", "ts", 10, segment_intervals=segment, small_key=small).distinct().collect())
         want = sorted((k, ts) for k in ("a", "b") for ts in throttle_walk({t for kk, t in rows if kk == k}, timedelta(minutes=8)))
         assert got == want
 
