@@ -93,3 +93,12 @@ def family_by_keywords(title_norm: Column, families: Sequence[tuple[str, Sequenc
         return by_family
     own = find_keyword_of_row(title_norm, source_any)
     return F.when(own.isNotNull(), F.coalesce(F.get(allowed, F.lit(0)), F.lit("match"))).otherwise(by_family)
+
+
+def contains_name(company_norm: Column, names: Sequence[str]) -> Column:
+    """The normalised company contains one of the wanted names (configuration, so an expression and not a join)."""
+    out = F.lit(False)
+    for name in names:
+        if normalize_word(name):
+            out = out | company_norm.contains(normalize_word(name))
+    return out

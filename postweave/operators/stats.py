@@ -107,5 +107,5 @@ def acceptance(marks: DataFrame, by: Column, min_marks: int = V.MIN_MARKS) -> Da
     named = marks.withColumn("name", by).filter("name IS NOT NULL")
     per = named.groupBy("name").agg(F.count_if(F.col("status").isin(V.POSITIVE_STATUSES)).alias("wanted"),
                                     F.count_if(~F.col("status").isin(V.POSITIVE_STATUSES)).alias("discarded"))
-    enough = named.agg(F.count("*").alias("total")).filter(F.col("total") >= min_marks).select(F.lit(1).alias("_one"))
-    return per.withColumn("_one", F.lit(1)).join(enough, "_one", "left_semi").drop("_one")
+    total = named.agg(F.count("*")).scalar()  # a scalar subquery: one small job, no join
+    return per.filter(total >= min_marks)

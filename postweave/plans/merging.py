@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import dedupe as DD
 from ..operators import digest as G
+from ..operators import keywords as K
 from ..operators import state as S
 from ..operators import stats as ST
 from ..operators import waterfall as W
-from ..session import small_table
 from . import duck
 from .filters import WATERFALL_AGE, WATERFALL_SQL, waterfall_input
 from .registry import NOW, NOW_SQL, V, Tables, query
@@ -171,10 +171,8 @@ def e16_last(t: Tables) -> DataFrame:
 @query("d7_company_semi_join", f"""
 WITH {V} SELECT posting FROM v WHERE contains({duck.norm('company')}, 'customer 1') OR contains({duck.norm('company')}, 'r 42 ltd')""")
 def d7(t: Tables) -> DataFrame:
-    """Results whose company contains a wanted name.  The names come from a small table with a known size."""
-    names = small_table(t.spark, "wanted string", [("Customer 1",), ("R. 42, Ltd",)]).select(text.normalize_text(F.col("wanted")).alias("w"))
-    v = t.v.withColumn("_c", text.normalize_text(F.col("company")))
-    return v.join(names, F.col("_c").contains(F.col("w")), "left_semi").select("posting")
+    """Results whose company contains a wanted name."""
+    return t.v.filter(K.contains_name(text.normalize_text(F.col("company")), ["Customer 1", "R. 42, Ltd"])).select("posting")
 
 
 @query("d8_unseen", r"""

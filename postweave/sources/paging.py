@@ -81,14 +81,14 @@ def validate_dimensions(sources: DataFrame, groups: DataFrame, families: DataFra
     window = r"^([01]\d|2[0-3]):[0-5]\d\s*-\s*([01]\d|2[0-3]):[0-5]\d$"
     twice = sources.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     known = groups.select("grp")
-    favourites = known.filter("grp = 'favorites'").select(F.lit(True).alias("favorite"))
+    favourites = known.filter("grp = 'favorites'").agg(F.count("*")).scalar()
     asked = sources.select("id", F.explode("families").alias("family"))
     slugs = routes.select("route").distinct().withColumn("slug", route_slug(F.col("route"))).groupBy("slug").agg(F.count("*").alias("n"))
     days = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
     parts = [
         rows(twice, "duplicate id", F.col("id")),
         rows(sources.join(known, "grp", "left_anti"), "unknown group", F.col("id")),
-        rows(sources.filter("favorite").join(favourites, "favorite", "left_anti"), "favourite without its group", F.col("id")),
+        rows(sources.filter("favorite").filter(favourites == 0), "favourite without its group", F.col("id")),
         rows(sources.filter("coalesce(url, '') = '' AND coalesce(type, '') = ''"), "needs url or type", F.col("id")),
         rows(asked.join(families, "family", "left_anti"), "unknown family", F.concat_ws(":", "id", "family")),
         rows(groups.select("grp", F.explode("times").alias("t")).filter(~F.col("t").rlike(hhmm)), "invalid time", F.concat_ws(":", "grp", "t")),
