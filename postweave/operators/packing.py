@@ -1,11 +1,12 @@
-"""Pack ordered texts into bounded messages.  A fold inside one row: the parts of one message thread, kept in order."""
+"""Pack ordered texts into bounded messages: folds inside one row, and packing of rows for threads of any length."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .segments import chain_starts, with_total_before
 
 
 def pack_texts(parts: Column, limit: int = V.TEXT_LIMIT, sep: str = "\n\n") -> Column:
@@ -75,3 +76,21 @@ def cut_bytes(text: Column, limit: int = V.BYTE_LIMIT) -> Column:
     broken = r"(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$"
     cut = F.decode(F.unhex(F.regexp_replace(raw, broken, "")), "UTF-8")
     return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
+
+
+def pack_rows(parts: DataFrame, key: str, order: str, text: str, segment: Column, limit: int = V.TEXT_LIMIT, sep: str = "\n\n",
+              small_key: int = 2000) -> DataFrame:
+    """(key, msg, text): ``pack_texts`` for parts that are rows (non-empty texts), whatever the length of a thread.
+
+    A message that starts at a part ends before the first part whose end lies more than ``limit`` after that start, so
+    the starts are a chain over cumulative lengths.  Positions and numbers are running sums over segments of the order;
+    only the parts of one message, at most ``limit`` characters, meet in one row.
+    """
+    rows = parts.select(key, order, F.substring(text, 1, limit).alias("_t")).withColumn("_len", F.length("_t"))
+    placed = with_total_before(rows, [key], [order], F.col("_len") + len(sep), segment, "_start").withColumn("_end", F.col("_start") + F.col("_len"))
+    heads = chain_starts(placed.select(key, "_start", "_end"), key, limit + 1, (limit + 1) * 64, small_key).withColumn("_head", F.lit(1))
+    flagged = placed.join(heads, [key, "_start"], "left").withColumn("_head", F.coalesce("_head", F.lit(0)))
+    numbered = with_total_before(flagged, [key], [order], F.col("_head"), segment, "_heads")
+    numbered = numbered.withColumn("msg", F.col("_heads") + F.col("_head") - 1)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"]), sep)
+    return numbered.groupBy(key, "msg").agg(joined.alias("text"))

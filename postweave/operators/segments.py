@@ -6,6 +6,10 @@ windows run per (key, segment), and only one summary row per segment is carried
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +40,77 @@ def with_row_number(df: DataFrame, keys: list[str], order: list[str], segment: C
     inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
     out = cut.join(offsets, [*keys, "_seg"])
     return out.withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_seg", "_before")
+
+
+def with_total_before(df: DataFrame, keys: list[str], order: list[str], value: Column, segment: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of each key, cut the same way."""
+    cut = df.withColumn("_seg", segment).withColumn("_val", value.cast("bigint"))
+    sums = cut.groupBy(*keys, "_seg").agg(F.sum("_val").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(offsets, [*keys, "_seg"])
+    return out.withColumn(name, F.col("_before") + F.coalesce(F.sum("_val").over(inside), F.lit(0))).drop("_seg", "_val", "_before")
+
+
+def spaced(items: str, wait: int, start: Callable[[Column], Column], end: Callable[[Column], Column]) -> Column:
+    """Elements of a sorted array whose end is at least ``wait`` after the start of the last one taken: a JVM fold."""
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(end(x) - start(F.element_at(acc, -1)) >= wait, F.concat(acc, F.array(x))).otherwise(acc)
+
+    return F.aggregate(F.slice(F.col(items), F.lit(2), F.size(items)), F.slice(F.col(items), 1, 1), step)
+
+
+def chain_starts(items: DataFrame, key: str, wait: int, width: int, small_key: int = 2000) -> DataFrame:
+    """(key, _start) of the elements a greedy walk takes: the first one, then always the next whose ``_end`` is at least
+    ``wait`` after the ``_start`` of the last one taken.  ``items``: (key, _start, _end), both growing along a key.
+
+    The walk is sequential per key.  Keys with few items are folded as one array each, inside the JVM.  Larger keys are
+    cut into segments of ``width``: in a segment the last element of the chain that starts at any element is found
+    independently; only the possible entries (elements that end in the first ``wait`` of a segment and the next one) go
+    through one walk per key; then every segment marks its own chain.
+    """
+    kind = dict(items.dtypes)[key]
+    items = items.withColumn("_seg", F.floor(F.col("_start") / width).cast("bigint"))
+    sized = items.join(items.groupBy(key).agg(F.count("*").alias("_n")), key)
+    arrays = sized.filter(F.col("_n") <= small_key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_start", "_end"))).alias("_a"))
+    few = arrays.select(key, F.explode(spaced("_a", wait, lambda x: x["_start"], lambda x: x["_end"])).alias("_x")).select(key, F.col("_x._start").alias("_start"))
+    large = sized.filter(F.col("_n") > small_key).drop("_n")
+
+    def ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("_start")
+        start, end = pdf["_start"].to_numpy(), pdf["_end"].to_numpy()
+        return start, end, np.searchsorted(end, start + wait, side="left")
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, end, nxt = ordered(pdf)
+        out = start.copy()
+        for i in range(len(start) - 1, -1, -1):
+            if nxt[i] < len(start):
+                out[i] = out[nxt[i]]
+        head = int(np.searchsorted(end, int(pdf["_seg"].iloc[0]) * width + wait, side="left")) + 1
+        end, out = end[:head], out[:head]
+        last_of_run = np.append(out[1:] != out[:-1], True)
+        return pd.DataFrame({key: pdf[key].iloc[0], "_seg": pdf["_seg"].iloc[0], "_in": end[last_of_run], "_out": out[last_of_run]})
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, rows = -(1 << 62), []
+        for seg, part in pdf.sort_values(["_seg", "_in"]).groupby("_seg", sort=True):
+            rows.append((seg, last + wait))
+            at = int(np.searchsorted(part["_in"].to_numpy(), last + wait, side="left"))
+            if at < len(part):
+                last = int(part["_out"].iloc[at])
+        return pd.DataFrame({key: pdf[key].iloc[0], "_seg": [r[0] for r in rows], "_from": [r[1] for r in rows]})
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        start, end, nxt = ordered(pdf)
+        i, keep = int(np.searchsorted(end, int(pdf["_from"].iloc[0]), side="left")), []
+        while i < len(start):
+            keep.append(start[i])
+            i = nxt[i]
+        return pd.DataFrame({key: pdf[key].iloc[0], "_start": np.array(keep, dtype="int64")})
+
+    doors = large.groupBy(key, "_seg").applyInPandas(entries, f"{key} {kind}, _seg bigint, _in bigint, _out bigint")
+    starts = doors.groupBy(key).applyInPandas(carry, f"{key} {kind}, _seg bigint, _from bigint")
+    marked = large.join(starts, [key, "_seg"]).groupBy(key, "_seg").applyInPandas(mark, f"{key} {kind}, _start bigint")
+    return few.unionByName(marked)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.binding import let
 from ..functions.dates import local
+from .segments import chain_starts, spaced
 from .waterfall import in_quiet_hours
 
 
@@ -59,74 +58,18 @@ def slot_runs(wakes: DataFrame, key: str, ts: str, tz: str, times: Sequence[str]
     day = F.datediff(F.to_date(local(F.col("slot"), tz)), F.lit("1970-01-01").cast("date"))
     # A key has at most a few slots per calendar day, so its slots fit in one array.
     ordered = slots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "run_at", day.alias("day")))).alias("_s"))
-    return ordered.select(key, F.inline(_spaced("_s", every_days, lambda x: x["day"]))).select(key, "slot", "run_at")
-
-
-def _spaced(items: str, wait: int, at: Callable[[Column], Column]) -> Column:
-    """Elements of a sorted array that are at least ``wait`` after the last one taken: a fold in the JVM."""
-    first = F.slice(F.col(items), 1, 1)
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(at(x) - at(F.element_at(acc, -1)) >= wait, F.concat(acc, F.array(x))).otherwise(acc)
-
-    return F.aggregate(F.slice(F.col(items), F.lit(2), F.size(items)), first, step)
-
-
-def _next_allowed(ts: np.ndarray, wait: int) -> np.ndarray:
-    return np.searchsorted(ts, ts + wait, side="left")
+    return ordered.select(key, F.inline(spaced("_s", every_days, lambda x: x["day"], lambda x: x["day"]))).select(key, "slot", "run_at")
 
 
 def throttle(events: DataFrame, key: str, ts: str, interval_minutes: int, tz: str = "UTC", quiet: str | None = None,
              segment_intervals: int = 12, small_key: int = 2000) -> DataFrame:
     """Events that may run: at least ``interval - 2`` minutes after the last one that ran, never in quiet hours.
 
-    The choice is sequential per key.  Keys with few instants are folded as one array each, inside the JVM.  Larger
-    keys are cut into segments of time: in a segment the last event of the chain that starts at any event is found
-    independently; only the possible entries (events in the first interval of a segment and the first one after it) go
-    through one walk per key; then every segment marks its own chain.
+    The choice is sequential per key; see ``chain_starts`` for how a large key is shared between tasks.
     """
     wait = (interval_minutes - V.INTERVAL_TOLERANCE_MINUTES) * 60_000_000
-    width = max(wait, 60_000_000) * segment_intervals
     allowed = events if quiet is None else events.filter(~in_quiet_hours(local(F.col(ts), tz), quiet))
-    allowed = allowed.withColumn("_us", F.unix_micros(ts)).withColumn("_seg", F.floor(F.col("_us") / width).cast("bigint"))
-    instants = allowed.select(key, "_seg", "_us").distinct()
-    kind = dict(instants.dtypes)[key]
-    sized = instants.join(instants.groupBy(key).agg(F.count("*").alias("_n")), key)
-    arrays = sized.filter(F.col("_n") <= small_key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_us", "_seg"))).alias("_a"))
-    few = arrays.select(key, F.inline(_spaced("_a", wait, lambda x: x["_us"]))).select(key, "_seg", "_us")
-    large = sized.filter(F.col("_n") > small_key).drop("_n")
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["_us"].to_numpy())
-        nxt, out = _next_allowed(us, wait), us.copy()
-        for i in range(len(us) - 1, -1, -1):
-            if nxt[i] < len(us):
-                out[i] = out[nxt[i]]
-        head = int(np.searchsorted(us, int(pdf["_seg"].iloc[0]) * width + wait, side="left")) + 1
-        us, out = us[:head], out[:head]
-        last_of_run = np.append(out[1:] != out[:-1], True)
-        return pd.DataFrame({key: pdf[key].iloc[0], "_seg": pdf["_seg"].iloc[0], "_in": us[last_of_run], "_out": out[last_of_run]})
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = -(1 << 62), []
-        for seg, part in pdf.sort_values(["_seg", "_in"]).groupby("_seg", sort=True):
-            rows.append((pdf[key].iloc[0], seg, last + wait))
-            at = int(np.searchsorted(part["_in"].to_numpy(), last + wait, side="left"))
-            if at < len(part):
-                last = int(part["_out"].iloc[at])
-        return pd.DataFrame(rows, columns=[key, "_seg", "_from"])
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["_us"].to_numpy())
-        nxt, keep = _next_allowed(us, wait), []
-        i = int(np.searchsorted(us, int(pdf["_from"].iloc[0]), side="left"))
-        while i < len(us):
-            keep.append(us[i])
-            i = nxt[i]
-        return pd.DataFrame({key: pdf[key].iloc[0], "_seg": pdf["_seg"].iloc[0], "_us": np.array(keep, dtype="int64")})
-
-    doors = large.groupBy(key, "_seg").applyInPandas(entries, f"{key} {kind}, _seg bigint, _in bigint, _out bigint")
-    starts = doors.groupBy(key).applyInPandas(carry, f"{key} {kind}, _seg bigint, _from bigint")
-    chosen = large.join(starts, [key, "_seg"]).groupBy(key, "_seg").applyInPandas(mark, f"{key} {kind}, _seg bigint, _us bigint")
-    return allowed.join(few.unionByName(chosen), [key, "_seg", "_us"], "left_semi").drop("_seg", "_us")
-
+    allowed = allowed.withColumn("_us", F.unix_micros(ts))
+    instants = allowed.select(key, F.col("_us").alias("_start"), F.col("_us").alias("_end")).distinct()
+    chosen = chain_starts(instants, key, max(wait, 1), max(wait, 60_000_000) * segment_intervals, small_key)
+    return allowed.join(chosen.withColumnRenamed("_start", "_us"), [key, "_us"], "left_semi").drop("_us")

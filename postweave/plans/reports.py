@@ -538,11 +538,8 @@ w AS (SELECT conv_id, rn, 0 AS msg, part AS cur FROM p WHERE rn = 1
  CASE WHEN w.cur = '' THEN p.part WHEN length(w.cur) + 2 + length(p.part) > 1500 THEN p.part ELSE w.cur || chr(10) || chr(10) || p.part END FROM w JOIN p ON p.conv_id = w.conv_id AND p.rn = w.rn + 1)
 SELECT conv_id, msg::BIGINT AS msg, arg_max(cur, rn) AS text FROM w GROUP BY 1, 2""")
 def i7(t: Tables) -> DataFrame:
-    """The turns of a conversation, in order, packed into messages of 1,500 characters (a conversation is one thread of
-    messages, bounded by its own length)."""
-    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
-    packed = turns.select("conv_id", F.posexplode(PK.pack_texts(F.transform("ts", lambda x: x["text"]), 1500)).alias("msg", "text"))
-    return packed.select("conv_id", F.col("msg").cast("bigint").alias("msg"), "text")
+    """The turns of a conversation, in order, packed into messages of 1,500 characters."""
+    return PK.pack_rows(t.conversations, "conv_id", "turn", "text", F.floor(F.col("turn") / 1000), 1500)
 
 
 @query("i7_pack_blocks", """

@@ -73,7 +73,7 @@ def throttle_stream(events: DataFrame, interval_minutes: int) -> DataFrame:
                 last = ts
         if last is not None:
             state.update((last.value // 1000 if last.unit == "ns" else int(last.as_unit("us").value),))
-        yield pd.DataFrame({"key": [key[0]] * len(kept), "ts": kept})
+        yield pd.DataFrame({"key": key[0], "ts": pd.Series(kept, dtype="datetime64[us]")})
 
     return events.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp", "last_us bigint", "append", GroupStateTimeout.NoTimeout)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postweave.operators import dedupe as DD
+from postweave.operators import packing as PK
 from postweave.operators import places as P
 from postweave.operators import routing as R
 from postweave.operators import slots as SL
@@ -71,6 +72,17 @@ def test_throttle_equals_the_walk(spark):
         assert got == want
 
 
+def test_packed_rows_equal_the_fold(spark):
+    rnd = random.Random(7)
+    rows = [(k, i, "x" * rnd.randrange(1, 60)) for k, n in (("a", 400), ("b", 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, t string")
+    whole = df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("p"))
+    want = {(r["k"], r["m"], r["t"]) for r in whole.select("k", F.posexplode(PK.pack_texts(F.transform("p", lambda x: x["t"]), 100)).alias("m", "t")).collect()}
+    for small in (0, 100, 5000):
+        got = {(r["k"], r["msg"], r["text"]) for r in PK.pack_rows(df, "k", "i", "t", F.floor(F.col("i") / 50), 100, small_key=small).collect()}
+        assert got == want
+
+
 def test_slots(spark):
     df = spark.createDataFrame([(datetime(2026, 9, 27, 7, 30),), (datetime(2026, 10, 25, 7, 59),), (datetime(2026, 10, 25, 8, 0),)], "ts timestamp")
     got = [r["s"] for r in df.select("ts", SL.latest_slot(F.col("ts"), "Europe/Berlin", ["09:00"]).alias("s")).orderBy("ts").collect()]
