@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.jsons import as_list, dig
 from ..functions.text import html_to_text
 from .json_map import Mapping, each, first_of, join_parts
@@ -58,24 +59,21 @@ def _midnight(raw: Column, precision: Column) -> Column:
     return F.when((precision == "datetime") & (raw.try_cast("bigint") % 86400 == 0), F.lit("date")).otherwise(precision)
 
 
-def _questions(v: Column) -> Column:
-    rows = F.transform(as_list(dig(v, "Questions", "variant")), lambda q: F.struct(
-        F.lower(F.coalesce(dig(q, "QuestionName"), F.lit(""))).alias("k"), dig(q, "Value").alias("v")))
-    # The last question of a name counts, as in any key/value reading.
-    return F.map_from_entries(F.filter(F.transform(rows, lambda r: F.struct(
-        r["k"], r["v"])), lambda r: r["k"] != ""))
+def _ask(v: Column, name: str) -> Column:
+    """Answer to a question by its lower-case name; the last question of a name counts."""
+    named = F.filter(as_list(dig(v, "Questions", "variant")), lambda q: F.lower(dig(q, "QuestionName")) == name)
+    return dig(F.try_element_at(named, F.lit(-1)), "Value")
 
 
 def _brassring_places(fields: list[str]):
     def places(v: Column) -> Column:
-        q = _questions(v)
-        found = F.array_distinct(_some(F.array(*[F.trim(F.try_element_at(q, F.lit(f))) for f in fields])))
+        found = F.array_distinct(_some(F.array(*[F.trim(_ask(v, f)) for f in fields])))
         return F.when(F.size(found) > 0, F.array(F.array_join(found, ", "))).otherwise(F.array().cast(NONE))
     return places
 
 
 def _answer(name: str):
-    return lambda v: F.try_element_at(_questions(v), F.lit(name))
+    return lambda v: _ask(v, name)
 
 
 def _adzuna_place(v: Column) -> Column:
@@ -130,7 +128,7 @@ INFOJOBS = Mapping(
     company=lambda v: first_of(v, "author.name"), locations=lambda v: F.array(F.concat_ws(", ", first_of(v, "city"), first_of(v, "province.value"), F.lit("España"))),
     description=lambda v: F.concat_ws(" · ", first_of(v, "requirementMin"), first_of(v, "experienceMin.value")))
 ADZUNA = Mapping(
-    "results", id="id", url="redirect_url", keep=_all_present("id", "title", "redirect_url"), title=lambda v: html_to_text(dig(v, "title")),
+    "results", id="id", url="redirect_url", keep=_all_present("id", "title", "redirect_url"), title=lambda v: let(dig(v, "title"), html_to_text),
     posted_at="created", company=lambda v: first_of(v, "company.display_name"), locations=_adzuna_place, description="description")
 
 
@@ -151,7 +149,7 @@ def oracle_hcm(host: str, site: str, lang: str = "en") -> Mapping:
 
 
 def brassring(location_fields: list[str]) -> Mapping:
-    return Mapping("Jobs.Job", id=_answer("reqid"), title=lambda v: html_to_text(_answer("jobtitle")(v)), url="Link", posted_at=_answer("lastupdated"),
+    return Mapping("Jobs.Job", id=_answer("reqid"), title=lambda v: let(_answer("jobtitle")(v), html_to_text), url="Link", posted_at=_answer("lastupdated"),
                    precision=lambda raw, p: F.when(p == "unknown", p).otherwise(F.lit("date")), locations=_brassring_places(location_fields),
                    description=_answer("jobdescription"))
 
