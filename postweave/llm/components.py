@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import hold
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hangs larger neighbours on a node's smallest neighbour; the minima are combined before the shuffle, and the joins back
     are on equal keys, so Spark may split the rows of a node with very many neighbours.  Rounds grow with the logarithm of the longest chain.
     """
-    edges = cut(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    edges = hold(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +27,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = hold(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         last, mark = mark, _mark(edges)
         if mark == last:
             break

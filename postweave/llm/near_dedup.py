@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import by_blocks, cut, hold, spread_out, table, texts_of
+from .shared import by_blocks, hold, spread_out, table, texts_of
 from .textgrid import blank_words, code_points, mix64, run_hashes
 
 COORDINATES = 64
-STAR_ROUNDS = 4
+LENGTH_STEP = 1.06  # ratio of neighbouring length classes
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,21 +99,57 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(by_blocks(make), "rep long, shingles array<long>")
 
 
-def _postings(classes: DataFrame, coordinates: int, threshold: int) -> DataFrame:
-    """(token, rep): the prefix postings.  A token is a coordinate with its value.
+def _survivors(classes: DataFrame, threshold: int) -> DataFrame:
+    """(rep): classes that may have a partner.
 
-    All tokens have one global order: by the number of classes that have them, then by value.  Two signatures with ``threshold``
-    common tokens share one among the first ``coordinates - threshold + 1`` of each (the prefix).  Tokens of one class only come
-    first, link nothing and are not posted; so a class posts its m shared tokens but the last ``threshold - 1``, and very common
-    tokens (of a passage that many documents quote) are skipped unless most of the document is common.
+    Every class is posted under its coordinate-value pairs.  Two signatures with ``threshold`` collisions share that many posting
+    lists, so a class needs ``threshold`` coordinates whose list has another member; all others are skipped for good.  Lists are counted, not
+    gathered; the rows of a very long one may be split in the join, which has one row per list on its other side.
     """
     tokens = classes.select("rep", F.posexplode("signature").alias("i", "value")).select(
         F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"), "rep")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("token")
+    met = tokens.join(shared, "token").groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
+    return met.where(F.col("m") >= threshold).select("rep")
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, at): prefix postings of the survivors' full sets.
+
+    Shingles have one global order: by the number of survivors that hold them, then by value.  Partners of sizes n and k hold at least
+    percent * (n + k) / (100 + percent) common shingles, so they share one among the first ``n - that + 1`` of each.  A key is a shingle with the
+    longer set's length class and the distance of the classes, which makes these prefixes as short as the two lengths allow: in a family of edited
+    copies, a copy too far from the original posts only what its own edits made.  ``at`` is the place in the order, counted with
+    the shingles of one set only, which come first and are not posted.
+    """
+    each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     own = Window.partitionBy("rep")
-    ranked = tokens.join(often, "token").withColumn("m", F.count(F.lit(1)).over(own)).where(F.col("m") >= threshold)
-    ranked = ranked.withColumn("r", F.row_number().over(own.orderBy("n", "token")))
-    return ranked.where(F.col("r") <= F.col("m") - threshold + 1).select("token", "rep")
+    ranked = each.join(often, "shingle").withColumn("m", F.count(F.lit(1)).over(own))
+    ranked = ranked.withColumn("at", F.col("n") - F.col("m") + F.row_number().over(own.orderBy("df", "shingle")) - 1)
+    step = float(np.log(LENGTH_STEP))
+    ranked = ranked.where(F.col("at") <= F.col("n") * (100 - percent) / 100 + 1).withColumn(
+        "c", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
+
+    def low(c: Column) -> Column:
+        return F.exp(c * step) - 1e-6
+
+    def prefix(partner: Column) -> Column:
+        return F.col("n") - F.ceil(percent * (F.col("n") + partner) / (100 + percent) - 1e-6) + 1
+    cases = []
+    for d in range(int(np.ceil(np.log(100 / percent) / step)) + 1):
+        longer = prefix(F.greatest(F.col("n").cast("double"), low(F.col("c") + d))) if d else prefix(low(F.col("c")))
+        cases.append(F.when(F.col("at") < longer, F.xxhash64("shingle", F.col("c") + d, F.lit(d))))
+        if d:
+            shorter = prefix(F.greatest(F.col("n") * percent / 100.0, low(F.col("c") - d)))
+            cases.append(F.when(F.col("at") < shorter, F.xxhash64("shingle", F.col("c"), F.lit(d))))
+    return ranked.select(F.explode(F.array_compact(F.array(*cases))).alias("key"), "rep", "n", "at", (F.col("m") / F.col("n")).alias("common"))
+
+
+def _within_reach(percent: int, a: str = "x", b: str = "y") -> Column:
+    """At the first shingle two sets have in common, what is left of each must make up the overlap they need."""
+    need = percent * (F.col(f"n_{a}") + F.col(f"n_{b}")) / (100 + percent) - 1e-6
+    return F.least(F.col(f"n_{a}") - F.col(f"at_{a}"), F.col(f"n_{b}") - F.col(f"at_{b}")) >= need
 
 
 def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, threshold: int) -> DataFrame:
@@ -124,7 +160,7 @@ def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: in
     hit = pairs.join(side(sketch, "a", "signature"), "a").join(side(sketch, "b", "signature"), "b")
     hit = hit.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     equal = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    hit = cut(hit.where(equal >= threshold).select("a", "b", "n_a", "n_b"))
+    hit = hold(hit.where(equal >= threshold).select("a", "b", "n_a", "n_b"), "pairs")
     both = hit.join(side(sets, "b", "shingles"), "b").join(side(sets, "a", "shingles"), "a")
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     both = both.select("a", "b", "n_a", "n_b", common.alias("common"))
@@ -132,34 +168,39 @@ def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: in
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    return postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "token", "rep", F.coalesce("label", "rep").alias("label"))
+    return postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
 
+def _side(posted: DataFrame, name: str) -> DataFrame:
+    return posted.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "at", "label")])
 
-def _star_pairs(posted: DataFrame, salt: int) -> DataFrame:
-    """In each list with several labels, every member against one leader; leaders change with the salt."""
-    chosen = F.min(F.struct(F.xxhash64("rep", F.lit(salt)).alias("h"), "rep", "label")).alias("leader")
-    lists = posted.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), chosen).where("low < high")
-    lists = lists.select("token", F.col("leader.rep").alias("other"), F.col("leader.label").alias("other_label"))
-    pairs = posted.join(lists, "token").where("label <> other_label")
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def _open_lists(posted: DataFrame) -> DataFrame:
-    """(token, main, open): lists with several labels, their most frequent label, and how many pairs of labels differ."""
-    each = posted.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    lists = each.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"),
-                                      F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return lists.select("token", F.col("top.label").alias("main"), ((F.col("total") * F.col("total") - F.col("same")) / 2).alias("open"))
+    """(key, main, leader, open): lists with several labels, their most frequent label, the member that has most in common with others, and
+    how many pairs of different labels they hold."""
+    each = posted.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("common", "rep", "n", "at", "label")).alias("leader"))
+    lists = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.max("leader").alias("leader"), F.sum("k").alias("total"),
+                                    F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return lists.select("key", F.col("top.label").alias("main"), "leader", ((F.col("total") * F.col("total") - F.col("same")) / 2).alias("open"))
+
+
+def _star_pairs(posted: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Every member of a list against its leader."""
+    leaders = lists.select("key", *[F.col(f"leader.{c}").alias(f"{c}_y") for c in ("rep", "n", "at", "label")])
+    return _pairs(_side(posted, "x").join(leaders, "key").where((F.col("label_x") != F.col("label_y")) & _within_reach(percent)))
 
 
-def _rest_pairs(posted: DataFrame, lists: DataFrame) -> DataFrame:
+def _rest_pairs(posted: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """In each list all pairs with different labels: members outside the list's main label against every member."""
-    own = posted.join(lists, "token")
-    few = own.where("label <> main").select("token", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    every = own.select("token", F.col("rep").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("is_main"))
-    pairs = few.join(every, "token").where("lx <> ly and (is_main or x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    own = posted.join(lists.select("key", "main"), "key")
+    few = _side(own.where("label <> main"), "x")
+    every = own.select("key", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "at", "label")], (F.col("label") == F.col("main")).alias("is_main"))
+    apart = (F.col("label_x") != F.col("label_y")) & (F.col("is_main") | (F.col("rep_x") < F.col("rep_y")))
+    return _pairs(few.join(every, "key").where(apart & _within_reach(percent)))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES,
@@ -168,14 +209,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
 
     Texts are lower-cased (A-Z), cut into words at blanks, and become sets of word shingles (a shorter text: one shingle; no word:
     empty, linked with nothing).  Rows with equal sets are one class, named by its smallest id.  Classes are posted under the
-    coordinate-value pairs of their MinHash signatures (prefix only, see ``_postings``); candidates need ``match_threshold``
-    collisions, and a link needs the similarity on the full sets.  At 64 coordinates a pair of exactly 0.8 falls short of the threshold
-    with a chance of about three in a million, more similar pairs with less.
-
-    A list of many similar texts is not paired out: some rounds compare its members with one leader, linked classes take one label,
-    and lastly all pairs whose labels still differ are compared.  So no link between components is lost, and a group of copies costs
-    a multiple of its size.  Null text counts as empty; rows with a null id get the class of their text, and are never kept; equal
-    ids stay separate rows, which share the id's fate; extra columns are ignored.
+    coordinate-value pairs of their MinHash signatures; those whose lists can't give ``match_threshold`` collisions are skipped (see
+    ``_survivors``), candidates come from the survivors' prefix postings, need that many collisions, and a link needs the similarity on the full sets.
+    At 64 coordinates a pair of exactly 0.8 falls short of the threshold with a chance of about three in a million, more similar pairs with less.
+
+    A list of many similar texts is not paired out: its members are first compared with the one that has most in common with others, linked classes take one
+    label, and lastly all pairs whose labels still differ are compared.  So no link between components is lost, and a family of copies around
+    an original costs a multiple of its size.  Null text counts as empty; rows with a null id get the class of their text, and are
+    never kept; equal ids stay separate rows, which share the id's fate; extra columns are ignored.
     """
     percent, threshold = round(100 * similarity), match_threshold(similarity, coordinates)
     docs = texts_of(documents, text, key)
@@ -183,32 +224,26 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     filled = sketch.where("n_shingles > 0")
     classes = filled.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = hold(classes.where("rep is not null"), "classes")
-    postings = hold(_postings(classes, coordinates, threshold), "postings")
-    size = postings.count()
-    labels = postings.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-    if size:
-        compared = postings.select(F.col("rep").alias("doc_id")).distinct()
-        # A repeated id could bring several texts: the one with the class's own set is found by its size and keys.
-        sets = hold(full_sets(docs.join(compared, "doc_id", "left_semi"), words), "sets")
-        sets = sets.join(classes.select("rep", "n_shingles"), "rep").where(F.size("shingles") == F.col("n_shingles")).select("rep", "shingles") \
-            if _repeated(sets) else sets
-        links = None
-        for salt in range(STAR_ROUNDS + 1):
-            posted = cut(_labelled(postings, labels))
-            lists = cut(_open_lists(posted))
-            still_open = lists.agg(F.sum("open")).first()[0] or 0
-            if not still_open:
-                break
-            last = salt == STAR_ROUNDS or still_open <= 4 * size
-            pairs = _rest_pairs(posted, lists) if last else _star_pairs(posted, salt)
-            found = _confirmed(pairs, classes, sets, percent, threshold)
-            links = found if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
+    survivors = hold(_survivors(classes, threshold), "survivors")
+    labels = None
+    if survivors.limit(1).count():
+        sets = hold(full_sets(docs.join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "sets")
+        if _repeated(sets):  # a repeated id with several texts: the class's own set is the one of its size and keys
+            sets = sets.join(classes.select("rep", "n_shingles"), "rep").where(F.size("shingles") == F.col("n_shingles")).groupBy("rep").agg(
+                F.min("shingles").alias("shingles"))
+        near = classes.join(survivors, "rep", "left_semi").select("rep", "n_shingles", "signature")
+        postings = hold(_postings(sets, percent), "postings")
+        for last in (False, True):
+            posted = postings.withColumn("label", F.col("rep")) if labels is None else _labelled(postings, labels)
+            lists = hold(_open_lists(posted), "lists")
+            pairs = _rest_pairs(posted, lists, percent) if last else _star_pairs(posted, lists, percent)
+            found = _confirmed(pairs, near, sets, percent, threshold)
+            links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
             labels = components(links)
-            if last:
-                break
-    by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    joined = filled.drop("signature").join(by_class, ["key_a", "key_b", "n_shingles"], "left")
+    by_class = classes.select("key_a", "key_b", "n_shingles", "rep")
+    by_class = by_class.withColumn("component_id", F.col("rep")) if labels is None else by_class.join(
+        labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
+    joined = filled.drop("signature").join(by_class.select("key_a", "key_b", "n_shingles", "component_id"), ["key_a", "key_b", "n_shingles"], "left")
     alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = joined.select("doc_id", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -47,12 +47,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint for small tables of a loop; Spark's cleaner removes it when it is no longer used."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def blocks(sizes: list[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows whose sizes add up to at most ``limit`` (or a single larger row)."""
     start = total = 0
