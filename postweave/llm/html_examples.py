@@ -84,11 +84,18 @@ class _Maker:
         at = min(i for i in (made.find(" "), made.find(">")) if i > 0)
         return made[:at] + ' data-y="0"' + made[at:]
 
+    def odd(self) -> str:
+        """Text that is no good prose: still part of the article."""
+        words = self.words(3, 60).split()
+        return self.r.choice([" | ".join(words), " ".join(w + self.r.choice(["***", "$$$", "%%%", "###", "!!", ""]) for w in words), " ".join(words), " ".join(words).upper(), " ".join([words[0]] * len(words))])
+
     def article(self) -> str:
         style, parts = self.r.random(), [f"<h1>{self.words(2, 9)}</h1>"] if self.r.random() < 0.75 else []
-        for _ in range(self.r.randint(1, 12)):
+        for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 8, 12, 20])):
             k = self.r.random()
-            if k < 0.68:
+            if k < 0.06:
+                parts.append(f"<p>{self.odd()}</p>")
+            elif k < 0.68:
                 parts.append(f"<p>{self.sentences(self.r.choice([1, 1, 2, 3, 5, 7]))}</p>" if style < 0.8 else f"<div>{self.sentences(self.r.choice([1, 2, 4]))}</div>")
             elif k < 0.74:
                 parts.append(f"<p>{self.words(1, 3).capitalize()}.</p>")

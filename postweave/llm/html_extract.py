@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from functools import cache
 
@@ -34,6 +33,9 @@ TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul",
 _TOKEN = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 _GROUP_OF = {w: g for g, words in reversed(list(enumerate(GROUPS))) for w in words.split()}
 _TAG_GROUP = {"nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 9, "button": 9, "label": 9, "dialog": 6}
+_TAG_MASK = {tag: 1 << g for tag, g in _TAG_GROUP.items()}
+_TAG_PLACE = {tag: i for i, tag in enumerate(TAGS)}
+_NAMES = ("class", "id", "role", "itemprop", "aria-label")
 _SPLIT_TOKENS = re.compile(r"[^A-Za-z]+")
 
 
@@ -51,112 +53,93 @@ def _groups_of(value: str) -> int:
 
 
 class Page:
-    """The tree of a page with sums over subtrees: characters, characters in links, commas and stops, elements, words."""
+    """The tree of a page with sums over subtrees: characters, characters in links, stops, elements, words, paragraphs."""
 
     def __init__(self, source: str):
         self.nodes, self.texts = parse(source)
-        n = len(self.nodes)
-        sums = np.zeros((n, 6))
-        in_link = [False] * n
-        hidden = [False] * n
-        for i, node in enumerate(self.nodes):
-            parent = node.parent
-            in_link[i] = node.tag == "a" or (parent >= 0 and in_link[parent])
-            style = node.attributes.get("style", "").replace(" ", "").lower() if node.attributes else ""
-            hidden[i] = (parent >= 0 and hidden[parent]) or "display:none" in style or "hidden" in node.attributes
-        self.hidden = hidden
-        own = [0] * n
+        nodes, n = self.nodes, len(self.nodes)
+        in_link, self.hidden = [False] * n, [False] * n
+        for i, node in enumerate(nodes):
+            parent, attributes = node.parent, node.attributes
+            above = parent >= 0
+            in_link[i] = node.tag == "a" or (above and in_link[parent])
+            self.hidden[i] = (above and self.hidden[parent]) or (bool(attributes) and (
+                "hidden" in attributes or ("style" in attributes and "display:none" in attributes["style"].replace(" ", "").lower())))
+        chars, linked, stops, words = [0] * n, [0] * n, [0] * n, [0] * n
         for at, text in self.texts:
             size = len(text.strip())
             if size:
-                sums[at, 0] += size
-                sums[at, 1] += size * in_link[at]
-                sums[at, 2] += text.count(",") + text.count(".") + text.count("?") + text.count("!")
-                sums[at, 4] += text.count(" ") + 1
-                own[at] += size
-        sums[:, 3] = 1
-        sums[:, 5] = [node.tag == "p" for node in self.nodes]
+                chars[at] += size
+                if in_link[at]:
+                    linked[at] += size
+                stops[at] += text.count(",") + text.count(".") + text.count("?") + text.count("!")
+                words[at] += text.count(" ") + 1
+        self.own = chars[:]
+        elements, paragraphs = [1] * n, [int(node.tag == "p") for node in nodes]
         for i in range(n - 1, 0, -1):
-            sums[self.nodes[i].parent] += sums[i]
-        self.sums, self.own = sums, own
+            p = nodes[i].parent
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+            stops[p] += stops[i]
+            elements[p] += elements[i]
+            words[p] += words[i]
+            paragraphs[p] += paragraphs[i]
+        self.sums = np.array([chars, linked, stops, elements, words, paragraphs], float).T
 
     def features(self) -> np.ndarray:
-        nodes, sums = self.nodes, self.sums
-        n = len(nodes)
-        out = np.zeros((n, 19 + 2 * len(GROUPS) + len(TAGS)))
-        total = max(sums[0, 0], 1.0)
-        depth, masks, above = [0] * n, [0] * n, [0] * n
-        place: dict[str, int] = {t: i for i, t in enumerate(TAGS)}
+        nodes, n = self.nodes, len(self.nodes)
+        depth, masks, above, tags, place, siblings, children = [0] * n, [0] * n, [0] * n, [-1] * n, [0] * n, [1] * n, [0] * n
         for i, node in enumerate(nodes):
-            parent = node.parent
-            mask = 0
+            mask = _TAG_MASK.get(node.tag, 0)
             if node.attributes:
-                for name in ("class", "id", "role", "itemprop", "aria-label"):
+                for name in _NAMES:
                     value = node.attributes.get(name)
                     if value:
                         mask |= _groups_of(value)
-            g = _TAG_GROUP.get(node.tag)
-            if g is not None:
-                mask |= 1 << g
             masks[i] = mask
+            parent = node.parent
             if parent >= 0:
                 depth[i] = depth[parent] + 1
                 above[i] = above[parent] | masks[parent]
-            chars, linked, stops, elements, words, paragraphs = sums[i]
-            up = sums[parent] if parent >= 0 else sums[i]
-            siblings = len(nodes[parent].children) if parent >= 0 else 1
-            row = out[i]
-            row[0] = math.log1p(chars)
-            row[1] = linked / chars if chars else 0.0
-            row[2] = math.log1p(chars / elements)
-            row[3] = chars / total
-            row[4] = chars / up[0] if up[0] else 0.0
-            row[5] = stops / words if words else 0.0
-            row[6] = math.log1p(elements)
-            row[7] = math.log1p(paragraphs)
-            row[8] = depth[i]
-            row[9] = siblings
-            row[10] = nodes[parent].children.index(i) / siblings if parent >= 0 and siblings < 200 else 0.5
-            row[11] = self.own[i] / chars if chars else 0.0
-            row[12] = up[1] / up[0] if up[0] else 0.0
-            row[13] = math.log1p(up[0])
-            row[14] = math.log1p(up[5])
-            row[15] = i / n
-            row[16] = len(node.children)
-            row[17] = math.log1p(words)
-            row[18] = math.log1p(up[0] / up[3])
-            t = place.get(node.tag)
-            if t is not None:
-                row[19 + 2 * len(GROUPS) + t] = 1
-        for i in range(n):
-            for g in range(len(GROUPS)):
-                out[i, 19 + g] = masks[i] >> g & 1
-                out[i, 19 + len(GROUPS) + g] = above[i] >> g & 1
-        return out
-
-
-def decode(nodes: list[Node], score: np.ndarray, weight: np.ndarray, switch: float = 2.0) -> list[bool]:
+                place[i], siblings[i] = node.order, len(nodes[parent].children)
+            tags[i] = _TAG_PLACE.get(node.tag, -1)
+            children[i] = len(node.children)
+        parents = np.array([max(node.parent, 0) for node in nodes])
+        chars, linked, stops, elements, words, paragraphs = self.sums.T
+        up = self.sums[parents]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            columns = [np.log1p(chars), linked / chars, np.log1p(chars / elements), chars / max(chars[0], 1), chars / up[:, 0], stops / words, np.log1p(elements), np.log1p(paragraphs),
+                       np.array(depth), np.array(siblings), np.array(place) / np.array(siblings), np.array(self.own) / chars, up[:, 1] / up[:, 0], np.log1p(up[:, 0]), np.log1p(up[:, 5]),
+                       np.arange(n) / n, np.array(children), np.log1p(words), np.log1p(up[:, 0] / up[:, 3])]
+        bits = np.arange(len(GROUPS))
+        groups = (np.array(masks)[:, None] >> bits) & 1
+        groups_above = (np.array(above)[:, None] >> bits) & 1
+        kinds = np.array(tags)[:, None] == np.arange(len(TAGS))
+        return np.concatenate([np.nan_to_num(np.stack(columns, axis=1), posinf=0.0, neginf=0.0), groups, groups_above, kinds], axis=1)
+
+
+def decode(nodes: list[Node], score: np.ndarray, weight: np.ndarray, enter: float = 0.5, leave: float = 6.0) -> list[bool]:
     """For each node whether it is article, so that the sum of weighted scores is best among the consistent choices.
 
     From the page down a node is outside, article, or cut out of an article; outside may turn to article, article to cut, never back. So no
-    part of a cut subtree is article, and no article lies inside another one's rejected part.  A turn costs ``switch``."""
+    part of a cut subtree is article, and no article lies inside another one's rejected part.  Turns cost ``enter`` and ``leave``."""
     n = len(nodes)
     gain = score * weight
     outside, inside, cut = np.zeros(n), gain.copy(), -gain
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
         outside[i] -= gain[i]
-        outside[p] += max(outside[i], inside[i] - switch)
-        inside[p] += max(inside[i], cut[i] - switch)
+        outside[p] += max(outside[i], inside[i] - enter)
+        inside[p] += max(inside[i], cut[i] - leave)
         cut[p] += cut[i]
     state = [0] * n
-    state[0] = 0 if outside[0] - gain[0] >= inside[0] - switch else 1
+    state[0] = 0 if outside[0] - gain[0] >= inside[0] - enter else 1
     for i in range(1, n):
         before = state[nodes[i].parent]
         if before == 0:
-            state[i] = 0 if outside[i] >= inside[i] - switch else 1
+            state[i] = 0 if outside[i] >= inside[i] - enter else 1
         elif before == 1:
-            state[i] = 1 if inside[i] >= cut[i] - switch else 2
+            state[i] = 1 if inside[i] >= cut[i] - leave else 2
         else:
             state[i] = 2
     return [s == 1 for s in state]
@@ -186,7 +169,7 @@ def blocks_of(page: Page, chosen: list[bool]) -> list[str]:
 
 
 @cache
-def train(number: int = 500, seed: int = 11) -> Boosted:
+def train(number: int = 600, seed: int = 11) -> Boosted:
     """Boosted trees on the nodes of labelled pages (a small table made by rule, see html_examples)."""
     xs, ys = [], []
     for marked in labelled_pages(number, seed):

@@ -21,10 +21,10 @@ _BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "text", "links", "first", "last", "order")
+    __slots__ = ("tag", "parent", "order", "children", "attributes")
 
-    def __init__(self, tag: str, parent: int, attributes: dict[str, str]):
-        self.tag, self.parent, self.attributes = tag, parent, attributes
+    def __init__(self, tag: str, parent: int, attributes: dict[str, str], order: int = 0):
+        self.tag, self.parent, self.attributes, self.order = tag, parent, attributes, order
         self.children: list[int] = []
 
 
@@ -98,7 +98,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[4]:
             for a in _ATTRIBUTE.finditer(m[4]):
                 attributes[a[1].lower()] = a[2] or a[3] or a[4] or ""
-        nodes.append(Node(tag, stack[-1], attributes))
+        nodes.append(Node(tag, stack[-1], attributes, len(nodes[stack[-1]].children)))
         nodes[stack[-1]].children.append(node)
         if tag not in VOID and not (m[4] and m[4].endswith("/") and tag not in BLOCK):
             stack.append(node)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import blocks, by_blocks, spread_out, table, texts_of
@@ -80,12 +82,26 @@ my name is hard to spell. The number is 42. Phone numbers are long. email is fas
 Names: none. number 5 of 12 | row | cell | 88 | 91. *** $$$ %%% 77 &&&. Kontakt war schwierig. Contact: none. Ich heiße alle willkommen. Signed copies sell well.""".splitlines()
 
 
+_SYLLABLES = "ba co du fen gri hol im jat kel lo mun nor op que ril sta tun ul ver wix yo zet on er an th in re ed".split()
+
+
 def labelled_table() -> list[str]:
     """Sentences with marked spans, from short lists."""
     rows = [t.format(p=p) for i, t in enumerate(_PLACED) for p in _PEOPLE[i % 2::2]]
     rows += [t.format(n=n) for i, t in enumerate(_CALLED) for n in _NUMBERS[i % 2::2] + _NUMBERS[:1]]
     rows += [t.format(b=b) for t in _WRITTEN for b in _BOXES]
     rows += [s.strip() for line in _PLAIN for s in re.split(r"(?<=[.!?])\s", line) if s.strip()]
+    rng = random.Random(5)
+    for _ in range(150):  # sentences of invented words, so that an unknown word means little
+        words = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(2, 20))]
+        odd = rng.choice([0.2, 0.4, 1.0])
+        for i in range(len(words)):
+            words[i] = words[i].capitalize() if i == 0 or rng.random() < 0.08 else words[i]
+            words[i] += rng.choice(["", "", "", "", ",", ".", "|", "***", "%%%", "$$$", "&&&", "###", "!!", " |", ";", " -", ")"]) if rng.random() < odd else ""
+            words[i] = str(rng.randrange(10 ** rng.randint(1, 17))) if rng.random() < 0.03 else words[i]
+        if rng.random() < 0.2:  # the same word again and again
+            words = [words[0].rstrip(",")] * rng.randint(2, 12) + words[1:4]
+        rows.append(" ".join(words) + ".")
     return rows
 
 
@@ -122,7 +138,7 @@ def features(word: str, known: frozenset[str]) -> list[str]:
 def tokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of letters, runs of digits, single other signs: joined text, code points, bounds, starts, ends, text and sentence of each.
 
-    A sentence ends after . ! or ? before white space, and at a line end."""
+    A sentence ends at a line end, and after . ! or ? before white space unless a word of up to four letters stands before."""
     joined, points, bounds = code_points(texts)
     kind = classes()[points]
     begins = first_marks(len(points), bounds) | (kind == OTHER)
@@ -135,6 +151,8 @@ def tokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, n
     lines = np.cumsum(points == 10)[starts] if len(starts) else starts
     after = np.minimum(ends, max(len(points) - 1, 0))
     stop = np.isin(points[starts], [33, 46, 63]) & (kind[after] == SPACE) if len(starts) else starts.astype(bool)
+    if len(starts):
+        stop[1:] &= ends[:-1] - starts[:-1] > 4  # Mr. Mrs. Prof. Tel. and other short words end no sentence
     new = np.ones(len(starts), bool)
     if len(starts) > 1:
         new[1:] = (owner[1:] != owner[:-1]) | (lines[1:] != lines[:-1]) | stop[:-1]
@@ -185,7 +203,8 @@ def train(rounds: int = 150, rate: float = 0.15, shrink: float = 0.002) -> Field
             labels[inside] = LABELS.index("I-" + kind)
             labels[inside[0]] -= 1
         sentences.append(([text[a:b] for a, b in zip(starts, ends, strict=True)], labels))
-    known = frozenset(w.lower() for words, labels in sentences for w, y in zip(words, labels, strict=True) if not y)
+    seen = Counter(w.lower() for words, labels in sentences for w, y in zip(words, labels, strict=True) if not y)
+    known = frozenset(w for w, n in seen.items() if n > 1)  # words met once stand for all unknown ones
     names: dict[str, int] = {}
     n, longest, k = len(sentences), max(len(w) for w, _ in sentences), len(LABELS)
     parts = []  # (sentence, place, feature row)
@@ -208,9 +227,7 @@ def train(rounds: int = 150, rate: float = 0.15, shrink: float = 0.002) -> Field
     gold_e = one[gold] * mask[..., None]
     gold_moves = np.einsum("sij,sik->jk", one[gold[:, :-1]] * mask[:, 1:, None], one[gold[:, 1:]] * mask[:, 1:, None])
     for step in range(1, rounds + 1):
-        e = np.zeros((n * longest, k))
-        np.add.at(e, at, weights[rows_])
-        e = e.reshape(n, longest, k)
+        e = np.stack([np.bincount(at, weights[rows_, j], n * longest) for j in range(k)], axis=1).reshape(n, longest, k)
         m, f = moves + closed, first + closed_first
         alpha = np.zeros((n, longest, k))
         alpha[:, 0] = f + e[:, 0]
@@ -234,13 +251,12 @@ def train(rounds: int = 150, rate: float = 0.15, shrink: float = 0.002) -> Field
         posterior = np.exp(alpha + beta - log_z[:, None, None]) * mask[..., None]
         posterior /= np.maximum(posterior.sum(axis=2, keepdims=True), 1e-12)
         diff = (gold_e - posterior * mask[..., None]).reshape(-1, k)
-        grad_w = np.zeros_like(weights)
-        np.add.at(grad_w, rows_, diff[at])
+        grad_w = np.stack([np.bincount(rows_, diff[at, j], len(weights)) for j in range(k)], axis=1)
         grads = [grad_w / n - shrink * weights, (gold_moves - expect) / n - shrink * moves, (gold_e[:, 0] - posterior[:, 0]).sum(axis=0) / n - shrink * first]
         for j, (x, g) in enumerate(zip((weights, moves, first), grads, strict=True)):
             state[2 * j] = 0.9 * state[2 * j] + 0.1 * g
             state[2 * j + 1] = 0.99 * state[2 * j + 1] + 0.01 * g * g
-            x += rate * (state[2 * j] / (1 - 0.9 ** step)) / (np.sqrt(state[2 * j + 1] / (1 - 0.99 ** step)) + 1e-8)
+            x += rate * (1.05 - step / rounds) * (state[2 * j] / (1 - 0.9 ** step)) / (np.sqrt(state[2 * j + 1] / (1 - 0.99 ** step)) + 1e-8)
     table_ = weights.reshape(len(names), len(REACH), k).astype(np.float32)
     return Field(known, {f: table_[i] for f, i in names.items()}, moves + closed, first + closed_first)
 
@@ -343,12 +359,26 @@ class Tagger:
         return out
 
 
+_WRITTEN_AT = re.compile(r"(?i)[(\[]\s*(?:at|@)\s*[)\]].*(?:\.|dot)|\sat\s.*\sdot\s", re.S)
+
+
+def plausible(kind: str, text: str) -> bool:
+    """What a found span must look like, as the fixed patterns have their checks: a written-out address has its at and a point, a telephone
+    number 7 to 15 digits, a name two to five capitalised words."""
+    if kind == "email":
+        return len(text) <= 100 and bool(_WRITTEN_AT.search(text))
+    if kind == "phone":
+        return 7 <= sum(c.isdecimal() for c in text) <= 15
+    words = text.split()
+    return 2 <= len(words) <= 5 and all(w[0].isupper() for w in words) and len({*words}) == len(words)
+
+
 def all_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int, bool]]]:
-    """Base spans and the model's; of the latter, those that touch no base span."""
+    """Base spans and the model's; of the latter, those that are plausible and touch no base span."""
     out = []
     for text, added in zip(texts, tagger.spans(texts), strict=True):
         base = base_spans(text)
-        more = [s for s in added if all(s[2] <= b[1] or s[1] >= b[2] for b in base)] if base else added
+        more = [s for s in added if plausible(s[0], text[s[1]:s[2]]) and all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
         spans = [(*s, True) for s in base] + [(*s, False) for s in more]
         out.append(sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
     return out
@@ -401,12 +431,15 @@ def masked(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.withColumn(text, mask(F.col(text)))
 
 
-def _joined(spans):
+def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -13,8 +13,10 @@ from .fingerprints import ANCHORS
 from .shared import blocks, spread_out, table
 from .textgrid import LETTER, NUMBER, OTHER, blank_words, classes, code_points, mix64, run_hashes
 
-LABELLERS = ["symbols", "capitals", "repeats", "wordless", "sentences", "shouts", "common_words"]
+LABELLERS = ["symbols", "capitals", "repeats", "wordless", "sentences", "shouts", "common_words", "variety"]
 BUCKETS = 1024
+FEW_WORDS = 5
+MOST_FALSE_ALARMS, LEAST_FINDS = 0.015, 0.1  # see estimate
 SAMPLE = 4000  # documents on which the linear scorer is fitted, by hash of the text: a bound on what reaches the driver
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,14 +80,21 @@ class Grid:
                 (np.abs(np.log((words + 1) / (self.per_text(ends) + 1) / 9)), 1.2, 2.2),
                 (self.per_text(self.last == 33) / words, 0.05, 0.3),
                 (-self.per_text(lowered) / words, -0.08, -0.03),
+                (-self.distinct() / np.sqrt(words), -4.0, -2.5),
             ]
             for j, (share, good, bad) in enumerate(shares):
                 out[:, j] = np.where(share <= good, 1, np.where(share >= bad, 0, 2))
-            out[self.words < 5, 4] = 2
-            out[self.words < 5, 6] = 2
+            out[self.words < FEW_WORDS] = 2  # too little to tell
+            for j in (4, 6, 7):
+                out[self.words < 4 * FEW_WORDS, j] = 2
         out[empty] = 0
         return out
 
+    def distinct(self) -> np.ndarray:
+        """Number of different words of each text."""
+        keys, first = np.unique(mix64(self.hashes ^ mix64(self.owner.astype(np.uint64) + _ODD)), return_index=True)
+        return np.bincount(self.owner[first], minlength=self.n)
+
     def lower_hashes(self) -> np.ndarray:
         low = self.points.copy()
         at = (low >= 65) & (low <= 90)
@@ -117,11 +126,15 @@ def votes_of(patterns: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation-maximisation over vote patterns: (posterior of good per pattern, P(vote | class) per labeller, share of good).
 
-    Labellers are independent given the class; they start as better than chance, which fixes which class is which."""
+    Labellers are independent given the class; they start as better than chance, which fixes which class is which.  Bad texts are of
+    several kinds, and each labeller knows one or two of them, so a plain maximum of the likelihood would take one kind for the whole class.  Two
+    things known of such heuristics are held on to: at most ``MOST_FALSE_ALARMS`` of good texts get a bad vote from any of them, and at least
+    ``LEAST_FINDS`` of bad texts do."""
     votes = votes_of(patterns)
-    table_ = np.full((2, len(LABELLERS), 3), 0.1)
-    table_[0, :, 0] = table_[1, :, 1] = 0.6
-    table_[:, :, 2] = 0.3
+    said = votes != 2  # who abstains says nothing
+    table_ = np.zeros((2, len(LABELLERS), 3))
+    table_[0] = [0.5, 0.5, 1.0]
+    table_[1] = [0.01, 0.99, 1.0]
     share = 0.8
     good = np.full(len(patterns), share)
     at = np.arange(len(LABELLERS))
@@ -130,9 +143,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
         good = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log((1 - share) / share), -500, 500)))
         for y, p in ((0, 1 - good), (1, good)):
             weight = p * counts
-            for v in range(3):
-                table_[y, :, v] = ((votes == v) * weight[:, None]).sum(axis=0) + 0.1
-            table_[y] /= table_[y].sum(axis=1, keepdims=True)
+            bad_votes, all_votes = ((votes == 0) * weight[:, None]).sum(axis=0), (said * weight[:, None]).sum(axis=0)
+            alarm = (bad_votes + 0.1) / (all_votes + 0.2)
+            alarm = np.clip(alarm, 1e-5, MOST_FALSE_ALARMS) if y else np.clip(alarm, LEAST_FINDS, 1 - 1e-3)
+            table_[y, :, 0], table_[y, :, 1] = alarm, 1 - alarm
         share = float(np.clip((good * counts).sum() / counts.sum(), 0.01, 0.99))
     return good, table_, share
 
@@ -148,16 +162,17 @@ def mean_features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 400, rate: float = 0.3, shrink: float = 1e-4) -> np.ndarray:
+def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 250, rate: float = 0.3, shrink: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft targets (Adam); the last weight is the bias.  Both classes weigh the same, so neither drowns."""
+    x = x.astype(np.float32)
     w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     if not len(x):
         return w
     mass = np.array([max((1 - target).sum(), 1e-9), max(target.sum(), 1e-9)])
     weight = ((1 - target) / mass[0] + target / mass[1]) / 2
     for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50)))
-        error = (p - target) * weight
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -50, 50)))
+        error = ((p - target) * weight).astype(np.float32)
         g = np.append(x.T @ error + shrink * w[:-1], error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
@@ -165,8 +180,8 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, rounds: int = 400, rate: float
 
 
 class Model:
-    def __init__(self, posterior: dict[int, float], accuracies: dict[str, float], weights: np.ndarray, share: float):
-        self.posterior, self.accuracies, self.weights, self.share = posterior, accuracies, weights, share
+    def __init__(self, posterior: dict[int, float], accuracies: dict[str, float], weights: np.ndarray, share: float, usual: float = 0.0):
+        self.posterior, self.accuracies, self.weights, self.share, self.usual = posterior, accuracies, weights, share, usual
 
     def apply(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Vote pattern, posterior of good, and score (above 0: kept) of every text; no words: minus infinity."""
@@ -174,7 +189,8 @@ class Model:
         patterns = pattern_of(grid.votes())
         score = np.full(len(texts), self.weights[-1])
         if len(grid.starts):
-            score = score + grid.per_text(self.weights[:-1][grid.buckets()].sum(axis=1)) / np.maximum(grid.words, 1)
+            total = grid.per_text(self.weights[:-1][grid.buckets()].sum(axis=1))
+            score = score + (total + FEW_WORDS * self.usual) / (grid.words + FEW_WORDS)  # a short text is drawn towards the usual good one
         score[grid.words == 0] = -np.inf
         return patterns, np.array([self.posterior.get(int(p), self.share) for p in patterns]), score
 
@@ -199,8 +215,7 @@ def fit(documents: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model
     patterns, counts = np.array([r.p for r in rows], np.int64), np.array([r.n for r in rows], np.float64)
     good, table_, share = estimate(patterns, counts)
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    spoken = {name: float(share * table_[1, j, 1] + (1 - share) * table_[0, j, 0]) / max(
-        float(1 - share * table_[1, j, 2] - (1 - share) * table_[0, j, 2]), 1e-9) for j, name in enumerate(LABELLERS)}
+    accuracies = {name: float(share * table_[1, j, 1] + (1 - share) * table_[0, j, 0]) for j, name in enumerate(LABELLERS)}
     # The hash of the text decides, so equal texts are drawn together; distinct texts keep copies from filling the sample.
     cut_at = min(1.0, sample / counts.sum())
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(cut_at * (1 << 30)) + 1).distinct()
@@ -212,10 +227,12 @@ def fit(documents: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model
                 x = mean_features(part)
                 yield pa.RecordBatch.from_arrays([pa.array(pattern_of(Grid(part).votes()), pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["p", "x"])
     got = drawn.mapInArrow(learn, "p long, x binary").collect()
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), BUCKETS).astype(np.float64)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), BUCKETS)
     order = np.lexsort(x[:, :8].T) if len(got) else np.zeros(0, np.int64)
     target = np.array([posterior[r.p] for r in got])
-    return Model(posterior, spoken, fit_scorer(x[order], target[order]), share)
+    weights = fit_scorer(x[order], target[order])
+    usual = float((x @ weights[:-1] * target).sum() / max(target.sum(), 1e-9)) if len(got) else 0.0
+    return Model(posterior, accuracies, weights, share, usual)
 
 
 def judged(documents: DataFrame, model: Model | None = None, text: str = "text", result: str = "quality_result") -> DataFrame:

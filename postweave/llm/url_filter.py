@@ -60,10 +60,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def _grams(text: Column, field: str) -> Column:
     """Hash buckets of the character n-grams of one field; ``^`` and ``$`` mark its ends."""
     framed = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - F.lit(n - 1), F.lit(1))),
-                    lambda i, n=n: F.pmod(F.xxhash64(F.lit(field), F.substring(framed, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
-        for n in GRAMS]))
+
+    def of_size(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(framed) - F.lit(n - 1), F.lit(1)))
+        return F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(field), F.substring(framed, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+    return F.flatten(F.array(*[of_size(n) for n in GRAMS]))
 
 
 def features(host: Column, path: Column) -> Column:

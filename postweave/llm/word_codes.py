@@ -172,7 +172,7 @@ def encode_and_decode(documents: DataFrame, vocabulary: str = VOCABULARY, text:
         return pd.Series([np.array(coder.encode_word(w), "<u4").tobytes() for w in column], dtype=object)
 
     distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", encode("word")).select("word", "ids")
-    coded = words.join(distinct, "word").select("block", "place", "ids")
+    coded = words.join(distinct, "word").select(F.col("block").alias("list"), "place", "ids")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = model(vocabulary).pieces
@@ -192,7 +192,7 @@ def encode_and_decode(documents: DataFrame, vocabulary: str = VOCABULARY, text:
         return pa.table({"doc_id": right.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()),
                          "ids": pa.array(codes, pa.binary()), "decoded": pa.array(texts, pa.string())})
     docs = parts.where("word is null").select("block", "doc_id", "places")
-    return coded.groupBy("block").cogroup(docs.groupBy("block")).applyInArrow(
+    return coded.groupBy("list").cogroup(docs.groupBy("block")).applyInArrow(
         assemble, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
