@@ -4,6 +4,7 @@ that start something else inside it data-y="0"; the marks are taken off before t
 from __future__ import annotations
 
 import random
+import re
 
 _WORDS = """harbour winter council garden evening signal river market copper village letter student window bridge morning engine island summer
 paper forest teacher history station number picture weather season question answer company machine captain valley museum kitchen journey
@@ -89,11 +90,11 @@ class _Maker:
         words = self.words(3, 60).split()
         return self.r.choice([" | ".join(words), " ".join(w + self.r.choice(["***", "$$$", "%%%", "###", "!!", ""]) for w in words), " ".join(words), " ".join(words).upper(), " ".join([words[0]] * len(words))])
 
-    def article(self) -> str:
+    def article(self) -> list[str]:
         style, parts = self.r.random(), [f"<h1>{self.words(2, 9)}</h1>"] if self.r.random() < 0.75 else []
         for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 8, 12, 20])):
             k = self.r.random()
-            if k < 0.06:
+            if k < 0.08:
                 parts.append(f"<p>{self.odd()}</p>")
             elif k < 0.68:
                 parts.append(f"<p>{self.sentences(self.r.choice([1, 1, 2, 3, 5, 7]))}</p>" if style < 0.8 else f"<div>{self.sentences(self.r.choice([1, 2, 4]))}</div>")
@@ -105,22 +106,25 @@ class _Maker:
                 parts.append("<ul>" + "".join(f"<li>{self.words(2, 9)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>")
             elif k < 0.88:
                 parts.append(f"<blockquote><p>{self.sentences(2)}</p></blockquote>")
-            elif k < 0.90:
+            elif k < 0.89:
                 parts.append("<table>" + "".join(f"<tr><td>{self.words(1, 2)}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
-            elif k < 0.93:
+            elif k < 0.895:
                 parts.append(f"<p><b>{self.words(2, 6)}.<br><p>{self.sentences(2)}</p>")
-            elif k < 0.96:
+            elif k < 0.91:
                 parts.append(f'<p>{self.sentences(1)} <a href="/x">{self.words(1, 3)}</a> {self.sentences(1)}</p>')
             else:
                 parts.append(self.cut(self.waste()))
         if self.r.random() < 0.12:
             parts.append(self.cut(self.talk()))
-        return "".join(parts)
+        return parts
 
     def page(self) -> str:
-        body = self.article()
+        parts = self.article()
+        body = "".join(parts)
         kind = self.r.random()
-        if kind < 0.35:
+        if kind < 0.08:  # no element around the article: its parts are marked themselves
+            main = "".join(p if 'data-y="0"' in p else p.replace("<p>", '<p data-y="1">') if p.startswith("<p>") else re.sub(r"^<(\w+)", r'<\1 data-y="1"', p) for p in parts)
+        elif kind < 0.35:
             main = f'<article{self.attrs(_CONTENT, True)} data-y="1">{body}</article>'
         elif kind < 0.5:
             main = f'<main data-y="1">{body}</main>'

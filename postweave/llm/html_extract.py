@@ -32,7 +32,7 @@ GROUPS = [
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "td", "nav", "aside", "header", "footer", "form", "blockquote", "table", "button", "label"]
 _TOKEN = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 _GROUP_OF = {w: g for g, words in reversed(list(enumerate(GROUPS))) for w in words.split()}
-_TAG_GROUP = {"nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 9, "button": 9, "label": 9, "dialog": 6}
+_TAG_GROUP = {"article": 0, "main": 0, "nav": 1, "header": 2, "footer": 3, "aside": 4, "form": 9, "button": 9, "label": 9, "dialog": 6}
 _TAG_MASK = {tag: 1 << g for tag, g in _TAG_GROUP.items()}
 _TAG_PLACE = {tag: i for i, tag in enumerate(TAGS)}
 _NAMES = ("class", "id", "role", "itemprop", "aria-label")
@@ -111,6 +111,7 @@ class Page:
             columns = [np.log1p(chars), linked / chars, np.log1p(chars / elements), chars / max(chars[0], 1), chars / up[:, 0], stops / words, np.log1p(elements), np.log1p(paragraphs),
                        np.array(depth), np.array(siblings), np.array(place) / np.array(siblings), np.array(self.own) / chars, up[:, 1] / up[:, 0], np.log1p(up[:, 0]), np.log1p(up[:, 5]),
                        np.arange(n) / n, np.array(children), np.log1p(words), np.log1p(up[:, 0] / up[:, 3])]
+        self.marked = [bool(m & ~1) for m in masks]  # says itself that it is something else
         bits = np.arange(len(GROUPS))
         groups = (np.array(masks)[:, None] >> bits) & 1
         groups_above = (np.array(above)[:, None] >> bits) & 1
@@ -118,19 +119,21 @@ class Page:
         return np.concatenate([np.nan_to_num(np.stack(columns, axis=1), posinf=0.0, neginf=0.0), groups, groups_above, kinds], axis=1)
 
 
-def decode(nodes: list[Node], score: np.ndarray, weight: np.ndarray, enter: float = 0.5, leave: float = 6.0) -> list[bool]:
+def decode(nodes: list[Node], score: np.ndarray, weight: np.ndarray, enter: float = 0.5, leave: list[float] | float = 2.0) -> list[bool]:
     """For each node whether it is article, so that the sum of weighted scores is best among the consistent choices.
 
     From the page down a node is outside, article, or cut out of an article; outside may turn to article, article to cut, never back. So no
-    part of a cut subtree is article, and no article lies inside another one's rejected part.  Turns cost ``enter`` and ``leave``."""
+    part of a cut subtree is article, and no article lies inside another one's rejected part.  Turns cost ``enter``
+    and ``leave`` (which may differ by node)."""
     n = len(nodes)
+    leave = leave if isinstance(leave, list) else [leave] * n
     gain = score * weight
     outside, inside, cut = np.zeros(n), gain.copy(), -gain
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
         outside[i] -= gain[i]
         outside[p] += max(outside[i], inside[i] - enter)
-        inside[p] += max(inside[i], cut[i] - leave)
+        inside[p] += max(inside[i], cut[i] - leave[i])
         cut[p] += cut[i]
     state = [0] * n
     state[0] = 0 if outside[0] - gain[0] >= inside[0] - enter else 1
@@ -139,7 +142,7 @@ def decode(nodes: list[Node], score: np.ndarray, weight: np.ndarray, enter: floa
         if before == 0:
             state[i] = 0 if outside[i] >= inside[i] - enter else 1
         elif before == 1:
-            state[i] = 1 if inside[i] >= cut[i] - leave else 2
+            state[i] = 1 if inside[i] >= cut[i] - leave[i] else 2
         else:
             state[i] = 2
     return [s == 1 for s in state]
@@ -169,7 +172,7 @@ def blocks_of(page: Page, chosen: list[bool]) -> list[str]:
 
 
 @cache
-def train(number: int = 600, seed: int = 11) -> Boosted:
+def train(number: int = 900, seed: int = 11) -> Boosted:
     """Boosted trees on the nodes of labelled pages (a small table made by rule, see html_examples)."""
     xs, ys = [], []
     for marked in labelled_pages(number, seed):
@@ -198,7 +201,7 @@ def extract(sources: list[str], model: Boosted) -> list[str]:
         score = np.clip(scores[at:at + len(grid)], -6, 6)
         at += len(grid)
         weight = np.where(page.sums[:, 0] > 0, 1.0, 0.0)
-        out.append("\n".join(blocks_of(page, decode(page.nodes, score, weight))))
+        out.append("\n".join(blocks_of(page, decode(page.nodes, score, weight, leave=[0.5 if m else 8.0 for m in page.marked]))))
     return out
 
 

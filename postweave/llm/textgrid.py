@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import cache
 
 import numpy as np
 import regex
+from tokenizers import Regex, pre_tokenizers
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # Contractions that the two byte-pair vocabularies split off; part of their published pattern (fixed values).
+_LETTER_OR_NUMBER = regex.compile(r"[\p{L}\p{N}]")
 CONTRACTION = r"'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -41,9 +44,31 @@ def classes() -> np.ndarray:
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
             table[m.start():m.end()] = kind
+    for c, kind in _newer_letters().items():
+        table[c] = kind
     return table
 
 
+@cache
+def _newer_letters() -> dict[int, int]:
+    """Letters and numbers that are younger than Python's own Unicode tables: there the tokenizers library is asked, since the regex
+    modules and the library may follow different versions of the standard."""
+    young = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and _LETTER_OR_NUMBER.match(chr(c))]
+    split = pre_tokenizers.Split(Regex(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), "removed", invert=True)
+    def joined(frame: str) -> set[int]:
+        """Numbers of those that hang together with the sign on both sides."""
+        pieces = split.pre_tokenize_str("".join(f"{frame}{chr(c)}{frame} " for c in young))
+        return {start // 4 for _, (start, end) in pieces if end - start == 3}
+    letters, others = joined("a"), joined(".")
+    return {c: LETTER if i in letters else OTHER if i in others else NUMBER for i, c in enumerate(young)}
+
+
+@cache
+def newer_signs() -> regex.Pattern:
+    """A text with one of these is normalised by the library itself."""
+    return regex.compile("[" + "".join(regex.escape(chr(c)) for c in _newer_letters()) + "]" if _newer_letters() else r"(?!)")
+
+
 def first_marks(n: int, bounds: np.ndarray) -> np.ndarray:
     """True where a text begins."""
     marks = np.zeros(n, bool)

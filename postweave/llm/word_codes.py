@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from .bpe_arrays import byte_letters
 from .shared import blocks, spread_out, table, texts_of
-from .textgrid import CONTRACTION, NUMBER, SPACE, classes, code_points, first_marks, gather, owner_of, run_hashes, with_contractions
+from .textgrid import CONTRACTION, NUMBER, SPACE, classes, code_points, first_marks, gather, newer_signs, owner_of, run_hashes, with_contractions
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_TEXT = 32 << 20  # code points of a block, which shares one word list
@@ -53,9 +53,13 @@ def model(name: str = VOCABULARY) -> Model:
     return Model(public_tokenizers.path(name))
 
 
-def normal_form(text: str) -> str:
+def normal_form(text: str, coder: Model) -> str:
     """As the vocabulary's own normaliser: composed form, then lower case character by character."""
-    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    if text.isascii():
+        return text.lower()
+    if newer_signs().search(text):
+        return coder.tokenizer.normalizer.normalize_str(text)
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 def split_words(texts: list[str], coder: Model) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,11 +69,11 @@ def split_words(texts: list[str], coder: Model) -> tuple[str, np.ndarray, np.nda
         end = 0
         if any(s in text for s in coder.special):
             for m in coder.cut.finditer(text):
-                parts += [normal_form(text[end:m.start()]), m[0]]
+                parts += [normal_form(text[end:m.start()], coder), m[0]]
                 owner += [i, i]
                 special += [False, True]
                 end = m.end()
-        parts.append(normal_form(text[end:]))
+        parts.append(normal_form(text[end:], coder))
         owner.append(i)
         special.append(False)
     joined, points, bounds = code_points(parts)
@@ -80,6 +84,7 @@ def split_words(texts: list[str], coder: Model) -> tuple[str, np.ndarray, np.nda
     begins = first_marks(len(points), bounds) | (kind == NUMBER)
     begins[1:] |= kind[1:] != kind[:-1]
     whole = np.flatnonzero(special)
+    # Texts with contractions are split by the published pattern, whose classes are those of the table below for all but the newest letters.
     for d in np.union1d(with_contractions(points, bounds), whole).tolist():
         a, b = int(bounds[d]), int(bounds[d + 1])
         inside = [a] if special[d] else [a + m.start() for m in _WORD.finditer(joined[a:b])]

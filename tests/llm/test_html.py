@@ -66,7 +66,7 @@ def test_decoding_is_consistent_and_best():
                     before = states[nodes[i].parent]
                     if (before, s) in ((0, 2), (1, 0), (2, 0), (2, 1)):
                         return -np.inf
-                    total -= {(0, 1): 0.5, (1, 2): 6.0}.get((before, s), 0.0)
+                    total -= {(0, 1): 0.5, (1, 2): 2.0}.get((before, s), 0.0)
             return total
         chosen = decode(nodes, score, np.ones(n))
         best = max(value(s) for s in np.ndindex(*[2] + [3] * (n - 1)))
