@@ -64,9 +64,9 @@ def _newer_letters() -> dict[int, int]:
 
 
 @cache
-def newer_signs() -> regex.Pattern:
+def newer_signs() -> frozenset[str]:
     """A text with one of these is normalised by the library itself."""
-    return regex.compile("[" + "".join(regex.escape(chr(c)) for c in _newer_letters()) + "]" if _newer_letters() else r"(?!)")
+    return frozenset(chr(c) for c in _newer_letters())
 
 
 def first_marks(n: int, bounds: np.ndarray) -> np.ndarray:

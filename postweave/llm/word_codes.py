@@ -57,7 +57,7 @@ def normal_form(text: str, coder: Model) -> str:
     """As the vocabulary's own normaliser: composed form, then lower case character by character."""
     if text.isascii():
         return text.lower()
-    if newer_signs().search(text):
+    if not newer_signs().isdisjoint(text):
         return coder.tokenizer.normalizer.normalize_str(text)
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
