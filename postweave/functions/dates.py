@@ -19,13 +19,33 @@ FREE_TEXT = [
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$", "d MMM yyyy HH:mm:ss Z", "datetime"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}$", "d MMM yyyy HH:mm:ss", "datetime"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}$", "d MMM yyyy HH:mm", "datetime"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy", "date"),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy", "date"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", "date"),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy", "date"),
 ]
 
 
+# Month names of written-out dates ("3 mars 2026", "24 de julio de 2026", "5. Oktober 2026"), by language.
+MONTHS = {
+    "en": "january february march april may june july august september october november december",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "de": "januar februar märz april mai juni juli august september oktober november dezember",
+}
+WRITTEN = r"(?iu)^(\d{1,2})(?:\.|er|st|nd|rd|th)?\s+(?:de\s+)?(\p{L}{3,})\.?,?\s+(?:de\s+|del\s+)?(\d{4})$"
+
+
+def _written(t: Column) -> Column:
+    """A date with a month name of any of the languages (or its first letters, three at least, if they fit one month only)."""
+    names = {name: i + 1 for months in MONTHS.values() for i, name in enumerate(months.split())}
+    short: dict[str, set[int]] = {}
+    for name, number in names.items():
+        for n in range(3, len(name)):
+            short.setdefault(name[:n], set()).add(number)
+    known = {k: min(v) for k, v in short.items() if len(v) == 1} | names
+    month = F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair]), F.lower(F.regexp_extract(t, WRITTEN, 2)))
+    return F.format_string("%04d-%02d-%02d", F.regexp_extract(t, WRITTEN, 3).try_cast("int"), month, F.regexp_extract(t, WRITTEN, 1).try_cast("int")).try_cast("date").cast("timestamp")
+
+
 def at(now: datetime | Column) -> Column:
     return now if isinstance(now, Column) else F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
@@ -75,6 +95,7 @@ def _calendar(t: Column) -> Column:
     out = (F.when(t.rlike(NUMERIC), _pair(numeric, "date"))
            .when(t.rlike(r"^\d{8}$"), _pair(F.try_to_timestamp(t, F.lit("yyyyMMdd")), "date"))
            .when(t.rlike(ISO), _pair(iso_ts, F.when(F.length(t) <= 10, F.lit("date")).otherwise(F.lit("datetime")))))
+    out = out.when(bare.rlike(WRITTEN), _pair(_written(bare), "date"))
     for shape, pattern, precision in FREE_TEXT:
         # The shape guards the parser: it never sees a text it would have to reject.
         guarded = F.when(bare.rlike(shape), bare)

@@ -58,6 +58,12 @@ def prune_nulls(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
 
 
+def object_or_null(**fields: Column) -> Column:
+    """A nested object, null if none of its fields has a value (so that ``prune_nulls`` leaves it out)."""
+    return F.when(F.coalesce(*[F.when(c.isNotNull(), F.lit(True)) for c in fields.values()], F.lit(False)),
+                  F.struct(*[c.alias(name) for name, c in fields.items()]))
+
+
 def null_if_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -84,8 +90,8 @@ def parse_model_reply(text: Column) -> Column:
     return F.coalesce(listed, F.try_variant_get(data, "$.results", "array<variant>"))
 
 
-def to_verdict(result: Column, families: list[str]) -> Column:
-    """Validated struct (score, family, front_office, experience, reason) of one result."""
+def to_verdict(result: Column, families: list[str], experience_chars: int = 20, reason_chars: int = 240) -> Column:
+    """Validated struct (score, family, front_office, experience, reason) of one result; the two texts are kept to a length."""
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(result, path, "variant"))
 
@@ -97,5 +103,5 @@ def to_verdict(result: Column, families: list[str]) -> Column:
         F.greatest(F.lit(0), F.least(F.lit(100), whole)).cast("int").alias("score"),
         F.when(family.isin(families), family).alias("family"),
         F.when(kind("$.front_office") == "BOOLEAN", dig(result, "front_office", "boolean")).alias("front_office"),
-        F.when(~exp.isin("", "null"), F.substring(exp, 1, 20)).alias("experience"),
-        F.when(reason != "", F.substring(reason, 1, 240)).alias("reason"))
+        F.when(~exp.isin("", "null"), F.substring(exp, 1, experience_chars)).alias("experience"),
+        F.when(reason != "", F.substring(reason, 1, reason_chars)).alias("reason"))

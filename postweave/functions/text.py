@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as V
+from .binding import let
 
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -22,11 +24,11 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 def _folding() -> tuple[str, str]:
     """Arguments of ``translate`` that decompose a text and drop its marks, derived from the Unicode tables.
 
-    Characters that decompose to exactly one non-mark character are replaced, combining marks are deleted.  The few
-    that become several characters (ligatures, fractions) are left to :func:`normalize_text_exact`.
+    Characters that decompose to exactly one non-mark character are replaced, combining marks are deleted.  Those that become several
+    characters (ligatures, fractions, numerals) are in :func:`_unfolding`.
     """
     source, target, dropped = [], [], []
-    for code in (*range(0xA0, 0x590), *range(0x1E00, 0x2190), *range(0xFF01, 0xFF5F)):
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x10000)):  # all scripts but Hangul, whose syllables stay whole
         ch = chr(code)
         if unicodedata.combining(ch):
             dropped.append(ch)
@@ -38,9 +40,45 @@ def _folding() -> tuple[str, str]:
     return "".join(source + dropped), "".join(target)
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    """A constant map as one literal, which Spark builds once (thousands of literals would slow down planning)."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+@lru_cache(maxsize=1)
+def _unfolding() -> dict[str, str]:
+    """Characters that decompose to several, with what they become."""
+    out = {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x10000)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) > 1 and len(base) <= 18:
+            out[chr(code)] = base
+    return out
+
+
+def _ranges(codes: list[int], gap: int = 6) -> list[tuple[int, int]]:
+    """Few ranges that hold all codes (and some between them), since a pattern tests them one by one."""
+    out: list[tuple[int, int]] = []
+    for code in codes:
+        if out and code - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], code)
+        else:
+            out.append((code, code))
+    return out
+
+
+def _unfold(c: Column) -> Column:
+    """Several-character decompositions.  Few texts have any, and those have few kinds: one replacement per kind that occurs."""
+    table = _unfolding()
+    kinds = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(sorted(map(ord, table)))) + "]"
+    known = literal_map(table)
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({kinds})"), F.lit(1)))
+    return F.when(c.rlike(kinds), F.aggregate(found, c, lambda acc, k: F.replace(acc, k, F.coalesce(F.try_element_at(known, k), k)))).otherwise(c)
+
+
 def normalize_text(c: Column) -> Column:
-    """Lower case, no accents, runs of anything but letters, digits and ``_`` become one space; null gives ''."""
-    folded = F.lower(F.translate(F.coalesce(c, F.lit("")), *_folding()))
+    """Lower case, no accents, compatibility forms taken apart, runs of anything but letters, digits and ``_`` become one space; null gives ''."""
+    folded = F.lower(F.translate(let(F.coalesce(c, F.lit("")), _unfold), *_folding()))
     return F.trim(F.regexp_replace(folded, NON_WORD, " "))
 
 
@@ -108,18 +146,42 @@ def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
 
 
-# Entities that occur in captured text; ``&amp;`` must stay last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-            ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&eacute;", "é"),
-            ("&amp;", "&")]
+_REFERENCE = r"(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"
 
 
-def unescape(c: Column) -> Column:
-    for entity, ch in ENTITIES:
+@lru_cache(maxsize=1)
+def _entities() -> dict[str, str]:
+    """Named references with their semicolon, from the standard library's table."""
+    return {"&" + name: value for name, value in html5.items() if name.endswith(";")}
+
+
+def unescape_address(c: Column) -> Column:
+    """Decode what occurs in addresses: the references that XML knows, and the decimal quote.  A short expression, since addresses are taken apart and
+    filtered, and Spark repeats an expression in every filter on it."""
+    for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#34;", '"'), ("&apos;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(ch))
     return c
 
 
+def unescape(c: Column) -> Column:
+    """Decode all named and numeric character references.  What they decode to is not read again: the ampersand's own come last."""
+    named = literal_map(_entities())
+
+    def decoded(ref: Column) -> Column:
+        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(F.regexp_extract(ref, "^&#[xX]([0-9A-Fa-f]+);$", 1), 16, 10)).otherwise(
+            F.regexp_extract(ref, "^&#([0-9]+);$", 1)).try_cast("int")
+        fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(ref.startswith("&#"), char).otherwise(F.coalesce(F.try_element_at(named, ref), ref))
+
+    def all_of(text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1)))
+        pairs = F.transform(found, lambda r: F.struct(r.alias("ref"), decoded(r).alias("char")))
+        ordered = F.concat(F.filter(pairs, lambda p: p["char"] != "&"), F.filter(pairs, lambda p: p["char"] == "&"))
+        return F.when(text.contains("&"), F.aggregate(ordered, text, lambda acc, p: F.replace(acc, p["ref"], p["char"]))).otherwise(text)
+    return let(c, all_of)
+
+
 def html_to_text(c: Column, limit: int | None = None) -> Column:
     """Visible text of a fragment or page: scripts, styles and comments gone, tags become spaces, spaces collapsed.
 

@@ -44,7 +44,7 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
       copies is one row after a map-side combined aggregate, however large it is.
     * Each round the best open row per token is a map-side combined ``min``.  A row that is best in all its tokens is
       kept; every open row that shares a token with a kept one is closed.  Nothing is paired within a group.
-    * Each round ends in a reliable checkpoint; at least the best open row of every group closes, so it terminates.
+    * Each round ends in one reliable checkpoint; at least the best open row of every group closes, so it terminates.
     """
     base = df.select(F.col(key).alias("_key"), rank.alias("_rank"), *tokens,
                      (F.lit(True) if eligible is None else eligible).alias("_ok"))
@@ -58,29 +58,32 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
         row = F.struct(F.col("_best"), F.col("_ids"))
         leaders = still.select(F.explode("_ids").alias("_t"), row.alias("_row")).groupBy("_t").agg(F.min("_row").alias("_row"))
         kept = leaders.groupBy("_row").agg(F.count("*").alias("_n")).filter(F.col("_n") == F.size("_row._ids"))
-        owners = cut_lineage(kept.select(F.explode("_row._ids").alias("_t"), F.col("_row._best").alias("_owner")))
-        if owners.isEmpty():
-            raise RuntimeError("no row is best in all its tokens: the rank is not a total order")
-        rounds.append(owners)
+        owners = kept.select(F.explode("_row._ids").alias("_t"), F.col("_row._best").alias("_best"))
         taken = owners.select("_t")
         for i in range(len(tokens)):
             # Tokens carry their position, so each of them is found by one equi-join.
             still = still.withColumn("_one", _token_at("_ids", i)).join(taken, F.col("_one") == F.col("_t"), "left_anti").drop("_one")
-        still = cut_lineage(still)
+        # Open rows and owners of a round are one table, so a round is cut once.
+        state = cut_lineage(still.select("_best", "_ids", F.lit(None).cast("string").alias("_t")).unionByName(owners.withColumn("_ids", F.lit(None).cast("array<string>"))))
+        owners = state.filter("_t IS NOT NULL").select("_t", F.col("_best").alias("_owner"))
+        if owners.isEmpty():
+            raise RuntimeError("no row is best in all its tokens: the rank is not a total order")
+        rounds.append(owners)
+        still = state.filter("_t IS NULL").select("_best", "_ids")
     empty = df.sparkSession.createDataFrame([], still.select(F.explode("_ids").alias("_t"), F.col("_best").alias("_owner")).schema)
     owners = reduce(DataFrame.unionByName, rounds, empty)
     out = df.withColumn("_rank", rank)
     hits: list[Column] = []
     for i, t in enumerate(tokens):
-        mine = owners.filter(F.col("_t").startswith(f"{i}")).select(
-            F.substring("_t", 2, 1 << 30).alias(t), F.col("_owner").alias(f"_o{i}"))
-        out = out.join(mine, t, "left")
+        mine = owners.filter(F.col("_t").startswith(f"{i}")).select(F.col("_t").alias(f"_k{i}"), F.col("_owner").alias(f"_o{i}"))
+        # A row without this token looks for its own key, which no owner has: such rows stay spread over all tasks.
+        out = out.withColumn(f"_k{i}", F.coalesce(F.concat(F.lit(f"{i}"), F.col(t)), F.concat(F.lit("-"), F.col(key).cast("string")))).join(mine, f"_k{i}", "left")
         hits.append(F.when((F.col(f"_o{i}._rank") < F.col("_rank")), F.col(f"_o{i}._key")))
         is_owner = F.col(f"_o{i}._key") == F.col(key)
         out = out.withColumn(f"_own{i}", F.coalesce(is_owner, F.lit(False)))
     own = reduce(Column.__or__, [F.col(f"_own{i}") for i in range(len(tokens))])
     out = out.withColumn("kept", own).withColumn("dup_of", F.when(~own, F.coalesce(*hits)))
-    drop = ["_rank", *[f"_o{i}" for i in range(len(tokens))], *[f"_own{i}" for i in range(len(tokens))]]
+    drop = ["_rank", *[f"_k{i}" for i in range(len(tokens))], *[f"_o{i}" for i in range(len(tokens))], *[f"_own{i}" for i in range(len(tokens))]]
     return out.drop(*drop), owners
 
 

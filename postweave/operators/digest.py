@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import at, display_when, local
 from ..functions.labels import label
 from ..functions.text import location_text
+from ..session import cut_lineage
 
 
 def newest(now: datetime) -> Column:
@@ -21,6 +22,17 @@ def rank_results(df: DataFrame, now: datetime, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(F.coalesce("score", F.lit(0))), newest(now).desc(), *ties)
 
 
+def number_all(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Rows numbered from 1 over the whole order, without a window over all of them: a range-partitioned sort, row numbers inside the
+    ranges, and the number of rows in the ranges before (one row per range).  Ties must be broken by ``order``."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ordered = cut_lineage(ordered).withColumn("_p", F.shiftright("_m", 33))
+    ranges = ordered.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
+    before = ranges.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    inside = F.col("_m").bitwiseAND((1 << 33) - 1)
+    return ordered.join(before, "_p").withColumn(name, F.col("_before") + inside + 1).drop("_p", "_m", "_before")
+
+
 def top_k_with_hidden(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per group with their position, and how many rows of the group are hidden.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.dates import iso, rfc822
-from ..functions.jsons import null_if_empty, null_if_no_items, prune_nulls
+from ..functions.jsons import null_if_empty, null_if_no_items, object_or_null, prune_nulls
 from ..functions.labels import label, status_label
 from ..functions.text import job_id, xml_escape
 from .state import recent_notified
@@ -24,13 +24,13 @@ def feed_items(seen: DataFrame, statuses: DataFrame, now: datetime, families: di
     return items.select(
         F.col("key").alias("id"), "url", F.concat(F.coalesce("company", F.lit("")), F.lit(" — "), F.coalesce("title", F.lit(""))).alias("title"),
         "company", F.col("title").alias("job_title"), F.col("loc").alias("location"), "posted_at", "first_seen", "notified_at",
-        F.array_sort(F.map_keys("notified")).alias("groups"), F.try_element_at(names, F.col("family")).alias("family"), "score", "also_on",
+        F.array_sort(F.map_keys("notified")).alias("groups"), F.try_element_at(names, F.col("family")).alias("family"), "score", "also_on", (F.col("reason") if "reason" in recent.columns else F.lit(None).cast("string")).alias("reason"),
         "tracker_status", status_label(F.col("tracker_status"), lang).alias("tracker_label"))
 
 
 def description(lang: str = "en") -> Column:
     also = F.when(F.size("also_on") > 0, F.concat(F.lit(label("also_on", lang) + ": "), F.array_join("also_on", ", ")))
-    return F.concat_ws(" · ", null_if_empty(F.col("location")), also)
+    return F.concat_ws(" · ", null_if_empty(F.col("location")), null_if_empty(F.col("reason")), also)
 
 
 def tags() -> Column:
@@ -45,9 +45,8 @@ def json_feed(items: DataFrame, lang: str = "en") -> DataFrame:
         content_text=F.when(text != "", text).otherwise(F.col("title")), summary=null_if_empty(F.col("location")),
         date_published=iso(F.coalesce("posted_at", "first_seen")), date_modified=iso(F.col("notified_at")),
         authors=F.when(F.col("company") != "", F.array(F.struct(F.col("company").alias("name")))), tags=null_if_no_items(tags()),
-        _private=F.struct(null_if_empty(F.col("company")).alias("company"), null_if_empty(F.col("job_title")).alias("job_title"),
-                          null_if_empty(F.col("location")).alias("location"), F.col("score"), null_if_no_items(F.col("groups")).alias("groups"),
-                          null_if_no_items(F.col("also_on")).alias("also_on"), F.col("family"), F.col("tracker_status"))).alias("item"))
+        _private=object_or_null(company=null_if_empty(F.col("company")), job_title=null_if_empty(F.col("job_title")), location=null_if_empty(F.col("location")), score=F.col("score"),
+                                groups=null_if_no_items(F.col("groups")), also_on=null_if_no_items(F.col("also_on")), family=F.col("family"), tracker_status=F.col("tracker_status"))).alias("item"))
 
 
 def rss_feed(items: DataFrame, lang: str = "en") -> DataFrame:

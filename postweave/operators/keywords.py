@@ -58,14 +58,38 @@ def word_grams(norm: Column, longest: int) -> Column:
     return let(F.split(norm, " "), build)
 
 
-def find_keyword_join(df: DataFrame, key: str, norm: Column, keywords: DataFrame, longest: int = 3) -> DataFrame:
-    """``find_keyword`` for keyword tables too long for an expression: (ord, keyword, norm) rows.
+def longest_phrase(table: DataFrame, column: str) -> int:
+    """Words of the longest phrase of a table of aliases or keywords (one number)."""
+    return table.agg(F.max(F.size(F.split(column, " ")))).first()[0] or 1
 
-    Word sequences equi-join the table (Spark broadcasts it when its size allows), and the lowest ``ord`` per row
-    wins in a map-side combined aggregate.  No pair of row and keyword is built unless it matches.
+
+def find_keyword_join(df: DataFrame, key: str, norm: Column, keywords: DataFrame) -> DataFrame:
+    """``find_keyword`` for keyword tables too long for an expression: (ord, keyword, norm) rows, where ``norm`` is the normal form
+    without a trailing ``*``, which makes a keyword the beginning of words.
+
+    Word sequences equi-join the table (Spark broadcasts it when its size allows), and the lowest ``ord`` per row wins in a
+    map-side combined aggregate.  No pair of row and keyword is built unless it matches.  Sequences are as long as the table's longest
+    keyword; a beginning is met by sequences whose last word is cut to its length, for each form (words, letters) that occurs in the table.
     """
-    grams = df.select(key, F.explode(word_grams(norm, longest)).alias("_gram"))
-    hits = grams.join(keywords.select("ord", "keyword", F.col("norm").alias("_gram")), "_gram")
+    last = F.element_at(F.split("norm", " "), -1)
+    table = keywords.select("ord", "keyword", "norm", F.trim("keyword").endswith("*").alias("_open"), F.size(F.split("norm", " ")).alias("_words"), F.length(last).alias("_letters"))
+    table = table.filter("norm <> ''")
+    whole = table.filter("NOT _open").select("ord", "keyword", F.concat(F.lit("w:"), "norm").alias("_gram"))
+    begun = table.filter("_open").select("ord", "keyword", F.concat_ws(":", F.lit("p"), "_words", "_letters", "norm").alias("_gram"))
+    forms = [(r[0], r[1]) for r in table.filter("_open").select("_words", "_letters").distinct().orderBy("_words", "_letters").collect()]  # bounded by the lengths of words
+    longest = longest_phrase(table.filter("NOT _open"), "norm")
+    def cut_grams(words: Column, n: int, letters: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - F.lit(n - 1), F.lit(1)))
+        def one(i: Column) -> Column:
+            end = F.get(words, i + F.lit(n - 2))
+            head = F.array_join(F.slice(words, i, F.lit(n - 1)), " ") if n > 1 else None
+            cut = F.when(F.length(end) >= letters, F.substring(end, 1, letters))
+            return F.concat(F.lit(f"p:{n}:{letters}:"), head, F.lit(" "), cut) if n > 1 else F.concat(F.lit(f"p:{n}:{letters}:"), cut)
+        return F.array_distinct(F.array_compact(F.transform(starts, one)))
+    grams = F.transform(word_grams(norm, longest), lambda g: F.concat(F.lit("w:"), g))
+    for n, letters in forms:
+        grams = F.concat(grams, let(F.split(norm, " "), lambda words, n=n, letters=letters: cut_grams(words, n, letters)))
+    hits = df.select(key, F.explode(grams).alias("_gram")).join(whole.unionByName(begun), "_gram")
     first = hits.groupBy(key).agg(F.min_by("keyword", "ord").alias("keyword"))
     return df.join(first, key, "left")
 

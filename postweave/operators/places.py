@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.text import normalize_text
 from ..session import small_table
-from .keywords import find_keyword, normalize_word, word_grams
-
-LONGEST_ALIAS = 4
+from .keywords import find_keyword, longest_phrase, normalize_word, word_grams
 
 
 @dataclass(frozen=True)
@@ -53,11 +51,6 @@ def build_gazetteer(countries: DataFrame, cities: DataFrame) -> DataFrame:
     return out.unionByName(rows(countries, F.upper("iso3"), "iso3", none)).distinct()
 
 
-def country_names(spark: SparkSession) -> DataFrame:
-    """Country names in other languages as rows (iso2, names), to be added to the countries of a gazetteer."""
-    return small_table(spark, "iso2 string, names array<string>", list(V.COUNTRY_NAMES.items()))
-
-
 def city_aliases(places: Sequence[Place], cities: DataFrame, geo: DataFrame) -> DataFrame:
     """(ord, alias) of every configured city: its own name, its configured aliases and its gazetteer names."""
     spark = geo.sparkSession
@@ -114,7 +107,7 @@ def read_locations(texts: DataFrame, geo: DataFrame, places: Sequence[Place] = (
         .unionByName(aliases.select(F.concat(F.lit("w:"), "alias").alias("token"), F.lit("city").alias("what"),
                                     F.col("ord").cast("string").alias("value"))).distinct())
     norm = normalize_text(F.col("loc"))
-    words = F.transform(word_grams(norm, LONGEST_ALIAS), lambda g: F.concat(F.lit("w:"), g))
+    words = F.transform(word_grams(norm, longest_phrase(tagged.filter("token LIKE 'w:%'"), "token")), lambda g: F.concat(F.lit("w:"), g))
     tokens = texts.select("loc", F.explode(F.concat(words, _code_tokens(F.col("loc")))).alias("token"))
     hits = tokens.join(tagged, "token")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -131,3 +131,18 @@ def material_change(before: DataFrame, after: DataFrame, key: str, watched: list
     return both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(
         key, F.when(F.col("_b").isNull(), F.lit("new")).when(F.col("_a").isNull(), F.lit("gone"))
         .otherwise(F.lit("changed")).alias("change"))
+
+
+def join_details(postings: DataFrame, details: DataFrame, on: list[str], key: str, known: DataFrame | None = None, budget: int | None = None,
+                 group: str | None = None, *order: Column) -> DataFrame:
+    """Postings without description get the one of their detail row; those with a remembered verdict (``known``) need none and are left out.
+
+    ``budget``: how many details may be fetched per ``group`` in one run, in ``order``; None joins all.
+    """
+    wanted = postings.filter(F.coalesce(F.col("description"), F.lit("")) == "")
+    if known is not None:
+        wanted = wanted.join(known.select(key), key, "left_anti")
+    if budget is not None:
+        w = Window.partitionBy(*([group] if group else [])).orderBy(*order, key)
+        wanted = wanted.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= budget).drop("_rn")
+    return wanted.drop("description").join(details, on, "left").withColumn("description", F.coalesce("detail", F.lit(""))).drop("detail")

@@ -102,10 +102,13 @@ def zero_filled(counts: DataFrame, label: str, order: list[str]) -> DataFrame:
     return dim.join(counts, label, "left").select("ord", label, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def acceptance(marks: DataFrame, by: Column, min_marks: int = V.MIN_MARKS) -> DataFrame:
-    """wanted and discarded per source or family, only where at least ``min_marks`` answers exist in all."""
-    named = marks.withColumn("name", by).filter("name IS NOT NULL")
-    per = named.groupBy("name").agg(F.count_if(F.col("status").isin(V.POSITIVE_STATUSES)).alias("wanted"),
-                                    F.count_if(~F.col("status").isin(V.POSITIVE_STATUSES)).alias("discarded"))
-    total = named.agg(F.count("*")).scalar()  # a scalar subquery: one small job, no join
+def acceptance(marks: DataFrame, gate: Column, *by: Column, min_marks: int = V.MIN_MARKS) -> DataFrame:
+    """wanted and discarded per name of each dimension in ``by`` (source, family), in one pass over the marks.
+
+    One gate for all: at least ``min_marks`` marks must have a name in the dimension ``gate`` (the sources), else nothing is shown.
+    """
+    named = marks.select("status", F.explode(F.array_compact(F.array(*by))).alias("name"))
+    liked = F.col("status").isin(V.POSITIVE_STATUSES)
+    per = named.groupBy("name").agg(F.count_if(liked).alias("wanted"), F.count_if(~liked).alias("discarded"))
+    total = marks.agg(F.count(gate)).scalar()  # a scalar subquery: one small job, no join
     return per.filter(total >= min_marks)

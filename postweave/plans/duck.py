@@ -77,7 +77,7 @@ def html_text(c: str) -> str:
     text = f"regexp_replace({body}, '<[^>]*>', ' ', 'g')"
     for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"),
                        ("&nbsp;", " "), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-                       ("&eacute;", "é"), ("&amp;", "&")):
+                       ("&eacute;", "é"), ("&copy;", "©"), ("&amp;", "&")):
         text = f"replace({text}, '{entity}', '{ch}')"
     return f"trim(regexp_replace({text}, '[\\s ]+', ' ', 'g'))"
 

@@ -44,7 +44,24 @@ def c1_join(t: Tables) -> DataFrame:
     word = F.lower(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1))
     table = t.benchmark.select(F.col("item_id").alias("ord"), word.alias("keyword"), word.alias("norm")).filter("keyword <> ''")
     docs = t.documents.select("doc_id", normalize_text(F.col("text")).alias("n"))
-    return K.find_keyword_join(docs, "doc_id", F.col("n"), table, 2).select("doc_id", "keyword")
+    return K.find_keyword_join(docs, "doc_id", F.col("n"), table).select("doc_id", "keyword")
+
+
+@query("c1_find_keyword_long", """
+WITH b AS (SELECT item_id AS ord, """ + duck.norm('text') + """ AS n FROM benchmark),
+kw AS (SELECT 2 * ord AS ord, array_to_string(string_split(n, ' ')[1:5], ' ') AS word, false AS open FROM b WHERE len(string_split(n, ' ')) >= 5
+ UNION ALL SELECT 2 * ord + 1, string_split(n, ' ')[1] || ' ' || substr(string_split(n, ' ')[2], 1, 4), true FROM b WHERE length(string_split(n, ' ')[2]) > 4),
+d AS (SELECT doc_id, ' ' || """ + duck.norm('text') + """ || ' ' AS norm FROM documents)
+SELECT doc_id, (SELECT min_by(CASE WHEN open THEN word || '*' ELSE word END, ord) FROM kw WHERE contains(norm, ' ' || word || CASE WHEN open THEN '' ELSE ' ' END)) AS keyword FROM d""")
+def c1_long(t: Tables) -> DataFrame:
+    """Keywords of five words, and two-word ones that end in the middle of a word."""
+    b = t.benchmark.select(F.col("item_id").alias("ord"), F.split(normalize_text(F.col("text")), " ").alias("w"))
+    five = b.filter(F.size("w") >= 5).select((F.col("ord") * 2).alias("ord"), F.array_join(F.slice("w", 1, 5), " ").alias("norm"))
+    second = F.try_element_at("w", F.lit(2))
+    begun = b.filter(F.length(second) > 4).select((F.col("ord") * 2 + 1).alias("ord"), F.concat(F.get("w", F.lit(0)), F.lit(" "), F.substring(second, 1, 4)).alias("norm"))
+    table = five.withColumn("keyword", F.col("norm")).unionByName(begun.withColumn("keyword", F.concat("norm", F.lit("*"))))
+    docs = t.documents.select("doc_id", normalize_text(F.col("text")).alias("n"))
+    return K.find_keyword_join(docs, "doc_id", F.col("n"), table).select("doc_id", "keyword")
 
 
 @query("c2_excluded", f"""

@@ -197,19 +197,15 @@ def d10(t: Tables) -> DataFrame:
 
 
 @query("d12_detail_join", f"""
-WITH {V}, c AS (SELECT v.*, row_number() OVER (PARTITION BY grp ORDER BY n % 11 <> 0, posting) AS rn FROM v WHERE kind = 'job' AND n % 2 = 0)
-SELECT posting, grp, substr(text, 1, 50) AS detail FROM c LEFT JOIN documents d ON d.doc_id = c.n WHERE rn <= 60""")
+WITH {V}, c AS (SELECT * FROM v WHERE kind = 'job' AND n % 2 = 0 AND n % 6 <> 0)
+SELECT posting, grp, coalesce(d.text, '') AS detail FROM c LEFT JOIN documents d ON d.doc_id = c.n""")
 def d12(t: Tables) -> DataFrame:
-    """Details for the survivors without description, at most 60 per group and run, multi-location ones first.
-
-    The limit is the feature (details are fetched over the network); Spark applies it before the shuffle."""
-    from pyspark.sql import Window
-
-    missing = t.v.filter("kind = 'job' AND n % 2 = 0").withColumn("multi", F.col("n") % 11 == 0)
-    w = Window.partitionBy("grp").orderBy(F.desc("multi"), "posting")
-    picked = missing.withColumn("rn", F.row_number().over(w)).filter("rn <= 60")
-    detail = t.documents.select(F.col("doc_id").alias("n"), F.substring("text", 1, 50).alias("detail"))
-    return picked.join(detail, "n", "left").select("posting", "grp", "detail")
+    """Details for the survivors without description and without a remembered verdict."""
+    missing = t.v.filter("kind = 'job' AND n % 2 = 0").select("posting", "grp", "n", F.lit("").alias("description"))
+    known = t.v.filter("n % 6 = 0").select("posting")
+    details = t.documents.select(F.col("doc_id").alias("n"), F.col("text").alias("detail"))
+    out = S.join_details(missing, details, ["n"], "posting", known)
+    return out.select("posting", "grp", F.col("description").alias("detail"))
 
 
 # --- sets and merges -------------------------------------------------------------------------------------------
@@ -292,16 +288,13 @@ def h12(t: Tables) -> DataFrame:
 
 
 @query("f1_rank_results", f"""
-WITH {V} SELECT posting, row_number() OVER (ORDER BY CASE WHEN n % 9 = 0 THEN 0 ELSE score END DESC, coalesce(posted_at, seen_at) DESC, posting) AS rank FROM v ORDER BY 2 LIMIT 500""")
+WITH {V} SELECT posting, row_number() OVER (ORDER BY CASE WHEN n % 9 = 0 THEN 0 ELSE score END DESC, coalesce(posted_at, seen_at) DESC, posting) AS rank FROM v""")
 def f1(t: Tables) -> DataFrame:
-    """The first 500 of the ranking, with their rank (a top-k report)."""
-    from pyspark.sql import Window
-
+    """The rank of every posting."""
     v = t.v.select("posting", F.when(F.col("n") % 9 != 0, F.col("score")).alias("score"), F.col("posted_at").cast("timestamp").alias("posted_at"),
                    F.col("seen_at").cast("timestamp").alias("first_seen"))
-    top = G.rank_results(v, NOW, "posting").limit(500)
-    w = Window.orderBy(F.desc(F.coalesce("score", F.lit(0))), G.newest(NOW).desc(), "posting")  # 500 rows
-    return top.select("posting", F.row_number().over(w).cast("bigint").alias("rank"))
+    keyed = v.select("posting", F.coalesce("score", F.lit(0)).alias("score"), G.newest(NOW).alias("newest"))
+    return G.number_all(keyed, F.desc("score"), F.desc("newest"), F.asc("posting")).select("posting", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("f9_recent_notified", f"""

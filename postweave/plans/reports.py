@@ -174,7 +174,7 @@ def d5(t: Tables) -> DataFrame:
 UNION ALL SELECT 'family:' || family, count(*) FILTER (WHERE wanted), count(*) FILTER (WHERE NOT wanted) FROM mk WHERE family IS NOT NULL GROUP BY 1""")
 def e9(t: Tables) -> DataFrame:
     m = TR.feedback(*marks(t))
-    return ST.acceptance(m, F.concat(F.lit("src:"), "src")).unionByName(ST.acceptance(m, F.concat(F.lit("family:"), "family")))
+    return ST.acceptance(m, F.col("src"), F.concat(F.lit("src:"), "src"), F.concat(F.lit("family:"), "family"))
 
 
 @query("d6_tracker_status", f"""WITH {V} SELECT posting, CASE n % 5 WHEN 0 THEN 'aplicado' WHEN 1 THEN 'descartado' WHEN 2 THEN 'on hold' END AS status FROM v""")
@@ -510,7 +510,7 @@ def i3(t: Tables) -> DataFrame:
  UNION ALL SELECT 'window', '7d' FROM items WHERE pub >= {NOW_SQL} - INTERVAL 7 DAY UNION ALL SELECT 'window', '30d' FROM items) SELECT what, label, count(*)::BIGINT AS n FROM g GROUP BY 1, 2""")
 def i4(t: Tables) -> DataFrame:
     """Counts of the feed by group, family and window."""
-    age = F.datediff(dates.at(NOW), F.col("notified_at"))
+    age = (F.unix_micros(dates.at(NOW)) - F.unix_micros("notified_at")) / 86_400_000_000
 
     def pair(what: str, value) -> object:
         return F.struct(F.lit(what).alias("what"), value.alias("label"))
@@ -629,7 +629,7 @@ def h11(t: Tables) -> DataFrame:
     return t.ev.join(done, "user_id").filter((F.col("event_id") > F.col("done")) | (F.col("user_id") % 9 == 0)).select("event_id")
 
 
-@query("h13_score_batches", """WITH d AS (SELECT d.doc_id, d.n_chars, CASE WHEN quality = 1 THEN 'good' END AS kw, CASE WHEN d.doc_id % 4 <> 0 THEN length(substr(text, 1, 1800)) % 101 END AS score FROM documents d LEFT JOIN labels USING (doc_id))
+@query("h13_score_batches", """WITH d AS (SELECT d.doc_id, d.n_chars, CASE WHEN quality = 1 THEN 'good' END AS kw, CASE WHEN d.doc_id % 4 <> 0 THEN length(text) % 101 END AS score FROM documents d LEFT JOIN labels USING (doc_id))
 SELECT CAST(doc_id AS VARCHAR) AS key, score::BIGINT AS score, CASE WHEN score IS NULL AND kw IS NULL THEN 'ai_unavailable' WHEN score < 40 THEN 'ai_score' END AS decision FROM d""")
 def h13(t: Tables) -> DataFrame:
     """A deterministic scorer: the length of what it is shown; it gives no answer for every fourth document."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
@@ -283,6 +283,40 @@ def b24(t: Tables) -> DataFrame:
         "event_id", dates.iso_week(F.col("ts")).alias("week"))
 
 
+@query("b14_written_dates", f"""
+WITH {V}, m AS (SELECT *, extract(month FROM seen_at)::INT AS mo, extract(day FROM seen_at)::INT AS d, extract(year FROM seen_at)::INT AS y FROM v)
+SELECT posting, make_timestamp(y, mo, d, 0, 0, 0) AS ts, 'date' AS prec FROM m""")
+def b14_written(t: Tables) -> DataFrame:
+    """The same day written out in English, Spanish, French and German."""
+    day, year = F.dayofmonth("seen_at").cast("string"), F.year("seen_at").cast("string")
+    def month(lang: str) -> Column:
+        return F.get(F.array(*[F.lit(m) for m in dates.MONTHS[lang].split()]), F.month("seen_at") - 1)
+    written = (F.when(F.col("n") % 4 == 0, F.concat_ws(" ", day, F.initcap(month("en")), year)).when(F.col("n") % 4 == 1, F.concat(day, F.lit(" de "), month("es"), F.lit(" de "), year))
+               .when(F.col("n") % 4 == 2, F.concat_ws(" ", day, month("fr"), year)).otherwise(F.concat(day, F.lit(". "), F.initcap(month("de")), F.lit(" "), year)))
+    p = dates.parse_date(written, NOW)
+    return t.v.select("posting", p["ts"].alias("ts"), p["precision"].alias("prec"))
+
+
+@query("b25_empty_object", f"""
+WITH {V} SELECT posting, '{{"title":"' || title || '"' || CASE WHEN n % 5 = 0 THEN '' ELSE ',"by":{{"name":"' || company || '"}}' END || '}}' AS js FROM v""")
+def b25_empty(t: Tables) -> DataFrame:
+    """An object left without fields goes, too."""
+    by = jsons.object_or_null(name=F.when(F.col("n") % 5 != 0, F.col("company")), site=F.lit(None).cast("string"))
+    return t.v.select("posting", jsons.prune_nulls(title=F.col("title"), by=by).alias("js"))
+
+
+@query("b10_other_entities", f"""WITH {V} SELECT posting, 'München – España €' || n || ' "' || title || '" &lt;' AS visible FROM v""")
+def b10_entities(t: Tables) -> DataFrame:
+    """Named, decimal and hexadecimal references, and an escaped reference that stays one."""
+    html = F.concat(F.lit("<p>M&uuml;nchen &#8211; Espa&ntilde;a &#x20AC;"), F.col("n").cast("string"), F.lit(" &quot;"), F.col("title"), F.lit("&#34; &amp;lt;</p>"))
+    return t.v.select("posting", text.html_to_text(html).alias("visible"))
+
+
+@query("b1_ligatures", f"""WITH {V} SELECT posting, 'office iv 1 2 fluss ' || n AS norm FROM v""")
+def b1_ligatures(t: Tables) -> DataFrame:
+    return t.v.select("posting", text.normalize_text(F.concat(F.lit("oﬃce Ⅳ ½ ﬂuſs "), F.col("n").cast("string"))).alias("norm"))
+
+
 @query("b25_prune_nulls", f"""
 WITH {V} SELECT posting, '{{"title":"' || title || '"' || CASE WHEN posted_at IS NULL THEN '' ELSE ',"posted":"' || strftime(posted_at, '%Y-%m-%d') || '"' END
  || CASE WHEN n % 2 = 0 THEN ',"tags":["' || family || '"]' ELSE '' END || CASE WHEN n % 5 = 0 THEN '' ELSE ',"by":{{"name":"' || company || '"}}' END || '}}' AS js FROM v""")

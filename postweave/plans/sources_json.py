@@ -55,8 +55,8 @@ def a1(t: Tables) -> DataFrame:
     return J.scan_errors(captures).groupBy("source_key", "ok", "error").agg(F.count("*").alias("n"))
 
 
-@query("a2_normalize_json", expect(url="CASE WHEN n % 2 = 0 THEN url ELSE 'https://t.test/' || n || '/' || family END", native="CASE WHEN n % 3 = 0 THEN native_id WHEN n % 2 = 0 THEN url ELSE 'https://t.test/' || n || '/' || family END",
-       company="company", where="n % 5 <> 0 AND (n % 3 = 0 OR n % 2 = 1)"))
+@query("a2_normalize_json", "WITH e AS (" + expect(url="CASE WHEN n % 2 = 0 THEN url ELSE 'https://t.test/' || n || '/' || family END", native="CASE WHEN n % 3 = 0 THEN native_id WHEN n % 2 = 0 THEN url ELSE 'https://t.test/' || n || '/' || family END",
+       company="company", where="n % 5 <> 0").replace("SELECT source_key,", "SELECT n, source_key,") + ") SELECT * EXCLUDE (n) FROM e QUALIFY row_number() OVER (PARTITION BY source_key, native_id ORDER BY n) = 1")
 def a2(t: Tables) -> DataFrame:
     """Own fields: scalar and listed places, URL template, id falling back to the URL, items without title dropped."""
     url = F.when(N() % 2 == 0, col("url"))
@@ -65,7 +65,20 @@ def a2(t: Tables) -> DataFrame:
     m = J.Mapping("data.roles.items", id="roleId", title="jobTitle", url="link", url_template="https://t.test/{number}/{team}", locations="place",
                   posted_at="when", posted_at_format="dd|MM|yyyy", company="org.name")
     body = pages(t, item, lambda items: F.to_json(struct(data=struct(roles=struct(items=items)))))
-    return shown(J.normalize_json(body, m, NOW)).filter(F.col("native_id").rlike("^[0-9]") | F.col("native_id").startswith("https://t"))
+    return shown(J.normalize_json(body, m, NOW))
+
+
+@query("j1_mixed_sources", f"""WITH {V} SELECT source_key, native_id, title, CASE WHEN n % 10 < 4 THEN 'https://b.test/' || n WHEN n % 10 < 7 THEN 'https://l.test/' || n ELSE 'https://jobs.smartrecruiters.com/acme/' || n END AS url FROM v""")
+def j1(t: Tables) -> DataFrame:
+    """Captures of three types in one table: two are found by their address, one is named."""
+    greenhouse = pages(t, struct(id=N(), title=col("title"), absolute_url=F.concat(F.lit("https://b.test/"), N().cast("string"))))
+    lever = pages(t, struct(id=N().cast("string"), text=col("title"), hostedUrl=F.concat(F.lit("https://l.test/"), N().cast("string"))), F.to_json)
+    smart = pages(t, struct(id=N().cast("string"), name=col("title")), lambda items: F.to_json(struct(content=items)))
+    digit = F.substring("source_key", 2, 1).cast("int")
+    captures = greenhouse.filter(digit < 4).unionByName(lever.filter(digit.between(4, 6))).unionByName(smart.filter(digit > 6))
+    sources = [(f"s{i}", None, "https://boards.greenhouse.io/acme", {}) for i in range(4)] + [(f"s{i}", "lever", None, {}) for i in range(4, 7)]
+    sources += [(f"s{i}", None, "https://careers.smartrecruiters.com/acme", {}) for i in range(7, 10)]
+    return VD.normalize_mixed(captures, sources, NOW).select("source_key", "native_id", "title", "url")
 
 
 @query("a2_first_page_wins", f"WITH {V} SELECT source_key, CAST(n % 900 AS VARCHAR) AS native_id, arg_min(title, n) AS title FROM v GROUP BY 1, 2")

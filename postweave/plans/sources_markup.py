@@ -172,13 +172,13 @@ def a5b(t: Tables) -> DataFrame:
 @query("a6_sitemap_frontier", f"""
 WITH {V}, s AS (SELECT source_key, 'https://x.test/jobs/' || n AS url, CASE WHEN n % 3 <> 0 THEN posted_at END AS lastmod, n FROM v WHERE n % 4 <> 0),
 f AS (SELECT * FROM s WHERE lastmod >= {NOW_SQL} - INTERVAL 31 DAY OR (lastmod IS NULL AND n % 5 <> 0)),
-r AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY coalesce(lastmod, {NOW_SQL}) DESC, url) AS rank FROM f) SELECT source_key, url, rank FROM r WHERE rank <= 60""")
+r AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY coalesce(lastmod, {NOW_SQL}) DESC, url) AS rank FROM f) SELECT source_key, url, rank FROM r""")
 def a6(t: Tables) -> DataFrame:
     path = F.when(N() % 4 == 0, F.lit("about")).otherwise(F.lit("jobs"))
     loc = text("<url><loc><![CDATA[https://x.test/", path, "/", N().cast("string"), "]]></loc>", F.when((N() % 3 != 0) & day().isNotNull(), text("<lastmod>", day(), "</lastmod>")).otherwise(F.lit("")), "</url>")
     known = t.v.filter("n % 5 = 0").select(text(col("source_key"), ":https://x.test/jobs/", N().cast("string")).alias("key"))
     body = pages(t, loc, wrap("<urlset>", "</urlset>"))
-    return X.sitemap_frontier(body, known, NOW, 30, "/jobs/", 60).select("source_key", "url", F.col("rank").cast("bigint").alias("rank"))
+    return X.sitemap_frontier(body, known, NOW, 30, "/jobs/").select("source_key", "url", F.col("rank").cast("bigint").alias("rank"))
 
 
 LINKS_SQL = r"""
@@ -198,6 +198,15 @@ def a7(t: Tables) -> DataFrame:
     return P.new_links(p, known, r"\.example\.").select("source_key", "href")
 
 
+@query("a7_first_observation_empty", f"""WITH {LINKS_SQL} SELECT CAST(page_id AS VARCHAR) AS source_key, href FROM a WHERE contains(href, '.example.') AND page_id % 3 = 0""")
+def a7_empty(t: Tables) -> DataFrame:
+    """Every third page was observed before and had no matching link then: all its links are new.  The others are seen for the first time."""
+    p = site_pages(t)
+    observed = p.filter(F.col("source_key").cast("bigint") % 3 == 0).select("source_key")
+    known = P.page_links(p).select("source_key", "href").limit(0)
+    return P.new_links(p, known, r"\.example\.", observed=observed).select("source_key", "href")
+
+
 @query("a7a_content_change", f"""SELECT CAST(page_id AS VARCHAR) AS source_key, 'page_change' AS kind, substr(sha1({duck.html_text('html')}), 1, 12) AS native_id FROM pages WHERE page_id % 3 = 1""")
 def a7a(t: Tables) -> DataFrame:
     """Two snapshots: a third of the pages is new, a third changed, a third is the same."""
@@ -248,6 +257,18 @@ def a8b(t: Tables) -> DataFrame:
     return found.select("uid", "native_id", "title", "company", "location", "url")
 
 
+@query("a8b_plain_text_mail", f"""WITH {V} SELECT CAST(substr(source_key, 2) AS BIGINT) * 1000000 + n // 1000 AS uid, CAST(n + 1000000 AS VARCHAR) AS native_id, title, company, location,
+ 'https://www.linkedin.com/jobs/view/' || (n + 1000000) || '/' AS url FROM v""")
+def a8b_plain(t: Tables) -> DataFrame:
+    """Alert mails without HTML: title, company, place, then the link of the posting."""
+    ident = (N() + 1000000).cast("string")
+    block = text(col("title"), "\n", col("company"), "\n", col("location"), "\nhttps://www.linkedin.com/comm/jobs/view/some-job-", ident, "?trk=mail\n\n")
+    body = pages(t, block, wrap("", ""))
+    uid = F.substring("source_key", 2, 9).cast("bigint") * 1000000 + F.col("page_no")
+    links = M.mail_links(body.select(uid.alias("uid"), "body")).withColumn("site", F.lit("linkedin"))
+    return M.links_to_postings(links).select("uid", "native_id", "title", "company", "location", "url")
+
+
 @query("a8c_plain_text_blocks", """
 WITH l AS (SELECT conv_id, turn, [trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN string_split(text, chr(10))] AS ls FROM conversations),
 k AS (SELECT conv_id, turn, [x FOR x IN ls IF x <> ''] AS ls FROM l)
@@ -269,8 +290,7 @@ def a8d(t: Tables) -> DataFrame:
 
 @query("a8e_incremental_offset", """
 WITH m AS (SELECT event_type AS box, max(event_id) FILTER (WHERE ts < TIMESTAMP '2024-01-29') AS last_uid FROM events GROUP BY 1),
-f AS (SELECT event_type AS box, event_id AS uid FROM events JOIN m ON box = event_type WHERE event_id > last_uid OR event_type = 'view'),
-r AS (SELECT *, row_number() OVER (PARTITION BY box ORDER BY uid DESC) AS rn FROM f) SELECT box, uid FROM r WHERE rn <= 300""")
+f AS (SELECT event_type AS box, event_id AS uid FROM events JOIN m ON box = event_type WHERE event_id > last_uid OR event_type = 'view') SELECT box, uid FROM f""")
 def a8e(t: Tables) -> DataFrame:
     mails = t.ev.select(F.col("event_type").alias("box"), F.lit("v2").alias("validity"), F.col("event_id").alias("uid"))
     state = t.ev.groupBy(F.col("event_type").alias("box")).agg(F.max(F.when(F.col("ts") < F.lit("2024-01-29").cast("timestamp"), F.col("event_id"))).alias("last_uid"))

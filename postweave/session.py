@@ -33,12 +33,15 @@ def build_session(app: str = "postweave", cores: int | None = None) -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
+    """The shared folder named by ``spark.checkpoint.dir``; only where it is unset and Spark runs in one process (tests) a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         folder = named
     else:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="postweave-checkpoint-")
+        folder = spark.sparkContext.getCheckpointDir()
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="postweave-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

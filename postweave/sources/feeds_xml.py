@@ -115,10 +115,10 @@ def normalize_successfactors(captures: DataFrame, now: datetime, base: str) -> D
 
 
 def sitemap_frontier(captures: DataFrame, seen: DataFrame, now: datetime, max_age_days: float, url_pattern: str = ".",
-                     max_urls: int = 60) -> DataFrame:
+                     max_urls: int | None = None) -> DataFrame:
     """URLs to visit per source: changed within the window, or without a date and never seen; newest first.
 
-    ``max_urls`` is the visiting budget of a run.  The limit is pushed below the shuffle by Spark.
+    ``max_urls`` is the visiting budget of a run, None for all; the limit is pushed below the shuffle by Spark.
     """
     rows = _rows(captures, SITEMAP, "urlset", "url").select("source_key", _clean(F.col("item.loc")).alias("url"), F.col("item.lastmod").alias("_m"))
     rows = rows.filter((F.col("url") != "") & F.col("url").rlike(url_pattern)).withColumn("lastmod", parse_date(F.col("_m"), now)["ts"])
@@ -127,4 +127,5 @@ def sitemap_frontier(captures: DataFrame, seen: DataFrame, now: datetime, max_ag
     undated = rows.filter("lastmod IS NULL").withColumn("_key", F.concat_ws(":", "source_key", "url")).join(keys, "_key", "left_anti")
     both = dated.select("source_key", "url", "lastmod").unionByName(undated.select("source_key", "url", "lastmod"))
     w = Window.partitionBy("source_key").orderBy(F.coalesce("lastmod", at(now)).desc(), "url")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_urls)
+    ranked = both.withColumn("rank", F.row_number().over(w))
+    return ranked if max_urls is None else ranked.filter(F.col("rank") <= max_urls)

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as V
 from ..functions.dates import parse_date
 from ..functions.jsons import as_list, dig
-from ..functions.text import collapse_spaces, html_to_text, text_part, unescape
+from ..functions.text import collapse_spaces, html_to_text, text_part, unescape, unescape_address
 from ..functions.urls import absolute_url
 from ..operators.dedupe import distinct_first_wins, distinct_last_wins
 from .markup import parse
@@ -42,8 +42,8 @@ class ListMapping:
 _RAW = "source_key string, page_no int, page_url string, pos int, id string, title string, href string, company string, place string, day string"
 
 
-def read_items(captures: DataFrame, m: ListMapping) -> DataFrame:
-    """Raw texts per item node.  The tree is the only Python step; everything after it is Columns."""
+def read_items(captures: DataFrame, m: ListMapping, title_chars: int | None = None) -> DataFrame:
+    """Raw texts per item node; without a title selector the item's text is the title (``title_chars`` of it).  The tree is the only Python step; everything after it is Columns."""
     def one(node, selector, attr=None):
         if not selector:
             return ""
@@ -57,7 +57,7 @@ def read_items(captures: DataFrame, m: ListMapping) -> DataFrame:
                 for pos, node in enumerate(parse(body or "").select(m.item)):
                     link = node if m.link == "self" else node.first(m.link)
                     out.append((key, page, url, pos, (node.attrs.get(m.id_attr) or "").strip() if m.id_attr else "",
-                                one(node, m.title) or node.text()[:200], link.attrs.get("href", "") if link is not None else "",
+                                one(node, m.title) or node.text()[:title_chars], link.attrs.get("href", "") if link is not None else "",
                                 one(node, m.company), one(node, m.location), one(node, m.date, m.date_attr)))
             yield pd.DataFrame(out, columns=["source_key", "page_no", "page_url", "pos", "id", "title", "href", "company", "place", "day"])
 
@@ -183,17 +183,19 @@ def page_links(captures: DataFrame, page: str = "source_key") -> DataFrame:
     tags = F.regexp_extract_all("body", F.lit(r"(?is)(<a\s[^>]*?href=[\"'][^\"']*[\"'][^>]*>.*?</a\s*>)"), F.lit(1))
     rows = captures.select(page, "url", F.posexplode(tags).alias("pos", "_tag"))
     href, text = F.regexp_extract("_tag", _ANCHOR, 1), F.regexp_extract("_tag", _ANCHOR, 2)
-    return rows.select(page, "pos", absolute_url(F.col("url"), unescape(href)).alias("href"),
+    return rows.select(page, "pos", absolute_url(F.col("url"), unescape_address(href)).alias("href"),
                        collapse_spaces(unescape(F.regexp_replace(text, "<[^>]*>", " "))).alias("text"))
 
 
-def new_links(captures: DataFrame, known: DataFrame, pattern: str, page: str = "source_key") -> DataFrame:
-    """Links that match and were not remembered; the first text of a link wins; a page observed for the first time
-    (no remembered links) emits nothing.  ``known``: (page, href)."""
+def new_links(captures: DataFrame, known: DataFrame, pattern: str, page: str = "source_key", observed: DataFrame | None = None) -> DataFrame:
+    """Links that match and were not remembered; the first text of a link wins; a page observed for the first time emits nothing.
+
+    ``known``: (page, href).  ``observed``: the pages seen before, even without a matching link; by default those that have remembered links.
+    """
     links = page_links(captures, page).filter(F.col("href").rlike(pattern))
     links = links.withColumn("href", F.substring_index("href", "#", 1))
     first = links.groupBy(page, "href").agg(F.min_by("text", "pos").alias("text"))
-    fresh = first.join(known.select(page).distinct(), page, "left_semi").join(known.select(page, "href"), [page, "href"], "left_anti")
+    fresh = first.join((known if observed is None else observed).select(page).distinct(), page, "left_semi").join(known.select(page, "href"), [page, "href"], "left_anti")
     return fresh.withColumn("title", F.when(F.col("text") != "", F.col("text")).otherwise(F.substring_index("href", "/", -1)))
 
 
@@ -209,9 +211,13 @@ def content_change(captures: DataFrame, monitors: DataFrame, page: str = "source
         page, "url", F.substring("hash", 1, 12).alias("native_id"), F.lit("page_change").alias("kind"))
 
 
-def remembered_links(links: DataFrame, page: str = "source_key") -> DataFrame:
-    """What a page monitor keeps: the first 500 addresses in order (limited per task before the shuffle)."""
+def remembered_links(links: DataFrame, page: str = "source_key", most: int | None = None) -> DataFrame:
+    """What a page monitor keeps: its distinct addresses (with ``most``, the first so many in order, limited per task before the
+    shuffle; a page with more would report the same links as new on every run)."""
     from pyspark.sql import Window
 
+    kept = links.select(page, "href").distinct()
+    if most is None:
+        return kept
     w = Window.partitionBy(page).orderBy("href")
-    return links.select(page, "href").distinct().withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= V.MONITOR_LINKS).drop("_rn")
+    return kept.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most).drop("_rn")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import inspect
+from collections.abc import Sequence
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.jsons import as_list, dig
 from ..functions.text import html_to_text
-from .json_map import Mapping, each, first_of, join_parts
+from ..session import small_table
+from .detect import detect_source_type
+from .json_map import Mapping, each, first_of, join_parts, normalize_json
 
 NONE = "array<string>"
 
@@ -168,6 +174,34 @@ MAPPINGS = {
 }
 
 
+def normalize_mixed(captures: DataFrame, sources: Sequence[tuple[str, str | None, str | None, dict]], now: datetime) -> DataFrame:
+    """Postings of captures from sources of several types: each goes through the mapping of its source's type.
+
+    ``sources``: the configuration, as (source_key, type or None, url, parameters of the mapping).  Without a type the url tells it
+    (``detect_source_type``), and with it the parameters.  Sources with one mapping are read together.
+    """
+    spark = captures.sparkSession
+    asked = small_table(spark, "i int, url string", [(i, url) for i, (_, kind, url, _) in enumerate(sources) if kind is None and url])
+    found = {r.i: r.d for r in asked.select("i", detect_source_type(F.col("url")).alias("d")).collect()}  # as many rows as sources
+    by_mapping: dict[tuple, list[str]] = {}
+    for i, (key, kind, _, params) in enumerate(sources):
+        told = found.get(i)
+        kind = kind or (told.type if told else None)
+        if kind not in MAPPINGS:
+            raise ValueError(f"source {key!r}: no mapping for type {kind!r}")
+        wanted = inspect.signature(MAPPINGS[kind]).parameters if callable(MAPPINGS[kind]) else ()
+        known = {**(told.params if told else {}), **params}
+        by_mapping.setdefault((kind, tuple((p, known[p]) for p in wanted if p in known)), []).append(key)
+    out = None
+    for (kind, params), keys in by_mapping.items():
+        mapping = MAPPINGS[kind](**dict(params)) if callable(MAPPINGS[kind]) else MAPPINGS[kind]
+        rows = normalize_json(captures.filter(F.col("source_key").isin(keys)), mapping, now)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no sources")
+    return out
+
+
 def merge_details(postings: DataFrame, details: DataFrame, description: Column, locations: Column, posted: Column | None = None) -> DataFrame:
     """Fill postings from detail captures (source_key, native_id, body): description, real locations, and the exact
     date where the estimate is missing or more than a day off."""
