@@ -126,6 +126,16 @@ class _Block:
                                             pa.array(self.words, pa.string())], ["block", "doc_id", "places", "place", "word"])]
 
 
+def pack(places: np.ndarray) -> bytes:
+    """Places as compressed bytes, the low bytes of all first: the high ones of frequent, early words are mostly zero."""
+    return zlib.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def word_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Split whole texts: a row per document (its words as places in the block's list, packed) and a row per word of a block's list.
 
@@ -141,10 +151,10 @@ def word_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     block = _Block(base + number)
                     number += 1
                 joined, points, starts, ends, owner = split_words(texts[a:b], coder)
-                places = block.place(joined, run_hashes(points, starts, ends), starts, ends).astype("<i4")
+                places = block.place(joined, run_hashes(points, starts, ends), starts, ends)
                 counts = np.bincount(owner, minlength=b - a) if len(owner) else np.zeros(b - a, np.int64)
-                raw, end = memoryview(places.tobytes()), 4 * np.cumsum(counts)
-                packed = [zlib.compress(raw[e - 4 * c:e], 1) for e, c in zip(end.tolist(), counts.tolist(), strict=True)]
+                end = np.cumsum(counts)
+                packed = [pack(places[e - c:e]) for e, c in zip(end.tolist(), counts.tolist(), strict=True)]
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, block.number), pa.int32()), pa.array(ids[a:b], pa.int64()), pa.array(packed, pa.binary()),
@@ -161,39 +171,57 @@ def word_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def encode_and_decode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode whole texts and decode the ids again: (doc_id, n_tokens, ids, decoded); ids are little-endian unsigned 32-bit.
 
-    Texts are split in blocks with a word list each; the lists meet in one table of distinct words, where every word is encoded once by the
-    vocabulary's own model; its ids are joined back to the lists by word, and to the documents by block and place.  Decoding looks every id up
+    Texts are split in blocks with a word list each; the words of all lists meet sorted, so that every distinct word is encoded once, by
+    the vocabulary's own model; its ids go back to the lists that have it, and are joined to the documents by block and place.  Decoding looks every id up
     in the table of pieces (bounded by the vocabulary, so each task holds it) and joins pieces with a blank, as this
     vocabulary's library does.  A word is met at most once per block, so no word and no block is a hot key.
     Null text counts as empty (no ids, empty text); null or repeated ids stay row by row; other columns are ignored.
     """
     parts = word_blocks(spread_out(texts_of(documents, text, key)), vocabulary)
     words = parts.where("word is not null").select("block", "place", "word")
-    words = words.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    words = words.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
 
-    @F.pandas_udf("binary")
-    def encode(column: pd.Series) -> pd.Series:
-        coder = model(vocabulary)
-        return pd.Series([np.array(coder.encode_word(w), "<u4").tobytes() for w in column], dtype=object)
-
-    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", encode("word")).select("word", "ids")
-    coded = words.join(distinct, "word").select(F.col("block").alias("list"), "place", "ids")
+    def encode(batches):
+        """Equal words stand together, so each is encoded when it comes up first; its ids go back to all lists that have it."""
+        coder, last, ids = model(vocabulary), None, b""
+        for batch in batches:
+            coded = []
+            for word in batch.column(2).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(coder.encode_word(word), "<u4").tobytes()
+                coded.append(ids)
+            lists, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.argsort(lists, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(lists[order])) + 1, len(order)).tolist()
+            rows, start = [], 0
+            for end in ends if len(order) else []:
+                some = order[start:end]
+                own = [coded[i] for i in some.tolist()]
+                raw = places[some].astype("<i4").tobytes() + np.array([len(x) // 4 for x in own], "<u4").tobytes() + b"".join(own)
+                rows.append((int(lists[some[0]]), len(own), zlib.compress(raw, 1)))
+                start = end
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["list", "n", "packed"])
+    coded = words.mapInArrow(encode, "list int, n int, packed binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = model(vocabulary).pieces
-        order = np.argsort(left.column("place").to_numpy(), kind="stable")
-        packed = left.column("ids").combine_chunks().take(pa.array(order)) if left.num_rows else pa.array([], pa.binary())
-        listed = packed.to_pylist()
-        flat = np.frombuffer(b"".join(listed), "<u4")
-        sizes = np.array([len(x) // 4 for x in listed], np.int64)
-        begin = np.cumsum(sizes) - sizes
+        places, sizes, ids = [np.zeros(0, "<i4")], [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
+        for n, packed in zip(left.column("n").to_pylist(), left.column("packed").to_pylist(), strict=True):
+            raw = zlib.decompress(packed)
+            places.append(np.frombuffer(raw, "<i4", n))
+            sizes.append(np.frombuffer(raw, "<u4", n, 4 * n))
+            ids.append(np.frombuffer(raw, "<u4", offset=8 * n))
+        place, size, flat = np.concatenate(places), np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
+        begin_of, size_of = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        begin_of[place], size_of[place] = np.cumsum(size) - size, size
         counts, codes, texts = [], [], []
         for raw in right.column("places").to_pylist():
-            at = np.frombuffer(zlib.decompress(raw), "<i4")
-            ids = gather(flat, begin[at], sizes[at]) if len(at) else np.zeros(0, "<u4")
-            counts.append(len(ids))
-            codes.append(ids.tobytes())
-            texts.append(" ".join([pieces[i] for i in ids.tolist()]))
+            at = unpack(raw)
+            own = gather(flat, begin_of[at], size_of[at]) if len(at) else np.zeros(0, "<u4")
+            counts.append(len(own))
+            codes.append(own.tobytes())
+            texts.append(" ".join([pieces[i] for i in own.tolist()]))
         return pa.table({"doc_id": right.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()),
                          "ids": pa.array(codes, pa.binary()), "decoded": pa.array(texts, pa.string())})
     docs = parts.where("word is null").select("block", "doc_id", "places")
