@@ -52,7 +52,7 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
     still = cut_lineage(base.filter("_ok").groupBy(*tokens).agg(best))
     ids = F.array_compact(F.array(*[F.when(F.col(t).isNotNull(), F.concat(F.lit(f"{i}"), F.col(t)))
                                     for i, t in enumerate(tokens)]))
-    still = still.select("_best", ids.alias("_ids"))
+    still = still.select("_best", ids.alias("_ids")).filter(F.size("_ids") > 0)
     rounds: list[DataFrame] = []
     while not still.isEmpty():
         row = F.struct(F.col("_best"), F.col("_ids"))
@@ -72,7 +72,7 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
         still = state.filter("_t IS NULL").select("_best", "_ids")
     empty = df.sparkSession.createDataFrame([], still.select(F.explode("_ids").alias("_t"), F.col("_best").alias("_owner")).schema)
     owners = reduce(DataFrame.unionByName, rounds, empty)
-    out = df.withColumn("_rank", rank)
+    out = df.withColumn("_rank", rank).withColumn("_eligible", F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False)))
     hits: list[Column] = []
     for i, t in enumerate(tokens):
         mine = owners.filter(F.col("_t").startswith(f"{i}")).select(F.col("_t").alias(f"_k{i}"), F.col("_owner").alias(f"_o{i}"))
@@ -81,9 +81,11 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
         hits.append(F.when((F.col(f"_o{i}._rank") < F.col("_rank")), F.col(f"_o{i}._key")))
         is_owner = F.col(f"_o{i}._key") == F.col(key)
         out = out.withColumn(f"_own{i}", F.coalesce(is_owner, F.lit(False)))
-    own = reduce(Column.__or__, [F.col(f"_own{i}") for i in range(len(tokens))])
+    # A row without any token shares nothing and is kept.
+    bare = reduce(Column.__and__, [F.col(t).isNull() for t in tokens])
+    own = reduce(Column.__or__, [F.col(f"_own{i}") for i in range(len(tokens))], bare & F.col("_eligible"))
     out = out.withColumn("kept", own).withColumn("dup_of", F.when(~own, F.coalesce(*hits)))
-    drop = ["_rank", *[f"_k{i}" for i in range(len(tokens))], *[f"_o{i}" for i in range(len(tokens))], *[f"_own{i}" for i in range(len(tokens))]]
+    drop = ["_rank", "_eligible", *[f"_k{i}" for i in range(len(tokens))], *[f"_o{i}" for i in range(len(tokens))], *[f"_own{i}" for i in range(len(tokens))]]
     return out.drop(*drop), owners
 
 

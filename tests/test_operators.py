@@ -227,3 +227,54 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_report(lines, str(tmp_path / "md"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "md")).collect()] == ["| a |", "| b |"]
     assert sinks.scan_payloads(spark.read, str(tmp_path / "md"), "binaryFile").filter("length > 0").count() >= 1
+
+
+def test_keywords_of_any_length_and_beginnings(spark):
+    from postweave.operators.keywords import find_keyword_join
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "internship in data"), (3, "international"), (4, "senior data engineers wanted"), (5, "")], "id int, n string")
+    table = spark.createDataFrame([(1, "b c d e f g", "b c d e f g"), (2, "intern*", "intern"), (3, "senior data eng*", "senior data eng"), (4, "*", "")], "ord int, keyword string, norm string")
+    got = {r.id: r.keyword for r in find_keyword_join(docs, "id", F.col("n"), table).collect()}
+    assert got == {1: "b c d e f g", 2: "intern*", 3: "intern*", 4: "senior data eng*", 5: None}
+
+
+def test_scores_are_validated_and_budgets_do_not_depend_on_partitions(spark):
+    from postweave.operators.scoring import score_batches
+    docs = spark.createDataFrame([(f"k{i}", "t", "x" * 5000) for i in range(9)], "key string, title string, description string").repartition(4)
+    answers = [{"score": "87"}, {"score": 140, "family": 3}, {"score": None}, {"score": "nan", "reason": ""}]
+
+    def scorer(batch):
+        assert all(len(d["description"]) == 5000 for d in batch)
+        return {i: answers[int(d["key"][1:]) % 4] for i, d in enumerate(batch)}
+    got = {r.key: (r.score, r.family, r.reason) for r in score_batches(docs, scorer, batch_size=2).collect()}
+    assert got["k0"] == (87, None, None) and got["k1"] == (100, None, None) and got["k2"][0] == 0 and got["k3"] == (0, None, None) and len(got) == 9
+    some = score_batches(docs, scorer, batch_size=2, max_calls=2).collect()
+    assert sorted(r.key for r in some) == ["k0", "k1", "k2", "k3"]
+
+
+def test_numbers_over_the_whole_order(spark):
+    from postweave.operators.digest import number_all
+    df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "v int, i int").repartition(7)
+    assert [(r.v, r.rank) for r in number_all(df, F.desc("v"), F.asc("i")).orderBy("rank").collect()] == [(999 - i, i + 1) for i in range(1000)]
+
+
+def test_acceptance_has_one_gate(spark):
+    from postweave.operators.stats import acceptance
+    rows = [("applied", "s1", "f"), ("discarded", "s1", None), ("offer", None, "f"), ("offer", None, "f"), ("offer", None, "f")]
+    marks = spark.createDataFrame(rows, "status string, src string, family string")
+    assert acceptance(marks, F.col("src"), F.col("src"), F.col("family"), min_marks=5).collect() == []
+    got = {(r.name, r.wanted, r.discarded) for r in acceptance(marks, F.col("src"), F.col("src"), F.col("family"), min_marks=2).collect()}
+    assert got == {("s1", 1, 1), ("f", 4, 0)}
+
+
+def test_long_chains_of_duplicates_and_rows_without_tokens(spark):
+    from postweave.operators.dedupe import rank_greedy_dedupe, rank_order
+    rows = [(f"k{i}", f"a{i // 2}", f"b{(i + 1) // 2}", 100 - i) for i in range(40)] + [(f"n{i}", None, None, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, a string, b string, score int")
+    out, _ = rank_greedy_dedupe(df, "key", ["a", "b"], rank_order("score", "key"))
+    kept, owned = set(), {}
+    for key, a, b, _ in rows[:40]:
+        hit = owned.get(("a", a)) or owned.get(("b", b))
+        if not hit:
+            kept.add(key)
+            owned |= {("a", a): key, ("b", b): key}
+    assert {r.key for r in out.collect() if r.kept} == kept | {f"n{i}" for i in range(5)}
