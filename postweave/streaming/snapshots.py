@@ -2,8 +2,8 @@
 
 Micro-batch ``n`` reads the newest complete version below ``n`` and writes version ``n``.  A batch that is repeated
 after a failure therefore reads the same state and overwrites its own half-written version: nothing is counted twice.
-All versions stay by default, since a restart may repeat any batch that the checkpoint has not committed; ``drop_before`` removes
-those below a committed batch.
+When batch ``n`` runs, all batches below it are committed, so only the newest version below ``n`` can be read again: that one and ``keep - 2``
+before it stay, and so does any later version.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class SnapshotTable:
-    def __init__(self, path: str, schema: str, keep: int | None = None):
-        self.path, self.schema, self.keep = path.rstrip("/"), schema, keep
+    def __init__(self, path: str, schema: str, keep: int = 3):
+        self.path, self.schema, self.keep = path.rstrip("/"), schema, max(keep, 2)
 
     def _fs(self, spark: SparkSession):
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -36,14 +36,6 @@ class SnapshotTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version:012d}")
-        if self.keep is None:
-            return
         fs, make = self._fs(df.sparkSession)
-        for old in self.versions(df.sparkSession)[:-max(self.keep, 2)]:
-            fs.delete(make(f"{self.path}/v{old:012d}"), True)
-
-    def drop_before(self, spark: SparkSession, committed: int) -> None:
-        """Remove versions that no batch can read again: all but the newest below ``committed``, a batch known to be committed."""
-        fs, make = self._fs(spark)
-        for old in [v for v in self.versions(spark) if v < committed][:-1]:
+        for old in [v for v in self.versions(df.sparkSession) if v < version][:-(self.keep - 1)]:
             fs.delete(make(f"{self.path}/v{old:012d}"), True)
