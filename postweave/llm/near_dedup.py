@@ -113,6 +113,22 @@ def _survivors(classes: DataFrame, threshold: int) -> DataFrame:
     return met.where(F.col("m") >= threshold).select("rep")
 
 
+FILTER_BUCKETS = 4096  # bitmaps of 32,768 bits: at most 16 MB in all, whatever the number of ids
+
+
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id may be among ``ids`` (column rep): a bitmap over id hashes, built by aggregates and broadcast since its size is bounded, spares
+    most texts the shuffle of the exact join that follows.  With very many ids it lets more through, never less."""
+    def bit(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS * 32768))
+    marks = ids.select(bit("rep").alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.pmod(F.col("bit"), F.lit(32768))).alias("marks"))
+    placed = docs.withColumn("bit", bit("doc_id")).withColumn("bucket", F.floor(F.col("bit") / 32768)).join(F.broadcast(marks), "bucket")
+    inside = F.pmod(F.col("bit"), F.lit(32768)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("marks"), F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.where(F.getbit(byte, F.pmod(inside, F.lit(8))) == 1).select("doc_id", "text")
+
+
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
     """(key, rep, n, at): prefix postings of the survivors' full sets.
 
@@ -227,7 +243,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     survivors = hold(_survivors(classes, threshold), "survivors")
     labels = None
     if survivors.limit(1).count():
-        sets = hold(full_sets(docs.join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "sets")
+        sets = hold(full_sets(_likely(docs, survivors).join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "sets")
         if _repeated(sets):  # a repeated id with several texts: the class's own set is the one of its size and keys
             sets = sets.join(classes.select("rep", "n_shingles"), "rep").where(F.size("shingles") == F.col("n_shingles")).groupBy("rep").agg(
                 F.min("shingles").alias("shingles"))
