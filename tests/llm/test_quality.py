@@ -11,20 +11,20 @@ def test_patterns_go_back_to_votes():
 def test_estimate_finds_accuracies_of_made_labellers():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.8
-    right = [0.95, 0.9, 0.7, 0.85, 0.6, 0.9, 0.8]
-    kinds = rng.integers(0, 7, len(truth))  # a bad text is of a kind that some labellers know well
-    finds = [np.where((kinds == j) | (kinds == (j + 1) % 7), r, 0.05) for j, r in enumerate(right)]
-    bad = [np.where(truth, rng.random(len(truth)) < 0.01, rng.random(len(truth)) < f) for f in finds]
+    right = [0.95, 0.9, 0.7, 0.85, 0.6, 0.9, 0.8, 0.75]
+    kinds = rng.integers(0, 8, len(truth))  # a bad text is of a kind that some labellers know well
+    finds = [np.where((kinds == j) | (kinds == (j + 1) % 8), r, 0.05) for j, r in enumerate(right)]
+    bad = [np.where(truth, rng.random(len(truth)) < 0.003, rng.random(len(truth)) < f) for f in finds]
     votes = np.stack([np.where(rng.random(len(truth)) < 0.1, 2, np.where(b, 0, 1)) for b in bad], axis=1)
     patterns, counts = np.unique(pattern_of(votes), return_counts=True)
     good, table, share = estimate(patterns, counts.astype(float))
-    assert abs(share - 0.8) < 0.05
-    for j in range(7):
+    assert abs(share - 0.8) < 0.08  # one false alarm weighs much, so the share of bad texts comes out somewhat high
+    for j in range(len(LABELLERS)):
         true = (votes[~truth, j] == 0).mean()
-        assert abs(table[0, j, 0] - true) < 0.08 and table[1, j, 0] <= 0.0151
+        assert abs(table[0, j, 0] - true) < 0.1 and table[1, j, 0] <= 0.0151
     by = dict(zip(patterns.tolist(), good.tolist(), strict=True))
     guess = np.array([by[p] for p in pattern_of(votes).tolist()]) > 0.5
-    assert (guess == truth).mean() > 0.95 and (guess[~truth]).mean() < 0.2
+    assert (guess == truth).mean() > 0.96 and guess[~truth].mean() < 0.1
 
 
 def test_held_out_labels(spark):
