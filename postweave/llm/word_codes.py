@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_arrays import byte_letters
-from .shared import blocks, spread_out, table, texts_of
+from .shared import blocks, hold, spread_out, table, texts_of
 from .textgrid import CONTRACTION, NUMBER, SPACE, classes, code_points, first_marks, gather, newer_signs, owner_of, run_hashes, with_contractions
 
 VOCABULARY = "word_bpe_49k.json"
@@ -139,7 +139,8 @@ def unpack(raw: bytes) -> np.ndarray:
 def word_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Split whole texts: a row per document (its words as places in the block's list, packed) and a row per word of a block's list.
 
-    Blocks depend only on the scan's splits, so the table can be computed again with the same result."""
+    Places follow the order in which texts arrive, which after a shuffle differs from one evaluation to the next: write the table once and
+    take documents and words from what was written."""
     def split(batches):
         coder = model(vocabulary)
         base = TaskContext.get().partitionId() << 12
@@ -174,10 +175,11 @@ def encode_and_decode(documents: DataFrame, vocabulary: str = VOCABULARY, text:
     Texts are split in blocks with a word list each; the words of all lists meet sorted, so that every distinct word is encoded once, by
     the vocabulary's own model; its ids go back to the lists that have it, and are joined to the documents by block and place.  Decoding looks every id up
     in the table of pieces (bounded by the vocabulary, so each task holds it) and joins pieces with a blank, as this
-    vocabulary's library does.  A word is met at most once per block, so no word and no block is a hot key.
+    vocabulary's library does.  A word is met at most once per block, so no word and no block is a hot key.  The split texts are written once
+    to the shared folder, so that documents and words see one numbering in whatever order texts arrive.
     Null text counts as empty (no ids, empty text); null or repeated ids stay row by row; other columns are ignored.
     """
-    parts = word_blocks(spread_out(texts_of(documents, text, key)), vocabulary)
+    parts = hold(word_blocks(spread_out(texts_of(documents, text, key)), vocabulary), "words")
     words = parts.where("word is not null").select("block", "place", "word")
     words = words.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
 

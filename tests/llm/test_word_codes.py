@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,3 +59,14 @@ def test_decode_by_a_join(spark, library):
     ids = library.encode("Decode this text, please 42", add_special_tokens=False).ids
     tokens = spark.createDataFrame([(7, i, t) for i, t in enumerate(ids)][::-1], "doc_id long, pos int, id int")
     assert decode_table(tokens).collect()[0].decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_order_of_arrival_may_change_between_evaluations(spark, library):
+    """After a shuffle the texts of a partition come in another order each time the table is computed."""
+    rows = [(i, f"word{i} of number {i * i} and more like {i % 7}x") for i in range(400)]
+
+    def shuffled(batches):
+        mixed = pa.Table.from_batches(batches)
+        yield from mixed.take(pa.array(np.random.default_rng().permutation(mixed.num_rows))).combine_chunks().to_batches()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).mapInArrow(shuffled, "doc_id long, text string")
+    check(encode_and_decode(df), rows, library)
