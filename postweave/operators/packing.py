@@ -9,25 +9,36 @@ from .. import fixed_values as V
 from .segments import chain_starts, with_total_before
 
 
-def pack_texts(parts: Column, limit: int = V.TEXT_LIMIT, sep: str = "\n\n") -> Column:
-    """Greedy packing: messages of at most ``limit`` characters, parts joined by ``sep`` and cut to the limit."""
+def pieces(text: Column, limit: int, cut: bool = False) -> Column:
+    """A text as consecutive pieces of ``limit`` characters (the last may be shorter); with ``cut`` the first one only.  Null has none."""
+    last = F.lit(0) if cut else F.greatest(F.floor((F.length(text) - 1) / limit).cast("int"), F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * limit + 1, F.lit(limit)))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(each)
+
+
+def pack_texts(parts: Column, limit: int = V.TEXT_LIMIT, sep: str = "\n\n", cut: bool = False) -> Column:
+    """Greedy packing: messages of at most ``limit`` characters, parts joined by ``sep``.
+
+    A part longer than the limit goes on in the next message; with ``cut`` the rest of it is dropped.
+    """
     none = F.array().cast("array<string>")
 
     def step(acc: Column, part: Column) -> Column:
-        cut = F.substring(part, 1, limit)
-        joined = F.when(acc["cur"] != "", F.concat(acc["cur"], F.lit(sep), cut)).otherwise(cut)
+        joined = F.when(acc["cur"] != "", F.concat(acc["cur"], F.lit(sep), part)).otherwise(part)
         full = F.length(joined) > limit
         return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
-                        F.when(full, cut).otherwise(joined).alias("cur"))
+                        F.when(full, part).otherwise(joined).alias("cur"))
 
-    return F.aggregate(parts, F.struct(none.alias("done"), F.lit("").alias("cur")), step,
+    return F.aggregate(F.flatten(F.transform(parts, lambda p: pieces(p, limit, cut))), F.struct(none.alias("done"), F.lit("").alias("cur")), step,
                        lambda acc: F.when(acc["cur"] != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
 
 
-def pack_numbered(head: Column, parts: Column, foot: Column, limit: int = V.TEXT_LIMIT, rows: int = V.NUMBERED_ROWS) -> Column:
+def pack_numbered(head: Column, parts: Column, foot: Column, limit: int = V.TEXT_LIMIT, rows: int = V.NUMBERED_ROWS,
+                  cut: bool = False) -> Column:
     """Messages of at most ``limit`` characters and ``rows`` numbered lines.
 
-    ``parts``: array of (text, number), number 0 for lines without buttons.  Array of (text, numbers).
+    ``parts``: array of (text, number), number 0 for lines without buttons.  Array of (text, numbers).  A line longer than the
+    limit goes on in the next message, its button stays with its beginning; with ``cut`` the rest of it is dropped.
     """
     none = F.array().cast("array<struct<text:string,numbers:array<int>>>")
     no_numbers = F.array().cast("array<int>")
@@ -36,12 +47,12 @@ def pack_numbered(head: Column, parts: Column, foot: Column, limit: int = V.TEXT
         return F.array(F.struct(acc["cur"].alias("text"), acc["numbers"].alias("numbers")))
 
     def step(acc: Column, part: Column) -> Column:
-        cut = F.substring(part["text"], 1, limit)
+        text = part["text"]
         numbered = part["number"] > 0
-        full = (F.length(acc["cur"]) + 1 + F.length(cut) > limit) | (numbered & (F.size(acc["numbers"]) >= rows))
+        full = (F.length(acc["cur"]) + 1 + F.length(text) > limit) | (numbered & (F.size(acc["numbers"]) >= rows))
         held = F.when(full, no_numbers).otherwise(acc["numbers"])
         return F.struct(F.when(full, F.concat(acc["done"], message(acc))).otherwise(acc["done"]).alias("done"),
-                        F.when(full, cut).otherwise(F.concat(acc["cur"], F.lit("\n"), cut)).alias("cur"),
+                        F.when(full, text).otherwise(F.concat(acc["cur"], F.lit("\n"), text)).alias("cur"),
                         F.when(numbered, F.concat(held, F.array(part["number"]))).otherwise(held).alias("numbers"))
 
     def finish(acc: Column) -> Column:
@@ -51,8 +62,12 @@ def pack_numbered(head: Column, parts: Column, foot: Column, limit: int = V.TEXT
         apart = F.concat(acc["done"], message(acc), F.array(F.struct(foot.alias("text"), no_numbers.alias("numbers"))))
         return F.when((foot != "") & full, apart).otherwise(F.concat(acc["done"], message(closed)))
 
+    def lines(part: Column) -> Column:
+        return F.transform(pieces(part["text"], limit, cut), lambda t, i: F.struct(
+            t.alias("text"), F.when(i == 0, part["number"]).otherwise(0).alias("number")))
+
     start = F.struct(none.alias("done"), head.alias("cur"), no_numbers.alias("numbers"))
-    return F.aggregate(parts, start, step, finish)
+    return F.aggregate(F.flatten(F.transform(parts, lines)), start, step, finish)
 
 
 def pack_blocks(sizes: Column, most: int = V.BLOCKS_PER_MESSAGE, chars: int = V.BLOCK_CHARS) -> Column:
@@ -79,18 +94,20 @@ def cut_bytes(text: Column, limit: int = V.BYTE_LIMIT) -> Column:
 
 
 def pack_rows(parts: DataFrame, key: str, order: str, text: str, segment: Column, limit: int = V.TEXT_LIMIT, sep: str = "\n\n",
-              small_key: int = 2000) -> DataFrame:
+              small_key: int = 2000, cut: bool = False) -> DataFrame:
     """(key, msg, text): ``pack_texts`` for parts that are rows (non-empty texts), whatever the length of a thread.
 
+    A part longer than the limit becomes consecutive pieces, ordered by their number; with ``cut`` only the first is kept.
+
     A message that starts at a part ends before the first part whose end lies more than ``limit`` after that start, so
     the starts are a chain over cumulative lengths.  Positions and numbers are running sums over segments of the order;
     only the parts of one message, at most ``limit`` characters, meet in one row.
     """
-    rows = parts.select(key, order, F.substring(text, 1, limit).alias("_t")).withColumn("_len", F.length("_t"))
-    placed = with_total_before(rows, [key], [order], F.col("_len") + len(sep), segment, "_start").withColumn("_end", F.col("_start") + F.col("_len"))
+    rows = parts.select(key, order, F.posexplode(pieces(F.col(text), limit, cut)).alias("_piece", "_t")).withColumn("_len", F.length("_t"))
+    placed = with_total_before(rows, [key], [order, "_piece"], F.col("_len") + len(sep), segment, "_start").withColumn("_end", F.col("_start") + F.col("_len"))
     heads = chain_starts(placed.select(key, "_start", "_end"), key, limit + 1, (limit + 1) * 64, small_key).withColumn("_head", F.lit(1))
     flagged = placed.join(heads, [key, "_start"], "left").withColumn("_head", F.coalesce("_head", F.lit(0)))
-    numbered = with_total_before(flagged, [key], [order], F.col("_head"), segment, "_heads")
+    numbered = with_total_before(flagged, [key], [order, "_piece"], F.col("_head"), segment, "_heads")
     numbered = numbered.withColumn("msg", F.col("_heads") + F.col("_head") - 1)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_t"))), lambda x: x["_t"]), sep)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_piece", "_t"))), lambda x: x["_t"]), sep)
     return numbered.groupBy(key, "msg").agg(joined.alias("text"))

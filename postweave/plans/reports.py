@@ -538,7 +538,19 @@ w AS (SELECT conv_id, rn, 0 AS msg, part AS cur FROM p WHERE rn = 1
  CASE WHEN w.cur = '' THEN p.part WHEN length(w.cur) + 2 + length(p.part) > 1500 THEN p.part ELSE w.cur || chr(10) || chr(10) || p.part END FROM w JOIN p ON p.conv_id = w.conv_id AND p.rn = w.rn + 1)
 SELECT conv_id, msg::BIGINT AS msg, arg_max(cur, rn) AS text FROM w GROUP BY 1, 2""")
 def i7(t: Tables) -> DataFrame:
-    """The turns of a conversation, in order, packed into messages of 1,500 characters."""
+    """The turns of a conversation, in order, each cut to 1,500 characters and packed into messages of as many, as the SQL twin says."""
+    return PK.pack_rows(t.conversations, "conv_id", "turn", "text", F.floor(F.col("turn") / 1000), 1500, cut=True)
+
+
+@query("i7_pack_whole_texts", """
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, unnest(range(0, greatest(length(text), 1), 1500)) AS k FROM conversations),
+p AS (SELECT conv_id, substr(text, k + 1, 1500) AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS rn FROM c),
+w AS (SELECT conv_id, rn, 0 AS msg, part AS cur FROM p WHERE rn = 1
+ UNION ALL SELECT w.conv_id, p.rn, CASE WHEN w.cur <> '' AND length(w.cur) + 2 + length(p.part) > 1500 THEN w.msg + 1 ELSE w.msg END,
+ CASE WHEN w.cur = '' THEN p.part WHEN length(w.cur) + 2 + length(p.part) > 1500 THEN p.part ELSE w.cur || chr(10) || chr(10) || p.part END FROM w JOIN p ON p.conv_id = w.conv_id AND p.rn = w.rn + 1)
+SELECT conv_id, msg::BIGINT AS msg, arg_max(cur, rn) AS text FROM w GROUP BY 1, 2""")
+def i7_whole(t: Tables) -> DataFrame:
+    """The same with whole turns: one longer than a message goes on in the next."""
     return PK.pack_rows(t.conversations, "conv_id", "turn", "text", F.floor(F.col("turn") / 1000), 1500)
 
 

@@ -83,6 +83,37 @@ def test_packed_rows_equal_the_fold(spark):
         assert got == want
 
 
+def test_long_parts_go_on_in_the_next_message(spark):
+    rnd = random.Random(8)
+    rows = [(k, i, "".join(rnd.choice("abcdé😀") for _ in range(rnd.choice([1, 40, 99, 100, 101, 200, 350])))) for k, n in (("a", 120), ("b", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, t string")
+    want, cut = set(), set()
+    for out, most in ((want, None), (cut, 100)):
+        for k in ("a", "b"):
+            messages = []
+            for t in (t[:most] for kk, _, t in rows if kk == k):
+                for part in (t[a:a + 100] for a in range(0, len(t), 100)):
+                    if messages and len(messages[-1]) + 2 + len(part) <= 100:
+                        messages[-1] += "\n\n" + part
+                    else:
+                        messages.append(part)
+            out |= {(k, m, t) for m, t in enumerate(messages)}
+    whole = df.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("p"))
+    for expected, option in ((want, {}), (cut, {"cut": True})):
+        assert {tuple(r) for r in whole.select("k", F.posexplode(PK.pack_texts(F.col("p"), 100, **option))).collect()} == expected
+        for small in (0, 5000):
+            assert {tuple(r) for r in PK.pack_rows(df, "k", "i", "t", F.floor(F.col("i") / 50), 100, small_key=small, **option).collect()} == expected
+    assert sum(len(t.replace("\n\n", "")) for _, _, t in want) == sum(len(t) for _, _, t in rows)
+
+
+def test_long_numbered_lines_go_on_in_the_next_message(spark):
+    df = spark.createDataFrame([("h", [("a" * 25, 1), ("b", 2), (None, 0)], "f")], "h string, p array<struct<text:string,number:int>>, f string")
+    got = df.select(PK.pack_numbered(F.col("h"), F.col("p"), F.col("f"), 10).alias("m")).first()["m"]
+    assert [(m["text"], m["numbers"]) for m in got] == [("h", []), ("a" * 10, [1]), ("a" * 10, []), ("aaaaa\nb\nf", [2])]
+    cut = df.select(PK.pack_numbered(F.col("h"), F.col("p"), F.col("f"), 10, cut=True).alias("m")).first()["m"]
+    assert [(m["text"], m["numbers"]) for m in cut] == [("h", []), ("a" * 10, [1]), ("b\nf", [2])]
+
+
 def test_slots(spark):
     df = spark.createDataFrame([(datetime(2026, 9, 27, 7, 30),), (datetime(2026, 10, 25, 7, 59),), (datetime(2026, 10, 25, 8, 0),)], "ts timestamp")
     got = [r["s"] for r in df.select("ts", SL.latest_slot(F.col("ts"), "Europe/Berlin", ["09:00"]).alias("s")).orderBy("ts").collect()]
