@@ -155,14 +155,6 @@ def _entities() -> dict[str, str]:
     return {"&" + name: value for name, value in html5.items() if name.endswith(";")}
 
 
-def unescape_address(c: Column) -> Column:
-    """Decode what occurs in addresses: the references that XML knows, and the decimal quote.  A short expression, since addresses are taken apart and
-    filtered, and Spark repeats an expression in every filter on it."""
-    for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#34;", '"'), ("&apos;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(ch))
-    return c
-
-
 def unescape(c: Column) -> Column:
     """Decode all named and numeric character references.  What they decode to is not read again: the ampersand's own come last."""
     named = literal_map(_entities())

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .. import fixed_values as V
 from ..functions.dates import parse_date
 from ..functions.jsons import as_list, dig
-from ..functions.text import collapse_spaces, html_to_text, text_part, unescape, unescape_address
+from ..functions.text import collapse_spaces, html_to_text, text_part, unescape
 from ..functions.urls import absolute_url
 from ..operators.dedupe import distinct_first_wins, distinct_last_wins
 from .markup import parse
@@ -181,10 +181,11 @@ _ANCHOR = r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
 def page_links(captures: DataFrame, page: str = "source_key") -> DataFrame:
     """(page, pos, href, text) of every link; addresses are absolute."""
     tags = F.regexp_extract_all("body", F.lit(r"(?is)(<a\s[^>]*?href=[\"'][^\"']*[\"'][^>]*>.*?</a\s*>)"), F.lit(1))
-    rows = captures.select(page, "url", F.posexplode(tags).alias("pos", "_tag"))
-    href, text = F.regexp_extract("_tag", _ANCHOR, 1), F.regexp_extract("_tag", _ANCHOR, 2)
-    return rows.select(page, "pos", absolute_url(F.col("url"), unescape_address(href)).alias("href"),
-                       collapse_spaces(unescape(F.regexp_replace(text, "<[^>]*>", " "))).alias("text"))
+    # Decoded inside the generator: a filter on the address repeats what makes the address absolute, but not the decoding.
+    parts = F.transform(tags, lambda tag: F.struct(unescape(F.regexp_extract(tag, _ANCHOR, 1)).alias("href"), F.regexp_extract(tag, _ANCHOR, 2).alias("text")))
+    rows = captures.select(page, "url", F.posexplode(parts).alias("pos", "_link"))
+    return rows.select(page, "pos", absolute_url(F.col("url"), F.col("_link.href")).alias("href"),
+                       collapse_spaces(unescape(F.regexp_replace("_link.text", "<[^>]*>", " "))).alias("text"))
 
 
 def new_links(captures: DataFrame, known: DataFrame, pattern: str, page: str = "source_key", observed: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from postweave.operators import state as S
 from postweave.operators import tracker as TR
 from postweave.session import small_table
 from postweave.sources import mail as M
+from postweave.sources import pages as PG
 from postweave.sources import sinks
 from postweave.streaming import observe as O
 from postweave.streaming.snapshots import SnapshotTable
@@ -309,3 +310,14 @@ def test_long_chains_of_duplicates_and_rows_without_tokens(spark):
             kept.add(key)
             owned |= {("a", a): key, ("b", b): key}
     assert {r.key for r in out.collect() if r.kept} == kept | {f"n{i}" for i in range(5)}
+
+
+def test_links_decode_every_reference(spark):
+    hrefs = {"/caf&eacute;?a=1&amp;b=2": "/café?a=1&b=2", "&#x2F;jobs&#47;5?x&#x3D;1": "/jobs/5?x=1", "/a&middot;b&ndash;c&hellip;": "/a·b–c…",
+             "/q&amp;eacute;": "/q&eacute;", "/plain": "/plain"}
+    body = "".join(f'<a href="{h}">link &amp; {i}</a>' for i, h in enumerate(hrefs))
+    pages = spark.createDataFrame([("p", "https://www.example.com/x", body)], "source_key string, url string, body string")
+    want = ["https://www.example.com" + h for h in hrefs.values()]
+    assert [(r["href"], r["text"]) for r in PG.page_links(pages).orderBy("pos").collect()] == [(h, f"link & {i}") for i, h in enumerate(want)]
+    known = spark.createDataFrame([("p", h) for h in want[:-1]], "source_key string, href string")
+    assert [r["href"] for r in PG.new_links(pages, known, r"\.example\.").collect()] == want[-1:]
