@@ -23,16 +23,23 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def signatures(text: Column, anchors: list[str] = ANCHORS, chain: tuple[int, int] = CHAIN) -> Column:
+def signatures(text: Column, anchors: list[str] = ANCHORS, chain: tuple[int, int] = CHAIN, stretches: bool = False) -> Column:
     """The set of a text's spot signatures, as distinct 48-bit hashes.
 
     A signature is an anchor with the content words that follow it up to the next anchor (``chain``: how many at least and at most).  A text without
     any takes its runs of three words instead, a shorter one its whole text, and a text without words has none.
+    With ``stretches`` this holds for every part: each three words in a row outside the spots are a signature, too, so a long text never rests on a
+    few spots, and an edit changes only the signatures near it.
     """
     stop = "(?:" + "|".join(dict.fromkeys(anchors)) + ")(?![^ ])"
     spot = rf"(?<![^ ]){stop}(?: (?!{stop})[^ ]++){{{chain[0]},{chain[1]}}}"
     words = normal(text)
-    found = F.regexp_extract_all(words, F.lit(spot), F.lit(0))
+    if stretches:
+        # A spot is taken whole; elsewhere every word begins a run, unless the run would reach a spot.
+        run = rf"(?:(?!{spot})[^ ]++ ){{2}}(?!{spot})[^ ]++"
+        found = F.regexp_extract_all(words, F.lit(rf"(?<![^ ])(?=({spot}|{run}))(?:{spot})?+"), F.lit(1))
+    else:
+        found = F.regexp_extract_all(words, F.lit(spot), F.lit(0))
     runs = F.regexp_extract_all(words, F.lit(r"(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))"), F.lit(1))
     whole = F.when(words != "", F.array(words)).otherwise(F.array().cast("array<string>"))
     chosen = F.when(F.size(found) > 0, found).when(F.size(runs) > 0, runs).otherwise(whole)
@@ -52,7 +59,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both.cast("double") / every)
 
 
-def similar_pairs(documents: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def similar_pairs(documents: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id",
+                  stretches: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs of similar documents: (a, b, likeness) between class representatives, and (doc_id, class) for membership.
 
     Documents with equal signature sets are one class, named by its smallest id.  Classes are partitioned by set length, so that
@@ -61,7 +69,7 @@ def similar_pairs(documents: DataFrame, similarity: float = 0.8, text: str = "te
     or empty texts have no signature and no partner; rows with null ids take no part; other columns are ignored.
     """
     step = math.log(1 / similarity)
-    sets = texts_of(documents, text, key).where("doc_id is not null").select("doc_id", F.array_sort(signatures(F.col("text"))).alias("sigs"))
+    sets = texts_of(documents, text, key).where("doc_id is not null").select("doc_id", F.array_sort(signatures(F.col("text"), stretches=stretches)).alias("sigs"))
     sets = sets.where(F.size("sigs") > 0)
     classes = sets.groupBy("sigs").agg(F.min("doc_id").alias("class")).withColumn("n", F.size("sigs"))
     members = sets.join(classes.select("sigs", "class"), "sigs").select("doc_id", "class")
@@ -90,7 +98,7 @@ def _range_bounds(ids: DataFrame, number: int) -> list[int]:
     return sorted({*(row[0] or []), row[1]}) if row[1] is not None else []
 
 
-def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None, stretches: bool = False) -> DataFrame:
     """Every document with the following one in descending id (after the last: the first): adds next_text and next_sigs.
 
     Ids are cut into ranges at quantiles (a bounded list of bounds); a range's largest document also goes to the range above as its
@@ -111,28 +119,29 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     above = F.struct(F.pmod(F.col("place") + 1, F.lit(count)).alias("range"), F.lit(True).alias("guest"))
     df = df.select("doc_id", "text", F.explode(F.when(top, F.array(here, above)).otherwise(F.array(here))).alias("to"))
     df = df.select("doc_id", "text", "to.range", "to.guest").repartition(parts, "range")
-    df = df.select("*", signatures(F.col("text")).alias("sigs"), F.xxhash64("text").alias("tie"))
+    df = df.select("*", signatures(F.col("text"), stretches=stretches).alias("sigs"), F.xxhash64("text").alias("tie"))
     order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
     return df.select("doc_id", "text", "guest", "sigs", F.lead("text").over(order).alias("next_text"), F.lead("sigs").over(order).alias("next_sigs")) \
         .where("not guest").drop("guest")
 
 
-def fingerprints_with_edits(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints_with_edits(documents: DataFrame, text: str = "text", key: str = "doc_id", stretches: bool = False) -> DataFrame:
     """Fingerprint every whole text and an edited form of it, whose last third comes from the next document in descending id.
 
     Null text is empty; equal ids are ordered by a hash of their text, null ids come last; a lone document is its own next one; an empty table gives no rows; other
     columns are ignored.  Equal texts have equal fingerprints; two texts without words are alike (1.0).
     """
-    df = with_next(texts_of(documents, text, key))
+    df = with_next(texts_of(documents, text, key), stretches=stretches)
     size = F.char_length("text").cast("long")
     df = df.withColumn("n_chars", size).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("third")).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("third")))
     df = df.select("doc_id", "n_chars", "sigs", "next_sigs", edited.alias("edited"))
-    df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", "next_sigs", signatures(F.col("edited")).alias("edited_sigs"))
+    df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", "next_sigs",
+                   signatures(F.col("edited"), stretches=stretches).alias("edited_sigs"))
     return df.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"),
                      fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
                      likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"), stretches=True)

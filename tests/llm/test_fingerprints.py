@@ -90,3 +90,40 @@ def test_signatures_as_a_column(docs):
     from pyspark.sql import functions as F
     n = docs([(1, "Is the river  bank, wide open of IT")]).select(F.size(signatures(F.col("text")))).first()[0]
     assert n == len(plain_signatures("Is the river  bank, wide open of IT")) == 1
+
+
+def plain_stretches(text):
+    """Spots, and the runs of three words outside them, word by word."""
+    words, stop = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split(), set(ANCHORS)
+    out, i, free = set(), 0, []
+    while i < len(words):
+        n = 0
+        while words[i] in stop and n < 3 and i + 1 + n < len(words) and words[i + 1 + n] not in stop:
+            n += 1
+        if n >= 2:
+            out.add(" ".join(words[i:i + 1 + n]))
+            free, i = [], i + 1 + n
+            continue
+        free, i = [*free[-2:], words[i]], i + 1
+        if len(free) == 3:
+            out.add(" ".join(free))
+    return out or ({" ".join(words)} if words else set())
+
+
+def test_every_stretch_counts(spark, tmp_path):
+    """List-like texts: one spot, or an edit that brings the first, must not silence the rest."""
+    from postweave.llm.fingerprints import op7_fingerprints
+    rng = random.Random(9)
+    listed = " ".join(f"item{i:02}" for i in range(42))
+    rows = [(1, "it is the one spot here and of to it"), (2, "the big red house stands by the old oak tree"), (3, listed), (4, listed + " of two words"), (5, None), (6, "?"), (7, "a b")]
+    rows += [(100 + i, " ".join(rng.choice(ANCHORS + [f"w{rng.randrange(50)}"] * rng.choice([1, 20, 400])) for _ in range(rng.randrange(80)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op7_fingerprints(spark, str(tmp_path)).collect()}
+    texts = {i: t or "" for i, t in rows}
+    order = sorted(texts, reverse=True)
+    for d, following in zip(order, order[1:] + order[:1], strict=True):
+        third = len(texts[d]) // 3
+        a, b = plain_stretches(texts[d]), plain_stretches(texts[d][:len(texts[d]) - third] + texts[following][:third])
+        assert int(out[d].fingerprint.split(":")[0]) == len(a) and int(out[d].edited_fingerprint.split(":")[0]) == len(b), texts[d]
+        assert abs(out[d].near_edited - jaccard(a, b)) < 1e-12 and abs(out[d].near_next - jaccard(a, plain_stretches(texts[following]))) < 1e-12
+    assert out[3].near_edited > 0.3 and out[4].near_next > 0.9
