@@ -11,9 +11,10 @@ from .private_data import op8_private_data
 from .quality import op4_quality_classifier
 from .token_counts import op2_token_counts
 from .url_filter import op5_url_filter
+from .whitening import op13_embedding_whitening
 from .word_codes import op6_bpe_codes
 
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_classifier, op5_url_filter, op6_bpe_codes, op7_fingerprints, op8_private_data,
-    op9_nearest_neighbours, op10_main_text)}
+    op9_nearest_neighbours, op10_main_text, op13_embedding_whitening)}
 ORACLES: dict[str, str] = {}
