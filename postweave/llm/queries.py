@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op7_fingerprints
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .html_extract import op10_main_text
 from .near_dedup import op1_near_dedup
 from .neighbours import op9_nearest_neighbours
@@ -16,5 +17,5 @@ from .word_codes import op6_bpe_codes
 
 QUERIES = {f.__name__: f for f in (
     op1_near_dedup, op2_token_counts, op3_best_fit_packing, op4_quality_classifier, op5_url_filter, op6_bpe_codes, op7_fingerprints, op8_private_data,
-    op9_nearest_neighbours, op10_main_text, op13_embedding_whitening)}
-ORACLES: dict[str, str] = {}
+    op9_nearest_neighbours, op10_main_text, op12_hard_negatives, op13_embedding_whitening)}
+ORACLES: dict[str, str] = {"op12_hard_negatives": OP12_SQL}
