@@ -38,7 +38,17 @@ def hold(df: DataFrame, label: str) -> DataFrame:
     folder = f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(folder)
+    held = spark.read.schema(df.schema).parquet(folder)
+    held.held_folder = folder
+    return held
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``hold`` that no later result reads."""
+    for df in tables:
+        if folder := getattr(df, "held_folder", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
