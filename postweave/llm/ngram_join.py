@@ -15,6 +15,7 @@ from .textgrid import mix64
 RARE = 16  # tokens in at most so many sets are indexed singly, others two by two
 EXTRA_PERCENT = 10  # by so much of a set the prefix of the first look is longer than a single common token needs
 BITMAP_WORDS = 16
+SMALL_WORDS = 4  # of the bitmaps that the index carries
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,13 +72,19 @@ def survivors(classes: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("s", smaller).where(F.col("m") >= need).select("node")
 
 
+def parity(values: np.ndarray, owner: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """A bitmap of ``words`` 64-bit words for each set; every token flips one bit."""
+    width = 64 * words
+    bit = ((values >> np.uint64(17)) % np.uint64(width)).astype(np.int64)
+    flips = np.bincount(owner * width + bit, minlength=rows * width).reshape(rows, width) & 1
+    return np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
+
+
 def full_bags(chosen: DataFrame, words: int) -> DataFrame:
     """(node, n, tokens, bits) from (node, text, key_a, key_b): the whole sets of those rows whose keys are the node's, and parity bitmaps.
 
     Each token flips one bit, so tokens that two sets have in common cancel out, and the bits in which two bitmaps differ are at most as many as tokens in only one
     of the sets."""
-    width = 64 * BITMAP_WORDS
-
     def run(batches):
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
@@ -90,10 +97,7 @@ def full_bags(chosen: DataFrame, words: int) -> DataFrame:
                     end += 1
                 values, sizes = shingle_sets(texts[begin:end], words)
                 key_a, key_b = _keys(values, sizes)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                bit = ((values >> np.uint64(17)) % np.uint64(width)).astype(np.int64)
-                flips = np.bincount(owner * width + bit, minlength=len(sizes) * width).reshape(len(sizes), width) & 1
-                packed = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64).ravel()
+                packed = parity(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes), BITMAP_WORDS).ravel()
                 out = pa.RecordBatch.from_arrays(
                     [names.slice(begin, end - begin), pa.array(sizes), _lists(values, sizes, pa.int64()),
                      _lists(packed, np.full(len(sizes), BITMAP_WORDS), pa.int64())], ["node", "n", "tokens", "bits"])
@@ -157,43 +161,61 @@ def combinations(tokens: np.ndarray, often: np.ndarray, n: int, percent: int, ra
     return np.concatenate(keys), np.concatenate(places)
 
 
+POSTED = ["node", "n", "m", "at", *[f"b{i}" for i in range(SMALL_WORDS)]]
+
+
 def postings(sets: DataFrame, percent: int, rare: int) -> DataFrame:
-    """(key, node, n, at, common): the survivors' combinations."""
+    """The survivors' combinations: key, node, n, the number m of the set's tokens that other sets hold, too, the place ``at``, and a parity bitmap
+    of those m tokens."""
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
     known = each.join(often, "token").groupBy("node", "n").agg(F.collect_list(F.struct("token", "often")).alias("t"))  # as long as one text
     known = known.select("node", "n", F.col("t.token").alias("token"), F.col("t.often").alias("often"))
 
+    def posted(nodes: pa.Array, sizes: list[int], sets_: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        found = [combinations(token, often_, n, percent, rare) for n, (token, often_) in zip(sizes, sets_, strict=True)]
+        held = np.array([len(token) for token, _ in sets_], np.int64)
+        bits = parity(np.concatenate([token for token, _ in sets_]).view(np.uint64), np.repeat(np.arange(len(sizes)), held), len(sizes), SMALL_WORDS)
+        row = np.repeat(np.arange(len(sizes)), [len(keys) for keys, _ in found])
+        columns = [np.concatenate([keys for keys, _ in found]).view(np.int64), np.array(sizes, np.int64)[row], held[row],
+                   np.concatenate([at for _, at in found]).astype(np.int64), *[bits[row, i] for i in range(SMALL_WORDS)]]
+        arrays = [pa.array(c) for c in columns]
+        return pa.RecordBatch.from_arrays([arrays[0], nodes.take(pa.array(row)), *arrays[1:]], ["key", *POSTED])
+
     def run(batches):
         for batch in batches:
-            token, often_ = batch.column(2), batch.column(3)
+            nodes, sizes, token, often_ = batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             bounds = token.offsets.to_numpy()
             token, often_ = token.values.to_numpy(), often_.values.to_numpy()
-            out: list[list[np.ndarray]] = [[], [], []]
-            sizes, waiting = batch.column(1).to_numpy(), 0
-            for i, n in enumerate(sizes.tolist()):
-                a, b = bounds[i], bounds[i + 1]
-                keys, at = combinations(token[a:b], often_[a:b], n, percent, rare)
-                for values, more in zip(out, (keys.view(np.int64), np.full(len(keys), i), at), strict=True):
-                    values.append(more)
-                waiting += len(keys)
-                if waiting > 1 << 18 or i == len(sizes) - 1:
-                    keys, row, at = (np.concatenate(v) for v in out)
-                    common = (bounds[1:] - bounds[:-1])[row] / sizes[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(row)), pa.array(sizes[row]), pa.array(at.astype(np.int64)),
-                                                      pa.array(common)], ["key", "node", "n", "at", "common"])
-                    out, waiting = [[], [], []], 0
-    return known.mapInArrow(run, "key long, node long, n long, at long, common double")
+            start = 0
+            for i in range(len(sizes)):
+                if i + 1 == len(sizes) or bounds[i + 2] - bounds[start] > 1 << 16 or i - start >= 1024:
+                    inside = range(start, i + 1)
+                    yield posted(nodes.slice(start, i + 1 - start), sizes[start:i + 1], [(token[bounds[j]:bounds[j + 1]], often_[bounds[j]:bounds[j + 1]]) for j in inside])
+                    start = i + 1
+    return known.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in POSTED))
 
 
 def _in_reach(percent: int) -> Column:
-    """Sizes that fit, and at the shared place enough tokens before and after it."""
-    most = F.least("at_x", "at_y") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    return (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
+    """Whether two sets that meet may be linked, by what the index says of them.
+
+    Sizes fit; before the shared place and from it on there are enough tokens that both can hold; and the tokens that only one of them holds, those of no other set
+    and at least as many as bits differ, are few enough.
+    """
+    both = F.col("n_x") + F.col("n_y")
+
+    def alone(side: str) -> Column:
+        return F.col(f"n_{side}") - F.col(f"m_{side}")
+    most = F.least(F.col("at_x") - alone("x"), F.col("at_y") - alone("y")) + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    apart = alone("x") + alone("y")
+    for i in range(SMALL_WORDS):
+        apart = apart + F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y")))
+    return ((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * both)
+            & ((100 + percent) * (both - apart) >= 2 * percent * both))
 
 
 def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
-    return df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "at", "label")], *more)
+    return df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in (*POSTED, "label")], *more)
 
 
 def candidates(posted: DataFrame, percent: int, everyone: bool) -> DataFrame:
@@ -202,7 +224,7 @@ def candidates(posted: DataFrame, percent: int, everyone: bool) -> DataFrame:
     First (``everyone`` false) each member of a list meets its leader only, the member that has most in common with other sets.  What got one label
     then needs no more comparing: lastly the members outside a list's most frequent label meet all that are labelled otherwise.
     """
-    each = posted.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("common", "node", "n", "at", "label")).alias("leader"))
+    each = posted.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct((F.col("m") / F.col("n")).alias("common"), *POSTED, "label")).alias("leader"))
     lists = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.max("leader").alias("leader"), F.count(F.lit(1)).alias("labels"))
     lists = lists.where("labels > 1")
     if everyone:
@@ -210,7 +232,7 @@ def candidates(posted: DataFrame, percent: int, everyone: bool) -> DataFrame:
         other = _side(own.where("label <> main"), "x")
         met = other.join(_side(own, "y", (F.col("label") == F.col("main")).alias("is_main")), "key").where(F.col("is_main") | (F.col("node_x") < F.col("node_y")))
     else:
-        met = _side(posted, "x").join(lists.select("key", *[F.col(f"leader.{c}").alias(f"{c}_y") for c in ("node", "n", "at", "label")]), "key")
+        met = _side(posted, "x").join(lists.select("key", *[F.col(f"leader.{c}").alias(f"{c}_y") for c in (*POSTED, "label")]), "key")
     met = met.where((F.col("label_x") != F.col("label_y")) & _in_reach(percent))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
