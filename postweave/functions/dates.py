@@ -61,7 +61,7 @@ def parse_relative(text: Column, now: datetime | Column) -> Column:
     # Minutes back: one value to compute, one subtraction at the end.
     back = F.when(text.rlike(flag + V.RELATIVE_TODAY), F.lit(0).cast("bigint"))
     back = back.when(text.rlike(flag + V.RELATIVE_YESTERDAY), F.lit(1440).cast("bigint"))
-    units = F.create_map(*[F.lit(x) for pair in V.UNIT_MINUTES.items() for x in pair])
+    units = F.create_map(*[F.lit(x) for unit, hours in V.UNIT_HOURS.items() for x in (unit, round(60 * hours))])
     for pattern in V.RELATIVE_AGO:
         amount = F.regexp_extract(text, "(?iu)" + pattern, 1).try_cast("bigint")
         unit = F.lower(F.regexp_extract(text, "(?iu)" + pattern, 2))

@@ -78,8 +78,10 @@ def _unfold(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Lower case, no accents, compatibility forms taken apart, runs of anything but letters, digits and ``_`` become one space; null gives ''."""
-    folded = F.lower(F.translate(let(F.coalesce(c, F.lit("")), _unfold), *_folding()))
-    return F.trim(F.regexp_replace(folded, NON_WORD, " "))
+    text = F.coalesce(c, F.lit(""))
+    plain = F.octet_length(text) == F.char_length(text)  # ASCII has nothing to take apart
+    folded = F.when(plain, text).otherwise(F.translate(let(text, _unfold), *_folding()))
+    return F.trim(F.regexp_replace(F.lower(folded), NON_WORD, " "))
 
 
 @F.pandas_udf(T.StringType())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .segments import with_latest, with_previous, with_total_before
 
 
 def fail_streak(log: DataFrame, order: list[str]) -> DataFrame:
@@ -20,6 +21,22 @@ def fail_streak(log: DataFrame, order: list[str]) -> DataFrame:
     return log.select("source_key").distinct().join(failing, "source_key", "left").withColumn("streak", F.coalesce("streak", F.lit(0)))
 
 
+def health_changes(log: DataFrame, order: list[str], segment: Column, most: int = V.PERSISTED_STREAK) -> DataFrame:
+    """(source_key, order, change, streak): the rows of a fetch log that are worth storing.
+
+    A success after failures ('recovered'), and of a run of failures the first ``most`` ('failing'); from then on a broken source changes
+    nothing stored.  The batch form of ``streaming.ordered.health_stream``; windows run per source and segment.
+    """
+    failed = (~F.col("ok")).cast("bigint")
+    out = with_previous(log, ["source_key"], order, F.col("ok"), segment, "_ok_before")
+    out = with_total_before(out, ["source_key"], order, failed, segment, "_failures")
+    out = with_latest(out, ["source_key"], order, F.when(F.col("ok"), F.col("_failures")), segment, "_at_ok")
+    before = F.col("_failures") - F.coalesce("_at_ok", F.lit(0))
+    change = F.when(F.col("ok") & ~F.col("_ok_before"), F.lit("recovered")).when(~F.col("ok") & (before < most), F.lit("failing"))
+    streak = F.when(F.col("ok"), F.lit(0)).otherwise(before + 1)
+    return out.select("source_key", *order, change.alias("change"), streak.cast("bigint").alias("streak")).filter("change IS NOT NULL")
+
+
 def last_n_counts(log: DataFrame, order: list[str], n: int = V.KEPT_COUNTS) -> DataFrame:
     """(source_key, counts): results of the last ``n`` successful runs, oldest first.
 

@@ -31,6 +31,17 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return out.withColumn(name, F.coalesce(F.lag("_val").over(inside), F.col("_carry"))["v"]).drop("_seg", "_val", "_carry")
 
 
+def with_latest(df: DataFrame, keys: list[str], order: list[str], value: Column, segment: Column, name: str) -> DataFrame:
+    """The last ``value`` that is not null up to and including each row, cut the same way."""
+    cut = df.withColumn("_seg", segment).withColumn("_val", value)
+    tails = cut.groupBy(*keys, "_seg").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.struct(*order))).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*keys, "_seg", F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(carry, [*keys, "_seg"])
+    return out.withColumn(name, F.coalesce(F.last("_val", ignorenulls=True).over(inside), F.col("_carry"))).drop("_seg", "_val", "_carry")
+
+
 def with_row_number(df: DataFrame, keys: list[str], order: list[str], segment: Column, name: str) -> DataFrame:
     """``row_number()`` along each key, cut the same way: position in the segment plus the rows of earlier segments."""
     cut = df.withColumn("_seg", segment)

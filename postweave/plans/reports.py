@@ -20,6 +20,7 @@ from ..operators import slots as SL
 from ..operators import state as S
 from ..operators import stats as ST
 from ..operators import tracker as TR
+from ..sources import captures as C
 from .merging import KEYED, keyed, seen
 from .registry import EVENTS_NOW, EVENTS_NOW_SQL, NOW, NOW_SQL, V, Tables, query
 
@@ -600,31 +601,31 @@ def i9(t: Tables) -> DataFrame:
 # --- state over runs, as batches -----------------------------------------------------------------------------------
 @query("h1_observe_batches", """SELECT user_id, min(ts) AS first_seen, max(CAST(ts AS DATE))::TIMESTAMP AS last_day, arg_max(event_type, row(ts, event_id)) AS latest FROM events GROUP BY 1""")
 def h1(t: Tables) -> DataFrame:
-    """What the stream remembers per key after all batches: first sight, last day, latest attributes."""
-    last = F.struct("ts", "event_id")
-    return t.ev.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.to_date(F.max("ts")).cast("timestamp").alias("last_day"),
-                                       F.max_by("event_type", last).alias("latest"))
+    """What is remembered per key after all batches: first sight, last day, latest attributes."""
+    out = S.remembered(t.ev.withColumn("seq", F.col("event_id")), "user_id", F.col("event_type"), days=None)
+    return out.select("user_id", "first_seen", F.to_date("last_seen").cast("timestamp").alias("last_day"), "latest")
 
 
 @query("h2_publish_once", """SELECT user_id, event_type AS grp, min(ts) AS published_at FROM events WHERE event_id % 4 <> 0 GROUP BY 1, 2""")
 def h2(t: Tables) -> DataFrame:
     """A (key, group) pair is published by its first delivered attempt; failed deliveries (every fourth) mark nothing."""
-    return t.ev.filter("event_id % 4 <> 0").groupBy("user_id", F.col("event_type").alias("grp")).agg(F.min("ts").alias("published_at"))
+    attempts = t.ev.select("user_id", F.col("event_type").alias("grp"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 4 != 0).alias("delivered"))
+    return S.publish_once(attempts, ["user_id", "grp"]).select("user_id", "grp", "published_at")
 
 
 @query("h3_baseline_on_first_run", """WITH f AS (SELECT user_id, min(CAST(ts AS DATE)) AS day FROM events GROUP BY 1)
 SELECT event_id, CAST(ts AS DATE) = day AND value < 50 AS baseline FROM events JOIN f USING (user_id)""")
 def h3(t: Tables) -> DataFrame:
     """Undated rows (value < 50) of a source's first run, its first day, are baseline."""
-    first = t.ev.groupBy("user_id").agg(F.min(F.to_date("ts")).alias("first_day"))
-    return t.ev.join(first, "user_id").select("event_id", ((F.to_date("ts") == F.col("first_day")) & (F.col("value") < 50)).alias("baseline"))
+    rows = S.first_run(t.ev, "user_id", F.to_date("ts"), ("ts", "event_id"))
+    return rows.select("event_id", (F.col("first_run") & (F.col("value") < 50)).alias("baseline"))
 
 
 @query("h4_bootstrap", f"WITH {V} SELECT posting AS key, true AS baseline, 0::BIGINT AS published FROM v")
 def h4(t: Tables) -> DataFrame:
-    """Everything observed is baseline and nothing is published."""
-    observed = S.observe(keyed(t).select("key"), seen(t), NOW)
-    return observed.select("key", F.lit(True).alias("baseline"), F.lit(0).cast("bigint").alias("published"))
+    """A bootstrap run: everything observed is baseline, and nothing is a candidate to be published."""
+    run = S.first_look(keyed(t), seen(t), keyed(t).select("source_key").limit(0), NOW, "g", 30, bootstrap=True)
+    return run.select("key", "baseline", F.col("decision").isNull().cast("bigint").alias("published"))
 
 
 @query("h5_ttl_state", """SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-31' - INTERVAL 2 DAY""")
@@ -634,11 +635,12 @@ def h5(t: Tables) -> DataFrame:
 
 
 @query("h11_incremental_offset", """WITH m AS (SELECT user_id, max(event_id) AS done FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1)
-SELECT event_id FROM events JOIN m USING (user_id) WHERE event_id > done OR user_id % 9 = 0""")
+SELECT event_id FROM events LEFT JOIN m USING (user_id) WHERE done IS NULL OR event_id > done OR user_id % 9 = 0""")
 def h11(t: Tables) -> DataFrame:
-    """Rows after the last processed id of their stream; a stream whose identity changed starts again."""
-    done = t.ev.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp")).groupBy("user_id").agg(F.max("event_id").alias("done"))
-    return t.ev.join(done, "user_id").filter((F.col("event_id") > F.col("done")) | (F.col("user_id") % 9 == 0)).select("event_id")
+    """Rows after the last processed id of their stream; a stream that is unknown, or whose identity changed, starts again."""
+    rows = t.ev.withColumn("identity", F.when(F.col("user_id") % 9 == 0, F.lit("v2")).otherwise(F.lit("v1")))
+    processed = t.ev.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp")).withColumn("identity", F.lit("v1"))
+    return C.resume(rows, C.offsets_after(processed, "user_id", "identity", "event_id"), "user_id", "identity", "event_id").select("event_id")
 
 
 @query("h13_score_batches", """WITH d AS (SELECT d.doc_id, d.n_chars, CASE WHEN quality = 1 THEN 'good' END AS kw, CASE WHEN d.doc_id % 4 <> 0 THEN length(text) % 101 END AS score FROM documents d LEFT JOIN labels USING (doc_id))

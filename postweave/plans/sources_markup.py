@@ -97,16 +97,30 @@ def expect_list(**kw) -> str:
     return expect(**kw).replace(", '' AS description", "")
 
 
-@query("a4_html_list", expect_list(title="title", native="CASE WHEN n % 2 = 0 THEN native_id ELSE 'https://careers.example.test/jobs/' || native_id END", company="company",
-       url="CASE WHEN n % 2 = 0 THEN 'https://t.test/job/' || native_id ELSE 'https://careers.example.test/jobs/' || native_id END", places="CASE WHEN n % 3 = 0 THEN family ELSE 'Site ' || target END"))
-def a4(t: Tables) -> DataFrame:
-    """Nodes with an id use the URL template, others their link; parts of place and date are cut out by patterns."""
+LIST = P.ListMapping("li.job", "h2 a", "h2 a", "data-id", "https://t.test/job/{id}", "p.c", "span.place", r"\((.*)\)", "em", None, r"since: (\S+)")
+
+
+def list_item() -> Column:
     ident = F.when(N() % 2 == 0, text('data-id="', col("native_id"), '"')).otherwise(F.lit(""))
     place = F.when(N() % 3 == 0, text("in (", col("family"), ")")).otherwise(text("Site ", col("target")))
-    item = text('<li class="job big" ', ident, '><h2><a href="../jobs/', col("native_id"), '">', xml_escape(col("title")), "</a></h2><p class=c>", col("company"), "</p><span class=place>", place,
+    return text('<li class="job big" ', ident, '><h2><a href="../jobs/', col("native_id"), '">', xml_escape(col("title")), "</a></h2><p class=c>", col("company"), "</p><span class=place>", place,
                 "</span><em>Online since: ", F.coalesce(day(), F.lit("soon")), "</em></li>")
-    m = P.ListMapping("li.job", "h2 a", "h2 a", "data-id", "https://t.test/job/{id}", "p.c", "span.place", r"\((.*)\)", "em", None, r"since: (\S+)")
-    return listing(P.normalize_html_list(html_pages(t, item), m, NOW))
+
+
+LISTED = dict(title="title", native="CASE WHEN n % 2 = 0 THEN native_id ELSE 'https://careers.example.test/jobs/' || native_id END", company="company",
+              url="CASE WHEN n % 2 = 0 THEN 'https://t.test/job/' || native_id ELSE 'https://careers.example.test/jobs/' || native_id END", places="CASE WHEN n % 3 = 0 THEN family ELSE 'Site ' || target END")
+
+
+@query("a4_html_list", expect_list(**LISTED))
+def a4(t: Tables) -> DataFrame:
+    """Nodes with an id use the URL template, others their link; parts of place and date are cut out by patterns."""
+    return listing(P.normalize_html_list(html_pages(t, list_item()), LIST, NOW))
+
+
+@query("a4_deep_page", expect_list(**LISTED))
+def a4_deep(t: Tables) -> DataFrame:
+    """The same lists inside 3,000 tags that are never closed."""
+    return listing(P.normalize_html_list(html_pages(t, list_item(), "<html><body>" + "<b>" * 3000 + "<ul>"), LIST, NOW))
 
 
 @query("a4a_search_cards", f"""WITH {V}, r AS (SELECT source_key, 100000 + n % 900 AS id, n, title, company, location, posted_at, row_number() OVER (PARTITION BY source_key, n % 900 ORDER BY n DESC) AS rn FROM v)
@@ -152,6 +166,16 @@ def a5(t: Tables) -> DataFrame:
     return shown(P.jsonld_to_postings(P.extract_jsonld(jsonld_pages(t)), NOW))
 
 
+@query("a5_deep_jsonld", JSONLD)
+def a5_deep(t: Tables) -> DataFrame:
+    """Pages whose first script is nested too deeply to be read; the others are read as usual."""
+    deep = F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit("["), 50_000), F.lit("</script>"))
+    closed = F.concat(F.lit('<script type="application/ld+json">'), F.repeat(F.lit('{"a":['), 3000), F.repeat(F.lit("]}"), 3000), F.lit("</script>"))
+    number = F.regexp_extract("url", r"(\d+)$", 1).cast("long")
+    bodies = jsonld_pages(t).withColumn("body", F.concat(F.when(number % 100 == 0, deep).when(number % 100 == 1, closed).otherwise(F.lit("")), F.col("body")))
+    return shown(P.jsonld_to_postings(P.extract_jsonld(bodies), NOW))
+
+
 @query("a5a_posting_locations", f"WITH {V} SELECT source_key, native_id, n % 2 = 1 AS remote, CASE WHEN n % 2 = 0 THEN 1 ELSE 3 END::BIGINT AS places FROM v")
 def a5a(t: Tables) -> DataFrame:
     found = P.jsonld_to_postings(P.extract_jsonld(jsonld_pages(t)), NOW)
@@ -269,6 +293,20 @@ def a8b_plain(t: Tables) -> DataFrame:
     return M.links_to_postings(links).select("uid", "native_id", "title", "company", "location", "url")
 
 
+@query("a8_plain_mail_to_postings", f"""WITH {V} SELECT CAST(substr(source_key, 2) AS BIGINT) * 1000000 + n // 1000 AS uid, CAST(n + 1000000 AS VARCHAR) AS native_id, title,
+ company || ' <A&B>' AS company, location, 'https://www.linkedin.com/jobs/view/' || (n + 1000000) || '/' AS url FROM v""")
+def a8_plain_mail(t: Tables) -> DataFrame:
+    """From raw plain-text messages to postings; signs of markup in the text stay what they are."""
+    ident = (N() + 1000000).cast("string")
+    block = text(col("title"), "\r\n", col("company"), " <A&B>\r\n", col("location"), "\r\n<https://www.linkedin.com/comm/jobs/view/some-job-", ident, "?trk=mail>\r\n\r\n")
+    head = "From: Jobs <alerts@linkedin.com>\r\nSubject: New jobs\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"
+    uid = F.substring("source_key", 2, 9).cast("bigint") * 1000000 + F.col("page_no")
+    raw = pages(t, block, wrap(head, "")).select(uid.alias("uid"), F.encode(F.col("body"), "UTF-8").alias("content"))
+    messages = M.parse_messages(raw).withColumn("site", M.route_by_sender(F.col("sender")))
+    links = M.mail_links(messages).join(messages.select("uid", "site"), "uid")
+    return M.links_to_postings(links).select("uid", "native_id", "title", "company", "location", "url")
+
+
 @query("a8c_plain_text_blocks", """
 WITH l AS (SELECT conv_id, turn, [trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN string_split(text, chr(10))] AS ls FROM conversations),
 k AS (SELECT conv_id, turn, [x FOR x IN ls IF x <> ''] AS ls FROM l)

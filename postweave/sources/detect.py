@@ -1,57 +1,48 @@
-"""Type of a source from its URL: ordered rules, the first that matches wins."""
+"""Type of a source from its URL: the rule rows of ``fixed_values.SITE_RULES`` as one expression."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.urls import HOST, PATH, QUERY, part, query_pairs
 
 
-def _segments(url: Column) -> Column:
-    return F.filter(F.split(part(url, PATH), "/"), lambda s: s != "")
-
-
 def _param(url: Column, name: str) -> Column:
     return F.get(F.filter(query_pairs(part(url, QUERY), False), lambda p: F.lower(p["k"]) == name), F.lit(0))["v"]
 
 
+def _taken(spec: str, url: Column, pattern: str) -> tuple[Column, Column | None]:
+    """The value a rule takes, and a condition that must hold for the rule to fit."""
+    host = part(url, HOST)
+    label = F.substring_index(host, ".", 1)
+    kind, _, rest = spec.partition(":")
+    if spec.startswith("="):
+        return F.lit(spec[1:]), None
+    if kind == "path":
+        return F.regexp_extract(part(url, PATH), pattern, int(rest)), None
+    if kind == "query":
+        name, _, instead = rest.partition("|")
+        value = _param(url, name)
+        return (F.coalesce(value, F.concat(label, F.lit(instead.removeprefix("label")))), None) if instead else (value, value.isNotNull())
+    return (label if spec == "label" else host), None
+
+
 def detect_source_type(url: Column) -> Column:
     """Struct (type, params); null type when no rule matches."""
-    host, path, segs = part(url, HOST), part(url, PATH), _segments(url)
-    first = F.get(segs, F.lit(0))
-
-    def found(kind: str, **params) -> Column:
-        items = [x for name, c in params.items() for x in (F.lit(name), c if isinstance(c, Column) else F.lit(c))]
-        return F.struct(F.lit(kind).alias("type"), F.create_map(*items).alias("params"))
-
-    plain = F.filter(segs, lambda s: ~s.rlike("^[a-z]{2}-[A-Z]{2}$"))
-    company, domain = _param(url, "company"), _param(url, "domain")
-    embed = _param(url, "for")
-    site = r"(?i)/hcmUI/CandidateExperience/([\w-]+)/sites/([\w-]+)"
-    boards = host.isin("boards.greenhouse.io", "job-boards.greenhouse.io", "boards.eu.greenhouse.io", "job-boards.eu.greenhouse.io")
-    api_board = F.regexp_extract(path, r"/boards/([\w-]+)", 1)
-    label = F.substring_index(host, ".", 1)
-    lever_api = F.when(host.contains(".eu."), F.lit("api.eu.lever.co")).otherwise(F.lit("api.lever.co"))
-    partner, site_id = _param(url, "partnerid"), _param(url, "siteid")
-    return (
-        F.when(host.rlike(r"(?i)^[\w-]+\.wd\d+\.myworkdayjobs\.com$") & (F.size(plain) > 0), found("workday", host=host, tenant=label, site=F.get(plain, F.lit(0))))
-        .when(host.endswith("myworkdaysite.com") & (F.size(segs) >= 3) & (first == "recruiting"),
-              found("workday", host=host, tenant=F.get(segs, F.lit(1)), site=F.get(segs, F.lit(2))))
-        .when(path.rlike(site) & host.rlike(r"(?i)\.oraclecloud\.[a-z]{2,3}(:\d+)?$"), found("oracle_hcm", host=host, site=F.regexp_extract(path, site, 2), lang=F.regexp_extract(path, site, 1)))
-        .when(host.endswith(".eightfold.ai"), found("eightfold", host=host, domain=F.coalesce(domain, F.concat(label, F.lit(".com")))))
-        .when(boards & first.isNotNull() & (first != "embed"), found("greenhouse", board=first))
-        .when(boards & embed.isNotNull(), found("greenhouse", board=embed))
-        .when((host == "boards-api.greenhouse.io") & (api_board != ""), found("greenhouse", board=api_board))
-        .when(host.isin("jobs.lever.co", "jobs.eu.lever.co") & first.isNotNull(), found("lever", company=first, api=lever_api))
-        .when(host.isin("jobs.smartrecruiters.com", "careers.smartrecruiters.com") & first.isNotNull(), found("smartrecruiters", company=first))
-        .when((host == "jobs.ashbyhq.com") & first.isNotNull(), found("ashby", board=first))
-        .when(host.isin("apply.workable.com", "jobs.workable.com") & (first != "api"), found("workable", account=first))
-        .when(host.endswith(".recruitee.com"), found("recruitee", company=label))
-        .when(host.endswith(".teamtailor.com"), found("teamtailor", host=host))
-        .when(host.rlike(r"^[\w-]+\.jobs\.personio\.(de|com)$"), found("personio", host=host))
-        .when(host.contains("successfactors") & company.isNotNull(), found("successfactors", mode="legacy", host=host, company=company))
-        .when(F.lower(path).contains("/tgnewui/") & partner.isNotNull() & site_id.isNotNull(), found("brassring", host=host, partnerid=partner, siteid=site_id)))
+    out = []
+    for kind, host, path, takes in V.SITE_RULES:
+        fits = part(url, HOST).rlike(host) if host else F.lit(True)
+        if path:
+            fits = fits & part(url, PATH).rlike(path)
+        items = []
+        for name, spec in takes.items():
+            value, needed = _taken(spec, url, path)
+            fits = fits if needed is None else fits & needed
+            items += [F.lit(name), value]
+        out.append(F.when(fits, F.struct(F.lit(kind).alias("type"), F.create_map(*items).alias("params"))))
+    return F.coalesce(*out)
 
 
 def resolve_type(explicit: Column, url: Column) -> Column:

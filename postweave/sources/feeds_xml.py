@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.dates import at, parse_date
 from ..functions.text import html_to_text
 
@@ -19,8 +20,6 @@ PERSONIO = ("position array<struct<id:string,name:string,createdAt:string,office
 SUCCESSFACTORS = ("Job array<struct<JobTitle:string,ReqId:string,`Job-Description`:string,`Posted-Date`:string,"
                   + ",".join(f"filter{i}:struct<label:string,value:string>" for i in range(1, 10)) + ">>")
 SITEMAP = "url array<struct<loc:string,lastmod:string>>"
-# Labels of place fields in the languages of the payloads.
-PLACE_LABELS = [["city", "ciudad", "localidad"], ["state", "región/provincia/estado", "provincia"], ["country", "país", "pais"]]
 NO_TEXTS = "array<string>"
 
 
@@ -106,7 +105,7 @@ def normalize_successfactors(captures: DataFrame, now: datetime, base: str) -> D
     def labelled(names: list[str]) -> Column:
         return F.coalesce(*[F.when(value_of(n) != "", value_of(n)) for n in names])
 
-    place = F.concat_ws(", ", *[labelled(names) for names in PLACE_LABELS])
+    place = F.concat_ws(", ", *[labelled(names) for names in V.PLACE_LABELS])
     places = F.when(place != "", F.array(place)).otherwise(F.array().cast(NO_TEXTS))
     req = _clean(F.col("item.ReqId"))
     out = _posting(item, req, html_to_text(F.col("item.JobTitle")), F.concat(F.lit(base), req), places, F.col("item.`Posted-Date`"),

@@ -1,117 +1,165 @@
-"""A small element tree over the standard tokenizer, for captured HTML that regular expressions cannot read."""
+"""Captured HTML in one pass: the standard tokenizer feeds flat arrays, and a selector automaton runs along the open elements."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from functools import cache
 from html.parser import HTMLParser
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HIDDEN = {"script", "style"}
-_SIMPLE = re.compile(r"^([\w-]+|\*)?((?:[.#][\w-]+|\[[\w-]+(?:=\"?[^\"\]]*\"?)?\])*)$")
+_COMPOUND = re.compile(r"(?P<tag>[\w-]+|\*)?(?P<rest>(?:[.#][\w-]+|\[[\w-]+(?:=(?:\"[^\"\]]*\"|[^\"\]]*))?\])*)")
+_PART = re.compile(r"[.#][\w-]+|\[[^\]]+\]")
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+class Compound:
+    """One element test: tag, id, classes, attributes."""
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("tag", "classes", "attrs")
 
-    def walk(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
-
-    def texts(self):
-        for child in self.children:
-            if isinstance(child, str):
-                yield child
-            elif child.tag not in _HIDDEN:
-                yield from child.texts()
-
-    def text(self) -> str:
-        return " ".join(" ".join(self.texts()).split())
-
-    def lines(self) -> list[str]:
-        flat = "\n".join(self.texts()).split("\n")
-        return [x for x in (" ".join(line.split()) for line in flat) if x]
-
-    def matches(self, simple: str) -> bool:
-        m = _SIMPLE.match(simple)
-        if not m or (m.group(1) not in (None, "*", self.tag)):
-            return False
-        for part in re.findall(r"[.#][\w-]+|\[[^\]]+\]", m.group(2)):
+    def __init__(self, text: str):
+        m = _COMPOUND.fullmatch(text)
+        if not text or not m:
+            raise ValueError(f"selector not supported: {text!r}")
+        self.tag = None if m["tag"] in (None, "*") else m["tag"].lower()
+        self.classes, self.attrs = [], []
+        for part in _PART.findall(m["rest"]):
             if part[0] == ".":
-                ok = part[1:] in (self.attrs.get("class") or "").split()
+                self.classes.append(part[1:])
             elif part[0] == "#":
-                ok = self.attrs.get("id") == part[1:]
+                self.attrs.append(("id", part[1:]))
             else:
                 name, eq, value = part[1:-1].partition("=")
-                ok = name in self.attrs and (not eq or self.attrs[name] == value.strip('"'))
-            if not ok:
-                return False
-        return True
-
-    def select(self, selector: str) -> list[Node]:
-        """Descendants that match 'a', 'div.card', 'li a[href]' or a list of those with commas."""
-        wanted = [s.split() for s in selector.split(",")]
+                self.attrs.append((name, value.strip('"') if eq else None))
 
-        def hit(node: Node, chain: list[str]) -> bool:
-            if not node.matches(chain[-1]):
+    def fits(self, attrs: dict[str, str]) -> bool:
+        if self.classes:
+            own = (attrs.get("class") or "").split()
+            if not all(c in own for c in self.classes):
                 return False
-            up, left = node.parent, chain[:-1]
-            while left and up is not None:
-                if up.matches(left[-1]):
-                    left = left[:-1]
-                up = up.parent
-            return not left
-
-        return [n for n in self.walk() if any(hit(n, chain) for chain in wanted)]
-
-    def first(self, selector: str) -> Node | None:
-        return next(iter(self.select(selector)), None)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
+        return all(name in attrs and (value is None or attrs[name] == value) for name, value in self.attrs)
+
+
+class Selectors:
+    """Named selectors: compounds joined by blanks (descendants), alternatives by commas.  Anything else raises when they are made.
+
+    A chain of k compounds has k bits; bit j is set at an element if the first j + 1 compounds fit a path of elements that ends in it or above.  So one look at
+    the parent's bits and at the tests for the element's tag tells which selectors the element meets.
+    """
+
+    def __init__(self, **named: str | None):
+        self.named = {name: text for name, text in named.items() if text}
+        self.by_tag: dict[str | None, list[tuple[Compound, int, int, str | None]]] = {}
+        bit = 0
+        for name, text in self.named.items():
+            for alternative in re.split(r",(?![^\[]*\])", text):
+                chain = [Compound(c) for c in re.findall(r"(?:\[[^\]]*\]|\S)+", alternative)]
+                if not chain:
+                    raise ValueError(f"selector not supported: {text!r}")
+                for j, compound in enumerate(chain):
+                    need = 1 << (bit + j - 1) if j else 0
+                    self.by_tag.setdefault(compound.tag, []).append((compound, need, 1 << (bit + j), name if j == len(chain) - 1 else None))
+                bit += len(chain)
+
+    def step(self, above: int, tag: str, attrs: dict[str, str]) -> tuple[int, list[str]]:
+        """(bits of the element, names of the selectors it meets)."""
+        bits, met = above, []
+        for tests in (self.by_tag.get(tag), self.by_tag.get(None)):
+            for compound, need, own, name in tests or ():
+                if above & need == need and compound.fits(attrs):
+                    bits |= own
+                    if name is not None and name not in met:
+                        met.append(name)
+        return bits, met
+
+
+@cache
+def selectors(**named: str | None) -> Selectors:
+    return Selectors(**named)
+
+
+class Page(HTMLParser):
+    """Elements in document order as arrays: ``tags``, ``attrs``, ``parent`` and the end of each one's descendants and texts."""
+
+    def __init__(self, html: str, wanted: Selectors):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "li" and any(n.tag == "li" for n in self._open_until({"ul", "ol"})):
+        self.wanted = wanted
+        self.tags, self.attrs, self.parent, self.last, self.text_from, self.text_to = [], [], [], [], [], []
+        self.texts: list[str] = []
+        self.hits: dict[str, list[int]] = {name: [] for name in wanted.named}
+        self._open: list[tuple[int, int]] = []  # (element, bits)
+        self._count: Counter[str] = Counter()  # open elements by tag
+        self.feed(html)
+        self.close()
+        while self._open:
+            self._pop()
+
+    def _add(self, tag: str, attrs: list) -> tuple[int, int]:
+        above = self._open[-1] if self._open else (-1, 0)
+        node, own = len(self.tags), {k: v or "" for k, v in attrs}
+        bits, met = self.wanted.step(above[1], tag, own)
+        for name in met:
+            self.hits[name].append(node)
+        for column, value in ((self.tags, tag), (self.attrs, own), (self.parent, above[0]), (self.last, node + 1), (self.text_from, len(self.texts)),
+                              (self.text_to, len(self.texts))):
+            column.append(value)
+        return node, bits
+
+    def _pop(self) -> None:
+        node, _ = self._open.pop()
+        self._count[self.tags[node]] -= 1
+        self.last[node], self.text_to[node] = len(self.tags), len(self.texts)
+
+    def _li_open(self) -> bool:
+        """Whether a list item is open inside the innermost list."""
+        for node, _ in reversed(self._open):
+            if self.tags[node] in ("li", "ul", "ol"):
+                return self.tags[node] == "li"
+        return False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "li" and self._count["li"] and self._li_open():
             self.handle_endtag("li")
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        entry = self._add(tag, attrs)
         if tag not in _VOID:
-            self.at = node
+            self._open.append(entry)
+            self._count[tag] += 1
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self._add(tag, attrs)
 
-    def _open_until(self, stop):
-        node = self.at
-        while node.parent is not None and node.tag not in stop:
-            yield node
-            node = node.parent
+    def handle_endtag(self, tag: str) -> None:
+        if self._count[tag]:
+            while self.tags[self._open[-1][0]] != tag:
+                self._pop()
+            self._pop()
 
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
+    def handle_data(self, data: str) -> None:
+        if not any(self._count[tag] for tag in _HIDDEN):
+            self.texts.append(data)
 
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+    # --- an element's parts -----------------------------------------------------------------------------------------
+    def text(self, node: int) -> str:
+        return " ".join(" ".join(self.texts[self.text_from[node]:self.text_to[node]]).split())
 
-    def handle_data(self, data):
-        self.at.children.append(data)
+    def lines(self, node: int) -> list[str]:
+        flat = "\n".join(self.texts[self.text_from[node]:self.text_to[node]]).split("\n")
+        return [x for x in (" ".join(line.split()) for line in flat) if x]
 
+    def all(self, name: str, node: int | None = None) -> list[int]:
+        """Elements that meet a selector, below ``node`` or in the whole page; none for a selector that was not given."""
+        found = self.hits.get(name, [])
+        return found if node is None else found[bisect_right(found, node):bisect_left(found, self.last[node])]
 
-def parse(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
+    def first(self, name: str, node: int) -> int | None:
+        found = self.hits.get(name, [])
+        i = bisect_right(found, node)
+        return found[i] if i < len(found) and found[i] < self.last[node] else None
 
 
 def visible_text(html: str) -> str:
-    tree = parse(html)
-    return (tree.first("body") or tree).text()
+    page = Page(html, selectors(body="body"))
+    body = page.all("body")
+    return page.text(body[0]) if body else " ".join(" ".join(page.texts).split())

@@ -18,7 +18,7 @@ from ..functions.jsons import as_list, dig
 from ..functions.text import collapse_spaces, html_to_text, text_part, unescape
 from ..functions.urls import absolute_url
 from ..operators.dedupe import distinct_first_wins, distinct_last_wins
-from .markup import parse
+from .markup import Page, Selectors, selectors
 
 
 @dataclass(frozen=True)
@@ -38,27 +38,37 @@ class ListMapping:
     date_regex: str | None = None
     id_patterns: tuple[str, ...] = ()  # tried on the id attribute, then on the link
 
+    def selectors(self) -> dict[str, str | None]:
+        return {"item": self.item, "title": self.title, "link": None if self.link == "self" else self.link, "company": self.company,
+                "location": self.location, "date": self.date}
+
+    def __post_init__(self) -> None:
+        Selectors(**self.selectors())  # an unsupported selector raises here, not in a task
+
 
 _RAW = "source_key string, page_no int, page_url string, pos int, id string, title string, href string, company string, place string, day string"
 
 
 def read_items(captures: DataFrame, m: ListMapping, title_chars: int | None = None) -> DataFrame:
     """Raw texts per item node; without a title selector the item's text is the title (``title_chars`` of it).  The tree is the only Python step; everything after it is Columns."""
-    def one(node, selector, attr=None):
-        if not selector:
-            return ""
-        hit = node.first(selector)
-        return "" if hit is None else (hit.attrs.get(attr) or "" if attr else hit.text())
+    wanted = m.selectors()
+
+    def items(body: str) -> Iterator[tuple]:
+        page = Page(body, selectors(**wanted))
+
+        def text(name: str, node: int) -> str:
+            hit = page.first(name, node)
+            return "" if hit is None else page.text(hit)
+        for pos, node in enumerate(page.all("item")):
+            link, day = node if m.link == "self" else page.first("link", node), page.first("date", node)
+            yield (pos, (page.attrs[node].get(m.id_attr) or "").strip() if m.id_attr else "", text("title", node) or page.text(node)[:title_chars],
+                   "" if link is None else page.attrs[link].get("href", ""), text("company", node), text("location", node),
+                   "" if day is None else (page.attrs[day].get(m.date_attr) or "") if m.date_attr else page.text(day))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for key, page, url, body in zip(pdf["source_key"], pdf["page_no"], pdf["url"], pdf["body"], strict=True):
-                for pos, node in enumerate(parse(body or "").select(m.item)):
-                    link = node if m.link == "self" else node.first(m.link)
-                    out.append((key, page, url, pos, (node.attrs.get(m.id_attr) or "").strip() if m.id_attr else "",
-                                one(node, m.title) or node.text()[:title_chars], link.attrs.get("href", "") if link is not None else "",
-                                one(node, m.company), one(node, m.location), one(node, m.date, m.date_attr)))
+            out = [(key, number, url, *item) for key, number, url, body in zip(pdf["source_key"], pdf["page_no"], pdf["url"], pdf["body"], strict=True)
+                   for item in items(body or "")]
             yield pd.DataFrame(out, columns=["source_key", "page_no", "page_url", "pos", "id", "title", "href", "company", "place", "day"])
 
     return captures.select("source_key", "page_no", "url", "body").mapInPandas(run, _RAW)
@@ -88,36 +98,37 @@ def normalize_html_list(captures: DataFrame, m: ListMapping, now: datetime, last
     return pick(rows, ["source_key", "native_id"], "page_no", "pos")
 
 
-SEARCH_CARDS = ListMapping(
-    "div.base-card, div.job-search-card, li", title="h3.base-search-card__title", link="a", id_attr="data-entity-urn", company="h4.base-search-card__subtitle",
-    location="span.job-search-card__location", date="time", date_attr="datetime", url_template="https://www.linkedin.com/jobs/view/{id}/",
-    id_patterns=(r"jobPosting:(\d+)", r"/jobs/view/(?:[^/?]*-)?(\d+)"))
-TABLE_ROWS = ListMapping("tr.data-row", title="a.jobTitle-link", link="a.jobTitle-link", location="span.jobLocation", date="span.jobDate")
+SEARCH_CARDS, TABLE_ROWS = ListMapping(**V.SEARCH_CARDS), ListMapping(**V.TABLE_ROWS)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def jsonld_objects(bodies: pd.Series, kinds: pd.Series) -> pd.Series:
-    """JSON texts of the objects of a type in all JSON-LD scripts of a page, wherever they are nested."""
+    """JSON texts of the objects of a type in all JSON-LD scripts of a page, wherever they are nested; a script nested too deeply is left out."""
     def walk(value):
-        if isinstance(value, dict):
-            yield value
-            for inner in value.values():
-                yield from walk(inner)
-        elif isinstance(value, list):
-            for inner in value:
-                yield from walk(inner)
+        """All objects in order, without recursion."""
+        stack = [value]
+        while stack:
+            value = stack.pop()
+            if isinstance(value, dict):
+                yield value
+                stack.extend(reversed(value.values()))
+            elif isinstance(value, list):
+                stack.extend(reversed(value))
 
     def scripts(texts, kind):
         out = []
         for text in texts if texts is not None else []:
             try:
                 data = json.loads(text, strict=False)
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than any reader goes
                 continue
             for obj in walk(data):
                 types = obj.get("@type")
                 if kind in (types if isinstance(types, list) else [types]):
-                    out.append(json.dumps(obj, ensure_ascii=False))
+                    try:
+                        out.append(json.dumps(obj, ensure_ascii=False))
+                    except RecursionError:
+                        continue
         return out
 
     return pd.Series([scripts(b, k) for b, k in zip(bodies, kinds, strict=True)])

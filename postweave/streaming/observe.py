@@ -1,83 +1,32 @@
-"""Streams that remember: observation, publication, status folding, polling intervals."""
+"""Streams that act on batches: publication through a callable, and one row per slot."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as V
-from ..operators.tracker import status_changes
-from .snapshots import SnapshotTable
+from ..operators.stored import BucketStore
 
-SEEN_SCHEMA = "key string, first_seen timestamp, last_seen timestamp, latest string"
 PUBLISHED_SCHEMA = "key string, grp string, published_at timestamp"
-STATUS_SCHEMA = "id string, seq bigint, ts timestamp, day date, status string, changes bigint"
 
 
-def observe_batch(store: SnapshotTable) -> Callable[[DataFrame, int], None]:
-    """Per key: first sight once, last sight at most once a day, latest attributes.  Rows: (key, ts, seq, attributes)."""
+def publish_batch(store: BucketStore, deliver: Callable[[DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A (key, grp) pair is published at most once.  ``deliver`` returns the rows that arrived; only those are marked, the others are tried again
+    when they come back.  Only the buckets of the batch's pairs are read, only those of delivered pairs are written."""
     def run(batch: DataFrame, n: int) -> None:
-        order = F.struct("ts", "seq")
-        now = batch.groupBy("key").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.max_by("attributes", order).alias("_latest"))
-        both = store.read(batch.sparkSession, n).join(now, "key", "full_outer")
-        moved = F.col("_last").isNotNull() & ~F.coalesce(F.to_date("last_seen") == F.to_date("_last"), F.lit(False))
-        store.write(both.select("key", F.least("first_seen", "_first").alias("first_seen"), F.when(moved, F.greatest("last_seen", "_last"))
-                                .otherwise(F.col("last_seen")).alias("last_seen"), F.coalesce("_latest", "latest").alias("latest")), n)
+        wanted = batch.groupBy("key", "grp").agg(F.min("ts").alias("published_at"))
+        buckets = [r[0] for r in wanted.select(store.bucket()).distinct().collect()]
+        fresh = wanted.join(store.read(batch.sparkSession, n, buckets), ["key", "grp"], "left_anti").persist()
+        arrived = deliver(fresh, n).select("key", "grp", "published_at").persist()
+        store.upsert(arrived, n, lambda old, new: old.unionByName(new))
+        arrived.unpersist()
+        fresh.unpersist()
     return run
 
 
-def publish_batch(store: SnapshotTable, deliver: Callable[[DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A (key, grp) pair is published at most once.  ``deliver`` returns the rows that arrived; only those are marked,
-    the others are tried again when they come back."""
-    def run(batch: DataFrame, n: int) -> None:
-        done = store.read(batch.sparkSession, n)
-        fresh = batch.groupBy("key", "grp").agg(F.min("ts").alias("published_at")).join(done, ["key", "grp"], "left_anti")
-        arrived = deliver(fresh, n)
-        store.write(done.unionByName(arrived.select("key", "grp", "published_at")), n)
-    return run
-
-
-def fold_status_batch(store: SnapshotTable) -> Callable[[DataFrame, int], None]:
-    """Current status per posting.  The remembered status takes part as an earlier entry, so a repeat across batches
-    adds nothing.  Rows: (id, seq, ts, day, status)."""
-    def run(batch: DataFrame, n: int) -> None:
-        before = store.read(batch.sparkSession, n)
-        old = before.select("id", F.lit(-1).cast("bigint").alias("seq"), "ts", "day", "status", "changes")
-        log = batch.select("id", "seq", "ts", "day", "status", F.lit(0).cast("bigint").alias("changes")).unionByName(old)
-        last = F.struct("ts", "seq")
-        changed = status_changes(log, ["ts", "seq"], F.date_trunc("hour", "ts"))
-        now = changed.groupBy("id").agg(F.max(last).alias("_o"), F.max_by("day", last).alias("day"), F.max_by("status", last).alias("status"),
-                                        (F.sum("changes") + F.count_if(F.col("seq") >= 0)).alias("changes"))
-        store.write(now.select("id", F.col("_o.seq").alias("seq"), F.col("_o.ts").alias("ts"), "day", "status", "changes"), n)
-    return run
-
-
-def throttle_stream(events: DataFrame, interval_minutes: int) -> DataFrame:
-    """Events (key, ts) at least ``interval - 2`` minutes after the last emitted one of their key.
-
-    The rows of a key in one micro-batch are sorted in its task; the size of a micro-batch is bounded by the source's
-    rate limit (``maxFilesPerTrigger``)."""
-    wait = pd.Timedelta(minutes=interval_minutes - V.INTERVAL_TOLERANCE_MINUTES)
-
-    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        kept = []
-        for ts in sorted(pd.concat(list(frames))["ts"]):
-            if last is None or ts - last >= wait:
-                kept.append(ts)
-                last = ts
-        if last is not None:
-            state.update((last.value // 1000 if last.unit == "ns" else int(last.as_unit("us").value),))
-        yield pd.DataFrame({"key": key[0], "ts": pd.Series(kept, dtype="datetime64[us]")})
-
-    return events.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp", "last_us bigint", "append", GroupStateTimeout.NoTimeout)
-
-
 def first_within_grace(events: DataFrame, hours: int = V.GRACE_HOURS) -> DataFrame:
     """One row per (key, slot), dropping what comes later than the grace; state expires with the watermark."""
     return events.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["key", "slot"])

@@ -13,12 +13,12 @@ from postweave.operators import routing as R
 from postweave.operators import slots as SL
 from postweave.operators import state as S
 from postweave.operators import tracker as TR
+from postweave.operators.stored import BucketStore
 from postweave.session import small_table
 from postweave.sources import mail as M
 from postweave.sources import pages as PG
 from postweave.sources import sinks
 from postweave.streaming import observe as O
-from postweave.streaming.snapshots import SnapshotTable
 
 
 def walk(rows):
@@ -198,48 +198,14 @@ def log():
     return [(f"u{rnd.randrange(6)}", i, start + timedelta(minutes=i * 7), rnd.choice(["applied", "aplicado", "offer", "x"])) for i in range(300)]
 
 
-def test_observe_stream_equals_batch(spark, tmp_path, log):
-    src = stream(spark, tmp_path, log, "key string, seq bigint, ts timestamp, attributes string")
-    store = SnapshotTable(str(tmp_path / "seen"), O.SEEN_SCHEMA)
-    run(src.writeStream.foreachBatch(O.observe_batch(store)), tmp_path)
-    got = {r["key"]: (r["first_seen"], r["latest"]) for r in store.read(spark).collect()}
-    want = {k: (min(r[2] for r in log if r[0] == k), None) for k in {r[0] for r in log}}
-    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(store.versions(spark)) <= store.keep
-
-
 def test_publish_once_retries_what_was_not_delivered(spark, tmp_path, log):
     src = stream(spark, tmp_path, log, "key string, seq bigint, ts timestamp, grp string")
-    store = SnapshotTable(str(tmp_path / "pub"), O.PUBLISHED_SCHEMA)
+    store = BucketStore(str(tmp_path / "pub"), O.PUBLISHED_SCHEMA, ["key", "grp"], 8)
     run(src.writeStream.foreachBatch(O.publish_batch(store, lambda df, n: df.filter("key <> 'u0'") if n == 0 else df)), tmp_path)
     got = store.read(spark)
     assert got.count() == got.select("key", "grp").distinct().count() == len({(r[0], r[3]) for r in log})
 
 
-def test_status_stream_equals_batch(spark, tmp_path, log):
-    rows = [(k, i, ts, ts.date(), s) for k, i, ts, s in log]
-    schema = "id string, seq bigint, ts timestamp, day date, status string"
-    ordered = spark.createDataFrame(rows, schema)
-    for i in range(4):  # files in order of time: a stream folds in order of arrival
-        ordered.filter((F.col("seq") >= i * 75) & (F.col("seq") < (i + 1) * 75)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    store = SnapshotTable(str(tmp_path / "st"), O.STATUS_SCHEMA)
-    run(src.writeStream.foreachBatch(O.fold_status_batch(store)), tmp_path)
-    batch = TR.fold_status(ordered, ["ts", "seq"], F.date_trunc("hour", "ts"))
-    want = {r["id"]: (r["date"], r["changes"]) for r in batch.collect()}
-    assert {r["id"]: (r["day"], r["changes"]) for r in store.read(spark).collect()} == want
-
-
-def test_throttle_stream(spark, tmp_path, log):
-    rows = [(k, i, ts) for k, i, ts, _ in log]
-    schema = "key string, seq bigint, ts timestamp"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).select("key", "ts")
-    run(O.throttle_stream(src, 60).writeStream.format("memory").queryName("thr").outputMode("append"), tmp_path)
-    got = sorted((r["key"], r["ts"]) for r in spark.table("thr").collect())
-    want = sorted((k, ts) for k in {r[0] for r in log} for ts in throttle_walk([r[2] for r in log if r[0] == k], timedelta(minutes=58)))
-    assert got == want
-
-
 def test_grace_stream_keeps_one_row_per_slot(spark, tmp_path, log):
     rows = [(k, i, ts, ts.replace(hour=0, minute=0)) for k, i, ts, _ in log]
     schema = "key string, seq bigint, ts timestamp, slot timestamp"
