@@ -23,27 +23,41 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def signatures(text: Column, anchors: list[str] = ANCHORS, chain: tuple[int, int] = CHAIN, stretches: bool = False) -> Column:
-    """The set of a text's spot signatures, as distinct 48-bit hashes.
+def _found(words: Column, anchors: list[str], chain: tuple[int, int], stretches: bool) -> Column:
+    """The spots of normal words, with ``stretches`` also the runs of three words between them."""
+    stop = "(?:" + "|".join(dict.fromkeys(anchors)) + ")(?![^ ])"
+    spot = rf"(?<![^ ]){stop}(?: (?!{stop})[^ ]++){{{chain[0]},{chain[1]}}}"
+    if not stretches:
+        return F.regexp_extract_all(words, F.lit(spot), F.lit(0))
+    # A spot is taken whole; elsewhere every word begins a run, unless the run would reach a spot.
+    run = rf"(?:(?!{spot})[^ ]++ ){{2}}(?!{spot})[^ ]++"
+    return F.regexp_extract_all(words, F.lit(rf"(?<![^ ])(?=({spot}|{run}))(?:{spot})?+"), F.lit(1))
+
+
+def _hashed(found: Column, words: Column) -> Column:
+    runs = F.regexp_extract_all(words, F.lit(r"(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))"), F.lit(1))
+    whole = F.when(words != "", F.array(words)).otherwise(F.array().cast("array<string>"))
+    chosen = F.when(F.size(found) > 0, found).when(words.rlike("^[^ ]+ [^ ]+ "), runs).otherwise(whole)
+    return F.array_distinct(F.transform(chosen, lambda s: F.xxhash64(s).bitwiseAND((1 << 48) - 1)))
+
+
+def with_signatures(df: DataFrame, text: str, name: str, anchors: list[str] = ANCHORS, chain: tuple[int, int] = CHAIN, stretches: bool = False) -> DataFrame:
+    """Adds ``name``: the set of a text's spot signatures, as distinct 48-bit hashes.
 
     A signature is an anchor with the content words that follow it up to the next anchor (``chain``: how many at least and at most).  A text without
     any takes its runs of three words instead, a shorter one its whole text, and a text without words has none.
     With ``stretches`` this holds for every part: each three words in a row outside the spots are a signature, too, so a long text never rests on a
-    few spots, and an edit changes only the signatures near it.
+    few spots, and an edit changes only the signatures near it.  Words and spots are columns of their own, so each pattern runs once a text.
     """
-    stop = "(?:" + "|".join(dict.fromkeys(anchors)) + ")(?![^ ])"
-    spot = rf"(?<![^ ]){stop}(?: (?!{stop})[^ ]++){{{chain[0]},{chain[1]}}}"
+    df = df.withColumn("words_", normal(F.col(text)))
+    df = df.withColumn("found_", _found(F.col("words_"), anchors, chain, stretches))
+    return df.withColumn(name, _hashed(F.col("found_"), F.col("words_"))).drop("words_", "found_")
+
+
+def signatures(text: Column, anchors: list[str] = ANCHORS, chain: tuple[int, int] = CHAIN, stretches: bool = False) -> Column:
+    """The same as one Column, for single texts: a Column is evaluated wherever it stands, so tables take ``with_signatures``."""
     words = normal(text)
-    if stretches:
-        # A spot is taken whole; elsewhere every word begins a run, unless the run would reach a spot.
-        run = rf"(?:(?!{spot})[^ ]++ ){{2}}(?!{spot})[^ ]++"
-        found = F.regexp_extract_all(words, F.lit(rf"(?<![^ ])(?=({spot}|{run}))(?:{spot})?+"), F.lit(1))
-    else:
-        found = F.regexp_extract_all(words, F.lit(spot), F.lit(0))
-    runs = F.regexp_extract_all(words, F.lit(r"(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))"), F.lit(1))
-    whole = F.when(words != "", F.array(words)).otherwise(F.array().cast("array<string>"))
-    chosen = F.when(F.size(found) > 0, found).when(F.size(runs) > 0, runs).otherwise(whole)
-    return F.array_distinct(F.transform(chosen, lambda s: F.xxhash64(s).bitwiseAND((1 << 48) - 1)))
+    return _hashed(_found(words, anchors, chain, stretches), words)
 
 
 def fingerprint(found: Column) -> Column:
@@ -69,7 +83,7 @@ def similar_pairs(documents: DataFrame, similarity: float = 0.8, text: str = "te
     or empty texts have no signature and no partner; rows with null ids take no part; other columns are ignored.
     """
     step = math.log(1 / similarity)
-    sets = texts_of(documents, text, key).where("doc_id is not null").select("doc_id", F.array_sort(signatures(F.col("text"), stretches=stretches)).alias("sigs"))
+    sets = with_signatures(texts_of(documents, text, key).where("doc_id is not null"), "text", "sigs", stretches=stretches).select("doc_id", F.array_sort("sigs").alias("sigs"))
     sets = sets.where(F.size("sigs") > 0)
     classes = sets.groupBy("sigs").agg(F.min("doc_id").alias("class")).withColumn("n", F.size("sigs"))
     members = sets.join(classes.select("sigs", "class"), "sigs").select("doc_id", "class")
@@ -119,7 +133,7 @@ def with_next(docs: DataFrame, ranges: int | None = None, stretches: bool = Fals
     above = F.struct(F.pmod(F.col("place") + 1, F.lit(count)).alias("range"), F.lit(True).alias("guest"))
     df = df.select("doc_id", "text", F.explode(F.when(top, F.array(here, above)).otherwise(F.array(here))).alias("to"))
     df = df.select("doc_id", "text", "to.range", "to.guest").repartition(parts, "range")
-    df = df.select("*", signatures(F.col("text"), stretches=stretches).alias("sigs"), F.xxhash64("text").alias("tie"))
+    df = with_signatures(df, "text", "sigs", stretches=stretches).withColumn("tie", F.xxhash64("text"))
     order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "tie")
     return df.select("doc_id", "text", "guest", "sigs", F.lead("text").over(order).alias("next_text"), F.lead("sigs").over(order).alias("next_sigs")) \
         .where("not guest").drop("guest")
@@ -136,8 +150,8 @@ def fingerprints_with_edits(documents: DataFrame, text: str = "text", key: str =
     df = df.withColumn("n_chars", size).withColumn("third", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("third")).cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("third")))
     df = df.select("doc_id", "n_chars", "sigs", "next_sigs", edited.alias("edited"))
-    df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", "next_sigs",
-                   signatures(F.col("edited"), stretches=stretches).alias("edited_sigs"))
+    df = with_signatures(df, "edited", "edited_sigs", stretches=stretches)
+    df = df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sigs", "next_sigs", "edited_sigs")
     return df.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"),
                      fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
                      likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
