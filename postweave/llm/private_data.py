@@ -115,15 +115,51 @@ def _unmark(row: str) -> tuple[str, list[tuple[str, int, int]]]:
     return text + row[end:], spans
 
 
+_ASCII_SHAPE = {c: "A" if chr(c).isupper() else "a" for c in range(128) if chr(c).isalpha()}
+_REPEATED = re.compile(r"(.)\1+", re.S)
+
+
 def shape(word: str) -> str:
     """Letters as a or A (runs of one kind shortened), digits as 9 (up to four, then +), other signs as they are."""
     if word[0].isdecimal() or word.isnumeric():
         return "9" * min(len(word), 4) + "+" * (len(word) > 4)
-    out = ""
-    for c in word[:40]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else c
-        if not out.endswith(k):
-            out += k
+    kinds = word.translate(_ASCII_SHAPE) if word.isascii() else "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+    return _REPEATED.sub(r"\1", kinds)
+
+
+@cache
+def _cases() -> np.ndarray:
+    return np.full(0x110000, 3, np.uint8)  # 3: not looked at yet
+
+
+def cases(points: np.ndarray) -> np.ndarray:
+    """For every sign: 0 a letter without case or in lower case, 1 an upper-case letter, 2 anything else."""
+    known = _cases()
+    new = np.unique(points[known[points] == 3])
+    if len(new):
+        known[new] = [1 if c.isupper() else 0 if c.isalpha() else 2 for c in map(chr, new.tolist())]
+    return known[points]
+
+
+def shapes(joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """``shape`` of many words: where all signs are letters, what the first is and how often the case changes say it all."""
+    if not len(starts):
+        return []
+    at = np.repeat(starts - np.append(0, np.cumsum(ends - starts)[:-1]), ends - starts) + np.arange(int((ends - starts).sum()))
+    case = cases(points[at])
+    begin = np.cumsum(ends - starts) - (ends - starts)
+    change = np.append(0, case[1:] != case[:-1]).astype(np.int64)
+    change[begin] = 0
+    changes, most, first = np.add.reduceat(change, begin), np.maximum.reduceat(case, begin), case[begin]
+    known: dict[tuple[int, int], str] = {}
+    out = []
+    for a, b, f, n, m in zip(starts.tolist(), ends.tolist(), first.tolist(), changes.tolist(), most.tolist(), strict=True):
+        if m == 2:
+            out.append(shape(joined[a:b]))
+        else:
+            if (f, n) not in known:
+                known[f, n] = (("Aa" if f else "aA") * (n // 2 + 1))[:n + 1]
+            out.append(known[f, n])
     return out
 
 
@@ -164,8 +200,16 @@ class Field:
 
     def __init__(self, known: frozenset[str], weights: dict[str, np.ndarray], moves: np.ndarray, first: np.ndarray):
         self.known, self.weights, self.moves, self.first = known, weights, moves, first
-        # No labelling other than all O can win unless some token's best gain over O exceeds this (see viterbi_all).
-        self.slack = 2 * max(0.0, float((moves - moves[0, 0]).max()), float((first - first[0]).max()))
+        stay = moves[0, 0]
+        starts, inside = [i for i, x in enumerate(LABELS) if x[0] == "B"], [i for i, x in enumerate(LABELS) if x[0] == "I"]
+        # Gains over O: of beginning a span (after O, and at the beginning of a sentence), of a step inside it, and of what follows its end.
+        self.enter, self.enter_first = moves[0, starts] - stay, first[starts] - first[0]
+        self.inner = np.maximum(moves[starts, inside], moves[inside, inside]) - stay
+        leave = moves[:, 0] - stay
+        beside = (moves[:, starts] - moves[0, starts]).max(axis=1)
+        self.leave = np.array([max(leave[b], leave[i], beside[b], beside[i]) for b, i in zip(starts, inside, strict=True)])
+        self.beside = max(0.0, float((beside - leave)[1:].max()))  # what a span may gain by ending at the beginning of another
+        self.starts, self.inside = starts, inside
 
     def scores(self, word: str) -> np.ndarray:
         """(reach, label) scores that this word gives to the tokens around it."""
@@ -262,24 +306,34 @@ def train(rounds: int = 150, rate: float = 0.15, shrink: float = 0.002) -> Field
 
 
 def viterbi(e: np.ndarray, lengths: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Best labels of a padded batch (sentence, place, label); the last place of a sentence is lengths - 1."""
+    """Best labels of a padded batch (sentence, place, label); the last place of a sentence is lengths - 1; ``first``: scores of the first label, of
+    all sentences or one row each."""
+    order = np.argsort(lengths, kind="stable")
+    e, size = e[order], lengths[order]
     n, longest, k = e.shape
+    ended = np.searchsorted(size, np.arange(longest + 1), side="right")  # so many sentences have at most that length
     back = np.zeros((n, longest, k), np.int8)
-    score = first + e[:, 0]
-    final = score.copy()
+    score = (first[order] if first.ndim == 2 else first) + e[:, 0]
+    final = np.zeros((n, k))
+    done = 0
     for i in range(1, longest):
+        if ended[i] > done:
+            final[done:ended[i]] = score[:ended[i] - done]
+            score, done = score[ended[i] - done:], ended[i]
         x = score[:, :, None] + moves
-        back[:, i] = x.argmax(axis=1)
-        score = x.max(axis=1) + e[:, i]
-        final = np.where((lengths > i)[:, None], score, final)
+        back[done:, i] = x.argmax(axis=1)
+        score = x.max(axis=1) + e[done:, i]
+    final[done:] = score
     labels = np.zeros((n, longest), np.int64)
     best = final.argmax(axis=1)
     rows = np.arange(n)
     for i in range(longest - 1, -1, -1):
-        here = i < lengths
-        labels[here, i] = best[here]
-        best = np.where(here, back[rows, i, best], best)
-    return labels
+        here = ended[i]
+        labels[here:, i] = best[here:]
+        best[here:] = back[rows[here:], i, best[here:]]
+    out = np.zeros_like(labels)
+    out[order] = labels
+    return out
 
 
 class Tagger:
@@ -294,7 +348,7 @@ class Tagger:
         self.kinds: dict[tuple[str, str], int] = {}
         self.table = np.zeros((0, len(REACH), len(LABELS)), np.float32)
 
-    def lookup(self, joined: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def lookup(self, joined: str, points: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row of the score table for every token.  Tokens with equal features share a row, so the table stays small."""
         if len(self.keys) > self.most:
             self.forget()
@@ -304,10 +358,11 @@ class Tagger:
         new = np.flatnonzero(~known)
         if len(new):
             rows, fresh = [], []
-            for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
+            a_, b_ = starts[first[new]], ends[first[new]]
+            for a, b, outline in zip(a_.tolist(), b_.tolist(), shapes(joined, points, a_, b_), strict=True):
                 word = joined[a:b]
                 low = word.lower()
-                kind = (shape(word), low if low in self.field.known else "")
+                kind = (outline, low if low in self.field.known else "")
                 if kind not in self.kinds:
                     self.kinds[kind] = len(self.kinds)
                     fresh.append(self.field.scores(word))
@@ -322,42 +377,84 @@ class Tagger:
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """Spans that the field finds in each text.
 
-        A sentence whose tokens all score best as O, by more than transitions could make up for, is all O and needs no decoding;
-        all others are decoded whole."""
+        Only stretches that some span could cover are decoded (``stretches``); everything else is O in the best labelling, too."""
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         joined, points, bounds, starts, ends, owner, sentence = tokens(texts)
         if not len(starts):
             return out
-        row = self.lookup(joined, run_hashes(points, starts, ends), starts, ends)
+        row = self.lookup(joined, points, run_hashes(points, starts, ends), starts, ends)
         e = np.zeros((len(starts), len(LABELS)), np.float32)
         for r, d in enumerate(REACH):  # the token at i hears the word at i + d, if it is in the same sentence
             a, b = max(0, -d), len(starts) - max(0, d)
             if b > a:
-                same = sentence[a:b] == sentence[a + d:b + d]
-                e[a:b] += self.table[row[a + d:b + d], r] * same[:, None]
-        live = np.unique(sentence[(e[:, 1:].max(axis=1) - e[:, 0]) + self.field.slack > 0])
-        if not len(live):
+                heard = self.table[row[a + d:b + d], r]
+                if d:
+                    heard *= (sentence[a:b] == sentence[a + d:b + d])[:, None]
+                e[a:b] += heard
+        begin, counts = self.stretches(e, sentence)
+        if not len(begin):
             return out
-        counts = np.bincount(sentence)
-        begin = np.cumsum(counts) - counts
-        live = live[np.argsort(counts[live], kind="stable")]
-        for a, b in blocks(counts[live].tolist(), 1 << 16):
-            some = live[a:b]
-            longest = int(counts[some].max())
-            pick = np.minimum(begin[some][:, None] + np.arange(longest), len(starts) - 1)
-            labels = viterbi(e[pick], counts[some], self.field.moves, self.field.first)
-            for s, marks in zip(*np.nonzero(labels), strict=True):
-                label = LABELS[labels[s, marks]]
-                token = int(begin[some[s]] + marks)
-                text = int(owner[token])
-                start, end = int(starts[token] - bounds[text]), int(ends[token] - bounds[text])
-                if label[0] == "B" or not out[text]:
-                    out[text].append((label[2:], start, end))
-                else:
-                    kind, first, _ = out[text][-1]
-                    out[text][-1] = (kind, first, end)
+        whole = np.append(True, sentence[1:] != sentence[:-1])
+        order = np.argsort(counts, kind="stable")
+        begin, counts = begin[order], counts[order]
+        marked = []
+        for a, b in blocks(counts.tolist(), 1 << 16):
+            longest = int(counts[b - 1])
+            pick = np.minimum(begin[a:b, None] + np.arange(longest), len(starts) - 1)
+            before = np.where(whole[begin[a:b], None], self.field.first, self.field.moves[0])
+            labels = viterbi(e[pick], counts[a:b], self.field.moves, before)
+            s, place = np.nonzero(labels)
+            marked.append(np.stack([begin[a:b][s] + place, labels[s, place]], axis=1))
+        marks = np.concatenate(marked)
+        for token, number in marks[np.argsort(marks[:, 0], kind="stable")].tolist():
+            label, text = LABELS[number], int(owner[token])
+            start, end = int(starts[token] - bounds[text]), int(ends[token] - bounds[text])
+            if label[0] == "B" or not out[text]:
+                out[text].append((label[2:], start, end))
+            else:
+                kind, first, _ = out[text][-1]
+                out[text][-1] = (kind, first, end)
         return out
 
+    def stretches(self, e: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, length) of the runs of tokens that a span could cover, each with the token after it in its sentence.
+
+        A span begins with a B and goes on with I of its kind.  What it gains over O is at most the B's gain, the gains of the steps after it and what its end
+        may gain.  If that is not positive for any end, leaving the span out is at least as good, unless the span before it ends where it begins and
+        gains ``beside`` by that; such spans count only where another one may end.  A token is covered if the best beginning up to it and the best end from it on
+        make a gain: a running maximum from either side, cut at sentences.
+        """
+        field = self.field
+        last = np.append(sentence[1:] != sentence[:-1], True)
+        first = np.append(True, last[:-1])
+        inside = np.zeros(len(sentence), bool)
+        kinds = []
+        for q, (b, i) in enumerate(zip(field.starts, field.inside, strict=True)):
+            run = np.cumsum((e[:, i] - e[:, 0]).astype(np.float64) + field.inner[q])
+            begin = (e[:, b] - e[:, 0]).astype(np.float64) + np.where(first, field.enter_first[q], field.enter[q]) - run
+            close = run + np.where(last, 0.0, field.leave[q])
+            apart = (float(max(np.ptp(begin), np.ptp(close))) + 1) * sentence
+            best_end = np.maximum.accumulate((close - apart)[::-1])[::-1] + apart
+            kinds.append((begin, best_end, apart))
+            inside |= np.maximum.accumulate(begin + apart) - apart + best_end > _LEAST
+        for turn in range(_TURNS + 1):
+            # In the last turn any place may stand beside a span, so that long chains end, too.
+            beside = np.append(False, inside[:-1]) & ~first if turn < _TURNS else ~first
+            grown = inside.copy()
+            for begin, best_end, apart in kinds:
+                low = float(begin.min()) - float(np.ptp(apart)) - 1e6
+                grown |= np.maximum.accumulate(np.where(beside, begin + apart, low)) - apart + best_end > _LEAST - field.beside
+            if turn < _TURNS and (grown == inside).all():
+                break
+            inside = grown
+        begin = np.flatnonzero(inside & (first | ~np.append(False, inside[:-1])))
+        stop = np.flatnonzero(inside & (last | ~np.append(inside[1:], False)))
+        return begin, stop - begin + 1 + ~last[stop]
+
+
+_TURNS = 6
+_LEAST = -1e-3  # instead of 0, against rounding
+
 
 _WRITTEN_AT = re.compile(r"(?i)[(\[]\s*(?:at|@)\s*[)\]].*(?:\.|dot)|\sat\s.*\sdot\s", re.S)
 
@@ -366,7 +463,7 @@ def plausible(kind: str, text: str) -> bool:
     """What a found span must look like, as the fixed patterns have their checks: a written-out address has its at and a point, a telephone
     number 7 to 15 digits, a name two to five capitalised words."""
     if kind == "email":
-        return len(text) <= 100 and bool(_WRITTEN_AT.search(text))
+        return bool(_WRITTEN_AT.search(text))
     if kind == "phone":
         return 7 <= sum(c.isdecimal() for c in text) <= 15
     words = text.split()
