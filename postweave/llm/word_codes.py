@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_arrays import byte_letters
-from .shared import blocks, hold, spread_out, table, texts_of
+from .shared import blocks, spread_out, table, texts_of
 from .textgrid import CONTRACTION, NUMBER, SPACE, classes, code_points, first_marks, gather, newer_signs, owner_of, run_hashes, with_contractions
 
 VOCABULARY = "word_bpe_49k.json"
-BLOCK_TEXT = 32 << 20  # code points of a block, which shares one word list
+BLOCK_TEXT = 8 << 20  # code points of a block, which shares one word list
 BLOCK_WORDS = 500_000  # distinct words of a block
 _WORD = regex.compile(CONTRACTION + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SLICE = 1024  # documents that are put together at once
+_CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 _PARTS = "block int, doc_id long, places binary, place int, word string"
 
 
@@ -39,6 +42,7 @@ class Model:
         self.pieces = [""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             self.pieces[i] = piece
+        self.piece_column = pa.array(self.pieces, pa.string())
         self.letters = {b: c for b, c in enumerate(byte_letters())}
 
     def encode_word(self, word: str) -> list[int]:
@@ -139,8 +143,8 @@ def unpack(raw: bytes) -> np.ndarray:
 def word_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Split whole texts: a row per document (its words as places in the block's list, packed) and a row per word of a block's list.
 
-    Places follow the order in which texts arrive, which after a shuffle differs from one evaluation to the next: write the table once and
-    take documents and words from what was written."""
+    Places follow the order of the rows in a partition.  They are sorted by id and text first, so that two evaluations number them alike in whatever order texts
+    arrive: rows of one partition that compare equal are equal."""
     def split(batches):
         coder = model(vocabulary)
         base = TaskContext.get().partitionId() << 12
@@ -166,20 +170,20 @@ def word_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     block = None
         if block is not None:
             yield from block.rows()
-    return docs.mapInArrow(split, _PARTS)
+    return docs.withColumn("tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text").mapInArrow(split, _PARTS)
 
 
 def encode_and_decode(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode whole texts and decode the ids again: (doc_id, n_tokens, ids, decoded); ids are little-endian unsigned 32-bit.
 
     Texts are split in blocks with a word list each; the words of all lists meet sorted, so that every distinct word is encoded once, by
-    the vocabulary's own model; its ids go back to the lists that have it, and are joined to the documents by block and place.  Decoding looks every id up
-    in the table of pieces (bounded by the vocabulary, so each task holds it) and joins pieces with a blank, as this
-    vocabulary's library does.  A word is met at most once per block, so no word and no block is a hot key.  The split texts are written once
-    to the shared folder, so that documents and words see one numbering in whatever order texts arrive.
+    the vocabulary's own model; its ids go back to the lists that have it, and are joined to the documents by block and place.  Decoding joins a block's ids
+    with the table of pieces (bounded by the vocabulary, so each task holds it) and the pieces of a text with a blank, as this
+    vocabulary's library does.  A word is met at most once per block, so no word and no block is a hot key.  The table is split twice, once for its words and
+    once for its documents, with the same numbers; so it has to be a written table (or one whose partitions hold the same rows whenever they are made).
     Null text counts as empty (no ids, empty text); null or repeated ids stay row by row; other columns are ignored.
     """
-    parts = hold(word_blocks(spread_out(texts_of(documents, text, key)), vocabulary), "words")
+    parts = word_blocks(spread_out(texts_of(documents, text, key)), vocabulary)
     words = parts.where("word is not null").select("block", "place", "word")
     words = words.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
 
@@ -207,7 +211,7 @@ def encode_and_decode(documents: DataFrame, vocabulary: str = VOCABULARY, text:
     coded = words.mapInArrow(encode, "list int, n int, packed binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces = model(vocabulary).pieces
+        pieces = model(vocabulary).piece_column
         places, sizes, ids = [np.zeros(0, "<i4")], [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
         for n, packed in zip(left.column("n").to_pylist(), left.column("packed").to_pylist(), strict=True):
             raw = zlib.decompress(packed)
@@ -217,15 +221,18 @@ def encode_and_decode(documents: DataFrame, vocabulary: str = VOCABULARY, text:
         place, size, flat = np.concatenate(places), np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
         begin_of, size_of = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         begin_of[place], size_of[place] = np.cumsum(size) - size, size
-        counts, codes, texts = [], [], []
-        for raw in right.column("places").to_pylist():
-            at = unpack(raw)
-            own = gather(flat, begin_of[at], size_of[at]) if len(at) else np.zeros(0, "<u4")
-            counts.append(len(own))
-            codes.append(own.tobytes())
-            texts.append(" ".join([pieces[i] for i in own.tolist()]))
-        return pa.table({"doc_id": right.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()),
-                         "ids": pa.array(codes, pa.binary()), "decoded": pa.array(texts, pa.string())})
+        out = []
+        for a in range(0, right.num_rows, _SLICE):
+            part = right.slice(a, _SLICE)
+            words = [unpack(raw) for raw in part.column("places").to_pylist()]
+            at = np.concatenate(words)
+            own = gather(flat, begin_of[at], size_of[at]).astype("<u4")
+            end = np.cumsum([len(w) for w in words])
+            bounds = np.append(0, np.append(0, np.cumsum(size_of[at]))[end])  # of each document's ids
+            codes = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(own)])
+            decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces.take(pa.array(own))), " ")
+            out.append(pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(np.diff(bounds)), codes, decoded], schema=_CODES))
+        return pa.Table.from_batches(out, _CODES)
     docs = parts.where("word is null").select("block", "doc_id", "places")
     return coded.groupBy("list").cogroup(docs.groupBy("block")).applyInArrow(
         assemble, "doc_id long, n_tokens long, ids binary, decoded string")
