@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import components
-from .shared import by_blocks, hold, spread_out, table, texts_of
-from .textgrid import blank_words, code_points, mix64, run_hashes
+from .families import POSTED, bits_apart, chosen_sets, family_labels, with_components
+from .shared import by_blocks, discard, hold, spread_out, table, texts_of
+from .shingles import BITMAP_WORDS, SMALL_WORDS, full_bags, lists, set_keys, shingle_sets
+from .textgrid import mix64
 
 COORDINATES = 64
-LENGTH_STEP = 1.06  # ratio of neighbouring length classes
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,38 +23,6 @@ def match_threshold(similarity: float, coordinates: int = COORDINATES, deviation
     return max(1, int(np.floor(coordinates * similarity - deviations * spread)))
 
 
-def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit shingles of all texts in a row, and how many each text has."""
-    lowered = [t.translate(_LOWER) for t in texts]
-    _, points, bounds = code_points(lowered)
-    starts, ends, owner = blank_words(points, bounds)
-    hashes = run_hashes(points, starts, ends)
-    counts = np.bincount(owner, minlength=len(texts)).astype(np.int64) if len(owner) else np.zeros(len(texts), np.int64)
-    begin = np.cumsum(counts) - counts
-    span = np.minimum(counts, words)  # a shorter text is one shingle of all its words
-    number = np.where(counts > 0, counts - span + 1, 0)
-    total = int(number.sum())
-    owner_of_shingle = np.repeat(np.arange(len(texts)), number)
-    at = np.arange(total) + np.repeat(begin - (np.cumsum(number) - number), number)
-    width = span[owner_of_shingle]
-    value = mix64(width.astype(np.uint64) * _ODD)
-    for i in range(words):
-        more = width > i
-        value[more] = mix64(value[more] * np.uint64(3) + hashes[at[more] + i])
-    offset = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(number, out=offset[1:])
-    for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True):
-        if b - a > 1:
-            value[a:b].sort()
-    fresh = np.ones(total, bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (owner_of_shingle[1:] != owner_of_shingle[:-1])
-    sizes = np.bincount(owner_of_shingle[fresh], minlength=len(texts)) if total else np.zeros(len(texts), np.int64)
-    return value[fresh], sizes.astype(np.int64)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def signatures(values: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.ndarray:
     """One row of minima per text; texts without shingles have a row of zeros."""
     out = np.zeros((len(sizes), coordinates), np.uint32)
@@ -73,134 +41,72 @@ def sketches(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     def make():
         def block(ids, texts):
             values, sizes = shingle_sets(texts, words)
-            sums = np.zeros((2, len(sizes)), np.uint64)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                begin = (np.cumsum(sizes) - sizes)[full]
-                sums[0, full] = np.add.reduceat(mix64(values), begin)
-                sums[1, full] = np.add.reduceat(mix64(values ^ _ODD), begin)
-            flat = pa.array(signatures(values, sizes, coordinates).view(np.int32).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * coordinates, pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sums[0].view(np.int64)),
-                                               pa.array(sums[1].view(np.int64)), lists],
+            key_a, key_b = set_keys(values, sizes)
+            minima = signatures(values, sizes, coordinates).view(np.int32).ravel()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(key_a), pa.array(key_b),
+                                               lists(minima, np.full(len(sizes), coordinates), pa.int32())],
                                               ["doc_id", "n_shingles", "key_a", "key_b", "signature"])
         return block
     return docs.mapInArrow(by_blocks(make), "doc_id long, n_shingles long, key_a long, key_b long, signature array<int>")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles): the whole sorted sets, for the documents that are compared."""
-    def make():
-        def block(ids, texts):
-            values, sizes = shingle_sets(texts, words)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values.view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["rep", "shingles"])
-        return block
-    return docs.mapInArrow(by_blocks(make), "rep long, shingles array<long>")
+def _tokens(classes: DataFrame) -> DataFrame:
+    """(node, token): a row for each coordinate and its value."""
+    return classes.select("node", F.posexplode("signature").alias("i", "value")).select(
+        "node", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
 
 
 def _survivors(classes: DataFrame, threshold: int) -> DataFrame:
-    """(rep): classes that may have a partner.
+    """(node): classes that may have a partner.
 
     Every class is posted under its coordinate-value pairs.  Two signatures with ``threshold`` collisions share that many posting
     lists, so a class needs ``threshold`` coordinates whose list has another member; all others are skipped for good.  Lists are counted, not
     gathered; the rows of a very long one may be split in the join, which has one row per list on its other side.
     """
-    tokens = classes.select("rep", F.posexplode("signature").alias("i", "value")).select(
-        F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"), "rep")
+    tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("token")
-    met = tokens.join(shared, "token").groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
-    return met.where(F.col("m") >= threshold).select("rep")
+    met = tokens.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    return met.where(F.col("m") >= threshold).select("node")
 
 
-def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, n, at): prefix postings of the survivors' full sets.
+def _postings(near: DataFrame, sets: DataFrame, coordinates: int, threshold: int) -> DataFrame:
+    """The survivors under their coordinate-value pairs, the lists that any pair over the threshold must meet in.
 
-    Shingles have one global order: by the number of survivors that hold them, then by value.  Partners of sizes n and k hold at least
-    percent * (n + k) / (100 + percent) common shingles, so they share one among the first ``n - that + 1`` of each.  A key is a shingle with the
-    longer set's length class and the distance of the classes, which makes these prefixes as short as the two lengths allow: in a family of edited
-    copies, a copy too far from the original posts only what its own edits made.  ``at`` is the place in the order, counted with
-    the shingles of one set only, which come first and are not posted.
+    Coordinates have one order, the shortest lists first.  Two signatures with ``threshold`` collisions share one of the first ``coordinates - threshold + 1`` of
+    each; the rest, the longest lists, are skipped.  Values of one class only come first and are not posted.  With each posting go the size of the class's full
+    set and a small parity bitmap of it.
     """
-    each = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    own = Window.partitionBy("rep")
-    ranked = each.join(often, "shingle").withColumn("m", F.count(F.lit(1)).over(own))
-    ranked = ranked.withColumn("at", F.col("n") - F.col("m") + F.row_number().over(own.orderBy("df", "shingle")) - 1)
-    step = float(np.log(LENGTH_STEP))
-    ranked = ranked.where(F.col("at") <= F.col("n") * (100 - percent) / 100 + 1).withColumn(
-        "c", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
-
-    def low(c: Column) -> Column:
-        return F.exp(c * step) - 1e-6
-
-    def prefix(partner: Column) -> Column:
-        return F.col("n") - F.ceil(percent * (F.col("n") + partner) / (100 + percent) - 1e-6) + 1
-    cases = []
-    for d in range(int(np.ceil(np.log(100 / percent) / step)) + 1):
-        longer = prefix(F.greatest(F.col("n").cast("double"), low(F.col("c") + d))) if d else prefix(low(F.col("c")))
-        cases.append(F.when(F.col("at") < longer, F.xxhash64("shingle", F.col("c") + d, F.lit(d))))
-        if d:
-            shorter = prefix(F.greatest(F.col("n") * percent / 100.0, low(F.col("c") - d)))
-            cases.append(F.when(F.col("at") < shorter, F.xxhash64("shingle", F.col("c"), F.lit(d))))
-    return ranked.select(F.explode(F.array_compact(F.array(*cases))).alias("key"), "rep", "n", "at", (F.col("m") / F.col("n")).alias("common"))
+    tokens = _tokens(near)
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
+    own = Window.partitionBy("node")  # one row for each coordinate
+    ranked = tokens.join(often, "token").withColumn("m", F.count(F.lit(1)).over(own))
+    ranked = ranked.withColumn("at", coordinates - F.col("m") + F.row_number().over(own.orderBy("often", "token")) - 1)
+    folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, BITMAP_WORDS, SMALL_WORDS))).alias(f"b{i}") for i in range(SMALL_WORDS)]
+    kept = ranked.where(F.col("at") <= coordinates - threshold).join(sets.select("node", "n", *folded), "node")
+    return kept.select(F.col("token").alias("key"), *POSTED)
 
 
-def _within_reach(percent: int, a: str = "x", b: str = "y") -> Column:
-    """At the first shingle two sets have in common, what is left of each must make up the overlap they need."""
-    need = percent * (F.col(f"n_{a}") + F.col(f"n_{b}")) / (100 + percent) - 1e-6
-    return F.least(F.col(f"n_{a}") - F.col(f"at_{a}"), F.col(f"n_{b}") - F.col(f"at_{b}")) >= need
+def _in_reach(percent: int, coordinates: int, threshold: int) -> Column:
+    """Whether two classes that meet in a list can have enough collisions, and sets similar enough, by what the index says of them.
 
-
-def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, threshold: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose signatures collide often enough and whose full sets are similar enough."""
-    def side(df: DataFrame, key: str, column: str) -> DataFrame:
-        return df.select(F.col("rep").alias(key), F.col(column).alias(f"{column}_{key}"), *(
-            [F.col("n_shingles").alias(f"n_{key}")] if column == "signature" else []))
-    hit = pairs.join(side(sketch, "a", "signature"), "a").join(side(sketch, "b", "signature"), "b")
-    hit = hit.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    Before the shared coordinate they can collide in those that other classes have, too, and from it on in all; the sizes fit; and the full sets differ in at least as
+    many shingles as their bitmaps in bits.
+    """
+    def before(side: str) -> Column:
+        return F.col(f"at_{side}") - (coordinates - F.col(f"m_{side}"))
+    most = F.least(before("x"), before("y")) + F.least(coordinates - F.col("at_x"), coordinates - F.col("at_y"))
+    both = F.col("n_x") + F.col("n_y")
+    return ((most >= threshold) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+            & ((100 + percent) * (both - bits_apart()) >= 2 * percent * both))
+
+
+def _colliding(pairs: DataFrame, near: DataFrame, threshold: int) -> DataFrame:
+    """Of the pairs (a, b) those whose signatures collide in at least ``threshold`` coordinates."""
+    hit = pairs
+    for key in ("a", "b"):
+        hit = hit.join(near.select(F.col("node").alias(key), F.col("signature").alias(f"signature_{key}")), key)
     equal = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    hit = hold(hit.where(equal >= threshold).select("a", "b", "n_a", "n_b"), "pairs")
-    both = hit.join(side(sets, "b", "shingles"), "b").join(side(sets, "a", "shingles"), "a")
-    common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    both = both.select("a", "b", "n_a", "n_b", common.alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
-
-
-def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    return postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-
-
-def _side(posted: DataFrame, name: str) -> DataFrame:
-    return posted.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "at", "label")])
-
-
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-
-
-def _open_lists(posted: DataFrame) -> DataFrame:
-    """(key, main, leader, open): lists with several labels, their most frequent label, the member that has most in common with others, and
-    how many pairs of different labels they hold."""
-    each = posted.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("common", "rep", "n", "at", "label")).alias("leader"))
-    lists = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.max("leader").alias("leader"), F.sum("k").alias("total"),
-                                    F.sum(F.col("k") * F.col("k")).alias("same"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return lists.select("key", F.col("top.label").alias("main"), "leader", ((F.col("total") * F.col("total") - F.col("same")) / 2).alias("open"))
-
-
-def _star_pairs(posted: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Every member of a list against its leader."""
-    leaders = lists.select("key", *[F.col(f"leader.{c}").alias(f"{c}_y") for c in ("rep", "n", "at", "label")])
-    return _pairs(_side(posted, "x").join(leaders, "key").where((F.col("label_x") != F.col("label_y")) & _within_reach(percent)))
-
-
-def _rest_pairs(posted: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """In each list all pairs with different labels: members outside the list's main label against every member."""
-    own = posted.join(lists.select("key", "main"), "key")
-    few = _side(own.where("label <> main"), "x")
-    every = own.select("key", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "at", "label")], (F.col("label") == F.col("main")).alias("is_main"))
-    apart = (F.col("label_x") != F.col("label_y")) & (F.col("is_main") | (F.col("rep_x") < F.col("rep_y")))
-    return _pairs(few.join(every, "key").where(apart & _within_reach(percent)))
+    return hit.where(equal >= threshold).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, coordinates: int = COORDINATES,
@@ -208,50 +114,32 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     """Classes of near-duplicates: (doc_id, n_shingles, component_id, kept) for every row.
 
     Texts are lower-cased (A-Z), cut into words at blanks, and become sets of word shingles (a shorter text: one shingle; no word:
-    empty, linked with nothing).  Rows with equal sets are one class, named by its smallest id.  Classes are posted under the
-    coordinate-value pairs of their MinHash signatures; those whose lists can't give ``match_threshold`` collisions are skipped (see
-    ``_survivors``), candidates come from the survivors' prefix postings, need that many collisions, and a link needs the similarity on the full sets.
+    empty, linked with nothing).  Rows with equal sets are one class.  Classes are posted under the coordinate-value pairs of their MinHash signatures; those
+    whose lists can't give ``match_threshold`` collisions are skipped (``_survivors``), the others meet in the lists of their prefixes (``_postings``), pairs with
+    that many collisions are retained, and a link needs the similarity on the full sets.
     At 64 coordinates a pair of exactly 0.8 falls short of the threshold with a chance of about three in a million, more similar pairs with less.
 
     A list of many similar texts is not paired out: its members are first compared with the one that has most in common with others, linked classes take one
-    label, and lastly all pairs whose labels still differ are compared.  So no link between components is lost, and a family of copies around
-    an original costs a multiple of its size.  Null text counts as empty; rows with a null id get the class of their text, and are
-    never kept; equal ids stay separate rows, which share the id's fate; extra columns are ignored.
+    label, and lastly all pairs whose labels still differ and whose sizes and bitmaps allow a link are compared.  So no link between components is lost, and a
+    family of copies around an original costs a multiple of its size.  Null text counts as empty; rows with a null id get the class of their text, else a null one, and
+    are never kept; rows with an equal id stay separate rows with their own texts; extra columns are ignored.
     """
     percent, threshold = round(100 * similarity), match_threshold(similarity, coordinates)
     docs = texts_of(documents, text, key)
     sketch = hold(sketches(spread_out(docs), words, coordinates), "sketch")
-    filled = sketch.where("n_shingles > 0")
-    classes = filled.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    classes = hold(classes.where("rep is not null"), "classes")
+    classes = sketch.where("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    classes = hold(classes.where("doc_id is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
     survivors = hold(_survivors(classes, threshold), "survivors")
-    labels = None
+    names, labels = classes.drop("signature"), None
     if survivors.limit(1).count():
-        sets = hold(full_sets(docs.join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words), "sets")
-        if _repeated(sets):  # a repeated id with several texts: the class's own set is the one of its size and keys
-            sets = sets.join(classes.select("rep", "n_shingles"), "rep").where(F.size("shingles") == F.col("n_shingles")).groupBy("rep").agg(
-                F.min("shingles").alias("shingles"))
-        near = classes.join(survivors, "rep", "left_semi").select("rep", "n_shingles", "signature")
-        postings = hold(_postings(sets, percent), "postings")
-        for last in (False, True):
-            posted = postings.withColumn("label", F.col("rep")) if labels is None else _labelled(postings, labels)
-            lists = hold(_open_lists(posted), "lists")
-            pairs = _rest_pairs(posted, lists, percent) if last else _star_pairs(posted, lists, percent)
-            found = _confirmed(pairs, near, sets, percent, threshold)
-            links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
-            labels = components(links)
-    by_class = classes.select("key_a", "key_b", "n_shingles", "rep")
-    by_class = by_class.withColumn("component_id", F.col("rep")) if labels is None else by_class.join(
-        labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
-    joined = filled.drop("signature").join(by_class.select("key_a", "key_b", "n_shingles", "component_id"), ["key_a", "key_b", "n_shingles"], "left")
-    alone = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = joined.select("doc_id", "n_shingles", "component_id").union(alone)
+        sets = chosen_sets(names.join(survivors, "node").select("node", "doc_id", "key_a", "key_b"), docs, lambda rows: full_bags(rows, words))
+        near = hold(classes.join(survivors, "node", "left_semi").select("node", "signature"), "near")
+        posted = hold(_postings(near, sets, coordinates, threshold), "postings")
+        labels = family_labels(posted, _in_reach(percent, coordinates, threshold), sets, percent, lambda pairs: _colliding(pairs, near, threshold))
+        discard(posted, sets, near, survivors)
+    out = with_components(sketch, names, labels)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _repeated(sets: DataFrame) -> bool:
-    return sets.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-
-
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)

@@ -7,15 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .near_dedup import shingle_sets
+from .families import POSTED, bits_apart, chosen_sets, family_labels, with_components
 from .shared import by_blocks, discard, hold, spread_out, table, texts_of
+from .shingles import SMALL_WORDS, full_bags, lists, parity, set_keys, shingle_sets
 from .textgrid import mix64
 
 RARE = 16  # tokens in at most so many sets are indexed singly, others two by two
 EXTRA_PERCENT = 10  # by so much of a set the prefix of the first look is longer than a single common token needs
-BITMAP_WORDS = 16
-SMALL_WORDS = 4  # of the bitmaps that the index carries
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,21 +26,6 @@ def extra_of(n):
     return np.maximum(1, n * EXTRA_PERCENT // 100)
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values.view(np.int64), kind))
-
-
-def _keys(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two sums of scrambled tokens for each set: together they tell equal sets from others."""
-    out = np.zeros((2, len(sizes)), np.uint64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        begin = (np.cumsum(sizes) - sizes)[full]
-        out[0, full] = np.add.reduceat(mix64(values + _ODD), begin)
-        out[1, full] = np.add.reduceat(mix64(values ^ (_ODD << np.uint64(1))), begin)
-    return out[0].view(np.int64), out[1].view(np.int64)
-
-
 def bags(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, key_a, key_b, low): ``low`` has the first tokens of the set in hash order, the extended prefix."""
     def make():
@@ -51,8 +34,8 @@ def bags(docs: DataFrame, words: int, percent: int) -> DataFrame:
             number = np.where(sizes > 0, np.minimum(sizes, sizes - least_common(sizes, percent) + extra_of(sizes)), 0)
             begin = np.cumsum(sizes) - sizes
             at = np.arange(int(number.sum())) + np.repeat(begin - (np.cumsum(number) - number), number)
-            key_a, key_b = _keys(values, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(key_a), pa.array(key_b), _lists(values[at], number, pa.int64())],
+            key_a, key_b = set_keys(values, sizes)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(key_a), pa.array(key_b), lists(values[at].view(np.int64), number)],
                                               ["doc_id", "n_shingles", "key_a", "key_b", "low"])
         return block
     return docs.mapInArrow(by_blocks(make), "doc_id long, n_shingles long, key_a long, key_b long, low array<long>")
@@ -72,40 +55,6 @@ def survivors(classes: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("s", smaller).where(F.col("m") >= need).select("node")
 
 
-def parity(values: np.ndarray, owner: np.ndarray, rows: int, words: int) -> np.ndarray:
-    """A bitmap of ``words`` 64-bit words for each set; every token flips one bit."""
-    width = 64 * words
-    bit = ((values >> np.uint64(17)) % np.uint64(width)).astype(np.int64)
-    flips = np.bincount(owner * width + bit, minlength=rows * width).reshape(rows, width) & 1
-    return np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
-
-
-def full_bags(chosen: DataFrame, words: int) -> DataFrame:
-    """(node, n, tokens, bits) from (node, text, key_a, key_b): the whole sets of those rows whose keys are the node's, and parity bitmaps.
-
-    Each token flips one bit, so tokens that two sets have in common cancel out, and the bits in which two bitmaps differ are at most as many as tokens in only one
-    of the sets."""
-    def run(batches):
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
-            wanted = [batch.column(c).to_numpy() for c in (2, 3)]
-            begin = 0
-            while begin < len(texts):
-                end, total = begin, 0
-                while end < len(texts) and (end == begin or (total + len(texts[end]) <= 1 << 20 and end - begin < 2048)):
-                    total += len(texts[end])
-                    end += 1
-                values, sizes = shingle_sets(texts[begin:end], words)
-                key_a, key_b = _keys(values, sizes)
-                packed = parity(values, np.repeat(np.arange(len(sizes)), sizes), len(sizes), BITMAP_WORDS).ravel()
-                out = pa.RecordBatch.from_arrays(
-                    [names.slice(begin, end - begin), pa.array(sizes), _lists(values, sizes, pa.int64()),
-                     _lists(packed, np.full(len(sizes), BITMAP_WORDS), pa.int64())], ["node", "n", "tokens", "bits"])
-                yield out.filter(pa.array((key_a == wanted[0][begin:end]) & (key_b == wanted[1][begin:end])))
-                begin = end
-    return chosen.select("node", "text", "key_a", "key_b").mapInArrow(run, "node long, n long, tokens array<long>, bits array<long>")
-
-
 def size_groups(n: int, percent: int) -> list[int]:
     """Groups (each spans a factor of four) in which a set of size n can meet partners."""
     return sorted({(max(1, size).bit_length() - 1) // 2 for size in (least_common(n, percent), n, n * 100 // percent)})
@@ -161,9 +110,6 @@ def combinations(tokens: np.ndarray, often: np.ndarray, n: int, percent: int, ra
     return np.concatenate(keys), np.concatenate(places)
 
 
-POSTED = ["node", "n", "m", "at", *[f"b{i}" for i in range(SMALL_WORDS)]]
-
-
 def postings(sets: DataFrame, percent: int, rare: int) -> DataFrame:
     """The survivors' combinations: key, node, n, the number m of the set's tokens that other sets hold, too, the place ``at``, and a parity bitmap
     of those m tokens."""
@@ -207,51 +153,11 @@ def _in_reach(percent: int) -> Column:
     def alone(side: str) -> Column:
         return F.col(f"n_{side}") - F.col(f"m_{side}")
     most = F.least(F.col("at_x") - alone("x"), F.col("at_y") - alone("y")) + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    apart = alone("x") + alone("y")
-    for i in range(SMALL_WORDS):
-        apart = apart + F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y")))
+    apart = alone("x") + alone("y") + bits_apart()
     return ((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * both)
             & ((100 + percent) * (both - apart) >= 2 * percent * both))
 
 
-def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
-    return df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in (*POSTED, "label")], *more)
-
-
-def candidates(posted: DataFrame, percent: int, everyone: bool) -> DataFrame:
-    """Pairs (a, b) of differently labelled sets that meet in a list.
-
-    First (``everyone`` false) each member of a list meets its leader only, the member that has most in common with other sets.  What got one label
-    then needs no more comparing: lastly the members outside a list's most frequent label meet all that are labelled otherwise.
-    """
-    each = posted.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct((F.col("m") / F.col("n")).alias("common"), *POSTED, "label")).alias("leader"))
-    lists = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.max("leader").alias("leader"), F.count(F.lit(1)).alias("labels"))
-    lists = lists.where("labels > 1")
-    if everyone:
-        own = posted.join(lists.select("key", F.col("top.label").alias("main")), "key")
-        other = _side(own.where("label <> main"), "x")
-        met = other.join(_side(own, "y", (F.col("label") == F.col("main")).alias("is_main")), "key").where(F.col("is_main") | (F.col("node_x") < F.col("node_y")))
-    else:
-        met = _side(posted, "x").join(lists.select("key", *[F.col(f"leader.{c}").alias(f"{c}_y") for c in (*POSTED, "label")]), "key")
-    met = met.where((F.col("label_x") != F.col("label_y")) & _in_reach(percent))
-    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs those that are similar enough: bitmaps rule most others out, full sets decide."""
-    def side(key: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in columns])
-    near = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = F.col("n_a") + F.col("n_b")
-    near = hold(near.where((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b", "n_a", "n_b"), "near")
-    full = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
-    full = full.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("common"))
-    links = hold(full.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"), "links")
-    discard(near)
-    return links
-
-
 def jaccard_components(documents: DataFrame, words: int = 5, similarity: float = 0.8, rare: int = RARE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Documents linked by the Jaccard similarity of their word n-gram sets: (doc_id, n_shingles, component_id) for every row.
 
@@ -272,36 +178,16 @@ def jaccard_components(documents: DataFrame, words: int = 5, similarity: float =
         raise ValueError("similarity must lie between 0.5 and 1")
     docs = texts_of(documents, text, key)
     bag = hold(bags(spread_out(docs), words, percent), "bags")
-    filled = bag.where("n_shingles > 0")
-    classes = filled.groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"))
+    classes = bag.where("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"))
     classes = hold(classes.where("doc_id is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
     likely = hold(survivors(classes, percent), "survivors")
-    names = classes.drop("low")
-    labels = None
+    names, labels = classes.drop("low"), None
     if likely.limit(1).count():
-        chosen = names.join(likely, "node").select("node", "doc_id", "key_a", "key_b").join(docs, "doc_id")
-        sets = hold(full_bags(chosen, words), "sets")
-        if sets.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
-            sets = sets.dropDuplicates(["node"])  # the same text twice under one id
+        sets = chosen_sets(names.join(likely, "node").select("node", "doc_id", "key_a", "key_b"), docs, lambda rows: full_bags(rows, words))
         posted = hold(postings(sets, percent, rare), "postings")
-        links = None
-        for everyone in (False, True):
-            own = posted.withColumn("label", F.col("node")) if labels is None else posted.join(labels, "node", "left").withColumn(
-                "label", F.coalesce("label", "node"))
-            found = verified(candidates(own, percent, everyone), sets, percent)
-            links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
-            labels = components(links)
-            discard(found)
+        labels = family_labels(posted, _in_reach(percent), sets, percent)
         discard(posted, sets, likely)
-    if labels is not None:
-        names = names.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = names.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        names = names.join(least, "label")
-    else:
-        names = names.withColumn("component_id", F.col("doc_id"))
-    named = filled.drop("low").join(names.select("key_a", "key_b", "n_shingles", "component_id"), ["key_a", "key_b", "n_shingles"], "left")
-    alone = bag.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.select("doc_id", "n_shingles", "component_id").union(alone)
+    return with_components(bag, names, labels)
 
 
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
