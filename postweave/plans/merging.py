@@ -12,6 +12,7 @@ from ..operators import keywords as K
 from ..operators import state as S
 from ..operators import stats as ST
 from ..operators import waterfall as W
+from ..session import written
 from . import duck
 from .filters import WATERFALL_AGE, WATERFALL_SQL, waterfall_input
 from .registry import NOW, NOW_SQL, V, Tables, query
@@ -93,6 +94,7 @@ prev AS (SELECT key, list_sort(list(DISTINCT grp)) AS groups FROM g GROUP BY key
 @query("d4_previous_duplicates", f"WITH {KEYED}, {PREVIOUS} SELECT q.key, coalesce(array_to_string(groups, ','), '') AS prev_groups FROM q LEFT JOIN prev USING (key)")
 def d4(t: Tables) -> DataFrame:
     published, new = split_published(t)
+    published, new = written(published, "published"), written(new, "new")
     return S.published_elsewhere(new, published).select("key", F.array_join("prev_groups", ",").alias("prev_groups"))
 
 
@@ -131,7 +133,7 @@ def by_rank():
 
 @query("f2_rank_greedy_dedupe", f"WITH {RANKED} SELECT key, decision, dup_of FROM decided")
 def f2(t: Tables) -> DataFrame:
-    return DD.decide_duplicates(ranked(t), "key", ["tok_fp", "tok_url"], by_rank()).select("key", "decision", "dup_of")
+    return DD.decide_duplicates(written(ranked(t), "ranked"), "key", ["tok_fp", "tok_url"], by_rank()).select("key", "decision", "dup_of")
 
 
 @query("f10_best_copy_first", f"WITH {RANKED} SELECT d.key, k.score::BIGINT AS score FROM decided d JOIN k USING (key) WHERE decision IS NULL")
@@ -146,9 +148,10 @@ WITH {RANKED}, d AS (SELECT x.dup_of, 'Customer ' || (k.n % 10) AS name, min(k.s
 SELECT d.dup_of AS key, string_agg(name, ',' ORDER BY r) AS also_on FROM d JOIN k ON k.key = d.dup_of
 WHERE lower(name) <> trim(regexp_replace(lower(k.company), '[^a-z0-9]+', ' ', 'g')) GROUP BY 1""")
 def e13(t: Tables) -> DataFrame:
-    out = DD.decide_duplicates(ranked(t), "key", ["tok_fp", "tok_url"], by_rank())
+    rows = written(ranked(t), "ranked")
+    out = DD.decide_duplicates(rows, "key", ["tok_fp", "tok_url"], by_rank())
     dups = out.filter("decision = 'duplicate'").withColumn("source_name", F.concat(F.lit("Customer "), (F.col("native_id").cast("bigint") % 10).cast("string")))
-    return DD.merge_also_on(dups, ranked(t), "key", by_rank()).select("key", F.array_join("also_on", ",").alias("also_on"))
+    return DD.merge_also_on(dups, rows, "key", by_rank()).select("key", F.array_join("also_on", ",").alias("also_on"))
 
 
 @query("e16_distinct_first_wins", """
@@ -312,6 +315,7 @@ def decide_run(t: Tables) -> DataFrame:
     w = W.decide(waterfall_input(t), NOW, WATERFALL_AGE, 35)
     w = w.select("posting", "source_key", "native_id", "grp", "company", "family", "score", "decision", "target", "n",
                  text.fingerprint(F.col("company"), F.col("title"), F.col("posting")).alias("fp"), urls.canonical_url(F.col("url")).alias("curl"))
+    w = written(w, "decided")
     survivors = w.filter("decision IS NULL").select(
         "posting", "score", "source_key", "native_id", F.concat_ws("|", "grp", "fp", "target").alias("tok_fp"),
         F.when(F.col("curl") != "", F.concat_ws("|", "grp", "curl")).alias("tok_url"),

@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
+from ..session import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,10 +46,12 @@ EVENTS_NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
 class Tables:
-    """The driver tables of one scale, read lazily; column pruning and filters reach the Parquet scan."""
+    """The driver tables of one scale, read lazily; column pruning and filters reach the Parquet scan.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    ``once``: the posting view is written before its first use, for queries that would otherwise join it anew in many branches."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
+        self.spark, self.dir, self.once = spark, sf_dir, once
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _NAMES:
@@ -59,8 +61,9 @@ class Tables:
 
     @cached_property
     def v(self) -> DataFrame:
-        return self.spark.sql(POSTINGS_SQL, orders=spread(self.orders), customer=self.customer, nation=self.nation,
+        view = self.spark.sql(POSTINGS_SQL, orders=spread(self.orders), customer=self.customer, nation=self.nation,
                               region=self.region, part=self.part)
+        return spread(written(view, "postings")) if self.once else view
 
     @cached_property
     def ev(self) -> DataFrame:
@@ -69,12 +72,12 @@ class Tables:
         return events.withColumn("ts", events.ts.cast("timestamp"))
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(Tables) -> DataFrame`` under ``name``, with its SQL twin if it has one."""
+def query(name: str, sql: str | None = None, once: bool = False):
+    """Register ``fn(Tables) -> DataFrame`` under ``name``, with its SQL twin if it has one; ``once`` as for ``Tables``."""
     def wrap(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir, once))
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

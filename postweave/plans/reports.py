@@ -20,6 +20,7 @@ from ..operators import slots as SL
 from ..operators import state as S
 from ..operators import stats as ST
 from ..operators import tracker as TR
+from ..session import written
 from ..sources import captures as C
 from .merging import KEYED, keyed, seen
 from .registry import EVENTS_NOW, EVENTS_NOW_SQL, NOW, NOW_SQL, V, Tables, query
@@ -172,9 +173,9 @@ def d5(t: Tables) -> DataFrame:
 
 
 @query("e9_acceptance", f"""WITH {MARKS} SELECT 'src:' || src AS name, count(*) FILTER (WHERE wanted)::BIGINT AS wanted, count(*) FILTER (WHERE NOT wanted)::BIGINT AS discarded FROM mk GROUP BY 1
-UNION ALL SELECT 'family:' || family, count(*) FILTER (WHERE wanted), count(*) FILTER (WHERE NOT wanted) FROM mk WHERE family IS NOT NULL GROUP BY 1""")
+UNION ALL SELECT 'family:' || family, count(*) FILTER (WHERE wanted), count(*) FILTER (WHERE NOT wanted) FROM mk WHERE family IS NOT NULL GROUP BY 1""", once=True)
 def e9(t: Tables) -> DataFrame:
-    m = TR.feedback(*marks(t))
+    m = written(TR.feedback(*marks(t)), "marks")
     return ST.acceptance(m, F.col("src"), F.concat(F.lit("src:"), "src"), F.concat(F.lit("family:"), "family"))
 
 
@@ -669,7 +670,7 @@ def report_lines(t: Tables) -> DataFrame:
     """Lines of the weekly report as (section, line_ord, line); every part is a small aggregate of its own."""
     from .. import fixed_values as FV
 
-    c = week_counts(t)
+    c = written(week_counts(t), "counts")
     parts = []
     for i, (dimension, top) in enumerate((("group", None), ("company", FV.TOP_COMPANIES), ("family", None))):
         counts = c.filter(F.col("dimension") == dimension).select("label", "n")

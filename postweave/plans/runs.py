@@ -12,7 +12,7 @@ from ..operators import health as H
 from ..operators import state as S
 from ..operators.segments import hour_of
 from ..operators.stored import BucketStore, add_names
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, written
 from ..sources import captures as C
 from .merging import KEYED, keyed, split_published
 from .registry import NOW, NOW_SQL, Tables, query
@@ -106,7 +106,7 @@ WITH {KEYED}, {EARLIER} SELECT p.key, array_to_string(list_concat(['board'], coa
 FROM p LEFT JOIN names USING (key) GROUP BY 1""")
 def e13_earlier(t: Tables) -> DataFrame:
     """Stored publications take the names of sources that later bring the same offer to another group; only their buckets are rewritten."""
-    published, new = split_published(t)
+    published, new = (written(part, "postings") for part in split_published(t))
     store = BucketStore(own_folder(t, "publications"), "key string, also_on array<string>", buckets=16)
     store.upsert(published.select("key", F.array(F.lit("board")).alias("also_on")), 1, lambda old, changes: changes)
     previous = S.published_elsewhere(new, published)
