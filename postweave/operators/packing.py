@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
-from .segments import chain_starts, with_total_before
+from .segments import SEGMENT_ROWS, chain_starts, with_total_before
 
 
 def pieces(text: Column, limit: int, cut: bool = False) -> Column:
@@ -94,7 +94,7 @@ def cut_bytes(text: Column, limit: int = V.BYTE_LIMIT) -> Column:
 
 
 def pack_rows(parts: DataFrame, key: str, order: str, text: str, segment: Column, limit: int = V.TEXT_LIMIT, sep: str = "\n\n",
-              small_key: int = 2000, cut: bool = False) -> DataFrame:
+              segment_rows: int = SEGMENT_ROWS, cut: bool = False) -> DataFrame:
     """(key, msg, text): ``pack_texts`` for parts that are rows (non-empty texts), whatever the length of a thread.
 
     A part longer than the limit becomes consecutive pieces, ordered by their number; with ``cut`` only the first is kept.
@@ -105,7 +105,7 @@ def pack_rows(parts: DataFrame, key: str, order: str, text: str, segment: Column
     """
     rows = parts.select(key, order, F.posexplode(pieces(F.col(text), limit, cut)).alias("_piece", "_t")).withColumn("_len", F.length("_t"))
     placed = with_total_before(rows, [key], [order, "_piece"], F.col("_len") + len(sep), segment, "_start").withColumn("_end", F.col("_start") + F.col("_len"))
-    heads = chain_starts(placed.select(key, "_start", "_end"), key, limit + 1, (limit + 1) * 64, small_key).withColumn("_head", F.lit(1))
+    heads = chain_starts(placed.select(key, "_start", "_end"), key, limit + 1, (limit + 1) * 64, segment_rows).withColumn("_head", F.lit(1))
     flagged = placed.join(heads, [key, "_start"], "left").withColumn("_head", F.coalesce("_head", F.lit(0)))
     numbered = with_total_before(flagged, [key], [order, "_piece"], F.col("_head"), segment, "_heads")
     numbered = numbered.withColumn("msg", F.col("_heads") + F.col("_head") - 1)

@@ -6,7 +6,7 @@ windows run per (key, segment), and only one summary row per segment is carried
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,64 +64,114 @@ def with_total_before(df: DataFrame, keys: list[str], order: list[str], value: C
     return out.withColumn(name, F.col("_before") + F.coalesce(F.sum("_val").over(inside), F.lit(0))).drop("_seg", "_val", "_before")
 
 
-def spaced(items: str, wait: int, start: Callable[[Column], Column], end: Callable[[Column], Column]) -> Column:
-    """Elements of a sorted array whose end is at least ``wait`` after the start of the last one taken: a JVM fold."""
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(end(x) - start(F.element_at(acc, -1)) >= wait, F.concat(acc, F.array(x))).otherwise(acc)
-
-    return F.aggregate(F.slice(F.col(items), F.lit(2), F.size(items)), F.slice(F.col(items), 1, 1), step)
-
-
-def chain_starts(items: DataFrame, key: str, wait: int, width: int, small_key: int = 2000) -> DataFrame:
+SEGMENT_ROWS = 4096
+
+
+def _groups(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """Runs of rows with equal keys in sorted frames, as (keys, columns); a run may go on in the next frames."""
+    open_: tuple | None = None
+    parts: list[list[np.ndarray]] = []
+
+    def closed() -> tuple[tuple, list[np.ndarray]]:
+        return open_, [np.concatenate(p) for p in zip(*parts, strict=True)]
+    for frame in frames:
+        if not len(frame):
+            continue
+        names, values = [frame[k].to_numpy() for k in keys], [frame[c].to_numpy() for c in columns]
+        change = np.zeros(len(frame), bool)
+        for name in names:
+            change[1:] |= name[1:] != name[:-1]
+        bounds = [0, *np.flatnonzero(change).tolist(), len(frame)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own = tuple(name[a] for name in names)
+            if open_ is not None and own != open_:
+                yield closed()
+                parts = []
+            open_ = own
+            parts.append([v[a:b] for v in values])
+    if open_ is not None:
+        yield closed()
+
+
+def _frames(rows: Iterator[tuple[tuple, list[np.ndarray]]], names: list[str], most: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    """Output of groups, (keys, columns), as frames of a useful size."""
+    held: list[tuple[tuple, list[np.ndarray]]] = []
+    size = 0
+
+    def frame() -> pd.DataFrame:
+        number = len(held[0][0])
+        lengths = [len(c[0]) for _, c in held]
+        out = {names[i]: np.repeat(np.array([k[i] for k, _ in held]), lengths) for i in range(number)}
+        out |= {names[number + i]: np.concatenate([c[i] for _, c in held]) for i in range(len(names) - number)}
+        return pd.DataFrame(out)
+    for row in rows:
+        held.append(row)
+        size += len(row[1][0])
+        if size >= most:
+            yield frame()
+            held, size = [], 0
+    if held:
+        yield frame()
+
+
+def chain_starts(items: DataFrame, key: str, wait: int, width: int, rows: int = SEGMENT_ROWS) -> DataFrame:
     """(key, _start) of the elements a greedy walk takes: the first one, then always the next whose ``_end`` is at least
     ``wait`` after the ``_start`` of the last one taken.  ``items``: (key, _start, _end), both growing along a key.
 
-    The walk is sequential per key.  Keys with few items are folded as one array each, inside the JVM.  Larger keys are
-    cut into segments of ``width``: in a segment the last element of the chain that starts at any element is found
-    independently; only the possible entries (elements that end in the first ``wait`` of a segment and the next one) go
-    through one walk per key; then every segment marks its own chain.
+    A key is cut where its data is: cells of ``width`` are counted and joined into segments of about ``rows`` elements.  In a segment the
+    last element of the chain that starts at any element is found independently; only the possible entries, elements that end in the first
+    ``wait`` of a segment and the next one, are walked along the key, a segment at a time; then every segment marks its own chain.  Tasks
+    read many segments one after the other in sorted order and hold one of them, so neither many small keys nor one key with all
+    rows needs a way of its own.
     """
     kind = dict(items.dtypes)[key]
-    items = items.withColumn("_seg", F.floor(F.col("_start") / width).cast("bigint"))
-    sized = items.join(items.groupBy(key).agg(F.count("*").alias("_n")), key)
-    arrays = sized.filter(F.col("_n") <= small_key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_start", "_end"))).alias("_a"))
-    few = arrays.select(key, F.explode(spaced("_a", wait, lambda x: x["_start"], lambda x: x["_end"])).alias("_x")).select(key, F.col("_x._start").alias("_start"))
-    large = sized.filter(F.col("_n") > small_key).drop("_n")
-
-    def ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pdf = pdf.sort_values("_start")
-        start, end = pdf["_start"].to_numpy(), pdf["_end"].to_numpy()
-        return start, end, np.searchsorted(end, start + wait, side="left")
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end, nxt = ordered(pdf)
-        out = start.copy()
-        for i in range(len(start) - 1, -1, -1):
-            if nxt[i] < len(start):
-                out[i] = out[nxt[i]]
-        head = int(np.searchsorted(end, int(pdf["_seg"].iloc[0]) * width + wait, side="left")) + 1
-        end, out = end[:head], out[:head]
-        last_of_run = np.append(out[1:] != out[:-1], True)
-        return pd.DataFrame({key: pdf[key].iloc[0], "_seg": pdf["_seg"].iloc[0], "_in": end[last_of_run], "_out": out[last_of_run]})
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = -(1 << 62), []
-        for seg, part in pdf.sort_values(["_seg", "_in"]).groupby("_seg", sort=True):
-            rows.append((seg, last + wait))
-            at = int(np.searchsorted(part["_in"].to_numpy(), last + wait, side="left"))
-            if at < len(part):
-                last = int(part["_out"].iloc[at])
-        return pd.DataFrame({key: pdf[key].iloc[0], "_seg": [r[0] for r in rows], "_from": [r[1] for r in rows]})
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end, nxt = ordered(pdf)
-        i, keep = int(np.searchsorted(end, int(pdf["_from"].iloc[0]), side="left")), []
-        while i < len(start):
-            keep.append(start[i])
-            i = nxt[i]
-        return pd.DataFrame({key: pdf[key].iloc[0], "_start": np.array(keep, dtype="int64")})
-
-    doors = large.groupBy(key, "_seg").applyInPandas(entries, f"{key} {kind}, _seg bigint, _in bigint, _out bigint")
-    starts = doors.groupBy(key).applyInPandas(carry, f"{key} {kind}, _seg bigint, _from bigint")
-    marked = large.join(starts, [key, "_seg"]).groupBy(key, "_seg").applyInPandas(mark, f"{key} {kind}, _start bigint")
-    return few.unionByName(marked)
+    cells = items.withColumn("_cell", F.floor(F.col("_start") / width).cast("bigint"))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cells.groupBy(key, "_cell").agg(F.count("*").alias("_n")).select(
+        key, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("bigint").alias("_seg"))
+    cut = cut.withColumn("_begin", F.min("_cell").over(Window.partitionBy(key, "_seg")) * width)
+    parts = cells.join(cut, [key, "_cell"]).select(key, "_seg", "_begin", "_start", "_end")
+
+    def laid(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, *order)
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def doors():
+            for own, (begin, start, end) in _groups(frames, [key, "_seg"], ["_begin", "_start", "_end"]):
+                following = np.searchsorted(end, start + wait, side="left")
+                out = start.copy()
+                for i in range(len(start) - 1, -1, -1):
+                    if following[i] < len(start):
+                        out[i] = out[following[i]]
+                head = int(np.searchsorted(end, int(begin[0]) + wait, side="left")) + 1
+                last_of_run = np.append(out[:head][1:] != out[:head][:-1], True)
+                yield own, [end[:head][last_of_run], out[:head][last_of_run]]
+        yield from _frames(doors(), [key, "_seg", "_in", "_out"])
+
+    def carry(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def walk():
+            here, last = None, 0
+            for (name, seg), (enter, leave) in _groups(frames, [key, "_seg"], ["_in", "_out"]):
+                if name != here:
+                    here, last = name, -(1 << 62)
+                yield (name, seg), [np.array([last + wait])]
+                at = int(np.searchsorted(enter, last + wait, side="left"))
+                if at < len(enter):
+                    last = int(leave[at])
+        yield from _frames(walk(), [key, "_seg", "_from"])
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def taken():
+            for (name, _), (since, start, end) in _groups(frames, [key, "_seg"], ["_from", "_start", "_end"]):
+                following = np.searchsorted(end, start + wait, side="left")
+                i, keep = int(np.searchsorted(end, int(since[0]), side="left")), []
+                while i < len(start):
+                    keep.append(start[i])
+                    i = following[i]
+                if keep:
+                    yield (name,), [np.array(keep, np.int64)]
+        yield from _frames(taken(), [key, "_start"])
+
+    doors = laid(parts, [key, "_seg"], "_start").mapInPandas(entries, f"{key} {kind}, _seg bigint, _in bigint, _out bigint")
+    starts = laid(doors, [key], "_seg", "_in").mapInPandas(carry, f"{key} {kind}, _seg bigint, _from bigint")
+    return laid(parts.join(starts, [key, "_seg"]), [key, "_seg"], "_start").mapInPandas(mark, f"{key} {kind}, _start bigint")

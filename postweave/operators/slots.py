@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.binding import let
 from ..functions.dates import local
-from .segments import chain_starts, spaced
+from .segments import SEGMENT_ROWS, chain_starts
 from .waterfall import in_quiet_hours
 
 
@@ -49,20 +49,21 @@ def slot_runs(wakes: DataFrame, key: str, ts: str, tz: str, times: Sequence[str]
     """(key, slot, run_at): which wake-up executes which slot.
 
     Wake-ups are first folded to one row per slot (map-side combined), so the walk that honours ``every_days`` sees
-    at most a few rows per day and key, whatever the number of wake-ups.
+    one row per day and key, whatever the number of wake-ups.
     """
     slot = slot_in_grace(F.col(ts), latest_slot(F.col(ts), tz, times, weekdays), grace_hours)
     slots = wakes.select(key, F.col(ts), slot.alias("slot")).filter("slot IS NOT NULL").groupBy(key, "slot").agg(F.min(ts).alias("run_at"))
     if every_days <= 1:
         return slots
     day = F.datediff(F.to_date(local(F.col("slot"), tz)), F.lit("1970-01-01").cast("date"))
-    # A key has at most a few slots per calendar day, so its slots fit in one array.
-    ordered = slots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "run_at", day.alias("day")))).alias("_s"))
-    return ordered.select(key, F.inline(spaced("_s", every_days, lambda x: x["day"], lambda x: x["day"]))).select(key, "slot", "run_at")
+    # The first slot of a day stands for it; which days run is a chain over day numbers, so no key's slots are gathered.
+    days = slots.withColumn("_day", day.cast("bigint")).groupBy(key, "_day").agg(F.min_by(F.struct("slot", "run_at"), "slot").alias("_first"))
+    chosen = chain_starts(days.select(key, F.col("_day").alias("_start"), F.col("_day").alias("_end")), key, every_days, 64 * every_days)
+    return days.join(chosen.withColumnRenamed("_start", "_day"), [key, "_day"], "left_semi").select(key, "_first.slot", "_first.run_at")
 
 
 def throttle(events: DataFrame, key: str, ts: str, interval_minutes: int, tz: str = "UTC", quiet: str | None = None,
-             segment_intervals: int = 12, small_key: int = 2000) -> DataFrame:
+             segment_intervals: int = 12, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Events that may run: at least ``interval - 2`` minutes after the last one that ran, never in quiet hours.
 
     The choice is sequential per key; see ``chain_starts`` for how a large key is shared between tasks.
@@ -71,5 +72,5 @@ def throttle(events: DataFrame, key: str, ts: str, interval_minutes: int, tz: st
     allowed = events if quiet is None else events.filter(~in_quiet_hours(local(F.col(ts), tz), quiet))
     allowed = allowed.withColumn("_us", F.unix_micros(ts))
     instants = allowed.select(key, F.col("_us").alias("_start"), F.col("_us").alias("_end")).distinct()
-    chosen = chain_starts(instants, key, max(wait, 1), max(wait, 60_000_000) * segment_intervals, small_key)
+    chosen = chain_starts(instants, key, max(wait, 1), max(wait, 60_000_000) * segment_intervals, rows)
     return allowed.join(chosen.withColumnRenamed("_start", "_us"), [key, "_us"], "left_semi").drop("_us")

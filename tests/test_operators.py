@@ -67,20 +67,41 @@ def test_throttle_equals_the_walk(spark):
     start = datetime(2026, 1, 1)
     rows = [(k, start + timedelta(seconds=rnd.randrange(86400 * 2))) for k in ("a", "a", "a", "b") for _ in range(400)]
     df = spark.createDataFrame(rows, "key string, ts timestamp")
-    for segment, small in ((1, 0), (3, 0), (12, 0), (12, 500), (12, 5000)):
-        got = sorted((r["key"], r["ts"]) for r in SL.throttle(df, "key", "ts", 10, segment_intervals=segment, small_key=small).distinct().collect())
+    for segment, size in ((1, 1), (3, 1), (3, 20), (12, 1), (12, 100), (12, 5000)):
+        got = sorted((r["key"], r["ts"]) for r in SL.throttle(df, "key", "ts", 10, segment_intervals=segment, rows=size).distinct().collect())
         want = sorted((k, ts) for k in ("a", "b") for ts in throttle_walk({t for kk, t in rows if kk == k}, timedelta(minutes=8)))
         assert got == want
 
 
+def test_every_days_on_a_hot_key_and_many_small_ones(spark):
+    rnd = random.Random(11)
+    start = datetime(2026, 1, 1)
+    rows = [(k, start + timedelta(days=rnd.randrange(400), hours=rnd.randrange(24), minutes=rnd.randrange(60))) for k in ["hot"] * 900 + [f"k{i}" for i in range(60)] * 4]
+    got = {(r["key"], r["slot"]) for r in SL.slot_runs(spark.createDataFrame(rows, "key string, ts timestamp"), "key", "ts", "UTC", ["08:00", "15:00"], every_days=3).collect()}
+    want = set()
+    for key in {k for k, _ in rows}:
+        slots = set()
+        for ts in (t for k, t in rows if k == key):
+            made = [d.replace(hour=h, minute=0) for d in (ts, ts - timedelta(days=1)) for h in (8, 15)]
+            slot = max(s for s in made if s <= ts)
+            if ts - slot <= timedelta(hours=12):
+                slots.add(slot)
+        last = None
+        for slot in sorted(slots):
+            if last is None or (slot.date() - last.date()).days >= 3:
+                want.add((key, slot))
+                last = slot
+    assert got == want
+
+
 def test_packed_rows_equal_the_fold(spark):
     rnd = random.Random(7)
     rows = [(k, i, "x" * rnd.randrange(1, 60)) for k, n in (("a", 400), ("b", 5)) for i in range(n)]
     df = spark.createDataFrame(rows, "k string, i int, t string")
     whole = df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("p"))
     want = {(r["k"], r["m"], r["t"]) for r in whole.select("k", F.posexplode(PK.pack_texts(F.transform("p", lambda x: x["t"]), 100)).alias("m", "t")).collect()}
-    for small in (0, 100, 5000):
-        got = {(r["k"], r["msg"], r["text"]) for r in PK.pack_rows(df, "k", "i", "t", F.floor(F.col("i") / 50), 100, small_key=small).collect()}
+    for size in (1, 30, 5000):
+        got = {(r["k"], r["msg"], r["text"]) for r in PK.pack_rows(df, "k", "i", "t", F.floor(F.col("i") / 50), 100, segment_rows=size).collect()}
         assert got == want
 
 
@@ -102,8 +123,8 @@ def test_long_parts_go_on_in_the_next_message(spark):
     whole = df.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("p"))
     for expected, option in ((want, {}), (cut, {"cut": True})):
         assert {tuple(r) for r in whole.select("k", F.posexplode(PK.pack_texts(F.col("p"), 100, **option))).collect()} == expected
-        for small in (0, 5000):
-            assert {tuple(r) for r in PK.pack_rows(df, "k", "i", "t", F.floor(F.col("i") / 50), 100, small_key=small, **option).collect()} == expected
+        for size in (1, 5000):
+            assert {tuple(r) for r in PK.pack_rows(df, "k", "i", "t", F.floor(F.col("i") / 50), 100, segment_rows=size, **option).collect()} == expected
     assert sum(len(t.replace("\n\n", "")) for _, _, t in want) == sum(len(t) for _, _, t in rows)
 
 
