@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..session import small_table
 from ..functions.status import parse_status, same_status, split_history, valid_day
 from .segments import with_previous, with_row_number
 
@@ -163,5 +164,27 @@ def merge_references(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return won.select("id", "chat", "msg", *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def tracker_totals(rows: DataFrame, changed: Column, today: date, follow_up_days: int) -> DataFrame:
+    """(section, label, n): rows per status with zeros for the others, the number of rows, and what is pending."""
+    statuses = [*V.STATUSES, "other"]
+    code = F.coalesce(parse_status(F.col("status")), F.lit("other"))
+    limit = F.lit(today - timedelta(days=follow_up_days))
+    known = F.trim("status") != ""
+    one = F.struct(F.lit("total").alias("section"), F.lit("rows").alias("label"))
+    count = F.when(known, F.struct(F.lit("counts").alias("section"), code.alias("label")))
+    waiting = F.when(code == "interested", F.struct(F.lit("pending").alias("section"), F.lit("to_apply").alias("label"))).when(
+        (code == "applied") & (changed <= limit), F.struct(F.lit("pending").alias("section"), F.lit("follow_up").alias("label")))
+    found = rows.select(F.inline(F.array_compact(F.array(one, count, waiting)))).groupBy("section", "label").agg(F.count("*").alias("n"))
+    every = [("total", "rows"), *[("counts", x) for x in statuses], ("pending", "to_apply"), ("pending", "follow_up")]
+    return small_table(rows.sparkSession, "section string, label string", every).join(found, ["section", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+
+
+def last_changes(rows: DataFrame, position: str, n: int = 10) -> DataFrame:
+    """The ``n`` latest dated changes, newest first: of one day the row further down, and in a row the later entry, comes first."""
+    each = rows.select("id", position, F.posexplode(split_history(F.col("history"))).alias("seq", "_e"))
+    each = each.select("id", position, "seq", F.col("_e.day").alias("day"), F.coalesce(parse_status(F.col("_e.status")), F.col("_e.status")).alias("status")).filter("day IS NOT NULL")
+    return latest(each, n, F.desc("day"), F.desc(position), F.desc("seq"))
+
+
 def latest(changes: DataFrame, n: int, *order: Column) -> DataFrame:
     return changes.orderBy(*order).limit(n)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalar", "filters", "merging", "reports", "sources_json", "sources_markup", "runs"]
+MODULES = ["scalar", "filters", "merging", "reports", "sources_json", "sources_markup", "runs", "published"]
 
 
 def load_all() -> None:
