@@ -90,8 +90,11 @@ def parse_model_reply(text: Column) -> Column:
     return F.coalesce(listed, F.try_variant_get(data, "$.results", "array<variant>"))
 
 
-def to_verdict(result: Column, families: list[str], experience_chars: int = 20, reason_chars: int = 240) -> Column:
-    """Validated struct (score, family, front_office, experience, reason) of one result; the two texts are kept to a length."""
+def to_verdict(result: Column, families: list[str], experience_chars: int | None = None, reason_chars: int | None = None) -> Column:
+    """Validated struct (score, family, front_office, experience, reason) of one result; the two texts are whole, or kept to a length."""
+    def kept(text: Column, chars: int | None) -> Column:
+        return text if chars is None else F.substring(text, 1, chars)
+
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(result, path, "variant"))
 
@@ -103,5 +106,5 @@ def to_verdict(result: Column, families: list[str], experience_chars: int = 20,
         F.greatest(F.lit(0), F.least(F.lit(100), whole)).cast("int").alias("score"),
         F.when(family.isin(families), family).alias("family"),
         F.when(kind("$.front_office") == "BOOLEAN", dig(result, "front_office", "boolean")).alias("front_office"),
-        F.when(~exp.isin("", "null"), F.substring(exp, 1, experience_chars)).alias("experience"),
-        F.when(reason != "", F.substring(reason, 1, reason_chars)).alias("reason"))
+        F.when(~exp.isin("", "null"), kept(exp, experience_chars)).alias("experience"),
+        F.when(reason != "", kept(reason, reason_chars)).alias("reason"))

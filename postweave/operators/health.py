@@ -55,15 +55,15 @@ def median_of(values: Column) -> Column:
     return F.when(F.size(s) % 2 == 1, F.get(s, half).cast("double")).otherwise(even)
 
 
-def source_health(log: DataFrame, order: list[str], fail_threshold: int = 3) -> DataFrame:
+def source_health(log: DataFrame, order: list[str], fail_threshold: int = 3, error_chars: int | None = None) -> DataFrame:
     """(source_key, streak, counts, problem): a failing streak, else 'zero' for a source that suddenly finds nothing."""
     both = fail_streak(log, order).join(last_n_counts(log, order), "source_key", "left")
     counts = F.coalesce("counts", F.array().cast("array<bigint>"))
     n = F.size(counts)
     earlier = F.slice(counts, 1, F.greatest(n - 2, F.lit(0)))
     silent = ((n >= 4) & (F.get(counts, n - 1) == 0) & (F.get(counts, n - 2) == 0) & (median_of(earlier) > 0))
-    failing = F.concat(F.lit("fail x"), F.col("streak").cast("string"), F.lit(": "),
-                       F.substring(F.coalesce("last_error", F.lit("")), 1, 120))
+    error = F.coalesce("last_error", F.lit(""))
+    failing = F.concat(F.lit("fail x"), F.col("streak").cast("string"), F.lit(": "), error if error_chars is None else F.substring(error, 1, error_chars))
     return both.select("source_key", "streak", counts.alias("counts"), F.when(F.col("streak") >= fail_threshold, failing)
                        .when(silent, F.lit("zero")).alias("problem"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..session import small_table
 from ..functions.status import parse_status, same_status, split_history, valid_day
-from .segments import with_previous, with_row_number
+from .segments import with_previous, with_row_number, with_total_before
 
 
 def status_changes(log: DataFrame, order: list[str], segment: Column) -> DataFrame:
@@ -70,6 +70,19 @@ def weekly_moves(changes: DataFrame, first: date, last: date) -> DataFrame:
     return changes.filter(F.col("day").between(F.lit(first), F.lit(last))).groupBy(name.alias("status")).agg(F.count("*").alias("n"))
 
 
+def _skipped(wanted: DataFrame, taken: DataFrame, chunk: int) -> DataFrame:
+    """(_base, _r, _skipped): how many numbers in use lie below the ``_r``-th free number of a base.
+
+    The j-th number in use, k, has k - j free ones before it; it lies below the r-th free number if these are fewer than r.  So numbers in use and wanted ranks go
+    in one order, by free numbers before them, and a running count along it says how many are skipped.
+    """
+    used = with_row_number(taken, ["_base"], ["_k"], F.floor(F.col("_k") / chunk), "_j")
+    marks = used.select("_base", (F.col("_k") - F.col("_j") + 1).cast("bigint").alias("_r"), F.lit(0).alias("_rank"))
+    marks = marks.unionByName(wanted.select("_base", F.col("_r").cast("bigint").alias("_r"), F.lit(1).alias("_rank")))
+    counted = with_total_before(marks, ["_base"], ["_r", "_rank"], F.col("_rank") == 0, F.floor(F.col("_r") / chunk), "_skipped")
+    return counted.filter("_rank = 1").select("_base", "_r", "_skipped")
+
+
 def detect_manual(rows: DataFrame, today: date, position: str = "pos", chunk: int = 100_000) -> DataFrame:
     """Rows changed or added by hand.
 
@@ -85,13 +98,11 @@ def detect_manual(rows: DataFrame, today: date, position: str = "pos", chunk: in
     taken = rows.filter(F.col("id").rlike(r"^m-[0-9a-f]{8}(-\d+)?$")).select(
         F.regexp_extract("id", r"^(m-[0-9a-f]{8})", 1).alias("_base"),
         F.coalesce(F.regexp_extract("id", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("_k"))
-    taken = taken.withColumn("_k", F.when(F.col("_k") > 0, F.col("_k"))).groupBy("_base").agg(F.collect_set("_k").alias("_taken"))
-    fresh = with_row_number(keyed.filter("_base IS NOT NULL"), ["_base"], [position],
-                            F.floor(F.col(position) / chunk), "_r").join(taken, "_base", "left")
-    free = F.when(F.col("_taken").isNull(), F.col("_r").cast("int")).otherwise(F.get(
-        F.array_except(F.sequence(F.lit(1), (F.col("_r") + F.size("_taken")).cast("int")), F.col("_taken")), F.col("_r").cast("int") - 1))
+    fresh = with_row_number(keyed.filter("_base IS NOT NULL"), ["_base"], [position], F.floor(F.col(position) / chunk), "_r")
+    fresh = fresh.join(_skipped(fresh.select("_base", "_r"), taken.filter("_k > 0").distinct(), chunk), ["_base", "_r"])
+    free = F.col("_r") + F.col("_skipped")
     made = F.when(free == 1, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit("-"), free.cast("string")))
-    fresh = fresh.withColumn("id", made).drop("_r", "_taken")
+    fresh = fresh.withColumn("id", made).drop("_r", "_skipped")
     out = fresh.unionByName(keyed.filter("_base IS NULL"))
     entries = split_history(F.col("history"))
     last = F.try_element_at(entries, F.lit(-1))

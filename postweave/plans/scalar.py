@@ -387,7 +387,7 @@ def b29(t: Tables) -> DataFrame:
 
 @query("b30_to_verdict", """
 SELECT conv_id, turn, least(100, n * 17 % 150)::BIGINT AS score, CASE WHEN n % 3 = 0 THEN 'user' END AS family,
- (n % 2 = 0) AS front_office, nullif(substr(text, 1, 240), '') AS reason
+ (n % 2 = 0) AS front_office, nullif(text, '') AS reason
 FROM (SELECT *, conv_id + turn AS n FROM conversations) WHERE n % 5 <> 4""")
 def b30(t: Tables) -> DataFrame:
     results = _replies(t).select("conv_id", "turn", F.explode(jsons.parse_model_reply(F.col("reply"))).alias("r"))

@@ -219,7 +219,7 @@ SELECT CAST(page_id AS VARCHAR) AS source_key, href FROM m WHERE NOT known AND p
 def a7(t: Tables) -> DataFrame:
     p = site_pages(t)
     known = P.page_links(p).filter((F.length("href") % 3 == 0) & F.col("href").contains(".example.") & (F.col("source_key").cast("bigint") % 4 != 0))
-    return P.new_links(p, known, r"\.example\.").select("source_key", "href")
+    return P.new_links(p, known, known, r"\.example\.").select("source_key", "href")
 
 
 @query("a7_first_observation_empty", f"""WITH {LINKS_SQL} SELECT CAST(page_id AS VARCHAR) AS source_key, href FROM a WHERE contains(href, '.example.') AND page_id % 3 = 0""")
@@ -228,7 +228,7 @@ def a7_empty(t: Tables) -> DataFrame:
     p = site_pages(t)
     observed = p.filter(F.col("source_key").cast("bigint") % 3 == 0).select("source_key")
     known = P.page_links(p).select("source_key", "href").limit(0)
-    return P.new_links(p, known, r"\.example\.", observed=observed).select("source_key", "href")
+    return P.new_links(p, known, observed, r"\.example\.").select("source_key", "href")
 
 
 @query("a7a_content_change", f"""SELECT CAST(page_id AS VARCHAR) AS source_key, 'page_change' AS kind, substr(sha1({duck.html_text('html')}), 1, 12) AS native_id FROM pages WHERE page_id % 3 = 1""")

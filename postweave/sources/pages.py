@@ -199,15 +199,15 @@ def page_links(captures: DataFrame, page: str = "source_key") -> DataFrame:
                        collapse_spaces(unescape(F.regexp_replace("_link.text", "<[^>]*>", " "))).alias("text"))
 
 
-def new_links(captures: DataFrame, known: DataFrame, pattern: str, page: str = "source_key", observed: DataFrame | None = None) -> DataFrame:
+def new_links(captures: DataFrame, known: DataFrame, observed: DataFrame, pattern: str, page: str = "source_key") -> DataFrame:
     """Links that match and were not remembered; the first text of a link wins; a page observed for the first time emits nothing.
 
-    ``known``: (page, href).  ``observed``: the pages seen before, even without a matching link; by default those that have remembered links.
+    ``known``: (page, href), the links remembered.  ``observed``: the pages seen before, even if they had no matching link then.
     """
     links = page_links(captures, page).filter(F.col("href").rlike(pattern))
     links = links.withColumn("href", F.substring_index("href", "#", 1))
     first = links.groupBy(page, "href").agg(F.min_by("text", "pos").alias("text"))
-    fresh = first.join((known if observed is None else observed).select(page).distinct(), page, "left_semi").join(known.select(page, "href"), [page, "href"], "left_anti")
+    fresh = first.join(observed.select(page).distinct(), page, "left_semi").join(known.select(page, "href"), [page, "href"], "left_anti")
     return fresh.withColumn("title", F.when(F.col("text") != "", F.col("text")).otherwise(F.substring_index("href", "/", -1)))
 
 

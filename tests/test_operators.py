@@ -307,4 +307,33 @@ def test_links_decode_every_reference(spark):
     want = ["https://www.example.com" + h for h in hrefs.values()]
     assert [(r["href"], r["text"]) for r in PG.page_links(pages).orderBy("pos").collect()] == [(h, f"link & {i}") for i, h in enumerate(want)]
     known = spark.createDataFrame([("p", h) for h in want[:-1]], "source_key string, href string")
-    assert [r["href"] for r in PG.new_links(pages, known, r"\.example\.").collect()] == want[-1:]
+    assert [r["href"] for r in PG.new_links(pages, known, known, r"\.example\.").collect()] == want[-1:]
+
+
+def test_numbers_of_equal_contents_fill_the_gaps(spark):
+    """Ids in use are skipped wherever they are; a walk in file order gives the same."""
+    rnd = random.Random(3)
+    import hashlib
+
+    def base(company):
+        return "m-" + hashlib.sha1(f"{company}|t|".encode()).hexdigest()[:8]
+    rows, used = [], {"hot": [1, 2, 5, 9, 10, 11, 40], "b": [3], "c": []}
+    for company, numbers in used.items():
+        rows += [(base(company) + (f"-{n}" if n > 1 else ""), "other", "t", "", "", "", "", 0) for n in numbers]
+    rows += [("", c, "t", "", "", "", "", 0) for c in ["hot"] * 60 + ["b"] * 4 + ["c"] * 3]
+    rnd.shuffle(rows)
+    rows = [(*r[:-1], i) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id string, company string, title string, url string, status string, date string, history string, pos int")
+    got = {r["pos"]: r["id"] for r in TR.detect_manual(df, date(2026, 1, 1), chunk=7).collect()}
+    ids, want = {r[0] for r in rows if r[0]}, {}
+    for r in rows:
+        if r[0]:
+            want[r[-1]] = r[0]
+            continue
+        name, n = base(r[1]), 1
+        while name in ids:
+            n += 1
+            name = f"{base(r[1])}-{n}"
+        ids.add(name)
+        want[r[-1]] = name
+    assert got == want
