@@ -18,6 +18,7 @@ SAMPLE_ROWS = 20_000
 BUCKET_LEAVES = 32  # neighbouring leaves of one tree that are read together; a bit mask of a query's leaves fits an integer
 PART_ROWS = 16_384
 _SLICE = 256
+_MARGINS = 1 << 21
 
 
 def visits_for(rows: int, factor: float = 7.5, power: float = 0.75) -> int:
@@ -111,12 +112,15 @@ class Forest:
             out[:, tree] = -1 - node
         return out
 
+    def margins(self, vectors: np.ndarray) -> np.ndarray:
+        """The distance of every query to every plane."""
+        return self.lifted(vectors, query=True) @ self.normals.T - self.offsets if len(self.normals) else np.zeros((len(vectors), 0))
+
     def search(self, vectors: np.ndarray, sizes: list[int], visits: int):
         """For each query its leaves: the nearest planes of all trees first, in one queue, until enough rows lie in the leaves."""
-        margins = self.lifted(vectors, query=True) @ self.normals.T - self.offsets if len(self.normals) else np.zeros((len(vectors), 0))
         low, high = self.low, self.high
-        for row in margins:
-            margin = row.tolist()
+        step = max(1, _MARGINS // max(1, len(self.normals)))  # queries whose distances to all planes are held at once
+        for margin in (row for a in range(0, len(vectors), step) for row in self.margins(vectors[a:a + step]).tolist()):
             queue = [(0.0, root) for root in self.roots]
             found, seen = [], 0
             while queue and seen < visits:
@@ -218,10 +222,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = TREES, leaf_
     queries = rows.where(is_query(F.col("id"))).select("bits", "vector", "id").distinct()
     asked_classes = queries.select("bits", "vector").distinct().join(classes.drop("ids"), ["bits", "vector"]).select("class", "vector")
     wanted = asked_classes.mapInArrow(asked, f"part long, query long, mask long, bound double, vector {kind}")
-    split = F.lit(1)
-    for bucket, number in parts.items():
-        split = F.when(F.col("bucket") == bucket, number).otherwise(split)
-    keyed = index.withColumn("part", F.col("bucket") * 100_000 + F.pmod(F.xxhash64("class"), split))
+    # One row for each bucket of the forest with more than one part.
+    split = spark.createDataFrame(pa.table({"bucket": pa.array(list(parts), pa.int64()), "parts": pa.array(list(parts.values()), pa.int32())}))
+    keyed = index.join(split, "bucket", "left").withColumn("part", F.col("bucket") * 100_000 + F.pmod(F.xxhash64("class"), F.coalesce("parts", F.lit(1))))
     bit = forest.bit
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -68,3 +68,15 @@ def test_forest_puts_points_into_their_leaves():
     found = next(forest.search(points[:1], [len(p) for p in forest.leaf_points], 10**9))
     assert sorted(found) == list(range(len(forest.leaf_tree)))
     assert visits_for(10_000) < 10_000 and visits_for(10**9) < 10**8
+
+
+def test_many_buckets_of_several_parts(spark, monkeypatch):
+    """Hundreds of buckets that are split: a plan that grows with them would not run."""
+    from postweave.llm import neighbours as module
+    monkeypatch.setattr(module, "BUCKET_LEAVES", 1)
+    monkeypatch.setattr(module, "PART_ROWS", 2)
+    monkeypatch.setattr(module, "_MARGINS", 64)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-50, 50, 6).astype(float).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(nearest(df, lambda i: F.pmod(i, F.lit(50)) == 0, trees=8, leaf_rows=10, visits=10**9)) == brute(rows, [i for i, _ in rows if i % 50 == 0], 20)
