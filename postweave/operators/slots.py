@@ -62,6 +62,12 @@ def slot_runs(wakes: DataFrame, key: str, ts: str, tz: str, times: Sequence[str]
     return days.join(chosen.withColumnRenamed("_start", "_day"), [key, "_day"], "left_semi").select(key, "_first.slot", "_first.run_at")
 
 
+def forced_runs(wakes: DataFrame, key: str, ts: str, tz: str, times: Sequence[str], weekdays: Sequence[int] | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """(key, slot, run_at) of forced runs: every wake-up runs, late ones and repeated ones too, and takes its latest slot; ``only`` names the keys."""
+    wanted = wakes if only is None else wakes.filter(F.col(key).isin(list(only)))
+    return wanted.select(key, latest_slot(F.col(ts), tz, times, weekdays).alias("slot"), F.col(ts).alias("run_at"))
+
+
 def throttle(events: DataFrame, key: str, ts: str, interval_minutes: int, tz: str = "UTC", quiet: str | None = None,
              segment_intervals: int = 12, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Events that may run: at least ``interval - 2`` minutes after the last one that ran, never in quiet hours.

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import health as H
+from ..operators import slots as SL
 from ..operators import state as S
-from ..operators.segments import hour_of
+from ..operators.segments import hour_of, with_row_number
 from ..operators.stored import BucketStore, add_names
 from ..session import checkpoint_dir, written
 from ..sources import captures as C
+from ..sources import mail as M
+from ..sources import paging as PG
 from .merging import KEYED, keyed, split_published
-from .registry import NOW, NOW_SQL, Tables, query
+from .registry import EVENTS_NOW, NOW, NOW_SQL, Tables, query
 
 FIRST_RUN = datetime(2000, 6, 1)
 
@@ -46,6 +49,44 @@ def a1_files(t: Tables) -> DataFrame:
     return good.unionByName(bad).groupBy("source_key", "ok", "error").agg(F.count("*").alias("n"))
 
 
+@query("a8e_window", """
+WITH m AS (SELECT event_type AS box, max(event_id) FILTER (WHERE ts < TIMESTAMP '2024-01-25') AS last_uid FROM events GROUP BY 1),
+f AS (SELECT event_type AS box, event_id AS uid FROM events JOIN m ON box = event_type WHERE (event_id > last_uid OR event_type = 'view') AND ts >= TIMESTAMP '2024-01-27')
+SELECT box, uid FROM f QUALIFY row_number() OVER (PARTITION BY box ORDER BY uid DESC) <= 300""")
+def a8e_window(t: Tables) -> DataFrame:
+    """Unread mails of the last three days and one more, the newest 300 of a box (the limits of a run are the feature)."""
+    mails = t.ev.select(F.col("event_type").alias("box"), F.lit("v2").alias("validity"), F.col("event_id").alias("uid"), F.col("ts").alias("sent_at"))
+    state = t.ev.groupBy(F.col("event_type").alias("box")).agg(F.max(F.when(F.col("ts") < F.lit("2024-01-25").cast("timestamp"), F.col("event_id"))).alias("last_uid"))
+    state = state.withColumn("validity", F.when(F.col("box") == "view", F.lit("v1")).otherwise(F.lit("v2")))
+    return M.unread(mails, state, 300, EVENTS_NOW, 3).select("box", "uid")
+
+
+@query("a11_total_and_empty_page", """
+WITH r AS (SELECT o_custkey % 20 AS s, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS rn FROM orders),
+p AS (SELECT s, (rn - 1) // 5 + 1 AS page_no, count(*) AS n FROM r GROUP BY ALL), q AS (SELECT * FROM p UNION ALL SELECT s, max(page_no) + 1, 0 FROM p GROUP BY s),
+e AS (SELECT *, n < 5 OR (s % 4 = 0 AND page_no * 5 >= 20 + s * 10) AS stop FROM q)
+SELECT CAST(s AS VARCHAR) AS source_key, page_no::BIGINT AS page_no, n::BIGINT AS rows, stop AS last FROM e
+QUALIFY coalesce(bool_or(stop) OVER (PARTITION BY s ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) = false""")
+def a11_total(t: Tables) -> DataFrame:
+    """Every fourth source states a total; the page after a source's last posting was captured empty."""
+    numbered = with_row_number(t.orders.select((F.col("o_custkey") % 20).alias("s"), "o_orderkey"), ["s"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 10_000), "rn")
+    rows = numbered.select(F.col("s").cast("string").alias("source_key"), (F.floor((F.col("rn") - 1) / 5) + 1).cast("bigint").alias("page_no"), F.lit(NOW).alias("posted_at"))
+    pages = rows.select("source_key", "page_no").unionByName(rows.groupBy("source_key").agg((F.max("page_no") + 1).alias("page_no")))
+    totals = rows.select("source_key", F.col("source_key").cast("bigint").alias("k")).distinct().filter("k % 4 = 0").select("source_key", (20 + F.col("k") * 10).alias("total"))
+    out = PG.pages_until_cutoff(rows, NOW, 60, 5, pages_read=pages, totals=totals)
+    return out.select("source_key", "page_no", F.col("rows").cast("bigint").alias("rows"), "last")
+
+
+@query("a13_routing_places", """SELECT 'unknown routing place' AS rule, 'r' || n_nationkey || ':' || n_name AS subject FROM nation WHERE n_regionkey >= 3""")
+def a13_places(t: Tables) -> DataFrame:
+    """Routes to all nations, of which three regions' are configured places."""
+    routes = t.nation.select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("route"), F.col("n_name").alias("place"), "n_regionkey")
+    sources = t.nation.limit(0).select(F.lit("").alias("id"), F.lit("").alias("grp"), F.lit(False).alias("favorite"), F.lit("").alias("url"), F.lit("").alias("type"),
+                                       F.array(F.lit("")).alias("families"))
+    groups = t.nation.limit(0).select(F.lit("").alias("grp"), F.array(F.lit("")).alias("times"), F.array(F.lit("")).alias("weekdays"), F.lit("").alias("quiet_hours"))
+    return PG.validate_dimensions(sources, groups, t.nation.limit(0).select(F.lit("").alias("family")), routes, routes.filter("n_regionkey < 3").select("place"))
+
+
 @query("h1_observe_log", """
 WITH l AS (SELECT event_id AS seq, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 n AS (SELECT *, prev IS NULL OR ts - prev > INTERVAL 1 DAY AS is_new FROM l)
@@ -127,3 +168,13 @@ def g3_destinations(t: Tables) -> DataFrame:
         return made.groupBy("channel", "route").agg(F.min_by("ident", F.col("ident").cast("long")).alias("ident"))
     early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
     return S.merge_destinations(version(early), version(~early))
+
+
+@query("h9_forced_runs", """
+WITH e AS (SELECT event_id, user_id, ts, timezone('Europe/Berlin', timezone('UTC', ts)) AS l FROM events),
+c AS (SELECT event_id, user_id, ts, l, CAST(l AS DATE) - CAST(unnest(range(0, 3)) AS INT) AS d FROM e), s AS (SELECT event_id, user_id, ts, l, d + to_hours(CAST(unnest([9, 18]) AS BIGINT)) AS slot FROM c)
+SELECT event_id, user_id, timezone('UTC', timezone('Europe/Berlin', max(slot))) AS slot, ts AS run_at FROM s WHERE slot <= l GROUP BY event_id, user_id, ts""")
+def h9_forced(t: Tables) -> DataFrame:
+    """Forced runs take their latest slot, however late and however often."""
+    wakes = t.ev.select(F.struct("event_id", "user_id").alias("wake"), "ts")
+    return SL.forced_runs(wakes, "wake", "ts", "Europe/Berlin", ["09:00", "18:00"]).select("wake.event_id", "wake.user_id", "slot", "run_at")

@@ -28,8 +28,11 @@ def expand_search_grid(queries: DataFrame, places: DataFrame, pages: int, covera
 
 
 def pages_until_cutoff(postings: DataFrame, now: datetime, max_age_days: float, page_size: int, rule: str = "any",
-                       slack_days: float = 0.5) -> DataFrame:
-    """Pages a newest-first scan reads: up to and including the first that is short or holds old rows.
+                       slack_days: float = 0.5, pages_read: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Pages a newest-first scan reads: up to and including the first that is short or empty, reaches the stated total, or holds old rows.
+
+    ``pages_read``: (source_key, page_no) of all pages that were captured, so that one without any posting is known; ``totals``: (source_key, total) as
+    the sources state them, null or missing where they don't.
 
     ``rule``: 'any' row older than the window, the 'oldest' row, or 'all' rows.  Rows are first folded to one row per
     page (map-side combined), so the running test per source is over pages, not postings.
@@ -38,7 +41,13 @@ def pages_until_cutoff(postings: DataFrame, now: datetime, max_age_days: float,
     old = F.coalesce(F.col("posted_at") < limit, F.lit(False))
     tests = {"any": F.max(old), "oldest": F.coalesce(F.min("posted_at") < limit, F.lit(False)), "all": F.min(old)}
     pages = postings.groupBy("source_key", "page_no").agg(F.count("*").alias("rows"), tests[rule].alias("_old"))
-    pages = pages.withColumn("stop", ((F.col("rows") < page_size) | F.col("_old")).cast("int"))
+    if pages_read is not None:
+        pages = pages_read.select("source_key", "page_no").distinct().join(pages, ["source_key", "page_no"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    stop = (F.col("rows") < page_size) | F.coalesce("_old", F.lit(False))
+    if totals is not None:
+        pages = pages.join(totals.select("source_key", "total"), "source_key", "left")
+        stop = stop | F.coalesce(F.col("page_no") * page_size >= F.col("total"), F.lit(False))
+    pages = pages.withColumn("stop", stop.cast("int"))
     before = Window.partitionBy("source_key").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
     return pages.withColumn("_b", F.coalesce(F.max("stop").over(before), F.lit(0))).filter("_b = 0").select("source_key", "page_no", "rows", F.col("stop").cast("boolean").alias("last"))
 
@@ -68,11 +77,11 @@ def facet_pick(facets: DataFrame, matching: DataFrame) -> DataFrame:
                       F.col("_b.param").alias("param"), F.col("_b.ids").alias("ids"))
 
 
-def validate_dimensions(sources: DataFrame, groups: DataFrame, families: DataFrame, routes: DataFrame) -> DataFrame:
+def validate_dimensions(sources: DataFrame, groups: DataFrame, families: DataFrame, routes: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Violations of the configuration tables as rows (rule, subject).
 
     sources(id, grp, favorite, url, type, families), groups(grp, times, weekdays, quiet_hours), families(family),
-    routes(route, place).
+    routes(route, place), places(place): the configured places that a route may name; None leaves that rule out.
     """
     def rows(df: DataFrame, rule: str, subject: Column) -> DataFrame:
         return df.select(F.lit(rule).alias("rule"), subject.alias("subject"))
@@ -96,6 +105,9 @@ def validate_dimensions(sources: DataFrame, groups: DataFrame, families: DataFra
         rows(groups.filter(F.col("quiet_hours").isNotNull() & ~F.trim("quiet_hours").rlike(window)), "invalid quiet hours", F.col("grp")),
         rows(slugs.filter("n > 1 OR slug = ''"), "route names collide", F.col("slug")),
     ]
+    if places is not None:
+        named = routes.filter(F.trim(F.coalesce("place", F.lit(""))) != "")
+        parts.append(rows(named.join(places.select("place").distinct(), "place", "left_anti"), "unknown routing place", F.concat_ws(":", "route", "place")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
