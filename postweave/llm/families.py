@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import discard, hold
-from .shingles import SMALL_WORDS
 
-# What an index knows of a set besides the key it is posted under: its size n, how many of its index tokens other sets hold, too (m), the token's place, a bitmap.
-POSTED = ["node", "n", "m", "at", *[f"b{i}" for i in range(SMALL_WORDS)]]
 
+def posted_columns(words: int) -> list[str]:
+    """What an index knows of a set besides the key it is posted under: its size n, how many of its index tokens other sets hold, too (m), the token's
+    place, and a small bitmap of ``words`` 64-bit words."""
+    return ["node", "n", "m", "at", *[f"b{i}" for i in range(words)]]
 
-def bits_apart() -> Column:
+
+def bits_apart(words: int) -> Column:
     """In how many bits the small bitmaps of x and y differ: at most as many as tokens lie in only one of the sets."""
     out = F.lit(0)
-    for i in range(SMALL_WORDS):
+    for i in range(words):
         out = out + F.bit_count(F.col(f"b{i}_x").bitwiseXOR(F.col(f"b{i}_y")))
     return out
 
 
 def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
-    return df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in (*POSTED, "label")], *more)
+    return df.select("key", *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c not in ("key", *more)], *more)
 
 
 def candidates(posted: DataFrame, reach: Column, everyone: bool) -> DataFrame:
@@ -33,15 +35,16 @@ def candidates(posted: DataFrame, reach: Column, everyone: bool) -> DataFrame:
     First (``everyone`` false) each member of a list meets its leader only, the member that has most in common with other sets.  What got one label
     then needs no more comparing: lastly the members outside a list's most frequent label meet all that are labelled otherwise.
     """
-    each = posted.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct((F.col("m") / F.col("n")).alias("common"), *POSTED, "label")).alias("leader"))
+    known = [c for c in posted.columns if c not in ("key", "label")]
+    each = posted.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct((F.col("m") / F.col("n")).alias("common"), *known, "label")).alias("leader"))
     lists = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("top"), F.max("leader").alias("leader"), F.count(F.lit(1)).alias("labels"))
     lists = lists.where("labels > 1")
     if everyone:
         own = posted.join(lists.select("key", F.col("top.label").alias("main")), "key")
-        other = _side(own.where("label <> main"), "x")
-        met = other.join(_side(own, "y", (F.col("label") == F.col("main")).alias("is_main")), "key").where(F.col("is_main") | (F.col("node_x") < F.col("node_y")))
+        other = _side(own.where("label <> main").drop("main"), "x")
+        met = other.join(_side(own.withColumn("is_main", F.col("label") == F.col("main")).drop("main"), "y", "is_main"), "key").where(F.col("is_main") | (F.col("node_x") < F.col("node_y")))
     else:
-        met = _side(posted, "x").join(lists.select("key", *[F.col(f"leader.{c}").alias(f"{c}_y") for c in (*POSTED, "label")]), "key")
+        met = _side(posted, "x").join(lists.select("key", *[F.col(f"leader.{c}").alias(f"{c}_y") for c in (*known, "label")]), "key")
     met = met.where((F.col("label_x") != F.col("label_y")) & reach)
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
@@ -89,8 +92,10 @@ def with_components(bag: DataFrame, names: DataFrame, labels: DataFrame | None)
 
 
 def chosen_sets(nodes: DataFrame, docs: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The full sets of ``nodes`` (node, doc_id, key_a, key_b), from the texts that their ids have; one row a node."""
-    sets = hold(make(nodes.join(docs, "doc_id")), "sets")
+    """The full sets of ``nodes`` (node, doc_id, key_a, key_b), from the texts that their ids have; one row a node.
+
+    The nodes grow with the input, so the join is a sorted one at every size, not a broadcast where a table happens to be small."""
+    sets = hold(make(nodes.join(docs.hint("merge"), "doc_id")), "sets")
     if sets.groupBy("node").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])  # the same text twice under one id
     return sets

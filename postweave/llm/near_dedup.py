@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .families import POSTED, bits_apart, chosen_sets, family_labels, with_components
+from .families import bits_apart, chosen_sets, family_labels, posted_columns, with_components
 from .shared import by_blocks, discard, hold, spread_out, table, texts_of
-from .shingles import BITMAP_WORDS, SMALL_WORDS, full_bags, lists, set_keys, shingle_sets
+from .shingles import BITMAP_WORDS, full_bags, lists, set_keys, shingle_sets
 from .textgrid import mix64
 
 COORDINATES = 64
+SMALL_WORDS = 8  # of the bitmaps of full sets that go with postings
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,7 +84,7 @@ def _postings(near: DataFrame, sets: DataFrame, coordinates: int, threshold: int
     ranked = ranked.withColumn("at", coordinates - F.col("m") + F.row_number().over(own.orderBy("often", "token")) - 1)
     folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, BITMAP_WORDS, SMALL_WORDS))).alias(f"b{i}") for i in range(SMALL_WORDS)]
     kept = ranked.where(F.col("at") <= coordinates - threshold).join(sets.select("node", "n", *folded), "node")
-    return kept.select(F.col("token").alias("key"), *POSTED)
+    return kept.select(F.col("token").alias("key"), *posted_columns(SMALL_WORDS))
 
 
 def _in_reach(percent: int, coordinates: int, threshold: int) -> Column:
@@ -97,7 +98,7 @@ def _in_reach(percent: int, coordinates: int, threshold: int) -> Column:
     most = F.least(before("x"), before("y")) + F.least(coordinates - F.col("at_x"), coordinates - F.col("at_y"))
     both = F.col("n_x") + F.col("n_y")
     return ((most >= threshold) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-            & ((100 + percent) * (both - bits_apart()) >= 2 * percent * both))
+            & ((100 + percent) * (both - bits_apart(SMALL_WORDS)) >= 2 * percent * both))
 
 
 def _colliding(pairs: DataFrame, near: DataFrame, threshold: int) -> DataFrame:
@@ -129,6 +130,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     sketch = hold(sketches(spread_out(docs), words, coordinates), "sketch")
     classes = sketch.where("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     classes = hold(classes.where("doc_id is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
+    sketch, wide = hold(sketch.drop("signature"), "sketch"), sketch
+    discard(wide)
     survivors = hold(_survivors(classes, threshold), "survivors")
     names, labels = classes.drop("signature"), None
     if survivors.limit(1).count():

@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .families import POSTED, bits_apart, chosen_sets, family_labels, with_components
+from .families import bits_apart, chosen_sets, family_labels, posted_columns, with_components
 from .shared import by_blocks, discard, hold, spread_out, table, texts_of
-from .shingles import SMALL_WORDS, full_bags, lists, parity, set_keys, shingle_sets
+from .shingles import full_bags, lists, parity, set_keys, shingle_sets
 from .textgrid import mix64
 
 RARE = 16  # tokens in at most so many sets are indexed singly, others two by two
+SMALL_WORDS = 4  # of the bitmaps that the index carries
 EXTRA_PERCENT = 10  # by so much of a set the prefix of the first look is longer than a single common token needs
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,7 +127,7 @@ def postings(sets: DataFrame, percent: int, rare: int) -> DataFrame:
         columns = [np.concatenate([keys for keys, _ in found]).view(np.int64), np.array(sizes, np.int64)[row], held[row],
                    np.concatenate([at for _, at in found]).astype(np.int64), *[bits[row, i] for i in range(SMALL_WORDS)]]
         arrays = [pa.array(c) for c in columns]
-        return pa.RecordBatch.from_arrays([arrays[0], nodes.take(pa.array(row)), *arrays[1:]], ["key", *POSTED])
+        return pa.RecordBatch.from_arrays([arrays[0], nodes.take(pa.array(row)), *arrays[1:]], ["key", *posted_columns(SMALL_WORDS)])
 
     def run(batches):
         for batch in batches:
@@ -139,7 +140,7 @@ def postings(sets: DataFrame, percent: int, rare: int) -> DataFrame:
                     inside = range(start, i + 1)
                     yield posted(nodes.slice(start, i + 1 - start), sizes[start:i + 1], [(token[bounds[j]:bounds[j + 1]], often_[bounds[j]:bounds[j + 1]]) for j in inside])
                     start = i + 1
-    return known.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in POSTED))
+    return known.mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in posted_columns(SMALL_WORDS)))
 
 
 def _in_reach(percent: int) -> Column:
@@ -153,7 +154,7 @@ def _in_reach(percent: int) -> Column:
     def alone(side: str) -> Column:
         return F.col(f"n_{side}") - F.col(f"m_{side}")
     most = F.least(F.col("at_x") - alone("x"), F.col("at_y") - alone("y")) + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    apart = alone("x") + alone("y") + bits_apart()
+    apart = alone("x") + alone("y") + bits_apart(SMALL_WORDS)
     return ((100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * both)
             & ((100 + percent) * (both - apart) >= 2 * percent * both))
 
@@ -180,8 +181,11 @@ def jaccard_components(documents: DataFrame, words: int = 5, similarity: float =
     bag = hold(bags(spread_out(docs), words, percent), "bags")
     classes = bag.where("n_shingles > 0").groupBy("key_a", "key_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"))
     classes = hold(classes.where("doc_id is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
+    bag, wide = hold(bag.drop("low"), "bags"), bag
+    discard(wide)
     likely = hold(survivors(classes, percent), "survivors")
-    names, labels = classes.drop("low"), None
+    names, labels = hold(classes.drop("low"), "names"), None
+    discard(classes)
     if likely.limit(1).count():
         sets = chosen_sets(names.join(likely, "node").select("node", "doc_id", "key_a", "key_b"), docs, lambda rows: full_bags(rows, words))
         posted = hold(postings(sets, percent, rare), "postings")

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from .textgrid import blank_words, code_points, mix64, run_hashes
 
 BITMAP_WORDS = 16
-SMALL_WORDS = 4  # of the bitmaps that an index carries
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
