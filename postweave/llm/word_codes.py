@@ -22,7 +22,7 @@ from .shared import blocks, spread_out, table, texts_of
 from .textgrid import CONTRACTION, NUMBER, SPACE, classes, code_points, first_marks, gather, newer_signs, owner_of, run_hashes, with_contractions
 
 VOCABULARY = "word_bpe_49k.json"
-BLOCK_TEXT = 8 << 20  # code points of a block, which shares one word list
+BLOCK_TEXT = 16 << 20  # code points of a block, which shares one word list
 BLOCK_WORDS = 500_000  # distinct words of a block
 _WORD = regex.compile(CONTRACTION + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SLICE = 1024  # documents that are put together at once
