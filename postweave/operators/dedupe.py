@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from ..session import cut_lineage
+from ..session import cut_lineage, written
+from .components import connected
+
+ROUNDS_FIRST = 4  # rounds over all rows before what is left is taken component by component
+SMALL_COMPONENT = 20_000  # rows that one task walks through
 
 
 def distinct_first_wins(df: DataFrame, keys: list[str], *position: str, last: bool = False) -> DataFrame:
@@ -32,8 +38,53 @@ def _token_at(ids: str, position: int) -> Column:
     return F.get(F.filter(ids, lambda x: x.startswith(str(position))), F.lit(0))
 
 
+def _in_order(value):
+    """A key that orders Python values as Spark orders them: nulls first, structs field by field."""
+    if isinstance(value, dict):
+        value = tuple(value.values())
+    if isinstance(value, (tuple, list)):
+        return tuple(_in_order(v) for v in value)
+    return (value is not None, value if value is not None else 0)
+
+
+def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The definition itself, for whole components in sorted frames: the kept rows (_rid)."""
+    def kept(rows: list[tuple]) -> list[int]:
+        held: set[str] = set()
+        out = []
+        for rid, _, ids in sorted(rows, key=lambda r: _in_order(r[1])):
+            if held.isdisjoint(ids):
+                held.update(ids)
+                out.append(rid)
+        return out
+    label, rows = None, []
+    for frame in frames:
+        out: list[int] = []
+        for rid, own, best, ids in zip(frame["_rid"], frame["_label"], frame["_best"], frame["_ids"], strict=True):
+            if own != label:
+                out += kept(rows)
+                label, rows = own, []
+            rows.append((rid, best.asDict(True) if hasattr(best, "asDict") else best, list(ids)))
+        yield pd.DataFrame({"_rid": pd.Series(out, dtype="int64")})
+    yield pd.DataFrame({"_rid": pd.Series(kept(rows), dtype="int64")})
+
+
+def _by_component(still: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(owners, rest): components of open rows that share tokens, up to ``most`` rows each solved whole in one task; larger ones stay open."""
+    rows = written(still.withColumn("_rid", F.monotonically_increasing_id()), "open")
+    tokens = rows.select("_rid", F.explode("_ids").alias("_t"))
+    leaders = tokens.groupBy("_t").agg(F.min("_rid").alias("_low"))
+    labels = connected(tokens.join(leaders, "_t").select(F.col("_rid").alias("a"), F.col("_low").alias("b")))
+    named = rows.join(labels.withColumnRenamed("node", "_rid"), "_rid", "left").withColumn("_label", F.coalesce("label", "_rid")).drop("label")
+    large = named.groupBy("_label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_label")
+    small = named.join(large, "_label", "left_anti").select("_rid", "_label", "_best", "_ids")
+    kept = small.repartition("_label").sortWithinPartitions("_label").mapInPandas(_walk, "_rid bigint")
+    owners = small.join(kept, "_rid", "left_semi").select(F.explode("_ids").alias("_t"), F.col("_best").alias("_owner"))
+    return written(owners, "owners"), written(named.join(large, "_label", "left_semi").select("_best", "_ids"), "rest")
+
+
 def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column, eligible: Column | None = None,
-                       ) -> tuple[DataFrame, DataFrame]:
+                       rounds_first: int = ROUNDS_FIRST, small: int = SMALL_COMPONENT) -> tuple[DataFrame, DataFrame]:
     """Keep, in rank order, every eligible row none of whose tokens belongs to an already kept row.
 
     Returns ``(rows, keepers)``: the rows with ``kept`` and ``dup_of`` (the kept row of the first token hit), and the
@@ -45,6 +96,8 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
     * Each round the best open row per token is a map-side combined ``min``.  A row that is best in all its tokens is
       kept; every open row that shares a token with a kept one is closed.  Nothing is paired within a group.
     * Each round ends in one reliable checkpoint; at least the best open row of every group closes, so it terminates.
+    * What ``rounds_first`` rounds leave open, long chains of rows that wait for each other, is cut into components of shared tokens; those of at most
+      ``small`` rows are walked in rank order, each in one task, and only larger ones take further rounds.
     """
     base = df.select(F.col(key).alias("_key"), rank.alias("_rank"), *tokens,
                      (F.lit(True) if eligible is None else eligible).alias("_ok"))
@@ -54,7 +107,14 @@ def rank_greedy_dedupe(df: DataFrame, key: str, tokens: list[str], rank: Column,
                                     for i, t in enumerate(tokens)]))
     still = still.select("_best", ids.alias("_ids")).filter(F.size("_ids") > 0)
     rounds: list[DataFrame] = []
+    done = 0
     while not still.isEmpty():
+        if done == rounds_first:
+            solved, still = _by_component(still, small)
+            rounds.append(solved)
+            done += 1
+            continue
+        done += 1
         row = F.struct(F.col("_best"), F.col("_ids"))
         leaders = still.select(F.explode("_ids").alias("_t"), row.alias("_row")).groupBy("_t").agg(F.min("_row").alias("_row"))
         kept = leaders.groupBy("_row").agg(F.count("*").alias("_n")).filter(F.col("_n") == F.size("_row._ids"))

@@ -337,3 +337,34 @@ def test_numbers_of_equal_contents_fill_the_gaps(spark):
         ids.add(name)
         want[r[-1]] = name
     assert got == want
+
+
+def test_long_chains_take_a_bounded_number_of_rounds(spark, monkeypatch):
+    """Rows that each wait for the one before: a round at a time would be 500 rounds."""
+    rounds = []
+    cut = DD.cut_lineage
+    monkeypatch.setattr(DD, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    rnd = random.Random(12)
+    rows = [(f"c{i:04d}", 5000 - i, f"t{i // 2}", f"u{(i + 1) // 2}") for i in range(1000)]  # neighbours share one token, in turn the first and the second
+    rows += [(f"g{i:04d}", rnd.randrange(100), f"h{rnd.randrange(40)}", f"k{rnd.randrange(400)}") for i in range(500)]
+    rows += [("n1", None, "t5", None), ("n2", 7, None, None)]
+    df = spark.createDataFrame(rows, "key string, score int, a string, b string")
+    held, want = set(), set()
+    for key, _, a, b in sorted(rows, key=lambda r: (-(r[1] or 0), r[0])):
+        own = {("a", a), ("b", b)} - {("a", None), ("b", None)}
+        if held.isdisjoint(own):
+            held |= own
+            want.add(key)
+    out, _ = DD.rank_greedy_dedupe(df, "key", ["a", "b"], DD.rank_order("score", "key"))
+    assert {r["key"] for r in out.filter("kept").collect()} == want and len(rounds) <= 6
+    # The large component, of the rows without a chain, goes on in rounds.
+    some = df.filter("key NOT LIKE 'c%'")
+    out, _ = DD.rank_greedy_dedupe(some, "key", ["a", "b"], DD.rank_order("score", "key"), rounds_first=1, small=100)
+    rest = {r[0] for r in rows if r[0][0] != "c"}
+    held, want = set(), set()
+    for key, _, a, b in sorted((r for r in rows if r[0] in rest), key=lambda r: (-(r[1] or 0), r[0])):
+        own = {("a", a), ("b", b)} - {("a", None), ("b", None)}
+        if held.isdisjoint(own):
+            held |= own
+            want.add(key)
+    assert {r["key"] for r in out.filter("kept").collect()} == want
