@@ -64,13 +64,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def family_labels(posted: DataFrame, reach: Column, sets: DataFrame, percent: int, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, label) of all nodes with a link: the smallest node that links reach.  ``also`` filters pairs before their sets are compared."""
+def family_labels(posted: DataFrame, reach: Column, sets: DataFrame, percent: int, also: Callable[[DataFrame], DataFrame] | None = None,
+                  before: str | None = None) -> DataFrame:
+    """(node, label) of all nodes with a link: the smallest node that links reach.  ``also`` filters pairs before their sets are compared.
+
+    ``before`` names a column with the keys of a set that come before a posting's own in the order of all keys: when all differently labelled members of a list
+    meet, a pair that met in an earlier list is skipped."""
     labels = None
     for everyone in (False, True):
         own = posted.withColumn("label", F.col("node")) if labels is None else posted.join(labels, "node", "left").withColumn(
             "label", F.coalesce("label", "node"))
-        pairs = candidates(own, reach, everyone)
+        if before is None:
+            pairs = candidates(own, reach, everyone)
+        elif everyone:
+            pairs = candidates(own, reach & ~F.arrays_overlap(f"{before}_x", f"{before}_y"), True)
+        else:
+            pairs = candidates(own.drop(before), reach, False)
         found = verified(pairs if also is None else also(pairs), sets, percent)
         links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
         labels = components(links)

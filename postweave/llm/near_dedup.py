@@ -75,16 +75,19 @@ def _postings(near: DataFrame, sets: DataFrame, coordinates: int, threshold: int
 
     Coordinates have one order, the shortest lists first.  Two signatures with ``threshold`` collisions share one of the first ``coordinates - threshold + 1`` of
     each; the rest, the longest lists, are skipped.  Values of one class only come first and are not posted.  With each posting go the size of the class's full
-    set and a small parity bitmap of it.
+    set, a small parity bitmap of it, and the class's coordinate values that come before, by which a pair is counted in the first list it meets in and skipped in
+    the others.
     """
     tokens = _tokens(near)
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often >= 2")
     own = Window.partitionBy("node")  # one row for each coordinate
     ranked = tokens.join(often, "token").withColumn("m", F.count(F.lit(1)).over(own))
-    ranked = ranked.withColumn("at", coordinates - F.col("m") + F.row_number().over(own.orderBy("often", "token")) - 1)
+    order = own.orderBy("often", "token")
+    ranked = ranked.withColumn("at", coordinates - F.col("m") + F.row_number().over(order) - 1)
+    ranked = ranked.withColumn("before", F.collect_list("token").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, BITMAP_WORDS, SMALL_WORDS))).alias(f"b{i}") for i in range(SMALL_WORDS)]
     kept = ranked.where(F.col("at") <= coordinates - threshold).join(sets.select("node", "n", *folded), "node")
-    return kept.select(F.col("token").alias("key"), *posted_columns(SMALL_WORDS))
+    return kept.select(F.col("token").alias("key"), *posted_columns(SMALL_WORDS), "before")
 
 
 def _in_reach(percent: int, coordinates: int, threshold: int) -> Column:
@@ -138,7 +141,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
         sets = chosen_sets(names.join(survivors, "node").select("node", "doc_id", "key_a", "key_b"), docs, lambda rows: full_bags(rows, words))
         near = hold(classes.join(survivors, "node", "left_semi").select("node", "signature"), "near")
         posted = hold(_postings(near, sets, coordinates, threshold), "postings")
-        labels = family_labels(posted, _in_reach(percent, coordinates, threshold), sets, percent, lambda pairs: _colliding(pairs, near, threshold))
+        labels = family_labels(posted, _in_reach(percent, coordinates, threshold), sets, percent, lambda pairs: _colliding(pairs, near, threshold), "before")
         discard(posted, sets, near, survivors)
     out = with_components(sketch, names, labels)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
