@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +18,7 @@ from ..functions.jsons import as_list, dig
 from ..functions.text import collapse_spaces, html_to_text, text_part, unescape
 from ..functions.urls import absolute_url
 from ..operators.dedupe import distinct_first_wins, distinct_last_wins
+from .batches import frames, map_rows
 from .markup import Page, Selectors, selectors
 
 
@@ -47,6 +48,8 @@ class ListMapping:
 
 
 _RAW = "source_key string, page_no int, page_url string, pos int, id string, title string, href string, company string, place string, day string"
+_RAW_ARROW = pa.schema([(name, pa.int32() if name in ("page_no", "pos") else pa.string())
+                        for name in ("source_key", "page_no", "page_url", "pos", "id", "title", "href", "company", "place", "day")])
 
 
 def read_items(captures: DataFrame, m: ListMapping, title_chars: int | None = None) -> DataFrame:
@@ -65,13 +68,10 @@ def read_items(captures: DataFrame, m: ListMapping, title_chars: int | None = No
                    "" if link is None else page.attrs[link].get("href", ""), text("company", node), text("location", node),
                    "" if day is None else (page.attrs[day].get(m.date_attr) or "") if m.date_attr else page.text(day))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(key, number, url, *item) for key, number, url, body in zip(pdf["source_key"], pdf["page_no"], pdf["url"], pdf["body"], strict=True)
-                   for item in items(body or "")]
-            yield pd.DataFrame(out, columns=["source_key", "page_no", "page_url", "pos", "id", "title", "href", "company", "place", "day"])
+    def of_page(key: str, number: int, url: str, body: str | None) -> Iterator[tuple]:
+        return ((key, number, url, *item) for item in items(body or ""))
 
-    return captures.select("source_key", "page_no", "url", "body").mapInPandas(run, _RAW)
+    return map_rows(captures.select("source_key", "page_no", "url", "body"), of_page, _RAW, _RAW_ARROW)
 
 
 def normalize_html_list(captures: DataFrame, m: ListMapping, now: datetime, last_wins: bool = False) -> DataFrame:
@@ -101,8 +101,7 @@ def normalize_html_list(captures: DataFrame, m: ListMapping, now: datetime, last
 SEARCH_CARDS, TABLE_ROWS = ListMapping(**V.SEARCH_CARDS), ListMapping(**V.TABLE_ROWS)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def jsonld_objects(bodies: pd.Series, kinds: pd.Series) -> pd.Series:
+def jsonld_objects(scripts: list[str], kind: str) -> Iterator[str]:
     """JSON texts of the objects of a type in all JSON-LD scripts of a page, wherever they are nested; a script nested too deeply is left out."""
     def walk(value):
         """All objects in order, without recursion."""
@@ -115,34 +114,39 @@ def jsonld_objects(bodies: pd.Series, kinds: pd.Series) -> pd.Series:
             elif isinstance(value, list):
                 stack.extend(reversed(value))
 
-    def scripts(texts, kind):
-        out = []
-        for text in texts if texts is not None else []:
-            try:
-                data = json.loads(text, strict=False)
-            except (ValueError, RecursionError):  # no JSON, or nested deeper than any reader goes
-                continue
-            for obj in walk(data):
-                types = obj.get("@type")
-                if kind in (types if isinstance(types, list) else [types]):
-                    try:
-                        out.append(json.dumps(obj, ensure_ascii=False))
-                    except RecursionError:
-                        continue
-        return out
-
-    return pd.Series([scripts(b, k) for b, k in zip(bodies, kinds, strict=True)])
+    for text in scripts:
+        try:
+            data = json.loads(text, strict=False)
+        except (ValueError, RecursionError):  # no JSON, or nested deeper than any reader goes
+            continue
+        for obj in walk(data):
+            types = obj.get("@type")
+            if kind in (types if isinstance(types, list) else [types]):
+                try:
+                    yield json.dumps(obj, ensure_ascii=False)
+                except RecursionError:
+                    continue
 
 
 _SCRIPT = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"
+_FOUND_ARROW = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("_json", pa.string())])
 
 
 def extract_jsonld(captures: DataFrame, kind: str = "JobPosting") -> DataFrame:
-    """(…, pos, item): one VARIANT per object.  Only the script bodies cross to Python, not the pages."""
-    scripts = F.regexp_extract_all("body", F.lit(_SCRIPT), F.lit(1))
-    found = captures.withColumn("_s", scripts).filter(F.size("_s") > 0).withColumn("_o", jsonld_objects("_s", F.lit(kind)))
-    rows = found.select(*[c for c in captures.columns if c != "body"], F.posexplode("_o").alias("pos", "_json"))
-    return rows.withColumn("item", F.try_parse_json("_json")).drop("_json")
+    """(…, pos, item): one VARIANT per object.  Only the script bodies are read in Python, not the pages; the other columns go along in Arrow."""
+    kept = [F.col(c) for c in captures.columns if c != "body"]
+    scripts = captures.select(*kept, F.regexp_extract_all("body", F.lit(_SCRIPT), F.lit(1)).alias("_s")).filter(F.size("_s") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rest = batch.column("_s"), batch.select([c for c in batch.schema.names if c != "_s"])
+            found = ((i, pos, text) for i in range(batch.num_rows) for pos, text in enumerate(jsonld_objects(texts[i].as_py(), kind)))
+            for frame in frames(found, _FOUND_ARROW):
+                own = rest.take(frame.column("row"))
+                yield pa.RecordBatch.from_arrays([*own.columns, *frame.columns[1:]], names=[*own.schema.names, "pos", "_json"])
+
+    schema = T.StructType([*captures.select(*kept).schema.fields, T.StructField("pos", T.IntegerType()), T.StructField("_json", T.StringType())])
+    return scripts.mapInArrow(run, schema).withColumn("item", F.try_parse_json("_json")).drop("_json")
 
 
 def posting_locations(item: Column) -> Column:

@@ -75,3 +75,73 @@ def test_levels_skip_wrappers_and_reach_the_body(spark):
     html = "<html><body>" + "<div>" * 30 + "<p><a href='https://a.test/1'>x</a> side</p>" + "</div>" * 30 + "<a href='https://a.test/2'>y</a></body></html>"
     links = M.mail_links(spark.createDataFrame([(1, html)], "uid bigint, body string")).orderBy("pos").collect()
     assert [[lv.lines for lv in r.levels] for r in links] == [[["x"], ["x", "side"]], [["y"]]]
+
+
+def test_frames_are_bounded_by_rows_and_by_bytes():
+    import pyarrow as pa
+    from postweave.sources.batches import FRAME_BYTES, FRAME_ROWS, frames
+
+    schema = pa.schema([("i", pa.int64()), ("t", pa.string())])
+    many = list(frames(((i, "x") for i in range(2 * FRAME_ROWS + 1)), schema))
+    assert [b.num_rows for b in many] == [FRAME_ROWS, FRAME_ROWS, 1] and many[-1].column("i").to_pylist() == [2 * FRAME_ROWS]
+    wide = list(frames(((i, "x" * FRAME_BYTES) for i in range(3)), schema))
+    assert [b.num_rows for b in wide] == [1, 1, 1] and list(frames((), schema)) == []
+
+
+class OneBatch:
+    """A table of one batch, whose steps run here."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *_):
+        return self
+
+    def withColumn(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.out = list(run(iter([self.batch])))
+        return self
+
+
+def test_mails_and_lists_go_out_in_frames():
+    import pyarrow as pa
+    from postweave.sources.batches import FRAME_ROWS
+
+    html = '<table><tr><td><a href="https://a.test/1">Some title</a></td></tr></table>'
+    mails = OneBatch(pa.record_batch({"uid": pa.array(range(5_000), pa.int64()), "body": pa.array([html] * 5_000)}))
+    M.mail_links(mails)
+    assert sum(b.num_rows for b in mails.out) == 5_000 and max(b.num_rows for b in mails.out) <= FRAME_ROWS
+    pages = OneBatch(pa.record_batch({"source_key": pa.array(["s"] * 5_000), "page_no": pa.array([1] * 5_000, pa.int32()), "url": pa.array(["u"] * 5_000),
+                                      "body": pa.array(["<li class=j><a href=/1>T</a></li>"] * 5_000)}))
+    P.read_items(pages, P.ListMapping("li.j", "a"))
+    assert sum(b.num_rows for b in pages.out) == 5_000 and max(b.num_rows for b in pages.out) <= FRAME_ROWS
+
+
+def test_unreadable_mails_and_missing_dates(spark):
+    raw = [(1, b"From: A <a@b.test>\r\nSubject: s\r\nDate: Fri, 03 Aug 2001 08:00:00 +0200\r\n\r\nx"), (2, b"From: c@d.test\r\n\r\ny"), (3, None)]
+    got = {r.uid: (r.sender, str(r.sent_at), r.error) for r in M.parse_messages(spark.createDataFrame(raw, "uid bigint, content binary")).collect()}
+    assert got == {1: ("a@b.test", "2001-08-03 06:00:00", None), 2: ("c@d.test", "None", None), 3: (None, "None", "TypeError")}
+
+
+def test_jsonld_keeps_the_other_columns(spark):
+    page = '<script type="application/ld+json">[{"@type": "JobPosting", "title": "A"}, {"@type": "X"}, {"@type": ["JobPosting"], "title": "B"}]</script>'
+    pages = spark.createDataFrame([(1.5, [1, None], None, page), (None, None, "u", page), (2.0, [], "v", "none"), (3.0, [], "w", None)], "a double, b array<int>, url string, body string")
+    got = sorted((str(r.a), r.b, r.url, r.pos, r.t) for r in P.extract_jsonld(pages).select("a", "b", "url", "pos", F.expr("variant_get(item, '$.title', 'string')").alias("t")).collect())
+    assert got == [("1.5", [1, None], None, 0, "A"), ("1.5", [1, None], None, 1, "B"), ("None", None, "u", 0, "A"), ("None", None, "u", 1, "B")]
+
+
+def test_tags_without_attributes_take_few_steps(monkeypatch):
+    """A run of plain tags is one call of the tokenizer, and gives what the standard tokenizer gives."""
+    from html.parser import HTMLParser
+
+    html = "<html><body>" + "<b>" * 3_000 + "<ul><li>x<li>y<script>if (a<b) x</script><title><b></title><P>z"
+    calls = []
+    start = Page.parse_starttag
+    monkeypatch.setattr(Page, "parse_starttag", lambda self, i: calls.append(i) or start(self, i))
+    quick = Page(html, selectors(a="li", b="b li"))
+    assert len(calls) < 10
+    monkeypatch.setattr(Page, "parse_starttag", HTMLParser.parse_starttag)
+    plain = Page(html, selectors(a="li", b="b li"))
+    assert (quick.tags, quick.parent, quick.last, quick.texts, quick.hits) == (plain.tags, plain.parent, plain.last, plain.texts, plain.hits)
