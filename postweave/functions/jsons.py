@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 PLACEHOLDER = re.compile(r"\{(\w+)\}")
 _PATH_PART = re.compile(r"([^.\[\]]+)|\[(-?\d+)\]")
 
@@ -31,9 +33,8 @@ def dig(value: Column, path: str, kind: str = "string") -> Column:
 
 def as_list(value: Column, kind: str = "variant") -> Column:
     """An array stays, null becomes empty, a scalar becomes one element."""
-    items = F.try_variant_get(value, "$", "array<variant>")
     empty = F.array().cast("array<variant>")
-    out = F.when(value.isNull() | F.is_variant_null(value), empty).otherwise(F.coalesce(items, F.array(value)))
+    out = let(value, lambda v: F.when(v.isNull() | F.is_variant_null(v), empty).otherwise(F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
     return out if kind == "variant" else F.transform(out, lambda v: F.try_variant_get(v, "$", kind))
 
 

@@ -135,3 +135,28 @@ def test_pack_numbered_and_bytes(spark, one):
     cut = one(lambda c: PK.cut_bytes(c, 10), ["é" * 8, "a" + "é" * 8, "ab" + "😀" * 4, "€€€€", "short"])
     for raw, c in zip(["é" * 8, "a" + "é" * 8, "ab" + "😀" * 4, "€€€€", "short"], cut, strict=True):
         assert c == raw.encode()[:10].decode(errors="ignore")
+
+
+def test_every_named_reference(one):
+    """All named references, found in buckets of a few instead of one map whose keys are compared one by one."""
+    from html.entities import html5
+
+    names = sorted(name for name in html5 if name.endswith(";"))
+    assert one(text.unescape, ["".join(f"&{name}|" for name in names)]) == ["".join(f"{html5[name]}|" for name in names)]
+    assert one(text.unescape, ["&amp;lt; &nosuch; &#65; &#x41; &#0; &#xD800; &#9999999; &", None, "plain"]) == ["&lt; &nosuch; A A \ufffd \ufffd \ufffd &", None, "plain"]
+    assert max(len(bucket.split("\x01")) for bucket in text._entities().split("\x03")) <= 16
+
+
+def test_iso_dates_are_read_before_relative_ones(one):
+    import inspect
+
+    from postweave.functions import dates
+    from datetime import datetime
+
+    now = datetime(2026, 1, 5)
+    texts = ["2026-01-02", " 2026-01-02T03:04:05Z ", "2026-01-02 03:04:05,5 +0100", "2026-13-45", "3 days ago", "today 2026-01-02"]
+    got = one(lambda x: F.concat_ws(" ", dates.iso(dates.parse_date(x, now)["ts"]), dates.parse_date(x, now)["precision"]), texts)
+    assert got == ["2026-01-02T00:00:00+00:00 date", "2026-01-02T03:04:05+00:00 datetime", "2026-01-02T02:04:05+00:00 datetime", "unknown",
+                   "2026-01-02T00:00:00+00:00 relative", "2026-01-05T00:00:00+00:00 relative"]
+    source = inspect.getsource(dates.parse_date)
+    assert source.index("_iso(t)") < source.index("let(parse_relative(")
