@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.dates import parse_date
 from ..functions.jsons import PLACEHOLDER, as_list, dig
 from ..functions.text import html_to_text
@@ -33,6 +34,7 @@ class Mapping:
     description: Field = None
     company: Field = None
     keep: Callable[[Column], Column] | None = None
+    prepare: Callable[[Column], Column] | None = None  # what all fields read instead of the item, made once per item; then all of them are functions
 
 
 def each(value: Column, path: str, inner: str) -> Column:
@@ -68,12 +70,13 @@ def _fill(template: str, item: Column, known: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
-def explode_items(captures: DataFrame, items: str) -> DataFrame:
-    """One row per item; a body that is no JSON gives no row (see ``scan_errors``)."""
+def explode_items(captures: DataFrame, items: str, read: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row per item, or what ``read`` makes of it; a body that is no JSON gives no row (see ``scan_errors``)."""
     body = F.try_parse_json("body")
     listed = as_list(dig(body, items, "variant") if items else body)
-    parsed = captures.withColumn("_items", listed)
-    return parsed.select(*[c for c in captures.columns if c != "body"], F.posexplode("_items").alias("pos", "item"))
+    parsed = captures.withColumn("_items", listed if read is None else F.transform(listed, lambda v: read(v)))
+    # An inner explode would first filter by the size of the list, and so parse the body and read the items more than once.
+    return parsed.select(*[c for c in captures.columns if c != "body"], F.posexplode_outer("_items").alias("pos", "item")).filter("pos IS NOT NULL")
 
 
 def normalize_json(captures: DataFrame, mapping: Mapping, now: datetime, source_type: str = "json_api",
@@ -82,11 +85,15 @@ def normalize_json(captures: DataFrame, mapping: Mapping, now: datetime, source_
 
     Items without title are dropped, the id falls back to the URL, and the first row of a key wins over the pages.
     """
-    rows = explode_items(captures, mapping.items)
+    def read(v: Column) -> Column:
+        return let(v if mapping.prepare is None else mapping.prepare(v), lambda p: F.struct(p.alias("item"), _field(p, mapping.title).alias("title")))
+
+    # The title is read inside the generator: a filter on it would otherwise repeat what makes it.
+    rows = explode_items(captures, mapping.items, read).select("source_key", "page_no", "pos", "item.item", "item.title")
     item = F.col("item")
     if mapping.keep is not None:
         rows = rows.filter(mapping.keep(item))
-    rows = rows.withColumn("title", _field(item, mapping.title)).filter(F.coalesce("title", F.lit("")) != "")
+    rows = rows.filter(F.coalesce("title", F.lit("")) != "")
     url = _field(item, mapping.url)
     if mapping.url_template:
         known = {name: _field(item, f) for name, f in (("id", mapping.id), ("title", mapping.title)) if f is not None}

@@ -65,10 +65,15 @@ def _midnight(raw: Column, precision: Column) -> Column:
     return F.when((precision == "datetime") & (raw.try_cast("bigint") % 86400 == 0), F.lit("date")).otherwise(precision)
 
 
+def _answers(v: Column) -> Column:
+    """An item's link and its questions by lower-case name, taken apart once."""
+    asked = F.transform(as_list(dig(v, "Questions", "variant")), lambda q: F.struct(F.lower(dig(q, "QuestionName")).alias("name"), dig(q, "Value").alias("value")))
+    return F.struct(dig(v, "Link").alias("link"), asked.alias("asked"))
+
+
 def _ask(v: Column, name: str) -> Column:
     """Answer to a question by its lower-case name; the last question of a name counts."""
-    named = F.filter(as_list(dig(v, "Questions", "variant")), lambda q: F.lower(dig(q, "QuestionName")) == name)
-    return dig(F.try_element_at(named, F.lit(-1)), "Value")
+    return F.try_element_at(F.filter(v["asked"], lambda q: q["name"] == name), F.lit(-1))["value"]
 
 
 def _brassring_places(fields: list[str]):
@@ -155,9 +160,9 @@ def oracle_hcm(host: str, site: str, lang: str = "en") -> Mapping:
 
 
 def brassring(location_fields: list[str]) -> Mapping:
-    return Mapping("Jobs.Job", id=_answer("reqid"), title=lambda v: let(_answer("jobtitle")(v), html_to_text), url="Link", posted_at=_answer("lastupdated"),
+    return Mapping("Jobs.Job", id=_answer("reqid"), title=lambda v: let(_answer("jobtitle")(v), html_to_text), url=lambda v: v["link"], posted_at=_answer("lastupdated"),
                    precision=lambda raw, p: F.when(p == "unknown", p).otherwise(F.lit("date")), locations=_brassring_places(location_fields),
-                   description=_answer("jobdescription"))
+                   description=_answer("jobdescription"), prepare=_answers)
 
 
 def jobcloud(site: str = "jobup.ch", language: str = "fr") -> Mapping:

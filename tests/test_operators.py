@@ -256,6 +256,36 @@ def test_keywords_of_any_length_and_beginnings(spark):
     assert got == {1: "b c d e f g", 2: "intern*", 3: "intern*", 4: "senior data eng*", 5: None}
 
 
+def test_only_sequences_as_long_as_a_keyword_are_built(spark, monkeypatch):
+    from postweave.operators import keywords as K
+
+    monkeypatch.setattr(K, "word_grams", None)  # sequences of all lengths up to the longest
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "c d"), (3, None), (4, "x")], "id int, n string")
+    table = spark.createDataFrame([(1, "b c d e f", "b c d e f"), (2, "x", "x"), (3, "c d", "c d")], "ord int, keyword string, norm string")
+    assert {r.id: r.keyword for r in K.find_keyword_join(docs, "id", F.col("n"), table).collect()} == {1: "b c d e f", 2: "c d", 3: None, 4: "x"}
+
+
+def test_a_title_is_read_once_and_questions_are_taken_apart_once(spark, capsys):
+    from datetime import datetime
+
+    from postweave.functions.jsons import dig
+    from postweave.sources import json_map as J
+    from postweave.sources import vendors as VD
+
+    now = datetime(2026, 9, 27)
+    asked = [("ReqId", "1"), ("JobTitle", "old"), ("JOBTITLE", "A &amp; B"), ("City", " Zug "), ("JobDescription", "<p>d</p>"), ("LastUpdated", "2026-09-01")]
+    questions = ", ".join(f'{{"QuestionName": "{k}", "Value": "{v}"}}' for k, v in asked)
+    body = f'{{"Jobs": {{"Job": [{{"Questions": [{questions}], "Link": "https://x.test/1"}}, {{"Questions": [], "Link": "https://x.test/2"}}, {{}}]}}}}'
+    captures = spark.createDataFrame([("s", 1, body), ("s", 2, "no json")], "source_key string, page_no int, body string")
+    got = J.normalize_json(captures, VD.brassring(["city", "state"]), now).collect()
+    assert [(r.native_id, r.title, r.url, r.locations, r.description, str(r.posted_at), r.posted_precision) for r in got] == [
+        ("1", "A & B", "https://x.test/1", ["Zug"], "d", "2026-09-01 00:00:00", "date")]
+    marked = J.Mapping("", id="id", title=lambda v: F.concat(F.lit("MARK"), dig(v, "t")))
+    capsys.readouterr()
+    J.normalize_json(captures, marked, now).explain()
+    assert capsys.readouterr().out.count("MARK") == 1
+
+
 def test_scores_are_validated_and_budgets_do_not_depend_on_partitions(spark):
     from postweave.operators.scoring import score_batches
     docs = spark.createDataFrame([(f"k{i}", "t", "x" * 5000) for i in range(9)], "key string, title string, description string").repartition(4)
