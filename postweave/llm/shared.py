@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-BLOCK_CHARS = 1 << 20  # code points handled at once by the array code; one longer text is a block of its own
+BLOCK_CHARS = 1 << 18  # code points handled at once by the array code, whose arrays take some 60 bytes for each; one longer text is a block of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import tracemalloc
+
 import numpy as np
 
-from postweave.llm.quality import LABELLERS, SAMPLE, estimate, fit, judged, kept, pattern_of, votes_of
+from postweave.llm.quality import BUCKETS, LABELLERS, SAMPLE, Model, _in_blocks, estimate, fit, judged, kept, pattern_of, votes_of
 
 
 def test_patterns_go_back_to_votes():
@@ -54,3 +56,16 @@ def test_odd_rows(spark, docs):
     assert [r.other.keep for r in out if r.doc_id in (1, 2, 3)] == [False] * 3 and len(out) == 7
     assert kept(df).columns == df.columns
     assert judged(docs([])).collect() == [] and kept(docs([])).count() == 0
+
+
+def test_arrays_of_a_batch_stay_small():
+    """A worker's arrays come on top of its batch, its vocabulary and the other worker of the executor (61 MB with blocks of 1 M code points)."""
+    texts = ["Some plain words of a text. " * 400] * 120
+    model = Model({}, {}, np.zeros(BUCKETS + 1), 0.5)
+    model.apply(texts[:1])  # fills the tables of characters
+    tracemalloc.start()
+    for part in _in_blocks(texts):
+        model.apply(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
