@@ -21,10 +21,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate group (five words, similarity 0.8): the one with the smallest id.
 
     Of rows with an equal id and text one stays; of rows with an equal id and different texts all stay if one of them is kept.  Rows without an id can't be named in a
-    group; of those with equal texts one stays."""
+    group; of those with equal texts one stays.  The kept ids grow with the input, so the texts are joined in sorted order at every size, not a broadcast where a table
+    happens to be small."""
     found = near_duplicates(docs.where("doc_id is not null")).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
     found = hold(found, "kept")
-    named = docs.join(found.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    named = docs.join(found.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
     if found.where("copies > 1").limit(1).count():
         named = named.dropDuplicates(["doc_id", "text"])
     return named.union(docs.where("doc_id is null").dropDuplicates(["text"]))

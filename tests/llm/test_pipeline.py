@@ -48,3 +48,12 @@ def test_odd_documents(spark):
         empty = stage(spark, empty, "")
     assert empty.count() == 0
     assert corpus_pipeline.ORACLE_SQL is None and re.match("quality", corpus_pipeline.STAGES[0][0])
+
+
+def test_kept_texts_are_joined_alike_at_every_size(spark):
+    """A broadcast on small tables only made the shuffle grow faster than the input."""
+    rows = [(i, f"text {i} of some words that no other one has {i * i}", "x", 1) for i in range(20)] + [(None, "a b c", "x", 1), (30, "text 3 of some words that no other one has 9", "x", 1)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, keep string, n_chars long"), "")
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in out.collect()) == [-1, *range(20)]
+    joins = re.findall(r"(\w+Join) .*LeftSemi", out._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
